@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,5 +197,81 @@ def runs(*cols: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
+def _record(**cols) -> pa.RecordBatch:
+    return pa.record_batch(list(cols.values()), names=list(cols))
+
+
+def shared_pairs(docs: DataFrame, values: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int, flush_bytes: int = 48 << 20) -> DataFrame:
+    """(doc_id, hash) for every 64-bit value that two documents have; a pair may come twice.
+
+    ``values`` gives, for the texts of a slice, values and the number of the text of each. A task sorts the pairs
+    of ``flush_bytes`` of text and deals them out as one binary row a bucket. Of a value that several documents
+    have there it deals two only, which is enough for the other tasks to learn that it is shared: a very common
+    value costs a bucket two entries a task, and no row of the shuffle stands for a single value.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            value, doc = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((doc, value))
+            value, doc = value[order], doc[order]
+            new = runs(value, doc)[:-1]
+            value, doc = value[new], doc[new]
+            edge = runs(value)
+            ends = np.zeros(len(value), bool)
+            ends[edge[:-1]] = True
+            ends[edge[1:] - 1] = True
+            for keep, sure in ((ends, False), (~ends, True)):
+                v, d = value[keep], doc[keep]
+                bucket = (v >> np.uint64(32)) % np.uint64(buckets)
+                order = np.argsort(bucket, kind="stable")
+                v, d, bucket = v[order], d[order], bucket[order].astype(np.int64)
+                e = runs(bucket)
+                for lo, hi in zip(e[:-1].tolist(), e[1:].tolist()):
+                    yield _record(bucket=pa.array([int(bucket[lo])]), sure=pa.array([sure]), v=pa.array([v[lo:hi].tobytes()], pa.binary()), d=pa.array([d[lo:hi].tobytes()], pa.binary()))
+            held.clear()
+
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for lo, hi, buf, offs in text_slices(batch):
+                value, doc = values(buf, offs)
+                if len(value):
+                    held.append((value, ids[lo:hi][doc]))
+                size += len(buf)
+                if size >= flush_bytes and held:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in stream_groups(batches, ["bucket"]):
+            edge = runs(t["bucket"].to_numpy())
+            sure, vs, ds = t["sure"].to_pylist(), t["v"], t["d"]
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                load = lambda col, kind, flag: np.concatenate([np.zeros(0, kind), *(np.frombuffer(col[i].as_py(), kind) for i in range(lo, hi) if sure[i] is flag)])  # noqa: E731, B023
+                value, doc = load(vs, np.uint64, False), load(ds, np.int64, False)
+                order = np.lexsort((doc, value))
+                value, doc = value[order], doc[order]
+                new = runs(value, doc)[:-1]
+                value, doc = value[new], doc[new]
+                n = np.diff(runs(value))
+                keep = np.repeat(n, n) > 1
+                value = np.concatenate([value[keep], load(vs, np.uint64, True)])
+                doc = np.concatenate([doc[keep], load(ds, np.int64, True)])
+                yield _record(doc_id=pa.array(doc), hash=pa.array(value.view(np.int64)))
+
+    dealt = docs.mapInArrow(deal, "bucket long, sure boolean, v binary, d binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, hash long")
+
+
+def bucket_count(spark: SparkSession, n_bytes: int) -> int:
+    """Buckets for a text of so many bytes: about 4 MB of it for each, and some for every task."""
+    return max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), n_bytes >> 22)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -29,15 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, documents, mix, runs, settle, stream_groups, text_slices
+from .common import bucket_count, by_ids, documents, mix, runs, settle, shared_pairs, stream_groups, text_slices
 
 LENGTH = 50
 GRAM = 16
 PERIOD = 16
 #: Suffixes sorted at a time.
 BLOCK = 1 << 18
-#: Bytes of text whose hashes are reduced before they are dealt out.
-FLUSH_BYTES = 48 << 20
 _LAST = np.int64(2**63 - 1)
 
 
@@ -156,48 +154,49 @@ def suffix_order(words: np.ndarray, at: np.ndarray, sample: CoverSample) -> np.n
     return np.concatenate(out) if out else at
 
 
-def earliest(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each distinct run of text (with the smallest document that has it) the smallest document of each 50-byte string that starts in it."""
-    size = np.array([len(c) for c in contexts], np.int64)
-    room = (size + PERIOD - 1) // PERIOD * PERIOD
-    begin = np.cumsum(room) - room
-    text = np.zeros(int(room.sum()) + 3 * LENGTH, np.uint8)
-    for b, c in zip(begin.tolist(), contexts):
-        text[b : b + len(c)] = np.frombuffer(c, np.uint8)
-    # Shift each run so that its least 16-byte string stands at a multiple of the period: equal strings then have one phase.
-    low = _words(text, False)
+def _spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of so many items: each item's row, and its place in it."""
+    row = np.repeat(np.arange(len(size)), size)
+    return row, np.arange(len(row)) - (np.cumsum(size) - size)[row]
+
+
+def earliest(data: np.ndarray, offs: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, place, document) of each 50-byte string in distinct runs of text: the smallest document that has the string.
+
+    ``data`` and ``offs``: the runs side by side; ``docs``: the smallest document that has the run.
+    """
+    size = np.diff(offs)
+    # Each run is laid so that its least 16-byte string stands at a multiple of the period: equal strings then have one phase.
+    low = _words(data, False)
     gram = mix(low[:-8] * np.uint64(0x9E3779B97F4A7C15) + mix(low[8:]))
-    grams = size - GRAM + 1
-    flat = gram[np.repeat(begin, grams) + np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams)]
-    first = np.cumsum(grams) - grams
-    least = np.minimum.reduceat(flat, first)
-    hit = np.flatnonzero(flat == np.repeat(least, grams))
-    owner = np.repeat(np.arange(len(size)), grams)[hit]
-    place = np.full(len(size), 1 << 40)
-    np.minimum.at(place, owner, hit - first[owner])
-    shift = -place % PERIOD
+    row, place = _spread(size - GRAM + 1)
+    flat = gram[offs[:-1][row] + place]
+    least = np.minimum.reduceat(flat, np.flatnonzero(place == 0))
+    hit = np.flatnonzero(flat == least[row])
+    at_least = np.full(len(size), 1 << 40)
+    at_least[row[hit][::-1]] = place[hit][::-1]
+    shift = -at_least % PERIOD
     room = (shift + size + PERIOD - 1) // PERIOD * PERIOD
     begin = np.cumsum(room) - room + shift
     text = np.zeros(int(room.sum()) + 3 * LENGTH, np.uint8)
-    for b, c in zip(begin.tolist(), contexts):
-        text[b : b + len(c)] = np.frombuffer(c, np.uint8)
+    row, place = _spread(size)
+    text[begin[row] + place] = data
     words = _words(text, True)
-    count = size - LENGTH + 1
-    owner = np.repeat(np.arange(len(size)), count)
-    upto = np.cumsum(count) - count
-    at = begin[owner] + np.arange(len(owner)) - upto[owner]
+    row, place = _spread(size - LENGTH + 1)
+    at = begin[row] + place
     order = suffix_order(words, at, CoverSample(words))
-    which = np.zeros(len(text), np.int64)
+    which = np.zeros(len(text), np.int32)
     which[at] = np.arange(len(at))
     w = which[order]
     same = np.ones(max(len(order) - 1, 0), bool)
     for step in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-        same &= words[order[1:] + step] == words[order[:-1] + step]
+        col = words[order + step]
+        same &= col[1:] == col[:-1]
     start = np.append(0, np.flatnonzero(~same) + 1)
-    low_doc = np.minimum.reduceat(docs[owner[w]], start)
+    low_doc = np.minimum.reduceat(docs[row[w]], start)
     out = np.zeros(len(at), np.int64)
     out[w] = np.repeat(low_doc, np.diff(np.append(start, len(order))))
-    return np.split(out, upto[1:])
+    return row, place, out
 
 
 def _rows(**cols) -> pa.RecordBatch:
@@ -206,64 +205,7 @@ def _rows(**cols) -> pa.RecordBatch:
 
 def shared_hashes(docs: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, hash) for every bucket hash that two documents have; a pair may come twice."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            value, doc = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((doc, value))
-            value, doc = value[order], doc[order]
-            new = runs(value, doc)[:-1]
-            value, doc = value[new], doc[new]
-            edge = runs(value)
-            ends = np.zeros(len(value), bool)
-            ends[edge[:-1]] = True
-            ends[edge[1:] - 1] = True
-            # a hash that several documents have here is known to be shared: two of them tell the others
-            for keep, sure in ((ends, False), (~ends, True)):
-                v, d = value[keep], doc[keep]
-                bucket = (v >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                v, d, bucket = v[order], d[order], bucket[order].astype(np.int64)
-                e = runs(bucket)
-                for lo, hi in zip(e[:-1].tolist(), e[1:].tolist()):
-                    yield _rows(bucket=pa.array([int(bucket[lo])]), sure=pa.array([sure]), v=pa.array([v[lo:hi].tobytes()], pa.binary()), d=pa.array([d[lo:hi].tobytes()], pa.binary()))
-            held.clear()
-
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for lo, hi, buf, offs in text_slices(batch):
-                value, doc, _, _ = text_runs(buf, offs)
-                if len(value):
-                    held.append((value, ids[lo:hi][doc]))
-                size += len(buf)
-                if size >= FLUSH_BYTES and held:
-                    yield from flush()
-                    size = 0
-        if held:
-            yield from flush()
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in stream_groups(batches, ["bucket"]):
-            edge = runs(t["bucket"].to_numpy())
-            sure, vs, ds = t["sure"].to_pylist(), t["v"], t["d"]
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                load = lambda col, kind, flag: np.concatenate([np.zeros(0, kind), *(np.frombuffer(col[i].as_py(), kind) for i in range(lo, hi) if sure[i] is flag)])  # noqa: E731, B023
-                value, doc = load(vs, np.uint64, False), load(ds, np.int64, False)
-                order = np.lexsort((doc, value))
-                value, doc = value[order], doc[order]
-                new = runs(value, doc)[:-1]
-                value, doc = value[new], doc[new]
-                n = np.diff(runs(value))
-                keep = np.repeat(n, n) > 1
-                value = np.concatenate([value[keep], load(vs, np.uint64, True)])
-                doc = np.concatenate([doc[keep], load(ds, np.int64, True)])
-                yield _rows(doc_id=pa.array(doc), hash=pa.array(value.view(np.int64)))
-
-    dealt = docs.mapInArrow(deal, "bucket long, sure boolean, v binary, d binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, hash long")
+    return shared_pairs(docs, lambda buf, offs: text_runs(buf, offs)[:2], buckets)
 
 
 def shared_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
@@ -300,28 +242,33 @@ def repeats(run_rows: DataFrame) -> DataFrame:
         for t in stream_groups(batches, ["bucket"]):
             edge = runs(t["bucket"].to_numpy())
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                part = t.slice(lo, hi - lo).combine_chunks()
-                code = part["run"].combine_chunks().dictionary_encode() if hi > lo else None
+                part = t.slice(lo, hi - lo)
+                code = part["run"].combine_chunks().dictionary_encode()
                 code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
                 doc, start = part["doc_id"].to_numpy(), part["start"].to_numpy()
-                k = code.indices.to_numpy()
-                contexts = code.dictionary.to_pylist()
-                low = np.full(len(contexts), _LAST)
+                k, text = code.indices.to_numpy(), code.dictionary
+                offs = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+                data = np.frombuffer(text.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+                offs -= offs[0]
+                size = np.diff(offs)
+                low = np.full(len(text), _LAST)
                 np.minimum.at(low, k, doc)
-                size = np.array([len(c) for c in contexts], np.int64)
-                copies = doc > low[k]
-                d, a, b = [doc[copies]], [start[copies]], [start[copies] + size[k[copies]]]
-                first = np.flatnonzero(~copies)
-                before = earliest(contexts, low)
-                for i in first.tolist():
-                    gone = np.flatnonzero(before[k[i]] < doc[i])
-                    if len(gone):
-                        e = np.flatnonzero(np.diff(gone) > 1)
-                        s0, s1 = gone[np.append(0, e + 1)], gone[np.append(e, len(gone) - 1)]
-                        d.append(np.full(len(s0), doc[i]))
-                        a.append(start[i] + s0)
-                        b.append(start[i] + s1 + LENGTH)
-                d, a, b = (np.concatenate(x).astype(np.int64) for x in (d, a, b))
+                later = doc > low[k]
+                row, place, before = earliest(data, offs, low)
+                gone = before < low[row]
+                row, place = row[gone], place[gone]
+                edge_of = np.ones(len(row) + 1, bool)
+                edge_of[1:-1] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+                e = np.flatnonzero(edge_of)
+                span_row, span_lo, span_hi = row[e[:-1]], place[e[:-1]], place[e[1:] - 1] + LENGTH
+                first = np.flatnonzero(~later)  # a text may hold a run several times
+                n_of = np.bincount(span_row, minlength=len(size))
+                upto = np.cumsum(n_of) - n_of
+                one, nth = _spread(n_of[k[first]])
+                pick = upto[k[first]][one] + nth
+                d = np.concatenate([doc[later], doc[first][one]])
+                a = np.concatenate([start[later], start[first][one] + span_lo[pick]])
+                b = np.concatenate([start[later] + size[k[later]], start[first][one] + span_hi[pick]])
                 yield _rows(doc_id=pa.array(d), lo=pa.array(a), hi=pa.array(b))
 
     return run_rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, lo long, hi long")
@@ -345,7 +292,7 @@ def removed(docs: DataFrame) -> DataFrame:
     first = ids.where(f"n_bytes >= {LENGTH}").groupBy("md5").agg(F.min("doc_id").alias("rep"))
     copies = settle(ids.where(f"n_bytes >= {LENGTH}").join(first, "md5").where("doc_id > rep").select("doc_id", "md5").distinct(), "copies")
     total = ids.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 22)
+    buckets = bucket_count(spark, total)
     marked = docs.withColumn("md5", F.md5("text"))
     small = copies.limit(1_000_001).count() <= 1_000_000
     unique = marked.join(F.broadcast(copies) if small else copies, ["doc_id", "md5"], "left_anti").select("doc_id", "text")
