@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from urllib.parse import urlparse
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import documents, scratch, settle, stream_groups, text_slices, word_array, word_spans
 
 SEQUENCE = 1024
+#: Words whose ids a worker remembers, over its tasks; then it starts anew.
+WORDS = 600_000
 BATCH_SEQUENCES = 512
 END_ID = 2
 
@@ -42,8 +45,12 @@ def _open(path: str):
     return pa.fs.FileSystem.from_uri(path)
 
 
+_known: dict[bytes, bytes] = {}
+
+
 @lru_cache(1)
 def _tokenizer(path: str):
+    _known.clear()
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -59,10 +66,17 @@ def encode_slice(tokenizer, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
     words = word_array(buf, starts, ends).dictionary_encode()
-    got = tokenizer.encode_batch_fast([w.decode() for w in words.dictionary.to_pylist()], add_special_tokens=False)
-    each = [e.ids for e in got]
-    size = np.fromiter(map(len, each), np.int64, len(each))
-    flat = np.fromiter((i for ids in each for i in ids), np.int64, int(size.sum()))
+    distinct = words.dictionary.to_pylist()
+    known = _known
+    fresh = [w for w in distinct if w not in known]
+    if len(known) + len(fresh) > WORDS:
+        known.clear()
+        fresh = distinct
+    for w, e in zip(fresh, tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)):
+        known[w] = array("i", e.ids).tobytes()
+    each = [known[w] for w in distinct]
+    size = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    flat = np.frombuffer(b"".join(each), np.int32)
     first = np.cumsum(size) - size
     which = words.indices.to_numpy()
     n = size[which]
