@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, documents, lowered, mix, runs, settle, shingle_hashes, stream_groups, text_slices, word_hashes, word_spans
+from .common import bucket_count, by_ids, documents, lowered, mix, runs, settle, shared_pairs, shingle_hashes, stream_groups, text_slices, word_hashes, word_spans
 from .components import components
 
 #: Counters of the shingle table: 1 MB whatever the input.
 COUNTERS = 1 << 18
+SLICES = 64
 #: Classes of one tile that are compared in one group.
 BLOCK = 1024
 
@@ -47,31 +48,30 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def set_table(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (set size), h1 and h2 (128 bits that stand for the set)."""
+    """doc_id, n (set size), h1 and h2 (128 bits that stand for the set); and, in rows with a number k, a task's counts of a slice of the counters."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for lo, hi, buf, offs in text_slices(batch):
                 h, at = _sets(buf, offs, words)
+                total += np.bincount(_counter(h), minlength=COUNTERS)
                 n = np.diff(at)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)))]) for salt in (0x5BD1E995, 0x27D4EB2F165667C5)]
                 h1, h2 = ((s[at[1:]] - s[at[:-1]]).astype(np.int64) for s in sums)
-                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(h1), pa.array(h2)], names=["doc_id", "n", "h1", "h2"])
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(n), pa.array(h1), pa.array(h2), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=["doc_id", "n", "h1", "h2", "k", "c"])
+        none = pa.nulls(SLICES, pa.int64())
+        yield pa.record_batch([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=["doc_id", "n", "h1", "h2", "k", "c"])
 
-    return _texts(docs).mapInArrow(go, "doc_id long, n long, h1 long, h2 long")
+    return _texts(docs).mapInArrow(go, "doc_id long, n long, h1 long, h2 long, k int, c binary")
 
 
-def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
-    """How many sets hold a shingle of each counter, over all documents: COUNTERS numbers, added up by slices of the table."""
-    slices = 64
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % COUNTERS
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            for _, _, buf, offs in text_slices(batch):
-                h, _ = _sets(buf, offs, words)
-                total += np.bincount((h >> np.uint64(40)).astype(np.int64) % COUNTERS, minlength=COUNTERS)
-        yield pa.record_batch([pa.array(range(slices), pa.int32()), pa.array([x.tobytes() for x in np.split(total, slices)], pa.binary())], names=["k", "c"])
+
+def shingle_counts(parts: DataFrame) -> np.ndarray:
+    """How many sets hold a shingle of each counter, over all documents: the tasks' counts added up, slice by slice."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -81,9 +81,8 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "c"])
 
-    got = _texts(docs).mapInArrow(part, "k int, c binary").repartition("k").mapInArrow(add, "k int, c binary").collect()
-    table = np.zeros((slices, COUNTERS // slices), np.int64)
-    for k, c in got:
+    table = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
+    for k, c in parts.repartition("k").mapInArrow(add, "k int, c binary").collect():  # COUNTERS numbers
         table[k] = np.frombuffer(bytes(c), np.int64)
     return table.ravel()
 
@@ -92,7 +91,7 @@ def _prefixes(h: np.ndarray, at: np.ndarray, counts: np.ndarray, t: int) -> tupl
     """(keys, index of the text) of each set's prefix in the order rare to frequent."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, counts[(h >> np.uint64(40)).astype(np.int64) % COUNTERS], doc))
+    order = np.lexsort((h, counts[_counter(h)], doc))
     place = np.arange(len(h)) - at[:-1][doc]
     keep = place < (n - (t * n + 99) // 100 + 1)[doc]
     return h[order][keep], doc[keep]
@@ -185,25 +184,20 @@ def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``. ``t``: the similarity in hundredths, at least 50."""
     spark = docs.sparkSession
     docs = _texts(docs)
-    table = settle(set_table(docs, words), "sets")
+    made = settle(set_table(docs, words), "sets")
+    table = made.where("k is null").select("doc_id", "n", "h1", "h2")
     one = table.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("s")).select("doc_id", "s.*")
     classes = one.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    counts = spark.sparkContext.broadcast(shingle_counts(docs, words))
+    counts = spark.sparkContext.broadcast(shingle_counts(made.where("k is not null").select("k", "c")))
 
-    # The keys of every document; those of a class's other members go, so that copies are not pairs.
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for lo, hi, buf, offs in text_slices(batch):
-                key, doc = _prefixes(*_sets(buf, offs, words), counts.value, t)
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(ids[lo:hi][doc])], names=["key", "doc_id"])
-
-    reps = settle(classes.select(F.col("rep").alias("doc_id"), F.col("n")), "reps")
-    others = one.join(reps, "doc_id", "left_anti").select("doc_id")
-    unique = by_ids(docs.where("doc_id is not null"), others, "doc_id", "left_anti")
-    keys = settle(unique.mapInArrow(keyed, "key long, doc_id long"), "keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    tiles = settle(keys.join(shared, "key").distinct(), "tiles")  # a repeated doc_id may give a key twice
+    # The keys that two classes share. Documents that stand for no class are left out, so that copies are not pairs.
+    def keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _prefixes(*_sets(buf, offs, words), counts.value, t)
+
+    others = one.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
+    unique = by_ids(docs.where("doc_id is not null"), settle(others, "others"), "doc_id", "left_anti")
+    buckets = bucket_count(spark, 6 * table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    tiles = settle(shared_pairs(unique, keys, buckets).withColumnRenamed("hash", "key").distinct(), "tiles")
 
     # Sets of the classes that share a key with another.
     involved = tiles.select("doc_id").distinct()
