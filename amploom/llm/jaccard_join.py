@@ -20,7 +20,7 @@ columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,33 +101,58 @@ def _spread(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.repartition(*cols).sortWithinPartitions(*cols)
 
 
-def _pairs(flat: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sorted sets i and j, pair by pair."""
-    out = np.zeros(len(i), np.int64)
-    for k, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        x, y = flat[at[a] : at[a + 1]], flat[at[b] : at[b + 1]]
-        if len(x) > len(y):
-            x, y = y, x
-        out[k] = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x) if len(x) else 0
-    return out
+def set_rows(docs: DataFrame, ids: DataFrame, one: DataFrame, repeated: DataFrame | None, words: int, arrays: bool) -> DataFrame:
+    """(doc_id, n, data) of the named documents: the sorted array of the set, or its bitmap. One row a doc_id."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offs in text_slices(batch):
+                h, at = _sets(buf, offs, words)
+                rows = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                data = [x.tobytes() if arrays else bitmap(x, _bits(len(x))).tobytes() for x in rows]
+                first = np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0x5BD1E995)))])
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array((first[at[1:]] - first[at[:-1]]).astype(np.int64)), pa.array(data, pa.binary())], names=["doc_id", "n", "h1", "data"])
+
+    schema = "doc_id long, n long, h1 long, data binary"
+    wanted = by_ids(docs, ids, "doc_id", "left_semi")
+    if repeated is None:
+        return settle(wanted.mapInArrow(go, schema).drop("h1"), "sets")
+    single = by_ids(wanted, repeated, "doc_id", "left_anti").mapInArrow(go, schema)
+    several = by_ids(wanted, repeated, "doc_id", "left_semi").mapInArrow(go, schema).join(one.select("doc_id", "h1"), ["doc_id", "h1"]).dropDuplicates(["doc_id"])
+    return settle(single.drop("h1").unionByName(several.drop("h1")), "sets")
+
+
+def _joined(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    one = lambda c, x: sets.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("data").alias(x))
+    return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "na", "nb", "x", "y")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: 100 |A and B| >= t |A or B|, by exact intersection of the sorted arrays."""
-    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("flat").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("flat").alias("y")), "b")
+def _kept(rows: DataFrame, both: Callable[[bytes, bytes, int], int], t: int) -> DataFrame:
+    """The pairs whose overlap by ``both`` (of x, y and the sum of sizes) reaches the similarity."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
-            keep = []
-            for p, q in zip(x, y):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = int(_pairs(np.concatenate([p, q]), np.array([0, len(p), len(p) + len(q)]), np.array([0]), np.array([1]))[0])
-                keep.append(100 * both >= t * (len(p) + len(q) - both))
-            mask = pa.array(keep, pa.bool_())
+            total = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()).tolist()
+            k = [both(x.as_py(), y.as_py(), n) for x, y, n in zip(batch.column("x"), batch.column("y"), total)]
+            mask = pa.array([100 * c >= t * (n - c) for c, n in zip(k, total)], pa.bool_())
             yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return rows.select("a", "b", "x", "y").mapInArrow(go, "a long, b long")
+    return rows.mapInArrow(go, "a long, b long")
+
+
+def _overlap(x: bytes, y: bytes, total: int) -> int:
+    """The intersection of two sorted arrays."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(p) > len(q):
+        p, q = q, p
+    return int(np.count_nonzero(q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p)) if len(p) else 0
+
+
+def _bound(x: bytes, y: bytes, total: int) -> int:
+    """The most that two sets of these bitmaps can have in common."""
+    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    width = min(len(p), len(q))
+    return (total - int(np.bitwise_count(_fold(p, width) ^ _fold(q, width)).sum())) // 2
 
 
 def _bits(n: int) -> int:
@@ -199,27 +224,27 @@ def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
     buckets = bucket_count(spark, 6 * table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     tiles = settle(shared_pairs(unique, keys, buckets).withColumnRenamed("hash", "key").distinct(), "tiles")
 
-    # Sets of the classes that share a key with another.
-    involved = tiles.select("doc_id").distinct()
-
-    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, buf, offs in text_slices(batch):
-                h, at = _sets(buf, offs, words)
-                rows = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array([x.tobytes() for x in rows], pa.binary()), pa.array([bitmap(x, _bits(len(x))).tobytes() for x in rows], pa.binary())], names=["doc_id", "n", "flat", "bitmap"])
+    size = one.select("doc_id", "n")
+    several = table.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
+    repeated = settle(several, "repeated")
+    repeated = None if repeated.isEmpty() else repeated
+    involved = settle(tiles.select("doc_id").distinct(), "involved")
+    maps = set_rows(docs, involved, one, repeated, words, arrays=False)
 
-    found = by_ids(docs, settle(involved, "involved"), "doc_id", "left_semi").mapInArrow(arrays, "doc_id long, n long, flat binary, bitmap binary")
-    sets = settle(found.dropDuplicates(["doc_id"]), "arrays")
-    size = sets.select("doc_id", "n")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of pairs that the bitmaps let pass, those that link; only their sets are made."""
+        pairs = settle(pairs, "pairs")
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        sets = set_rows(docs, settle(ids, "ids"), one, repeated, words, arrays=True)
+        return settle(_kept(_joined(pairs, sets), _overlap, t), "links")
 
     # Hubs: of each key the class that shares most of its keys; a near copy's own changes are keys that nobody shares.
-    weight = tiles.groupBy("doc_id").agg(F.count("*").alias("w"))
-    weighed = tiles.join(weight, "doc_id").join(size, "doc_id")
+    weight = tiles.groupBy("doc_id").agg(F.count("*").alias("w")).join(size, "doc_id")
+    weighed = tiles.join(weight, "doc_id")
     hubs = weighed.groupBy("key").agg(F.max(F.struct("w", F.col("doc_id").alias("hub"), F.col("n").alias("hn"))).alias("m")).select("key", "m.hub", "m.hn")
     near = weighed.join(hubs, "key").where("doc_id <> hub").where(F.expr(f"100 * least(n, hn) >= {t} * greatest(n, hn)"))
-    first = near.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    links = settle(_verified(first, sets, t), "links")
+    first = settle(near.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), "hubs")
+    links = verified(_kept(_joined(first, maps), _bound, t))
     label = components(links).withColumnsRenamed({"id": "doc_id", "component": "label"})
 
     # Tiles that still hold more than one component, by size band and pair of blocks.
@@ -231,9 +256,9 @@ def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
     sized = members.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("guest").alias("g")).where("c > 1 and lo < hi and not g")
     blocks = members.join(sized.select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb")), ["key", "band"]).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb").cast("bigint")).cast("int"))
     dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "band", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "doc_id", "n", "label", "guest")
-    with_maps = dealt.join(sets.select("doc_id", "bitmap"), "doc_id")
+    with_maps = dealt.join(maps.select("doc_id", F.col("data").alias("bitmap")), "doc_id")
     passing = _spread(with_maps, ["key", "band", "p", "q"]).mapInArrow(lambda b: _tile_pairs(b, t), "a long, b long").distinct()
-    more = settle(_verified(passing.join(first, ["a", "b"], "left_anti"), sets, t), "links")
+    more = verified(passing.join(first, ["a", "b"], "left_anti"))
     joined = components(links.union(more)).withColumnsRenamed({"id": "rep", "component": "top"})
 
     own = one.join(classes, ["h1", "h2", "n"], "left").join(joined, "rep", "left")
