@@ -34,7 +34,7 @@ from .common import documents, scratch, settle, stream_groups, text_slices, word
 
 SEQUENCE = 1024
 #: Words whose ids a worker remembers, over its tasks; then it starts anew.
-WORDS = 600_000
+WORDS = 1_200_000
 BATCH_SEQUENCES = 512
 END_ID = 2
 
