@@ -1,4 +1,460 @@
-"""Queries over the driver's tables and the SQL that says the same."""
+"""Queries over the driver's tables and the SQL that says the same.
+
+A read is an events user in (ts, event_id) order, a lineitem supplier in the order of all columns, or a document's
+letters a, c, g, t. Values are rounded where summation order shows.
+"""
+
+from __future__ import annotations
+
+import json
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import kmers as KM
+from ..functions import windows as N
+from ..operators import graph as G
+from ..operators import hmm as H
+from ..operators import reads as R
+from ..sources.models import parse_model
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+PARTS = [(0.4, 20.0, 400.0), (0.6, 70.0, 2500.0)]
+TWO_STATES = json.dumps({
+    "nodes": [{"id": 0, "seq_id": 0, "kmer": "A", "label": "*"}, {"id": 1, "seq_id": 0, "kmer": "C", "label": "*"}],
+    "links": [{"source": 0, "target": 0, "prob": 0.9}, {"source": 0, "target": 1, "prob": 0.1}, {"source": 1, "target": 0, "prob": 0.1}, {"source": 1, "target": 1, "prob": 0.9}],
+    "emission": {"A_*": {"peak": 1, "dim": 1, "params": [1.0, 20.0, 400.0]}, "C_*": {"peak": 1, "dim": 1, "params": [1.0, 90.0, 3600.0]}},
+})
+
+S = "with s as (select user_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, value as x from events)"
+LINE = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate, l_returnflag, l_linestatus"
+L = f"with s as (select l_suppkey, row_number() over (partition by l_suppkey order by {LINE}) - 1 as pos, l_extendedprice / l_quantity as x from lineitem)"
+D = "with d as (select doc_id, upper(regexp_replace(lower(text), '[^acgt]', '', 'g')) as q from documents)"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return N.samples(spark.read.parquet(f"{d}/events.parquet"), "user_id", ["ts", "event_id"], "value")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return N.samples(spark.read.parquet(f"{d}/lineitem.parquet"), "l_suppkey", LINE.split(", "), F.col("l_extendedprice") / F.col("l_quantity"))
+
+
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    return R.as_reads(spark.read.parquet(f"{d}/events.parquet"), "user_id", ["ts", "event_id"], "value")
+
+
+def _letters(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("q"))
+
+
+def r6(c: str | Column, name: str, digits: int = 6) -> Column:
+    return F.round(c, digits).alias(name)
+
+
+@query("read_summary", "select user_id as read_index, '00000000-0000-0000-0000-' || lpad(user_id::varchar, 12, '0') as uuid, '' as chrom, count(*)::int as signal_count from events group by user_id")
+def read_summary(spark, d):
+    return R.summary(_reads(spark, d))
+
+
+@query("read_samples", f"{S} select user_id as read_index, pos, x as value from s")
+def read_samples(spark, d):
+    return R.long_form(_reads(spark, d)).select("read_index", "pos", "value")
+
+
+@query("min_length_filter", "select user_id as read_index, count(*)::int as n from events group by 1 having count(*) >= 65")
+def min_length_filter(spark, d):
+    return R.min_length(_reads(spark, d), 65).select("read_index", F.size("signal").alias("n"))
+
+
+@query("stop_at_first_short", "with n as (select user_id as read_index, count(*)::int as n from events group by 1) select * from n where n >= 55 and read_index < coalesce((select min(read_index) from n where n < 55), 1e18)")
+def stop_at_first_short(spark, d):
+    return R.min_length(_reads(spark, d), 55, True).select("read_index", F.size("signal").alias("n"))
+
+
+@query("sampling_batches", """with n as (select user_id as read_index, count(*) as n from events group by 1 having count(*) >= 55),
+  b as (select *, floor((row_number() over (order by read_index) - 1) / 8) as b from n), s as (select b, sum(case when n > 66 then 1 else 0 end) as k from b group by b),
+  c as (select b, sum(k) over (order by b) - k as before from s) select read_index from b join c using (b) where before < 20 and n > 66""")
+def sampling_batches(spark, d):
+    return H.usable(_reads(spark, d), 66, 55, 8, 20).select("read_index")
+
+
+@query("trailing_variance", f"{S} select user_id, pos, round(greatest(0, var_pop(x) over (partition by user_id order by pos rows between 11 preceding and current row)), 6) as v from s")
+def trailing_variance(spark, d):
+    return N.trailing_variance(_events(spark, d), "user_id", 12).select("user_id", "pos", r6("v", "v"))
+
+
+@query("centred_std", f"""{S}, c as (select user_id, pos, x, stddev_pop(x) over (partition by user_id order by pos rows between 2 preceding and 2 following) as sd, count(*) over (partition by user_id) as n from s)
+  select c.user_id, c.pos, c.x, round(e.sd, 6) as sd from c join c e on e.user_id = c.user_id and e.pos = least(greatest(c.pos, 2), c.n - 3)""")
+def centred_std(spark, d):
+    return N.centred_std(_events(spark, d), "user_id", 5).select("user_id", "pos", "x", r6("sd", "sd"))
+
+
+@query("min_window_std", f"{S}, v as (select user_id, pos, var_pop(x) over (partition by user_id order by pos rows between 11 preceding and current row) as v from s) select user_id, round(sqrt(min(v)), 6) as min_std from v where pos >= 11 group by 1")
+def min_window_std(spark, d):
+    return N.min_window_std(_events(spark, d), "user_id", 12).select("user_id", r6("min_std", "min_std"))
+
+
+@query("smooth3", f"{S} select user_id, pos, round(avg(x) over (partition by user_id order by pos rows between 1 preceding and 1 following), 6) as smooth from s")
+def smooth3(spark, d):
+    return N.smooth3(_events(spark, d), "user_id").select("user_id", "pos", r6("smooth", "smooth"))
+
+
+@query("run_length_encode", f"""{S}, c as (select user_id, pos, (x > 50)::int as b, case when (x > 50) <> lag(x > 50) over (partition by user_id order by pos) then 1 else 0 end as c from s),
+  r as (select *, sum(c) over (partition by user_id order by pos) as run from c) select user_id, run::bigint as run, min(b) as value, min(pos) as start, count(*) as length from r group by 1, 2""")
+def run_length_encode(spark, d):
+    return N.run_lengths(_events(spark, d).withColumn("x", (F.col("x") > 50).cast("int")), "user_id")
+
+
+@query("prefix_moments", f"{S} select user_id, pos, " + ", ".join(f"round(sum(pow(x / 101, {k})) over (partition by user_id order by pos), 6) as s{k}" for k in (1, 2, 3, 4)) + " from s")
+def prefix_moments(spark, d):
+    return N.prefix_moments(_events(spark, d), "user_id", 101.0).select("user_id", "pos", *(r6(f"s{k}", f"s{k}") for k in (1, 2, 3, 4)))
+
+
+@query("two_window_z_jb", f"""{L}, m as (select l_suppkey, pos, count(*) over (partition by l_suppkey) as n,
+  avg(x) over a as ma, var_pop(x) over a as va, avg(x) over b as mb, var_pop(x) over b as vb, avg(pow(x, 2)) over b as r2, avg(pow(x, 3)) over b as r3, avg(pow(x, 4)) over b as r4 from s
+  window a as (partition by l_suppkey order by pos rows between 9 preceding and current row), b as (partition by l_suppkey order by pos rows between 1 following and 10 following)),
+  k as (select *, r2 - mb*mb as m2, r3 - 3*mb*r2 + 2*pow(mb, 3) as m3, r4 - 4*mb*r3 + 6*mb*mb*r2 - 3*pow(mb, 4) as m4 from m)
+  select l_suppkey, pos, round(pow(ma - mb, 2) / ((va + vb) / 9), 4) as z2, round(10.0/6 * (pow(m3, 2) / pow(m2, 3) + pow(m4 / pow(m2, 2) - 3, 2) / 4), 3) as jb from k where pos >= 10 and pos < n - 10""")
+def two_window_z_jb(spark, d):
+    return N.two_window(_lines(spark, d), "l_suppkey", 10).select("l_suppkey", "pos", r6("z2", "z2", 4), r6("jb", "jb", 3))
+
+
+@query("zscore", f"{S} select user_id, pos, round((x - avg(x) over (partition by user_id)) / nullif(stddev_pop(x) over (partition by user_id), 0), 6) as z from s")
+def zscore(spark, d):
+    return N.zscore(_events(spark, d), "user_id").select("user_id", "pos", r6("z", "z"))
+
+
+@query("robust_zscore", f"{S}, m as (select user_id, median(x) as med from s group by 1), k as (select user_id, median(abs(x - med)) as mad from s join m using (user_id) group by 1) select user_id, pos, round((x - med) / nullif(1.4826 * mad, 0), 6) as z from s join m using (user_id) join k using (user_id)")
+def robust_zscore(spark, d):
+    return N.robust_zscore(_events(spark, d), "user_id").select("user_id", "pos", r6("z", "z"))
+
+
+@query("l1_normalise", f"{S} select user_id, pos, round(x / nullif(sum(x) over (partition by user_id), 0), 9) as share, round(sum(x) over (partition by user_id), 4) as total from s")
+def l1_normalise(spark, d):
+    return N.l1_normalise(_events(spark, d), "user_id").select("user_id", "pos", r6("share", "share", 9), r6("total", "total", 4))
+
+
+@query("logsumexp_group", f"{S}, m as (select user_id, max(-x / 100) as m from s group by 1) select user_id, round(max(m) + ln(sum(exp(-x / 100 - m))), 6) as lse from s join m using (user_id) group by 1")
+def logsumexp_group(spark, d):
+    return N.logsumexp_by(_events(spark, d).withColumn("x", -F.col("x") / 100), ["user_id"], "x", "lse").select("user_id", r6("lse", "lse"))
+
+
+@query("log_normalise", f"{S}, m as (select user_id, max(-x / 100) as m from s group by 1), t as (select user_id, max(m) + ln(sum(exp(-x / 100 - m))) as lse from s join m using (user_id) group by 1) select user_id, pos, round(-x / 100 - lse, 6) as x from s join t using (user_id)")
+def log_normalise(spark, d):
+    return N.log_normalise(_events(spark, d).withColumn("x", -F.col("x") / 100), ["user_id"], "x").select("user_id", "pos", r6("x", "x"))
+
+
+@query("jarque_bera", f"""{S}, m as (select user_id, count(*) as n, avg(x) as m from s group by 1), c as (select user_id, any_value(n) as n, avg(pow(x - m, 2)) as m2, avg(pow(x - m, 3)) as m3, avg(pow(x - m, 4)) as m4 from s join m using (user_id) group by 1)
+  select user_id, round(abs(n / 6.0 * (pow(m3, 2) / pow(m2, 3) + pow(m4 / pow(m2, 2) - 3, 2) / 4)), 5) as jb from c""")
+def jarque_bera(spark, d):
+    return N.jarque_bera_by(_events(spark, d), "user_id").select("user_id", r6("jb", "jb", 5))
+
+
+@query("mean_var", f"{S} select user_id, round(avg(x), 6) as mean, round(var_samp(x), 5) as var from s group by 1")
+def mean_var(spark, d):
+    return N.mean_var_by(_events(spark, d), "user_id").select("user_id", r6("mean", "mean"), r6("var", "var", 5))
+
+
+@query("array_kernels", f"""{S}, a as (select user_id, list(x order by pos) as a from s group by 1) select user_id, round(list_sum(a), 5) as total, (list_position(a, list_min(a)) - 1)::bigint as lo, (list_position(a, list_max(a)) - 1)::bigint as hi,
+  round(list_sum(list_transform(a, lambda v: (v - 50) * (v - 50))), 3) as d2 from a""")
+def array_kernels(spark, d):
+    a = F.col("signal")
+    fifty = F.transform(a, lambda _: F.lit(50.0))
+    return _reads(spark, d).select(F.col("read_index").alias("user_id"), r6(N.kahan_sum(a), "total", 5), N.argmin(a).cast("long").alias("lo"), N.argmax(a).cast("long").alias("hi"), r6(N.squared_distance(a, fifty), "d2", 3))
+
+
+@query("beam_top_k", f"{S}, r as (select user_id, pos, x, row_number() over (partition by user_id order by x, pos) as rank from s) select * from r where rank <= 5")
+def beam_top_k(spark, d):
+    return N.top_k(_events(spark, d), ["user_id"], "x", 5, ["pos"])
+
+
+@query("moved_samples", f"{S} select user_id, list(x order by pos) as kept from s where floor(x)::int % 3 <> 0 group by 1")
+def moved_samples(spark, d):
+    r = _reads(spark, d).withColumn("mv", F.transform("signal", lambda x: (F.floor(x) % 3).cast("int")))
+    return r.select(F.col("read_index").alias("user_id"), KM.moved_samples(F.col("signal"), F.col("mv")).alias("kept")).where("size(kept) > 0")
+
+
+@query("histogram_density", f"{S}, b as (select least(9, greatest(0, floor((x - 0) / 20)))::bigint as bin, count(*) as n from s group by 1) select bin, n, round(ln(n / (select sum(n) from b)), 6) as log_prob from b")
+def histogram_density(spark, d):
+    return N.histogram(_events(spark, d), 0.0, 200.0, 10).select("bin", "n", r6("log_prob", "log_prob"))
+
+
+_G = [f"(ln({w}) - 0.5 * ln(2 * pi()) - 0.5 * ln({v}) - 0.5 * pow(x - {m}, 2) / {v})" for w, m, v in PARTS]
+_LSE = f"(greatest({_G[0]}, {_G[1]}) + ln(1 + exp(-abs({_G[0]} - {_G[1]}))))"
+
+
+@query("gaussian_logpdf", f"{S} select user_id, pos, round(-0.5 * ln(2 * pi()) - 0.5 * ln(900.0) - 0.5 * pow(x - 50, 2) / 900, 6) as lp from s")
+def gaussian_logpdf(spark, d):
+    return _events(spark, d).select("user_id", "pos", r6(N.gaussian_logpdf(F.col("x"), 50, 900), "lp"))
+
+
+@query("gmm_logpdf", f"{S} select user_id, pos, round({_LSE}, 6) as lp from s")
+def gmm_logpdf(spark, d):
+    return _events(spark, d).select("user_id", "pos", r6(N.mixture_logpdf(F.col("x"), PARTS), "lp"))
+
+
+@query("gmm_responsibility", f"{S} select user_id, pos, round(exp({_G[0]} - {_LSE}), 6) as r0, round(exp({_G[1]} - {_LSE}), 6) as r1 from s")
+def gmm_responsibility(spark, d):
+    a, b = N.responsibilities(F.col("x"), PARTS)
+    return _events(spark, d).select("user_id", "pos", r6(a, "r0"), r6(b, "r1"))
+
+
+def _moments(spark, d):
+    rs = N.responsibilities(F.col("x"), PARTS)
+    cols = [c for k, r in enumerate(rs) for c in (F.sum(r).alias(f"g{k}"), F.sum(r * F.col("x")).alias(f"x{k}"), F.sum(r * F.col("x") * F.col("x")).alias(f"xx{k}"))]
+    return _events(spark, d).agg(*cols)
+
+
+_SUMS = ", ".join(f"sum(r{k}) as g{k}, sum(r{k} * x) as x{k}, sum(r{k} * x * x) as xx{k}" for k in (0, 1))
+_RESP = f"{S}, r as (select x, exp({_G[0]} - {_LSE}) as r0, exp({_G[1]} - {_LSE}) as r1 from s), t as (select {_SUMS} from r)"
+
+
+@query("gmm_sufficient_stats", _RESP + " select " + ", ".join(f"round(g{k}, 4) as g{k}, round(x{k}, 3) as x{k}, round(xx{k}, 2) as xx{k}" for k in (0, 1)) + " from t")
+def gmm_sufficient_stats(spark, d):
+    return _moments(spark, d).select(*(c for k in (0, 1) for c in (r6(f"g{k}", f"g{k}", 4), r6(f"x{k}", f"x{k}", 3), r6(f"xx{k}", f"xx{k}", 2))))
+
+
+@query("gmm_m_step", _RESP + " select " + ", ".join(f"round(g{k} / (g0 + g1), 6) as w{k}, round(x{k} / g{k}, 5) as m{k}, round(xx{k} / g{k} - pow(x{k} / g{k}, 2), 4) as v{k}" for k in (0, 1)) + " from t")
+def gmm_m_step(spark, d):
+    return _moments(spark, d).select(*(c for k in (0, 1) for c in (r6(F.expr(f"g{k} / (g0 + g1)"), f"w{k}"), r6(F.expr(f"x{k} / g{k}"), f"m{k}", 5), r6(F.expr(f"xx{k} / g{k} - pow(x{k} / g{k}, 2)"), f"v{k}", 4))))
+
+
+@query("tied_covariance", "with x as (select label, embedding[1]::double as x from embeddings), p as (select var_pop(x) as v from x) select label, count(*) as n, round(avg(x), 6) as mean, round(any_value(p.v), 6) as var from x, p group by label")
+def tied_covariance(spark, d):
+    x = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    pooled = x.agg(F.var_pop("x").alias("v"))  # one row
+    return x.groupBy("label").agg(F.count("*").alias("n"), F.avg("x").alias("mean")).crossJoin(F.broadcast(pooled)).select("label", "n", r6("mean", "mean"), r6("v", "var"))
+
+
+_C = [(i, j) for i in range(4) for j in range(i + 1)]
+
+
+@query("class_mean_cov", "select label, " + ", ".join(f"round(avg(embedding[{i + 1}]::double), 6) as m{i}" for i in range(4)) + ", " + ", ".join(f"round(covar_pop(embedding[{i + 1}]::double, embedding[{j + 1}]::double), 6) as c{i}{j}" for i, j in _C) + " from embeddings group by label")
+def class_mean_cov(spark, d):
+    x = spark.read.parquet(f"{d}/embeddings.parquet").select("label", *(F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)))
+    return x.groupBy("label").agg(*(r6(F.avg(f"e{i}"), f"m{i}") for i in range(4)), *(r6(F.covar_pop(f"e{i}", f"e{j}"), f"c{i}{j}") for i, j in _C))
+
+
+_CHAIN = "with e as (select n_regionkey as source, (n_regionkey + n_nationkey) % 5 as target, sum(n_nationkey + 1)::double as p from nation group by 1, 2), l as (select source, target, ln(p / sum(p) over (partition by source)) as lp from e), v as (select r_regionkey as id, -r_regionkey / 3.0 as v from region)"
+
+
+def _chain(spark, d):
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    links = n.groupBy(F.col("n_regionkey").alias("source"), ((F.col("n_regionkey") + F.col("n_nationkey")) % 5).alias("target")).agg(F.sum(F.col("n_nationkey") + 1).cast("double").alias("prob"))
+    return G.log_links(links), spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").alias("id"), (-F.col("r_regionkey") / 3.0).alias("v"))
+
+
+@query("row_normalise", _CHAIN + " select source, target, round(lp, 6) as lp from l")
+def row_normalise(spark, d):
+    return _chain(spark, d)[0].select("source", "target", r6("lp", "lp"))
+
+
+@query("sparse_vec_mat", _CHAIN + " select target as id, round(ln(sum(exp(v + lp))), 6) as v from l join v on v.id = source group by 1")
+def sparse_vec_mat(spark, d):
+    links, v = _chain(spark, d)
+    return G.vec_mat(v, links).select("id", r6("v", "v"))
+
+
+@query("sparse_mat_vec", _CHAIN + " select source as id, round(ln(sum(exp(v + lp))), 6) as v from l join v on v.id = target group by 1")
+def sparse_mat_vec(spark, d):
+    links, v = _chain(spark, d)
+    return G.mat_vec(v, links).select("id", r6("v", "v"))
+
+
+@query("edge_xi", _CHAIN + ", x as (select source, target, a.v + lp + b.v as x from l join v a on a.id = source join v b on b.id = target) select source, target, round(x - (select ln(sum(exp(x))) from x), 6) as xi from x")
+def edge_xi(spark, d):
+    links, v = _chain(spark, d)
+    return G.edge_posteriors(v, v, links).select("source", "target", r6("xi", "xi"))
+
+
+@query("transition_transpose", _CHAIN + " select target as source, source as target, round(lp, 6) as lp from l")
+def transition_transpose(spark, d):
+    return G.transpose(_chain(spark, d)[0]).select("source", "target", r6("lp", "lp"))
+
+
+@query("shared_emission_groups", "select p_brand, min(p_partkey) as first, list(p_partkey order by p_partkey) as states from part group by 1")
+def shared_emission_groups(spark, d):
+    return G.shared_emission_groups(spark.read.parquet(f"{d}/part.parquet"), "p_brand", "p_partkey")
+
+
+_NODES = "(values (0, 0, 'AAA', '*'), (1, 1, 'AAC', '1'), (2, 1, 'AAC', '2'), (3, 2, 'ACG', '*'), (4, 2, 'ACT', '1'))"
+
+
+@query("wildcard_label_join", f"with n as (select * from {_NODES} t(id, seq_id, kmer, label)), l as (select distinct label from n where label <> '*') select l.label, seq_id, list(id order by id) as states from n join l on n.label = l.label or n.label = '*' group by 1, 2")
+def wildcard_label_join(spark, d):
+    return G.expand_labels(spark.sql(f"select * from {_NODES} as t(id, seq_id, kmer, label)"))
+
+
+@query("emission_join", f"with n as (select * from {_NODES} t(id, seq_id, kmer, label)), e as (select distinct kmer || '_' || label as key, 1 as peak, 1 as dim from n) select key, id, seq_id, kmer, label, peak, dim from n join e on e.key = kmer || '_' || label")
+def emission_join(spark, d):
+    n = spark.sql(f"select * from {_NODES} as t(id, seq_id, kmer, label)")
+    return G.with_emissions(n, n.select(F.concat_ws("_", "kmer", "label").alias("key"), F.lit(1).alias("peak"), F.lit(1).alias("dim")).distinct())
+
+
+@query("band_candidates", f"{S}, f as (select user_id, pos, pos // 5 as seg from s) select user_id, pos, seg, unnest(range(greatest(0, seg - 2), least(9, seg + 2) + 1)) as position from f where seg - 2 <= 9")
+def band_candidates(spark, d):
+    f = _events(spark, d).select("user_id", "pos", F.floor(F.col("pos") / 5).alias("seg"))
+    return KM.band(f, "seg", 2, 10)
+
+
+@query("uniform_band", f"{S}, n as (select user_id, count(*) as n from s group by 1), t as (select s.user_id, pos as t, n.n // 10 as skip from s join n using (user_id) where n.n > 10) select user_id, t, t // skip + o as position from t, (select unnest(range(-2, 2)) as o) o where t // skip + o between 0 and 9")
+def uniform_band(spark, d):
+    return _reads(spark, d).select(F.col("read_index").alias("user_id"), F.inline(KM.uniform_band(F.size("signal"), 10, 4)))
+
+
+@query("moves_band")
+def moves_band(spark, d):
+    r = _reads(spark, d).withColumn("mv", F.transform("signal", lambda x: (F.floor(x / 40)).cast("int")))
+    return r.select(F.col("read_index").alias("user_id"), F.inline(R.moves_band("mv", 10, 4)))
+
+
+@query("kmer_codes", D + """, c as (select doc_id, unnest(range(1, len(q) - 1)) as i, translate(q, 'ATCG', '0123') as t from d where len(q) >= 3)
+  select doc_id, substr(t, i, 1)::bigint * 16 + substr(t, i + 1, 1)::bigint * 4 + substr(t, i + 2, 1)::bigint as code, count(*) as n from c group by 1, 2""")
+def kmer_codes(spark, d):
+    return _letters(spark, d).select("doc_id", F.explode(KM.kmer_codes(F.col("q"), 3)).alias("code")).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+
+
+@query("kmer_strings", D + ", c as (select doc_id, unnest(range(1, len(q) + 1)) as i, 'N' || q || 'N' as t from d where len(q) > 0) select doc_id, substr(t, i, 3) as kmer, count(*) as n from c group by 1, 2")
+def kmer_strings(spark, d):
+    return _letters(spark, d).select("doc_id", F.explode(KM.kmer_strings(F.col("q"), 3, 1)).alias("kmer")).groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
+
+
+@query("kmer_round_trip", D + " select doc_id, q as back from d where len(q) >= 3")
+def kmer_round_trip(spark, d):
+    return _letters(spark, d).where("length(q) >= 3").select("doc_id", KM.kmers_of_codes(KM.kmer_codes(F.col("q"), 3), 3).alias("back"))
+
+
+@query("kmer_graph", "with s as (select unnest(range(0, 16)) as source), e as (select source, (source * 4 + b) % 16 as target, 0.1 as p from s, (select unnest(range(0, 4)) as b) b union all select source, source, 0.6 from s) select source, target, round(sum(p)::double, 9) as prob from e group by 1, 2")
+def kmer_graph(spark, d):
+    return KM.kmer_graph(spark, 2, 0.6).select("source", "target", r6("prob", "prob", 9))
+
+
+@query("coarse_band")
+def coarse_band(spark, d):
+    q = _letters(spark, d).where("length(q) between 5 and 60")
+    return q.select("doc_id", F.inline(KM.coarse_band(F.col("q"), F.length("q") * 3, 3, 4)))
+
+
+#: The recurrence as a recursive query: one row a sample, the running state carried along.
+CUSUM = S.replace("with s", "with recursive s") + """,
+q as (select user_id, pos, var_pop(x) over (partition by user_id order by pos rows between 11 preceding and current row) as v from s),
+f as (select user_id, sqrt(min(v)) as fl from q where pos >= 11 group by 1),
+r as (
+  select user_id, pos, x as m1, 0.0::double as m2, 1 as n, 0.0::double as gp, 0.0::double as gn, 0 as seg from s where pos = 0
+  union all
+  select user_id, pos, if(a, x, m1), if(a, 0.0::double, m2), if(a, 1, n), if(a, 0.0::double, gp), if(a, 0.0::double, gn), if(a, seg + 1, seg) from (
+    select *, gp >= 3 or gn >= 3 as a from (
+      select user_id, pos, x, m1, m2, n, seg, greatest(0.0, gp + (x - m1 - sd / 2) / sd) as gp, greatest(0.0, gn - (x - m1 + sd / 2) / sd) as gn from (
+        select *, greatest(fl, sqrt(m2 / n)) as sd from (
+          select r.user_id, s.pos, s.x, r.n + 1 as n, r.m1 + (s.x - r.m1) / (r.n + 1) as m1, r.m2 + (s.x - r.m1) * (s.x - (r.m1 + (s.x - r.m1) / (r.n + 1))) as m2, r.gp, r.gn, r.seg, f.fl
+          from r join s on s.user_id = r.user_id and s.pos = r.pos + 1 join f on f.user_id = r.user_id))))) 
+"""
+
+
+@query("cusum_segments", CUSUM + " select user_id, pos, seg from r")
+def cusum_segments(spark, d):
+    r = R.segment_reads(_reads(spark, d))
+    return R.long_form(r).select(F.col("read_index").alias("user_id"), "pos", F.col("mv").alias("seg"))
+
+
+@query("segment_means", CUSUM + " select user_id as read_index, seg::bigint as seg, min(pos) as start, count(*) as n, round(avg(x), 6) as mean from r join s using (user_id, pos) group by 1, 2")
+def segment_means(spark, d):
+    return R.segment_means(R.segment_reads(_reads(spark, d))).select("read_index", "seg", "start", "n", r6("mean", "mean"))
+
+
+@lru_cache(1)
+def _two():
+    return parse_model(TWO_STATES)
+
+
+#: Two states, N(20, 20^2) and N(90, 60^2), each kept with 0.9 and started with weight 1.
+VITERBI = S.replace("with s", "with recursive s0") + """,
+s as (select user_id, pos, -0.5 * ln(2 * pi()) - ln(20.0) - 0.5 * pow((x - 20) / 20, 2) as e0, -0.5 * ln(2 * pi()) - ln(60.0) - 0.5 * pow((x - 90) / 60, 2) as e1 from s0),
+v as (select user_id, pos, e0 as d0, e1 as d1, e0 as a0, e1 as a1, 0 as b0, 0 as b1 from s where pos = 0
+  union all select v.user_id, s.pos, greatest(d0 + ln(0.9), d1 + ln(0.1)) + e0, greatest(d0 + ln(0.1), d1 + ln(0.9)) + e1,
+    greatest(a0 + ln(0.9), a1 + ln(0.1)) + ln(1 + exp(-abs(a0 + ln(0.9) - a1 - ln(0.1)))) + e0, greatest(a0 + ln(0.1), a1 + ln(0.9)) + ln(1 + exp(-abs(a0 + ln(0.1) - a1 - ln(0.9)))) + e1,
+    if(d1 + ln(0.1) > d0 + ln(0.9), 1, 0), if(d1 + ln(0.9) > d0 + ln(0.1), 1, 0) from v join s on s.user_id = v.user_id and s.pos = v.pos + 1),
+l as (select user_id, max(pos) as n from v group by 1),
+b as (select v.user_id, v.pos, if(d1 > d0, 1, 0) as st, greatest(d0, d1) as score from v join l on l.user_id = v.user_id and l.n = v.pos
+  union all select b.user_id, v.pos, if(b.st = 1, n.b1, n.b0), b.score from b join v n on n.user_id = b.user_id and n.pos = b.pos join v on v.user_id = b.user_id and v.pos = b.pos - 1)
+"""
+
+
+@query("viterbi_path", VITERBI + " select user_id, pos, st as state, round(score, 5) as score from b")
+def viterbi_path(spark, d):
+    r = H.with_paths(_reads(spark, d), _two())
+    return r.select(F.col("read_index").alias("user_id"), F.round("score", 5).alias("score"), F.posexplode("path").alias("pos", "state")).select("user_id", F.col("pos").cast("long").alias("pos"), "state", "score")
+
+
+@query("forward_loglik", VITERBI + " select v.user_id, round(greatest(a0, a1) + ln(1 + exp(-abs(a0 - a1))), 5) as loglik from v join l on l.user_id = v.user_id and l.n = v.pos")
+def forward_loglik(spark, d):
+    sent = spark.sparkContext.broadcast(_two())
+
+    @F.pandas_udf("double")
+    def go(signal: pd.Series) -> pd.Series:
+        return pd.Series([H.forward_loglik(sent.value, np.asarray(s, float).reshape(-1, 1)) for s in signal])
+
+    return _reads(spark, d).select(F.col("read_index").alias("user_id"), r6(go("signal"), "loglik", 5))
+
+
+@query("em_one_step")
+def em_one_step(spark, d):
+    """Expected counts of one pass over all reads, summed over the cluster."""
+    stats = H.e_step(_reads(spark, d), _two(), 5)
+    return stats.select("kind", "key", "comp", "i", "j", F.round("val", 4).alias("val"))
+
+
+@query("classify_reads")
+def classify_reads(spark, d):
+    return H.classify_reads(_reads(spark, d), _two())
+
+
+@query("run_means")
+def run_means(spark, d):
+    return H.run_means(R.segment_reads(_reads(spark, d)))
+
+
+def _positions(column):
+    def go(spark, d):
+        r = _reads(spark, d).withColumn("mv", column(F.col("signal")))
+        return R.long_form(r).select(F.col("read_index").alias("user_id"), "pos", F.col("mv").alias("seg"))
+
+    return go
+
+
+query("pelt_segments")(_positions(R.pelt))
+query("bocpd_segments")(_positions(R.bocpd))
+query("jb_segments")(_positions(R.jb_segments))
+query("two_window_segments")(_positions(R.two_window_segments))
+query("beam_changes")(_positions(lambda c: R.beam_changes(c, [(20.0, 400.0), (90.0, 3600.0)])))
+
+
+@query("aggregate_segments")
+def aggregate_segments(spark, d):
+    r = _reads(spark, d).withColumn("mv", F.transform("signal", lambda x: (F.floor(x / 40)).cast("int")))
+    return R.long_form(r.withColumn("mv", R.aggregate_segments("mv", 8))).select(F.col("read_index").alias("user_id"), "pos", F.col("mv").alias("seg"))
+
+
+@query("dtw_distance")
+def dtw_distance(spark, d):
+    """Each read against the next by index."""
+    r = _reads(spark, d).select("read_index", "signal")
+    pairs = r.join(r.select((F.col("read_index") - 1).alias("read_index"), F.col("signal").alias("other")), "read_index")
+    z = pairs.withColumn("z", R.dtw("signal", "other"))
+    return z.select("read_index", F.round("z.dist", 4).alias("dist"), F.size("z.path").alias("steps"))
