@@ -3,7 +3,7 @@
 A source's rate is (its target weight x the rows wanted) / its rows. Each document is repeated a Poisson number
 of times with that mean: the number is the inverse of the distribution at a uniform value hashed from the seed,
 the doc_id and the text, so it depends on neither partitions nor order and a lost task draws the same again.
-Documents are exploded by their count and sorted by a hash of document and copy, a global shuffle.
+Documents are exploded by their count, dealt to tasks by a hash of document and copy and sorted by it within each: a global shuffle.
 
 Rates over ``PART`` are split into equal parts with draws of their own, whose sum is again Poisson.
 
@@ -57,12 +57,14 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float =
         salted = salted.withColumnRenamed("_salt", "_to")
         rated = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_salt") == F.col("_to"))).drop("_salt", "_to")
     key = F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    draw = lambda part: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(str(seed)), F.col("_key"), part.cast("string"))))
-    first = F.col("_u")
-    count = F.when(F.col("rate") <= 0, 0).when(F.col("parts") == 1, F.size(F.filter("cdf", lambda c: c <= first))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda a, p: a + draw(p)))
-    drawn = rated.withColumn("_key", key).withColumn("_u", uniform(F.lit(str(seed)), F.col("_key"), F.lit("0"))).withColumn("_n", count).where("_n > 0")
+    # The uniform value is bound once, as the only element of an array: as a column it would be inlined into the filter and hashed for every entry.
+    draw = lambda part: F.get(F.transform(F.array(uniform(F.lit(str(seed)), F.col("_key"), part.cast("string"))), lambda u: F.size(F.filter("cdf", lambda c: c <= u))), F.lit(0))
+    count = F.when(F.col("rate") <= 0, 0).when(F.col("parts") == 1, draw(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda a, p: a + draw(p)))
+    drawn = rated.withColumn("_key", key).withColumn("_n", count).where("_n > 0")
     copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1))).withColumn("shuffle_key", F.md5(F.concat_ws("\x1f", F.lit(f"order{seed}"), F.col("_key"), F.col("copy_no").cast("string"))))
-    return copies.orderBy("shuffle_key").drop("_src", "parts", "cdf", "_key", "_u", "_n")
+    # The key is uniform, so hashing it deals rows out evenly without the sampling pass of a range sort.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return copies.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key").drop("_src", "parts", "cdf", "_key", "_n")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
