@@ -54,9 +54,9 @@ def band(frames: DataFrame, seg: str, width: int, length: int) -> DataFrame:
 
 
 def uniform_band(n: Column, length: int, width: int, first: int = 0) -> Column:
-    """array<struct<t, position>>: the base moves on every n div length samples from ``first``; none if n <= length."""
+    """array<struct<t, position>>: the base moves on every n div length samples from ``first`` and stays within the model; none if n <= length."""
     skip = F.greatest(F.lit(1), F.floor(n / length))
-    one = lambda t: F.transform(F.sequence(F.lit(-(width // 2)), F.lit(width - width // 2 - 1)), lambda o: F.struct(t.cast("long").alias("t"), (F.floor(t / skip) + first + o).cast("long").alias("position")))
+    one = lambda t: F.transform(F.sequence(F.lit(-(width // 2)), F.lit(width - width // 2 - 1)), lambda o: F.struct(t.cast("long").alias("t"), (F.least(F.lit(length - 1), F.floor(t / skip) + first) + o).cast("long").alias("position")))
     pairs = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), one))
     return F.when(n > length, F.filter(pairs, lambda z: (z["position"] >= 0) & (z["position"] < length))).otherwise(F.array().cast("array<struct<t:bigint,position:bigint>>"))
 
@@ -66,13 +66,13 @@ def coarse_band(seq: Column, n: Column, k: int, width: int) -> Column:
     codes = kmer_codes(seq, k)
     length = F.size(codes)
     skip = F.greatest(F.lit(1), F.floor(n / length))
-    near = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(-(width // 2)), F.lit(width - width // 2 - 1)), lambda o: F.least(length - 1, F.greatest(F.lit(0), (F.floor(t / skip) + 1 + o).cast("int")))))
+    near = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(-(width // 2)), F.lit(width - width // 2 - 1)), lambda o: F.least(length - 1, F.greatest(F.lit(0), F.least(length - 1, (F.floor(t / skip) + 1).cast("int")) + o))))
     pairs = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda t: F.transform(near(t), lambda p: F.struct(t.alias("t"), F.get(codes, p).alias("code")))))
     return F.when((n > length) & (length > 0), pairs).otherwise(F.array().cast("array<struct<t:bigint,code:bigint>>"))
 
 
 def moves_band(mv: np.ndarray, length: int, width: int) -> list[tuple[int, int]]:
-    """(t, position): a single-precision cursor goes on by length / (max - least non-negative + 1) at every change of the moves, the first sample included."""
+    """(t, position): a single-precision cursor goes on by length / (max - least non-negative + 1) at every change of the moves, the first sample included, and stays within the model."""
     mv = np.asarray(mv)
     if not len(mv) or not (mv >= 0).any():
         return []
@@ -84,6 +84,6 @@ def moves_band(mv: np.ndarray, length: int, width: int) -> list[tuple[int, int]]
         cursor = np.float32(cursor + skip) if c else cursor
         at[t] = cursor
     out = []
-    for t, c in enumerate(at.astype(int).tolist()):
+    for t, c in enumerate(np.clip(at.astype(int), 0, length - 1).tolist()):
         out += [(t, p) for p in range(c - width // 2, c + width - width // 2) if 0 <= p < length]
     return out

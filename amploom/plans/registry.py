@@ -313,7 +313,7 @@ def band_candidates(spark, d):
     return KM.band(f, "seg", 2, 10)
 
 
-@query("uniform_band", f"{S}, n as (select user_id, count(*) as n from s group by 1), t as (select s.user_id, pos as t, n.n // 10 as skip from s join n using (user_id) where n.n > 10) select user_id, t, t // skip + o as position from t, (select unnest(range(-2, 2)) as o) o where t // skip + o between 0 and 9")
+@query("uniform_band", f"{S}, n as (select user_id, count(*) as n from s group by 1), t as (select s.user_id, pos as t, n.n // 10 as skip from s join n using (user_id) where n.n > 10) select user_id, t, least(9, t // skip) + o as position from t, (select unnest(range(-2, 2)) as o) o where least(9, t // skip) + o between 0 and 9")
 def uniform_band(spark, d):
     return _reads(spark, d).select(F.col("read_index").alias("user_id"), F.inline(KM.uniform_band(F.size("signal"), 10, 4)))
 

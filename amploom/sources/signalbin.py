@@ -4,8 +4,8 @@ A record is uuid[36], int32 length and chrom, int32 length and one Zstd frame, a
 int32 byte count and float32 samples, int32 byte count and int32 moves, and maybe int32 byte count and sequence
 characters. The reader scans headers only to find record offsets, and each partition reads its own byte range.
 
-Options: ``path`` (file or folder), ``headerOnly`` (no payload is read; signal and mv are NULL), ``partitionBytes``.
-Equality filters on read_index, uuid and chrom skip payloads when ``spark.sql.python.filterPushdown.enabled``.
+Options: ``path`` (file or folder), ``headerOnly`` (no payload is read; signal and mv are NULL), ``partitionBytes``,
+and ``readIndex``, ``uuid`` or ``chrom`` to read those records only, without the payloads of the others.
 
 The writer makes one file per task, in read_index order if the rows come so, and commits by renaming; a failed or
 repeated task leaves nothing behind.
@@ -23,7 +23,7 @@ from urllib.parse import urlparse
 import numpy as np
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
 SCHEMA = "read_index bigint, uuid string, chrom string, signal array<double>, mv array<int>, sequence string"
@@ -123,13 +123,9 @@ class SignalBinReader(DataSourceReader):
         self.path, self.names = options["path"], [f.name for f in schema.fields]
         self.header_only = str(options.get("headeronly", options.get("headerOnly", "false"))).lower() == "true"
         self.most = int(options.get("partitionbytes", options.get("partitionBytes", 32 << 20)))
-        self.wanted: dict[str, object] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in ("read_index", "uuid", "chrom"):
-                self.wanted[f.attribute[0]] = f.value
-            yield f  # Spark checks again; this only saves payloads
+        # Chosen by option: a filter pushed by the optimiser would stay with a table that another query reads again.
+        only = {"read_index": "readindex", "uuid": "uuid", "chrom": "chrom"}
+        self.wanted = {k: int(options[o]) if k == "read_index" else options[o] for k, o in only.items() if o in options}
 
     def partitions(self) -> list[Range]:
         out, index = [], 0
