@@ -173,11 +173,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     ids = docs.sparkSession.createDataFrame([(k,) for k in grades] or [(None,)], "doc_id long").where("doc_id is not null")
     rows = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id", "left_semi")
 
+    sent = docs.sparkSession.sparkContext.broadcast(grades)  # at most ``sample`` numbers
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.array([sent.value[d] for d in batch.column("doc_id").to_pylist()], np.int64)
+            for lo, hi, buf, offs in text_slices(batch):
+                h, at = features(buf, offs)
+                keys, col = np.unique(h, return_inverse=True)
+                grade = np.repeat(own[lo:hi], np.diff(at))
+                n = [np.bincount(col, grade == g, len(keys)).astype(np.int64) for g in range(GRADES)]
+                yield pa.record_batch([pa.array(keys.view(np.int64)), *map(pa.array, n)], names=["h", *(f"n{g}" for g in range(GRADES))])
+
+    # The features to use are counted and screened where the documents are; the driver sees those that pass.
+    there = [sum(1 for d, in rows.select("doc_id").distinct().collect() if grades[d] == g) for g in range(GRADES)]
+    total = max(1, sum(there))
+    sums = rows.mapInArrow(count, "h long, " + ", ".join(f"n{g} long" for g in range(GRADES))).groupBy("h").agg(*(F.sum(f"n{g}").alias(f"n{g}") for g in range(GRADES)))
+    n = sum((F.col(f"n{g}") for g in range(1, GRADES)), F.col("n0"))
+    odd = F.lit(False)
+    for k in range(GRADES - 1):
+        p = sum(there[: k + 1]) / total
+        most = sum((F.col(f"n{g}") for g in range(1, k + 1)), F.col("n0"))
+        odd = odd | (F.abs(most - n * p) >= APART * F.sqrt(n * max(p * (1 - p), 1e-6)))
+    keys = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.h for r in sums.where((n >= LEAST) & odd).select("h").collect()], np.int64).view(np.uint64)))
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offs in text_slices(batch):
                 h, at = features(buf, offs)
-                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "h"])
+                use = np.isin(h, keys.value)
+                upto = np.concatenate([[0], np.cumsum(use)])[at]
+                h = h[use]
+                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])], pa.binary())], names=["doc_id", "h"])
 
     got = sorted({r[0]: bytes(r[1]) for r in rows.mapInArrow(go, "doc_id long, h binary").collect()}.items())
     each = [np.frombuffer(b, np.uint64) for _, b in got]
