@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import documents, scratch, settle, stream_groups, text_slices, word_array, word_spans
 
 SEQUENCE = 1024
+#: Bytes of text encoded at a time.
+SLICE = 6 << 20
 #: Words whose ids a worker remembers, over its tasks; then it starts anew.
-WORDS = 1_200_000
+WORDS = 1_400_000
 BATCH_SEQUENCES = 512
 END_ID = 2
 
@@ -64,7 +66,7 @@ def encode_slice(tokenizer, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarr
     """
     starts, ends, at = word_spans(buf, offs)
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(len(offs), np.int64)
+        return np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
     words = word_array(buf, starts, ends).dictionary_encode()
     distinct = words.dictionary.to_pylist()
     known = _known
@@ -168,7 +170,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = E
         part = TaskContext.get().partitionId()
         name, shard = f"{out}/part-{part:06d}.arrow", None
         for batch in batches:
-            for lo, hi, buf, offs in text_slices(batch):
+            for lo, hi, buf, offs in text_slices(batch, limit=SLICE):
                 shard = shard or _Shard(name, width, sequence)
                 ids, at = encode_slice(tok, buf, offs)
                 size = np.diff(at)
