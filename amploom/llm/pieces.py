@@ -35,7 +35,7 @@ MARK = "▁"
 #: Pairs of pieces whose BPE encoding is remembered.
 PAIRS = 1 << 18
 #: Distinct units remembered from one block to the next.
-UNITS = 1_000_000
+UNITS = 400_000
 
 
 class Pieces:
