@@ -14,9 +14,11 @@ def _digits(seq: Column) -> Column:
 
 def kmer_codes(seq: Column, k: int) -> Column:
     """Codes of all k-mers, two bits a base, most significant first; none if the sequence is shorter than k."""
-    d = _digits(seq)
-    code = lambda i: F.conv(F.substring(d, i, F.lit(k)), 4, 10).cast("long")
-    return F.when(F.length(seq) >= k, F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), code)).otherwise(F.array().cast("array<bigint>"))
+    # The digits are bound once as an array: a substring of a long string would walk it from its start each time.
+    digits = F.transform(F.filter(F.split(_digits(seq), ""), lambda c: c != ""), lambda c: c.cast("long"))
+    code = lambda d, i: F.aggregate(F.slice(d, i, k), F.lit(0).cast("long"), lambda a, x: a * 4 + x)
+    codes = F.get(F.transform(F.array(digits), lambda d: F.transform(F.sequence(F.lit(1), F.size(d) - (k - 1)), lambda i: code(d, i))), F.lit(0))
+    return F.when(F.length(seq) >= k, codes).otherwise(F.array().cast("array<bigint>"))
 
 
 def kmers_of_codes(codes: Column, k: int, compat: bool = False) -> Column:
