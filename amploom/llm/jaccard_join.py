@@ -33,6 +33,8 @@ from .components import components
 #: Counters of the shingle table: 1 MB whatever the input.
 COUNTERS = 1 << 18
 SLICES = 64
+#: Bytes of text that one step makes sets of: their arrays take about 26 times as much.
+SLICE = 1 << 20
 #: Classes of one tile that are compared in one group.
 BLOCK = 1024
 
@@ -53,7 +55,7 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for lo, hi, buf, offs in text_slices(batch):
+            for lo, hi, buf, offs in text_slices(batch, limit=SLICE):
                 h, at = _sets(buf, offs, words)
                 total += np.bincount(_counter(h), minlength=COUNTERS)
                 n = np.diff(at)
@@ -106,7 +108,7 @@ def set_rows(docs: DataFrame, ids: DataFrame, one: DataFrame, repeated: DataFram
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, buf, offs in text_slices(batch):
+            for lo, hi, buf, offs in text_slices(batch, limit=SLICE):
                 h, at = _sets(buf, offs, words)
                 rows = [h[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 data = [x.tobytes() if arrays else bitmap(x, _bits(len(x))).tobytes() for x in rows]
