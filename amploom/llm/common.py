@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Ids that a broadcast may hold (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 2000
 
 _own_dir: list[str] = []
 
@@ -49,6 +51,13 @@ def by_ids(df: DataFrame, ids: DataFrame, col: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, col, how)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower this session's Arrow batches to BATCH_ROWS rows: the JVM and the worker each hold a whole batch of texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of pieces of a batch, each of at most ``limit`` bytes unless one text is longer; a null is empty."""
     arr = batch.column(column)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, by_ids, documents, lowered, mix, runs, settle, shared_pairs, shingle_hashes, stream_groups, text_slices, word_hashes, word_spans
+from .common import bounded_batches, bucket_count, by_ids, documents, lowered, mix, runs, settle, shared_pairs, shingle_hashes, stream_groups, text_slices, word_hashes, word_spans
 from .components import components
 
 #: Counters of the shingle table: 1 MB whatever the input.
@@ -210,6 +210,7 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.Record
 def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``. ``t``: the similarity in hundredths, at least 50."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = _texts(docs)
     made = settle(set_table(docs, words), "sets")
     table = made.where("k is null").select("doc_id", "n", "h1", "h2")

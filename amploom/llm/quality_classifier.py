@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, documents, lowered, mix, runs, text_slices, word_hashes, word_spans
+from .common import bounded_batches, by_ids, documents, lowered, mix, runs, text_slices, word_hashes, word_spans
 
 SAMPLE = 12000
 STEMS = (5, 7)
@@ -170,6 +170,7 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     """The model from at most ``sample`` labelled documents, chosen by hash."""
+    bounded_batches(docs.sparkSession)
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     grades = dict(map(tuple, chosen.collect()))
     ids = docs.sparkSession.createDataFrame([(k,) for k in grades] or [(None,)], "doc_id long").where("doc_id is not null")
@@ -216,6 +217,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
 
 def classify(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
     """``docs`` with score, expected_grade, p_top (P(grade >= 2)) and kept."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     made = ["score", "expected_grade", "p_top", "kept"]
     docs = docs.drop(*made)
