@@ -33,9 +33,9 @@ from .common import documents, text_slices
 
 MARK = "▁"
 #: Pairs of pieces whose BPE encoding is remembered.
-PAIRS = 1 << 18
+PAIRS = 1 << 17
 #: Distinct units remembered from one block to the next.
-UNITS = 400_000
+UNITS = 150_000
 
 
 class Pieces:
