@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 #: Ids that a broadcast may hold (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch of texts; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 _own_dir: list[str] = []
 
@@ -52,10 +52,12 @@ def by_ids(df: DataFrame, ids: DataFrame, col: str, how: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower this session's Arrow batches to BATCH_ROWS rows: the JVM and the worker each hold a whole batch of texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Lower this session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes: the JVM and the worker each hold a whole batch of texts."""
+    name = "spark.sql.execution.arrow.max%sPerBatch"
+    for what, most in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES)):
+        now = spark.conf.get(name % what, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name % what, most)
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
