@@ -5,6 +5,7 @@ Nothing here keeps state on a machine: tables that cut lineage go to the folder
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step works on; a longer document is a step of its own.
 SLICE_BYTES = 4 << 20
@@ -60,6 +62,26 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(name % what, most)
 
 
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow in bounded batches, after which the worker, which outlives its tasks, hands its free memory back."""
+    bounded_batches(df.sparkSession)
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(go, schema)
+
+
+def release() -> None:
+    """Give freed memory back to the machine, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of pieces of a batch, each of at most ``limit`` bytes unless one text is longer; a null is empty."""
     arr = batch.column(column)
@@ -275,8 +297,8 @@ def shared_pairs(docs: DataFrame, values: Callable[[np.ndarray, np.ndarray], tup
                 doc = np.concatenate([doc[keep], load(ds, np.int64, True)])
                 yield _record(doc_id=pa.array(doc), hash=pa.array(value.view(np.int64)))
 
-    dealt = docs.mapInArrow(deal, "bucket long, sure boolean, v binary, d binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id long, hash long")
+    dealt = in_arrow(docs, deal, "bucket long, sure boolean, v binary, d binary")
+    return in_arrow(dealt.repartition("bucket").sortWithinPartitions("bucket"), meet, "doc_id long, hash long")
 
 
 def bucket_count(spark: SparkSession, n_bytes: int) -> int:

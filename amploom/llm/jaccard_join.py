@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, bucket_count, by_ids, documents, lowered, mix, runs, settle, shared_pairs, shingle_hashes, stream_groups, text_slices, word_hashes, word_spans
+from .common import bucket_count, by_ids, documents, in_arrow, lowered, mix, runs, settle, shared_pairs, shingle_hashes, stream_groups, text_slices, word_hashes, word_spans
 from .components import components
 
 #: Counters of the shingle table: 1 MB whatever the input.
@@ -65,7 +65,7 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
         none = pa.nulls(SLICES, pa.int64())
         yield pa.record_batch([none, none, none, none, pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=["doc_id", "n", "h1", "h2", "k", "c"])
 
-    return _texts(docs).mapInArrow(go, "doc_id long, n long, h1 long, h2 long, k int, c binary")
+    return in_arrow(_texts(docs), go, "doc_id long, n long, h1 long, h2 long, k int, c binary")
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -84,7 +84,7 @@ def shingle_counts(parts: DataFrame) -> np.ndarray:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "c"])
 
     table = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    for k, c in parts.repartition("k").mapInArrow(add, "k int, c binary").collect():  # COUNTERS numbers
+    for k, c in in_arrow(parts.repartition("k"), add, "k int, c binary").collect():  # COUNTERS numbers
         table[k] = np.frombuffer(bytes(c), np.int64)
     return table.ravel()
 
@@ -118,9 +118,9 @@ def set_rows(docs: DataFrame, ids: DataFrame, one: DataFrame, repeated: DataFram
     schema = "doc_id long, n long, h1 long, data binary"
     wanted = by_ids(docs, ids, "doc_id", "left_semi")
     if repeated is None:
-        return settle(wanted.mapInArrow(go, schema).drop("h1"), "sets")
-    single = by_ids(wanted, repeated, "doc_id", "left_anti").mapInArrow(go, schema)
-    several = by_ids(wanted, repeated, "doc_id", "left_semi").mapInArrow(go, schema).join(one.select("doc_id", "h1"), ["doc_id", "h1"]).dropDuplicates(["doc_id"])
+        return settle(in_arrow(wanted, go, schema).drop("h1"), "sets")
+    single = in_arrow(by_ids(wanted, repeated, "doc_id", "left_anti"), go, schema)
+    several = in_arrow(by_ids(wanted, repeated, "doc_id", "left_semi"), go, schema).join(one.select("doc_id", "h1"), ["doc_id", "h1"]).dropDuplicates(["doc_id"])
     return settle(single.drop("h1").unionByName(several.drop("h1")), "sets")
 
 
@@ -139,7 +139,7 @@ def _kept(rows: DataFrame, both: Callable[[bytes, bytes, int], int], t: int) ->
             mask = pa.array([100 * c >= t * (n - c) for c, n in zip(k, total)], pa.bool_())
             yield pa.record_batch([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
-    return rows.mapInArrow(go, "a long, b long")
+    return in_arrow(rows, go, "a long, b long")
 
 
 def _overlap(x: bytes, y: bytes, total: int) -> int:
@@ -210,7 +210,6 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.Record
 def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of ``docs``. ``t``: the similarity in hundredths, at least 50."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     docs = _texts(docs)
     made = settle(set_table(docs, words), "sets")
     table = made.where("k is null").select("doc_id", "n", "h1", "h2")
@@ -260,7 +259,7 @@ def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
     blocks = members.join(sized.select("key", "band", F.ceil(F.col("c") / BLOCK).cast("int").alias("nb")), ["key", "band"]).withColumn("blk", F.pmod(F.xxhash64("doc_id"), F.col("nb").cast("bigint")).cast("int"))
     dealt = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "band", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "doc_id", "n", "label", "guest")
     with_maps = dealt.join(maps.select("doc_id", F.col("data").alias("bitmap")), "doc_id")
-    passing = _spread(with_maps, ["key", "band", "p", "q"]).mapInArrow(lambda b: _tile_pairs(b, t), "a long, b long").distinct()
+    passing = in_arrow(_spread(with_maps, ["key", "band", "p", "q"]), lambda b: _tile_pairs(b, t), "a long, b long").distinct()
     more = verified(passing.join(first, ["a", "b"], "left_anti"))
     joined = components(links.union(more)).withColumnsRenamed({"id": "rep", "component": "top"})
 

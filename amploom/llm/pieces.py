@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_slices
+from .common import documents, in_arrow, text_slices
 
 MARK = "▁"
 #: Pairs of pieces whose BPE encoding is remembered.
@@ -235,7 +235,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 null = b.column("text").slice(lo, hi - lo).is_null()
                 yield pa.record_batch([b.column("doc_id").slice(lo, hi - lo), _list(*enc(buf, offs), null)], names=["doc_id", "ids"])
 
-    return _rows(docs).mapInArrow(go, "doc_id long, ids array<int>")
+    return in_arrow(_rows(docs), go, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -251,7 +251,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 null = ids.is_null().to_pylist()
                 yield pa.record_batch([b.column("doc_id").slice(lo, 256), pa.array([None if n else t for n, t in zip(null, text)], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(go, "doc_id long, text string")
+    return in_arrow(encoded.select("doc_id", "ids"), go, "doc_id long, text string")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
                 sha = [hashlib.sha256(t).hexdigest() for t in texts]
                 yield pa.record_batch([b.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(sha), pa.array(same)], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
 
-    return _rows(docs).mapInArrow(go, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return in_arrow(_rows(docs), go, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

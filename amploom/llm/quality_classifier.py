@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_ids, documents, lowered, mix, runs, text_slices, word_hashes, word_spans
+from .common import by_ids, documents, in_arrow, lowered, mix, runs, text_slices, word_hashes, word_spans
 
 SAMPLE = 12000
 STEMS = (5, 7)
@@ -170,7 +170,6 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     """The model from at most ``sample`` labelled documents, chosen by hash."""
-    bounded_batches(docs.sparkSession)
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     grades = dict(map(tuple, chosen.collect()))
     ids = docs.sparkSession.createDataFrame([(k,) for k in grades] or [(None,)], "doc_id long").where("doc_id is not null")
@@ -191,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     # The features to use are counted and screened where the documents are; the driver sees those that pass.
     there = [sum(1 for d, in rows.select("doc_id").distinct().collect() if grades[d] == g) for g in range(GRADES)]
     total = max(1, sum(there))
-    sums = rows.mapInArrow(count, "h long, " + ", ".join(f"n{g} long" for g in range(GRADES))).groupBy("h").agg(*(F.sum(f"n{g}").alias(f"n{g}") for g in range(GRADES)))
+    sums = in_arrow(rows, count, "h long, " + ", ".join(f"n{g} long" for g in range(GRADES))).groupBy("h").agg(*(F.sum(f"n{g}").alias(f"n{g}") for g in range(GRADES)))
     n = sum((F.col(f"n{g}") for g in range(1, GRADES)), F.col("n0"))
     odd = F.lit(False)
     for k in range(GRADES - 1):
@@ -209,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
                 h = h[use]
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])], pa.binary())], names=["doc_id", "h"])
 
-    got = sorted({r[0]: bytes(r[1]) for r in rows.mapInArrow(go, "doc_id long, h binary").collect()}.items())
+    got = sorted({r[0]: bytes(r[1]) for r in in_arrow(rows, go, "doc_id long, h binary").collect()}.items())
     each = [np.frombuffer(b, np.uint64) for _, b in got]
     at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     return fit(np.concatenate([np.zeros(0, np.uint64), *each]), at, np.array([grades[d] for d, _ in got], np.int64))
@@ -217,7 +216,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
 
 def classify(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
     """``docs`` with score, expected_grade, p_top (P(grade >= 2)) and kept."""
-    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     made = ["score", "expected_grade", "p_top", "kept"]
     docs = docs.drop(*made)
@@ -234,7 +232,7 @@ def classify(docs: DataFrame, model: Ordinal, keep: float = KEEP) -> DataFrame:
     schema = docs.schema
     for name, kind in zip(made, ("double", "double", "double", "boolean")):
         schema = schema.add(name, kind)
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(go, schema)
+    return in_arrow(docs.withColumn("text", F.col("text").cast("string")), go, schema)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
