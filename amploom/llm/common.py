@@ -234,10 +234,10 @@ def _record(**cols) -> pa.RecordBatch:
     return pa.record_batch(list(cols.values()), names=list(cols))
 
 
-def shared_pairs(docs: DataFrame, values: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int, flush_bytes: int = 48 << 20) -> DataFrame:
+def shared_pairs(docs: DataFrame, values: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], buckets: int, flush_bytes: int = 48 << 20, limit: int = SLICE_BYTES) -> DataFrame:
     """(doc_id, hash) for every 64-bit value that two documents have; a pair may come twice.
 
-    ``values`` gives, for the texts of a slice, values and the number of the text of each. A task sorts the pairs
+    ``values`` gives, for the texts of a slice of ``limit`` bytes, values and the number of the text of each. A task sorts the pairs
     of ``flush_bytes`` of text and deals them out as one binary row a bucket. Of a value that several documents
     have there it deals two only, which is enough for the other tasks to learn that it is shared: a very common
     value costs a bucket two entries a task, and no row of the shuffle stands for a single value.
@@ -269,7 +269,7 @@ def shared_pairs(docs: DataFrame, values: Callable[[np.ndarray, np.ndarray], tup
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for lo, hi, buf, offs in text_slices(batch):
+            for lo, hi, buf, offs in text_slices(batch, limit=limit):
                 value, doc = values(buf, offs)
                 if len(value):
                     held.append((value, ids[lo:hi][doc]))

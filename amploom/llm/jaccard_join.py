@@ -224,7 +224,7 @@ def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
     others = one.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti").select("doc_id")
     unique = by_ids(docs.where("doc_id is not null"), settle(others, "others"), "doc_id", "left_anti")
     buckets = bucket_count(spark, 6 * table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    tiles = settle(shared_pairs(unique, keys, buckets).withColumnRenamed("hash", "key").distinct(), "tiles")
+    tiles = settle(shared_pairs(unique, keys, buckets, limit=SLICE).withColumnRenamed("hash", "key").distinct(), "tiles")
 
     size = one.select("doc_id", "n")
     several = table.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 and doc_id is not null").select("doc_id")
