@@ -33,9 +33,9 @@ from .common import documents, in_arrow, text_slices
 
 MARK = "▁"
 #: Pairs of pieces whose BPE encoding is remembered.
-PAIRS = 1 << 17
+PAIRS = 1 << 18
 #: Distinct units remembered from one block to the next.
-UNITS = 150_000
+UNITS = 500_000
 
 
 class Pieces:
