@@ -65,12 +65,20 @@ def uniform_band(n: Column, length: int, width: int, first: int = 0) -> Column:
 
 def coarse_band(seq: Column, n: Column, k: int, width: int) -> Column:
     """array<struct<t, code>>: the k-mers near each sample, positions clamped and duplicates off."""
-    codes = kmer_codes(seq, k)
-    length = F.size(codes)
-    skip = F.greatest(F.lit(1), F.floor(n / length))
-    near = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(-(width // 2)), F.lit(width - width // 2 - 1)), lambda o: F.least(length - 1, F.greatest(F.lit(0), F.least(length - 1, (F.floor(t / skip) + 1).cast("int")) + o))))
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), lambda t: F.transform(near(t), lambda p: F.struct(t.alias("t"), F.get(codes, p).alias("code")))))
-    return F.when((n > length) & (length > 0), pairs).otherwise(F.array().cast("array<struct<t:bigint,code:bigint>>"))
+
+    def pairs(z: Column) -> Column:
+        codes, n = z["codes"], z["n"]
+        length = F.size(codes)
+        skip = F.greatest(F.lit(1), F.floor(n / length))
+        near = lambda p: F.array_distinct(F.transform(F.sequence(F.lit(-(width // 2)), F.lit(width - width // 2 - 1)), lambda o: F.least(length - 1, F.greatest(F.lit(0), p + o))))
+        around = F.transform(F.sequence(F.lit(0), length - 1), lambda p: F.transform(near(p), lambda q: F.get(codes, q)))
+        at = lambda t: F.least(length - 1, (F.floor(t / skip) + 1).cast("int"))
+        each = lambda around: F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda t: F.transform(F.get(around, at(t)), lambda c: F.struct(t.alias("t"), c.alias("code"))))
+        found = F.flatten(F.get(F.transform(F.array(around), each), F.lit(0)))
+        return F.when((n > length) & (length > 0), found).otherwise(F.array().cast("array<struct<t:bigint,code:bigint>>"))
+
+    # Codes, n and the codes around each position are bound once: inside the lambdas they would be made again for every entry.
+    return F.get(F.transform(F.array(F.struct(kmer_codes(seq, k).alias("codes"), n.cast("long").alias("n"))), pairs), F.lit(0))
 
 
 def moves_band(mv: np.ndarray, length: int, width: int) -> list[tuple[int, int]]:

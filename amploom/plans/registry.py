@@ -347,8 +347,7 @@ def kmer_graph(spark, d):
 
 @query("coarse_band")
 def coarse_band(spark, d):
-    q = _letters(spark, d).where("length(q) between 5 and 60")
-    return q.select("doc_id", F.inline(KM.coarse_band(F.col("q"), F.length("q") * 3, 3, 4)))
+    return _letters(spark, d).select("doc_id", F.inline(KM.coarse_band(F.col("q"), F.length("q") * 3, 3, 4)))
 
 
 #: The recurrence as a recursive query: one row a sample, the running state carried along.

@@ -34,3 +34,27 @@ def test_entry_needs_no_optional_part(spark):
 
     assert e.entry(spark).count() > 0
     assert set(registry.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def _band(q, n, k, width):
+    """(t, code) by the reference's loop: the base moves on every n div length samples, the first included."""
+    codes = [sum("ATCG".index(c) * 4 ** (k - 1 - j) for j, c in enumerate(q[i : i + k])) for i in range(len(q) - k + 1)]
+    out, base = [], 0
+    if not codes or n <= len(codes):
+        return out
+    for t in range(n):
+        base = min(base + (t % (n // len(codes)) == 0), len(codes) - 1)
+        near = [min(max(base + j - width // 2, 0), len(codes) - 1) for j in range(width)]
+        out += [(t, codes[p]) for p in dict.fromkeys(near)]
+    return out
+
+
+def test_coarse_band_has_all_documents(spark, tmp_path):
+    rows = [(1, "gattaca and a cat " * 40), (2, "A"), (3, None), (4, ""), (5, "Tag"), (6, "acgt gcat"), (7, "tactgc" * 11), (8, "\u00e9")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in registry.QUERIES["coarse_band"](spark, str(tmp_path)).collect()]
+    want = []
+    for d, text in rows:
+        q = "".join(c for c in (text or "").upper() if c in "ACGT")
+        want += [(d, t, code) for t, code in _band(q, 3 * len(q), 3, 4)]
+    assert sorted(got) == sorted(want) and {d for d, _, _ in got} == {1, 5, 6, 7}
