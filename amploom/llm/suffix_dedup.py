@@ -15,8 +15,8 @@ Memory is bounded by the bucket, whose number follows the input. Exact copies of
 all bytes of a copy go if it has 50 or more, whatever the order says.
 
 Nulls and odd rows: a null text is empty; a null doc_id sorts after all others, and documents with equal doc_id
-never remove each other's bytes (rows that repeat a doc_id are one document each, judged against smaller ids);
-an empty table gives no rows; other columns are not read.
+never remove each other's bytes (rows that repeat a doc_id are one document each, judged against smaller ids: byte
+ranges belong to a doc_id and a text, by ``row_key``); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bucket_count, by_ids, documents, mix, runs, settle, shared_pairs, stream_groups, text_slices
@@ -204,18 +204,19 @@ def _rows(**cols) -> pa.RecordBatch:
 
 
 def shared_hashes(docs: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, hash) for every bucket hash that two documents have; a pair may come twice."""
-    return shared_pairs(docs, lambda buf, offs: text_runs(buf, offs)[:2], buckets)
+    """(row, hash) for every bucket hash that two texts have; a pair may come twice."""
+    texts = docs.select(F.col("row").alias("doc_id"), "text")
+    return shared_pairs(texts, lambda buf, offs: text_runs(buf, offs)[:2], buckets).withColumnRenamed("doc_id", "row")
 
 
 def shared_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, doc_id, start, run): the runs of text under the shared hashes; start is a byte offset in the document."""
-    each = shared.groupBy("doc_id").agg(F.collect_set("hash").alias("hashes"))
-    rows = by_ids(docs, shared.select("doc_id").distinct(), "doc_id", "left_semi").join(each, "doc_id")
+    """(bucket, doc_id, row, start, run): the runs of text under the shared hashes; start is a byte offset in the text."""
+    each = shared.groupBy("row").agg(F.collect_set("hash").alias("hashes"))
+    rows = by_ids(docs, shared.select("row").distinct(), "row", "left_semi").join(each, "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
             hashes = batch.column("hashes")
             for lo, hi, buf, offs in text_slices(batch):
                 value, doc, a, b = text_runs(buf, offs)
@@ -230,13 +231,13 @@ def shared_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
                 flat = buf[np.repeat(a - upto[:-1], size) + np.arange(upto[-1])]
                 run = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
                 bucket = ((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                yield _rows(bucket=pa.array(bucket), doc_id=pa.array(ids[lo:hi][doc]), start=pa.array(a - offs[doc]), run=run)
+                yield _rows(bucket=pa.array(bucket), doc_id=pa.array(ids[lo:hi][doc]), row=pa.array(keys[lo:hi][doc]), start=pa.array(a - offs[doc]), run=run)
 
-    return rows.select("doc_id", "text", "hashes").mapInArrow(cut, "bucket long, doc_id long, start long, run binary")
+    return rows.select("doc_id", "row", "text", "hashes").mapInArrow(cut, "bucket long, doc_id long, row long, start long, run binary")
 
 
 def repeats(run_rows: DataFrame) -> DataFrame:
-    """(doc_id, lo, hi): byte ranges that go; ranges of one document may overlap."""
+    """(doc_id, row, lo, hi): byte ranges that go; ranges of one text may overlap."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in stream_groups(batches, ["bucket"]):
@@ -245,7 +246,7 @@ def repeats(run_rows: DataFrame) -> DataFrame:
                 part = t.slice(lo, hi - lo)
                 code = part["run"].combine_chunks().dictionary_encode()
                 code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
-                doc, start = part["doc_id"].to_numpy(), part["start"].to_numpy()
+                doc, key, start = part["doc_id"].to_numpy(), part["row"].to_numpy(), part["start"].to_numpy()
                 k, text = code.indices.to_numpy(), code.dictionary
                 offs = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
                 data = np.frombuffer(text.buffers()[2], np.uint8)[offs[0] : offs[-1]]
@@ -266,12 +267,12 @@ def repeats(run_rows: DataFrame) -> DataFrame:
                 upto = np.cumsum(n_of) - n_of
                 one, nth = _spread(n_of[k[first]])
                 pick = upto[k[first]][one] + nth
-                d = np.concatenate([doc[later], doc[first][one]])
+                d, r = (np.concatenate([x[later], x[first][one]]) for x in (doc, key))
                 a = np.concatenate([start[later], start[first][one] + span_lo[pick]])
                 b = np.concatenate([start[later] + size[k[later]], start[first][one] + span_hi[pick]])
-                yield _rows(doc_id=pa.array(d), lo=pa.array(a), hi=pa.array(b))
+                yield _rows(doc_id=pa.array(d), row=pa.array(r), lo=pa.array(a), hi=pa.array(b))
 
-    return run_rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, lo long, hi long")
+    return run_rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, row long, lo long, hi long")
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -284,6 +285,11 @@ def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+def row_key(repeated: bool) -> Column:
+    """What tells texts apart: doc_id, or a hash of doc_id and md5 if some doc_id has several texts."""
+    return F.xxhash64("doc_id", "md5") if repeated else F.col("doc_id")
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, text, spans (array of byte ranges lo, hi that go, in order) and copy (all goes as an exact copy): one row per row of ``docs``."""
     spark = docs.sparkSession
@@ -293,23 +299,23 @@ def removed(docs: DataFrame) -> DataFrame:
     copies = settle(ids.where(f"n_bytes >= {LENGTH}").join(first, "md5").where("doc_id > rep").select("doc_id", "md5").distinct(), "copies")
     total = ids.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     buckets = bucket_count(spark, total)
-    marked = docs.withColumn("md5", F.md5("text"))
+    repeated = not ids.groupBy("doc_id").agg(F.min("md5").alias("a"), F.max("md5").alias("b")).where("a < b").isEmpty()
+    marked = docs.withColumn("md5", F.md5("text")).withColumn("row", row_key(repeated))
     small = copies.limit(1_000_001).count() <= 1_000_000
-    unique = marked.join(F.broadcast(copies) if small else copies, ["doc_id", "md5"], "left_anti").select("doc_id", "text")
+    unique = marked.join(F.broadcast(copies) if small else copies, ["doc_id", "md5"], "left_anti").select("doc_id", "row", "text")
     shared = settle(shared_hashes(unique, buckets), "shared")
-    # rows that repeat a doc_id with other texts: a document's hashes are those of all its rows, which only adds candidates
-    spans = repeats(shared_runs(unique.withColumn("md5", F.md5("text")).select("doc_id", "text"), shared, buckets))
-    return _apply(docs, copies, spans, small)
+    # hashes that only rows of one doc_id share are candidates too; repeats compares doc_ids
+    spans = repeats(shared_runs(unique, shared, buckets))
+    return _apply(marked, copies, spans, small)
 
 
-def _apply(docs: DataFrame, copies: DataFrame, spans: DataFrame, small: bool) -> DataFrame:
-    spans = settle(spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+def _apply(marked: DataFrame, copies: DataFrame, spans: DataFrame, small: bool) -> DataFrame:
+    spans = settle(spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    marked = docs.withColumn("md5", F.md5("text"))
     kept = marked.join((F.broadcast(copies) if small else copies).withColumn("copy", F.lit(True)), ["doc_id", "md5"], "left").drop("md5").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    hit = spans.select("doc_id")
-    with_spans = by_ids(kept, hit, "doc_id", "left_semi").join(spans, "doc_id")
-    return with_spans.select("doc_id", "text", "spans", "copy").unionByName(by_ids(kept, hit, "doc_id", "left_anti").select("doc_id", "text", none.alias("spans"), "copy"))
+    hit = spans.select("row")
+    with_spans = by_ids(kept, hit, "row", "left_semi").join(spans, ["doc_id", "row"], "left").withColumn("spans", F.coalesce("spans", none))
+    return with_spans.select("doc_id", "text", "spans", "copy").unionByName(by_ids(kept, hit, "row", "left_anti").select("doc_id", "text", none.alias("spans"), "copy"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:

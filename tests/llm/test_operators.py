@@ -141,6 +141,26 @@ def test_suffix_dedup_random(spark):
     assert got == suffix_dedup.brute(rows)
 
 
+def test_suffix_dedup_rows_that_share_a_doc_id(spark):
+    rnd = random.Random(9)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    part = [text(80) for _ in range(5)]
+    rows = [(1, text(30) + part[0] + text(40)), (2, part[1] + text(90)), (None, text(20) + part[0] + text(60)), (None, text(200)), (None, text(70) + part[1]), (None, text(200))]
+    rows += [(7, part[0] + text(60) + part[2]), (7, text(250)), (7, text(33) + part[2] + text(50)), (8, text(20) + part[2]), (9, part[3] + text(60)), (9, text(9) + part[3]), (None, part[4] * 2), (None, part[4] + "z")]
+    rows += [rows[2], rows[7], rows[9]]
+    last = 1 << 62
+    low = {}
+    for d, t in rows:
+        for i in range(len(t) - 49):
+            low[t[i : i + 50]] = min(low.get(t[i : i + 50], last), last if d is None else d)
+    want = []
+    for d, t in rows:
+        gone = {j for i in range(len(t) - 49) if low[t[i : i + 50]] < (last if d is None else d) for j in range(i, i + 50)}
+        want.append((d, len(t), len(gone), "".join(c for j, c in enumerate(t) if j not in gone)))
+    got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept).decode()) for r in suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(x[2] > 0 for x in want) > 5
+
+
 def test_classifier(spark, odd, none):
     docs, labels = spark.read.parquet(f"{SF[:-5]}0.1/documents.parquet"), spark.read.parquet(f"{SF[:-5]}0.1/labels.parquet")
     model = quality_classifier.train(docs, labels.where("doc_id % 2 = 0"))
