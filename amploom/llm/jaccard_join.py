@@ -9,8 +9,8 @@
    verified by intersecting the sorted arrays.
 
 Large groups of near copies are joined up before the tiles: each class is first compared with one hub of each of
-its keys (a linear number of pairs), and a tile then only compares classes that are not yet in one component. A
-tile of many rows is cut into blocks, and pairs of blocks are separate groups, so no task holds a whole tile.
+its keys (a linear number of pairs), and a tile then only compares classes that are not yet in one component; ``jaccard_links``
+compares all of a tile's classes and returns the links. A tile of many rows is cut into blocks, and pairs of blocks are separate groups, so no task holds a whole tile.
 
 Nulls and odd rows: a text that is null, empty or without words has an empty set and links with nothing; a null
 doc_id is left out of links (its component_id is null); rows that repeat a doc_id are one document whose set is
@@ -207,8 +207,8 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.Record
         yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
 
-def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of ``docs``. ``t``: the similarity in hundredths, at least 50."""
+def _linked(docs: DataFrame, words: int, t: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Set sizes by row, sets by doc_id, classes of equal sets, and links between classes: enough for the components, or every one."""
     spark = docs.sparkSession
     docs = _texts(docs)
     made = settle(set_table(docs, words), "sets")
@@ -247,10 +247,14 @@ def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
     near = weighed.join(hubs, "key").where("doc_id <> hub").where(F.expr(f"100 * least(n, hn) >= {t} * greatest(n, hn)"))
     first = settle(near.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct(), "hubs")
     links = verified(_kept(_joined(first, maps), _bound, t))
-    label = components(links).withColumnsRenamed({"id": "doc_id", "component": "label"})
 
-    # Tiles that still hold more than one component, by size band and pair of blocks.
-    labelled = tiles.select("key", "doc_id").join(size, "doc_id").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    # Tiles that still hold more than one component, by size band and pair of blocks. For every link each class is its own.
+    labelled = tiles.select("key", "doc_id").join(size, "doc_id")
+    if every:
+        labelled = labelled.withColumn("label", F.col("doc_id"))
+    else:
+        label = components(links).withColumnsRenamed({"id": "doc_id", "component": "label"})
+        labelled = labelled.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / t))) + 1e-9).cast("int")
     members = labelled.join(mixed, "key").withColumn("own", band)
@@ -261,7 +265,18 @@ def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
     with_maps = dealt.join(maps.select("doc_id", F.col("data").alias("bitmap")), "doc_id")
     passing = in_arrow(_spread(with_maps, ["key", "band", "p", "q"]), lambda b: _tile_pairs(b, t), "a long, b long").distinct()
     more = verified(passing.join(first, ["a", "b"], "left_anti"))
-    joined = components(links.union(more)).withColumnsRenamed({"id": "rep", "component": "top"})
+    return table, one, classes, links.union(more)
+
+
+def jaccard_links(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
+    """a, b (a < b): every link between different sets, each set named by the smallest doc_id that has it. Links in a group of near copies grow with the square of its size."""
+    return _linked(docs, words, t, every=True)[3]
+
+
+def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of ``docs``. ``t``: the similarity in hundredths, at least 50."""
+    table, one, classes, links = _linked(docs, words, t, every=False)
+    joined = components(links).withColumnsRenamed({"id": "rep", "component": "top"})
 
     own = one.join(classes, ["h1", "h2", "n"], "left").join(joined, "rep", "left")
     part = own.select("doc_id", F.coalesce("top", "rep", "doc_id").alias("component_id"), F.col("n").alias("n_shingles"))

@@ -90,6 +90,29 @@ def test_jaccard_join_small(spark, odd, none):
     assert jaccard_join.jaccard_join(none).count() == 0
 
 
+def test_jaccard_links(spark):
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rows, base = [], [[rnd.choice(words) for _ in range(n)] for n in (150, 220)]
+    for d in range(60):
+        w = list(base[d % 2])
+        for _ in range(rnd.choice([0, 1, 1, 2, 3])):
+            w[rnd.randrange(len(w))] = rnd.choice(words)
+        rows.append((d, " ".join(w)))
+    rows += [(100, None), (101, ""), (None, rows[0][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for d, t in reversed(rows):
+        w = (t or "").split()
+        if d is not None and w:
+            sets[frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3))] = d
+    want = {(a, b) for x, a in sets.items() for y, b in sets.items() if a < b and 100 * len(x & y) >= 85 * len(x | y)}
+    got = [tuple(r) for r in jaccard_join.jaccard_links(df).collect()]
+    assert sorted(got) == sorted(want)
+    top = {r.doc_id: r.component_id for r in jaccard_join.jaccard_join(df).collect()}
+    assert len(want) > len(sets) and all(top[a] == top[b] for a, b in want)
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 200), (200, 150)], "a long, b long")
     got = dict(map(tuple, components(e).collect()))
