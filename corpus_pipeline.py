@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept,
 columns of ``documents``. ``run`` writes each stage's result to the shared folder and reads it again.
 
 Nulls and odd rows follow the operators: a null or empty text is scored like any other and may stay; documents
-without words, or with a null doc_id, are nobody's copy; rows that repeat a doc_id count as one document and one
-of them stays; empty tables give empty results.
+without words, or with a null doc_id, are nobody's copy; of rows that repeat a doc_id, those with one text count as one document
+and one of them stays, and those with different texts are different documents; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -33,12 +33,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id."""
-    groups = settle(jaccard_join(docs, SHINGLE_WORDS, SIMILAR).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = by_ids(docs.select(*COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long")), groups, "doc_id", "left_anti")
-    named = kept.where("doc_id is not null")
-    more = settle(named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated")
-    once = named.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return by_ids(kept, more, "doc_id", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
+    docs = docs.select(*COLUMNS).withColumn("doc_id", F.col("doc_id").cast("long"))
+    named = docs.where("doc_id is not null")
+    if named.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        copies = settle(jaccard_join(docs, SHINGLE_WORDS, SIMILAR).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+        return by_ids(docs, copies, "doc_id", "left_anti").select(*COLUMNS)
+    # Rows repeat a doc_id: each doc_id and text is a document with a key of its own, and the smallest doc_id of a group stays.
+    keyed = docs.withColumn("md5", F.coalesce(F.md5("text"), F.lit(""))).withColumn("key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "md5")))
+    groups = jaccard_join(keyed.select(F.col("key").alias("doc_id"), "text"), SHINGLE_WORDS, SIMILAR).select(F.col("doc_id").alias("key"), "component_id").where("key is not null").distinct()
+    ranked = settle(keyed.select("key", "doc_id", "md5").distinct().join(groups, "key"), "groups")
+    stays = ranked.groupBy("component_id").agg(F.min(F.struct("doc_id", "md5", "key")).alias("s")).select("s.key")
+    kept = by_ids(keyed, settle(ranked.join(stays, "key", "left_anti").select("key"), "copies"), "key", "left_anti")
+    more = settle(kept.where("key is not null").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "repeated")
+    once = by_ids(kept, more, "key", "left_semi").dropDuplicates(["key"])
+    return by_ids(kept, more, "key", "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -270,3 +270,34 @@ def test_pipeline(spark):
     once = c.near_duplicates(spark, kept, SF)
     assert set(once.columns) == set(c.COLUMNS) and once.select("text").distinct().count() == once.count()
     assert c.near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_duplicates_by_brute_force(spark):
+    import corpus_pipeline as c
+
+    rnd = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    near = lambda w, k: " ".join(rnd.choice(words) if i in rnd.sample(range(len(w)), k) else x for i, x in enumerate(w))
+    base = [[rnd.choice(words) for _ in range(n)] for n in (60, 120)]
+    alone = [" ".join(rnd.choice(words) for _ in range(50)) for _ in range(4)]
+    plain = [(d, near(base[d % 2], rnd.choice([0, 0, 1]))) for d in range(40)] + [(50, alone[0]), (51, "a b"), (52, "A  b"), (53, ""), (54, None), (None, alone[0])]
+    shared = plain + [(50, alone[1]), (50, alone[1]), (60, alone[2]), (60, near(base[0], 0)), (60, near(base[1], 0)), (61, near(base[1], 0)), (61, alone[3]), (62, alone[2]), (53, "x"), (54, "")]
+    for rows in (plain, shared):
+        docs = sorted({(d, hashlib.md5(t.encode()).hexdigest() if t is not None else "", t or "") for d, t in rows if d is not None})
+        sets = {}
+        for x in docs:
+            w = x[2].lower().split()
+            sets[x] = {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))}
+        top = {x: x for x in docs}
+        for _ in range(len(docs)):
+            before = dict(top)
+            for a in docs:
+                for b in docs:
+                    if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        top[a] = top[b] = min(top[a], top[b])
+            if top == before:
+                break
+        want = [(x[0], None if not x[1] else x[2]) for x in docs if top[x] == x] + [(d, t) for d, t in rows if d is None]
+        df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+        got = [(r.doc_id, r.text) for r in c.near_duplicates(spark, df, SF).collect()]
+        assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) < len(docs)
