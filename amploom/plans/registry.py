@@ -251,6 +251,22 @@ def class_mean_cov(spark, d):
     return x.groupBy("label").agg(*(r6(F.avg(f"e{i}"), f"m{i}") for i in range(4)), *(r6(F.covar_pop(f"e{i}", f"e{j}"), f"c{i}{j}") for i, j in _C))
 
 
+def _pairs(spark, d):
+    """label, i, j, a, b: a row for each vector and pair of its dimensions, j at most i."""
+    x = spark.read.parquet(f"{d}/embeddings.parquet").select("label", F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    one = x.select("label", "x", F.posexplode("x").alias("i", "a"))
+    return one.select("label", "i", "a", F.posexplode(F.slice("x", F.lit(1), F.col("i") + 1)).alias("j", "b"))
+
+
+_PAIRS = "with e as (select label, embedding as x, unnest(range(len(embedding))) as i from embeddings), p as (select label, x, i, unnest(range(i + 1)) as j from e), q as (select label, i, j, x[i + 1]::double as a, x[j + 1]::double as b from p)"
+
+
+@query("class_mean_cov_all", _PAIRS + " select label, i, j, count(*) as n, round(avg(a), 6) + 0.0 as mean, round(covar_pop(a, b), 6) + 0.0 as cov from q group by 1, 2, 3")
+def class_mean_cov_all(spark, d):
+    """Mean of dimension i and covariance with dimension j, over all dimensions."""
+    return _pairs(spark, d).groupBy("label", "i", "j").agg(F.count("*").alias("n"), (F.round(F.avg("a"), 6) + 0.0).alias("mean"), (F.round(F.covar_pop("a", "b"), 6) + 0.0).alias("cov"))
+
+
 _CHAIN = "with e as (select n_regionkey as source, (n_regionkey + n_nationkey) % 5 as target, sum(n_nationkey + 1)::double as p from nation group by 1, 2), l as (select source, target, ln(p / sum(p) over (partition by source)) as lp from e), v as (select r_regionkey as id, -r_regionkey / 3.0 as v from region)"
 
 
