@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import duckdb
 import pytest
 
@@ -58,3 +61,17 @@ def test_coarse_band_has_all_documents(spark, tmp_path):
         q = "".join(c for c in (text or "").upper() if c in "ACGT")
         want += [(d, t, code) for t, code in _band(q, 3 * len(q), 3, 4)]
     assert sorted(got) == sorted(want) and {d for d, _, _ in got} == {1, 5, 6, 7}
+
+
+def test_classify_reads_by_enumeration(spark, tmp_path):
+    values = {1: [15.0, 30.0, 22.0], 2: [150.0, 90.0, 20.0, 10.0], 3: [25.0, 100.0, 130.0, 95.0], 4: [120.0], 6: [40.0, 180.0, 170.0, 200.0, 160.0], 7: [10.0, 5.0]}
+    rows = [(100 * u + i, i, u, x) for u, xs in values.items() for i, x in enumerate(xs)]
+    spark.createDataFrame(rows, "event_id long, ts long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.uuid: (r.label_real, r.label_predict) for r in registry.QUERIES["classify_reads"](spark, str(tmp_path)).collect()}
+    density = lambda s, x: -math.log((20.0, 60.0)[s]) - 0.5 * ((x - (20.0, 90.0)[s]) / (20.0, 60.0)[s]) ** 2
+    want = {}
+    for u, xs in values.items():
+        score = lambda p: sum(density(s, x) for s, x in zip(p, xs)) + sum(math.log(0.9 if a == b else 0.1) for a, b in zip(p, p[1:]))  # noqa: E731, B023
+        best = max(itertools.product(range(2), repeat=len(xs)), key=score)
+        want["00000000-0000-0000-0000-" + str(u).zfill(12)] = (float(u % 2 + 1), float(best[0] + 1))
+    assert got == want and {p for _, p in got.values()} == {1.0, 2.0}
