@@ -301,3 +301,14 @@ def test_near_duplicates_by_brute_force(spark):
         df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
         got = [(r.doc_id, r.text) for r in c.near_duplicates(spark, df, SF).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(want) < len(docs)
+
+
+def test_token_stage_by_library(spark, odd):
+    import sentencepiece
+
+    import corpus_pipeline as c
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    got = [(r.doc_id, r.ids and list(r.ids), r.n_ids) for r in c.tokens(spark, odd.select(*c.COLUMNS), SF).select("doc_id", "ids", "n_ids").collect() if r.ids is not None]
+    want = [(d, sp.encode(t), len(sp.encode(t))) for d, t in ODD if t is not None]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))

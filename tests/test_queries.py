@@ -75,3 +75,15 @@ def test_classify_reads_by_enumeration(spark, tmp_path):
         best = max(itertools.product(range(2), repeat=len(xs)), key=score)
         want["00000000-0000-0000-0000-" + str(u).zfill(12)] = (float(u % 2 + 1), float(best[0] + 1))
     assert got == want and {p for _, p in got.values()} == {1.0, 2.0}
+
+
+def test_run_means_by_grouping(spark):
+    from amploom.operators import hmm, reads
+
+    df = registry._reads(spark, SF).limit(12).withColumn("mv", reads.cusum("signal")).cache()
+    want = {}
+    for r in df.collect():
+        runs = [[x for x, _ in g] for _, g in itertools.groupby(zip(r.signal, r.mv), key=lambda z: z[1])]
+        want[r.uuid] = [sum(x[:50]) / len(x[:50]) for x in runs[:50]]
+    got = {r.read_id: [x for x in r[2:] if x is not None] for r in hmm.run_means(df).collect()}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want) and max(map(len, want.values())) > 1
