@@ -53,6 +53,14 @@ def by_ids(df: DataFrame, ids: DataFrame, col: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, col, how)
 
 
+def own_names(df: DataFrame, *names: str) -> dict[str, str]:
+    """For each name one for a column of the operator's own that ``df`` doesn't have."""
+    taken, tag = [c.lower() for c in df.columns], "_"
+    while any(c.startswith(tag + n) for c in taken for n in names):
+        tag += "_"
+    return {n: tag + n for n in names}
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Lower this session's Arrow batches to BATCH_ROWS rows and BATCH_BYTES bytes: the JVM and the worker each hold a whole batch of texts."""
     name = "spark.sql.execution.arrow.max%sPerBatch"

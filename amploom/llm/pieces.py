@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -32,14 +32,23 @@ from pyspark.sql import functions as F
 from .common import documents, in_arrow, text_slices
 
 MARK = "▁"
-#: Pairs of pieces whose BPE encoding is remembered.
-PAIRS = 1 << 18
-#: Distinct units remembered from one block to the next.
-UNITS = 500_000
+#: Pairs of pieces whose BPE encoding is remembered, in each of two generations.
+PAIRS = 1 << 16
+#: Bytes of units and their ids remembered from one block to the next, in each of two generations; longer units than LONG are not.
+HELD_BYTES, LONG = 24 << 20, 64
+#: Bytes that a remembered unit takes beside its own and its ids'.
+_EACH = 190
+#: Transitions of the piece automaton that are remembered beyond those of its trie.
+STEPS = 1 << 18
+#: Bytes of text that one step makes ids of: its arrays take about 30 times as much.
+SLICE = 1 << 20
 
 
 class Pieces:
-    """A SentencePiece model: ids, scores and bytes of its pieces."""
+    """A SentencePiece model: its pieces, their scores and bytes, and the automaton that finds the pieces ending at a character.
+
+    A character that is no piece counts as a piece of its own with a number from ``len(text)`` on.
+    """
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -51,97 +60,234 @@ class Pieces:
         if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or spec.model_type not in (1, 2):
             raise ValueError("only unigram and BPE models that keep the text as it is")
         self.bpe, self.prefix = spec.model_type == 2, norm.add_dummy_prefix
-        normal = [(i, p) for i, p in enumerate(m.pieces) if p.type in (1, 4)]  # ordinary and user-defined
-        self.ids = {p.piece: i for i, p in normal}
-        self.score = {p.piece: p.score for _, p in normal}
-        self.longest = max(map(len, self.ids))
+        self.text = [p.piece for p in m.pieces]
+        self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (1, 4)}  # ordinary and user-defined
+        self.size = array("i", map(len, self.text))
+        self.score = array("d", [p.score for p in m.pieces])
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == 2)
-        self.lost = min(self.score.values(), default=0.0) - 10.0
+        self.lost = min((self.score[i] for i in self.ids.values()), default=0.0) - 10.0
         byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.byte = [byte[b] for b in range(256)] if len(byte) == 256 else None
         if any(MARK in p.lstrip(MARK) for p in self.ids) or any("\n" in p and p != "\n" for p in self.ids):
             raise ValueError("a piece reaches across words")
         self.raw = [bytes([int(p.piece[1:-1], 16)]) if p.type == 6 else p.piece.replace(MARK, " ").encode() if p.type in (1, 4) else b" \xe2\x81\x87 " if p.type == 2 else b"" for p in m.pieces]
-        self._pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[bytes, bytes] = {}  # a worker's later tasks find the units of its earlier ones
-
-    def _merged(self, text: str) -> list[str]:
-        """BPE as defined: join the neighbours whose joint piece has the best score, leftmost first, until none is a piece."""
-        parts = list(text)
+        self._automaton()
+        self._whole = bytearray(len(self.text))  # 1: BPE arrives at this piece, 3: with steps out of order, 2: it doesn't, 0: not looked at yet
+        self._left, self._right = (array("i", bytes(4 * len(self.text))) for _ in range(2))
+        self._pairs: tuple[dict[int, bool], dict[int, bool]] = ({}, {})
+        self.known = Units()  # a worker's later tasks find the units of its earlier ones
+
+    def _automaton(self) -> None:
+        """A trie of the pieces; ``fail`` leads to the longest proper suffix that is in the trie too, ``best`` is the longest piece that ends there, ``shorter`` the next one after a piece."""
+        self.go: dict[int, int] = {}
+        best, parent = array("i", [-1]), {}
+        for piece, i in sorted(self.ids.items()):
+            at = 0
+            for c in piece:
+                key = at << 21 | ord(c)
+                to = self.go.get(key)
+                if to is None:
+                    to = self.go[key] = len(best)
+                    best.append(-1)
+                    parent[to] = key
+                at = to
+            best[at] = i
+        self.trie = len(self.go)
+        self.best, self.fail, self.shorter = best, array("i", bytes(4 * len(best))), array("i", [-1]) * len(self.text)
+        depth = array("i", bytes(4 * len(best)))
+        for s in range(1, len(best)):  # a parent has a smaller number than its children
+            depth[s] = depth[parent[s] >> 21] + 1
+        for s in sorted(range(1, len(best)), key=depth.__getitem__):
+            up, c = parent[s] >> 21, parent[s] & 0x1FFFFF
+            at = self.fail[up]
+            while up and at and (at << 21 | c) not in self.go:
+                at = self.fail[at]
+            self.fail[s] = self.go.get(at << 21 | c, 0) if up else 0
+            if best[s] >= 0:
+                self.shorter[best[s]] = best[self.fail[s]]
+            else:
+                best[s] = best[self.fail[s]]
+
+    def _step(self, state: int, c: int) -> int:
+        """The state after one more character, where the trie doesn't say."""
+        key, at = state << 21 | c, state
+        while at and (at << 21 | c) not in self.go:
+            at = self.fail[at]
+        to = self.go.get(at << 21 | c, 0)
+        if len(self.go) < self.trie + STEPS:
+            self.go[key] = to
+        return to
+
+    def _merged(self, text: str) -> tuple[list[str], list[str]]:
+        """BPE as defined: join the neighbours whose joint piece has the best score, leftmost first, until none is a piece. Also the parts before the last step."""
+        parts, ids, score = list(text), self.ids, self.score
+        before = parts
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
+                p = ids.get(parts[i] + parts[i + 1])
+                if p is not None and (best is None or score[p] > best):
+                    best, at = score[p], i
             if at < 0:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _apart(self, a: str, b: str) -> bool:
-        key = (a, b)
-        got = self._pairs.get(key)
+            before = parts
+            parts = [*parts[:at], parts[at] + parts[at + 1], *parts[at + 2 :]]
+        return parts, before
+
+    def _halves(self, p: int) -> bool:
+        """Whether BPE arrives at this piece; notes the two pieces of its last step, and whether each step of it has a worse score than those before."""
+        text, n = self.text[p], len(self.text)
+        parts, before = self._merged(text)
+        whole = len(parts) == 1
+        if whole and len(text) > 1:
+            of = lambda x: self.ids.get(x, n + ord(x[0]))
+            self._left[p], self._right[p] = map(of, before)
+            if any(len(x) > 1 and self.score[of(x)] <= self.score[p] for x in before):
+                whole = self._whole[p] = 3
+        self._whole[p] = self._whole[p] or (1 if whole else 2)
+        return bool(whole)
+
+    def _is_whole(self, p: int) -> bool:
+        return self._whole[p] & 1 if self._whole[p] else self._halves(p)
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether BPE of the two pieces' joint text gives them back."""
+        key, (young, old) = a << 21 | b, self._pairs
+        got = young.get(key)
         if got is None:
-            if len(self._pairs) >= PAIRS:
-                self._pairs.clear()
-            got = self._pairs[key] = self._merged(a + b) == [a, b]
+            got = old.get(key)
+            if got is None:
+                got = self._is_whole(b) and self._stay(a, b)
+            if len(young) >= PAIRS:
+                self._pairs = young, old = {}, young
+            young[key] = got
         return got
 
+    def _stay(self, a: int, b: int) -> bool:
+        """Undo the steps that made the two pieces, the latest first: they join if their neighbours' piece had a better score than the step undone last; of equal scores the left one comes first."""
+        text, ids, score, n = self.text, self.ids, self.score, len(self.text)
+        size, x, y, limit, equal = self.size, a, b, -np.inf, False
+        while True:
+            c = ids.get((text[x] if x < n else chr(x - n)) + (text[y] if y < n else chr(y - n)))
+            if c is not None and (score[c] > limit or equal and score[c] == limit):
+                return False
+            leaf_x, leaf_y = x >= n or size[x] == 1, y >= n or size[y] == 1
+            if leaf_x and leaf_y:
+                return True
+            if leaf_y or not leaf_x and score[x] < score[y]:
+                self._is_whole(x)
+                if self._whole[x] != 1:
+                    return self._merged(text[a] + text[b])[0] == [text[a], text[b]]
+                limit, equal, x = score[x], False, self._right[x]
+            else:
+                self._is_whole(y)
+                if self._whole[y] != 1:
+                    return self._merged(text[a] + text[b])[0] == [text[a], text[b]]
+                limit, equal, y = score[y], True, self._left[y]
+
     def encode_units(self, units: list[str]) -> list[list[int]]:
-        """Ids of each unit; ``units`` are sorted, and a unit goes on from the prefix it shares with the one before."""
-        last: list[str] = [""]  # by length of the prefix: its last piece
-        score: list[float] = [0.0]
-        out, before, ids = [], "", self.ids
+        """Ids of each unit; ``units`` are sorted, and a unit goes on from the state of the prefix it shares with the one before."""
+        state, last, score = [0], [0], [0.0]  # by length of the prefix: of the automaton, its last piece, its best sum of scores
+        out, before = [], ""
+        extend = self._extend_bpe if self.bpe else self._extend_best
+        n_pieces, size, byte = len(self.text), self.size, self.byte
         for unit in units:
             n = 0
             for a, b in zip(before, unit):
                 if a != b:
                     break
                 n += 1
-            del last[n + 1 :], score[n + 1 :]
-            for end in range(n + 1, len(unit) + 1):
-                if self.bpe:
-                    self._step_bpe(unit, end, last)
-                else:
-                    self._step_best(unit, end, last, score)
+            del state[n + 1 :], last[n + 1 :], score[n + 1 :]
+            extend(unit, n, state, last, score)
             before, at, found = unit, len(unit), []
             while at:
-                piece = last[at]
-                i = ids.get(piece)
-                if i is not None:
-                    found.append(i)
-                elif self.byte is not None:
-                    found.extend(self.byte[b] for b in reversed(piece.encode()))
+                p = last[at]
+                if p < n_pieces:
+                    found.append(p)
+                    at -= size[p]
                 else:
-                    found.append(self.unknown)
-                at -= len(piece)
+                    at -= 1
+                    if byte is not None:
+                        found.extend(byte[b] for b in reversed(unit[at].encode()))
+                    elif not at or last[at] < n_pieces or self.bpe:
+                        found.append(self.unknown)  # a unigram model gives unknown neighbours as one
             out.append(found[::-1])
         return out
 
-    def _step_bpe(self, unit: str, end: int, last: list[str]) -> None:
-        ids = self.ids
-        for size in range(min(end, self.longest), 0, -1):
-            piece = unit[end - size : end]
-            if (size == 1 or piece in ids) and (end == size or self._apart(last[end - size], piece)) and (size == 1 or self._whole(piece)):
-                last.append(piece)
-                return
-        raise AssertionError("every text has an encoding")
-
-    @lru_cache(1 << 16)  # noqa: B019
-    def _whole(self, piece: str) -> bool:
-        """Whether BPE ever arrives at this piece."""
-        return self._merged(piece) == [piece]
-
-    def _step_best(self, unit: str, end: int, last: list[str], score: list[float]) -> None:
-        best, arg = -np.inf, unit[end - 1]
-        for size in range(1, min(end, self.longest) + 1):
-            piece = unit[end - size : end]
-            s = self.score.get(piece, self.lost if size == 1 else None)
-            if s is not None and score[end - size] + s > best:
-                best, arg = score[end - size] + s, piece
-        last.append(arg)
-        score.append(best)
+    def _extend_bpe(self, unit: str, end: int, state: list[int], last: list[int], score: list[float]) -> None:
+        """A piece ends a prefix where it and the last piece of what is before stay apart; the longest such piece is tried first."""
+        s, go, best, shorter, size, n_pieces = state[-1], self.go, self.best, self.shorter, self.size, len(self.text)
+        young = self._pairs[0]
+        for c in map(ord, unit[end:]):
+            to = go.get(s << 21 | c)
+            s = self._step(s, c) if to is None else to
+            end += 1
+            p = best[s]
+            while p >= 0:
+                k = size[p]
+                if k == end:
+                    if self._is_whole(p):
+                        break
+                else:
+                    a = last[end - k]
+                    if a >= n_pieces:  # nothing joins a character that is no piece
+                        if self._is_whole(p):
+                            break
+                    else:
+                        ok = young.get(a << 21 | p)
+                        if ok is None:
+                            ok = self._apart(a, p)
+                            young = self._pairs[0]
+                        if ok:
+                            break
+                p = shorter[p]
+            state.append(s)
+            last.append(p if p >= 0 else n_pieces + c)
+
+    def _extend_best(self, unit: str, end: int, state: list[int], last: list[int], score: list[float]) -> None:
+        """Viterbi: the best sum of scores of each prefix, and the last piece of it."""
+        s, go, best, shorter, size, worth, n_pieces = state[-1], self.go, self.best, self.shorter, self.size, self.score, len(self.text)
+        for c in map(ord, unit[end:]):
+            to = go.get(s << 21 | c)
+            s = self._step(s, c) if to is None else to
+            end += 1
+            p, top, arg, single = best[s], -np.inf, -1, False
+            while p >= 0:
+                single |= size[p] == 1
+                sum_ = score[end - size[p]] + worth[p]
+                if sum_ > top:
+                    top, arg = sum_, p
+                p = shorter[p]
+            if not single and score[end - 1] + self.lost > top:
+                top, arg = score[end - 1] + self.lost, n_pieces + c
+            state.append(s)
+            last.append(arg)
+            score.append(top)
+
+
+class Units:
+    """Ids of the units seen lately, in two generations of HELD_BYTES: a unit that is asked for again moves to the younger one."""
+
+    def __init__(self):
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def find(self, units: list[bytes]) -> list[bytes | None]:
+        young, old = self.young.get, self.old.get
+        each = [young(u) or old(u) for u in units]
+        if self.held > HELD_BYTES:  # what was asked for now is the start of the next generation
+            self.young, self.old, self.held = {}, self.young, 0
+            self.keep((u, ids) for u, ids in zip(units, each) if ids is not None)
+        return each
+
+    def keep(self, pairs: Iterable[tuple[bytes, bytes]]) -> None:
+        held, young = self.held, self.young
+        for unit, ids in pairs:
+            if len(unit) <= LONG:
+                young[unit] = ids
+                held += len(unit) + len(ids) + _EACH
+        self.held = held
 
 
 @lru_cache(1)
@@ -179,15 +325,13 @@ class Encoder:
         units = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
         distinct = units.dictionary.to_pylist()
         known = self.pieces.known
-        fresh = [u for u in distinct if u not in known]
-        if len(known) + len(fresh) > UNITS:
-            known.clear()
-            fresh = distinct
-        text = [u.decode().replace(" ", MARK) for u in fresh]
+        each = known.find(distinct)
+        fresh = [i for i, ids in enumerate(each) if ids is None]
+        text = [distinct[i].decode().replace(" ", MARK) for i in fresh]
         order = sorted(range(len(text)), key=text.__getitem__)
         for i, ids in zip(order, self.pieces.encode_units([text[i] for i in order])):
-            known[fresh[i]] = array("i", ids).tobytes()
-        each = [known[u] for u in distinct]
+            each[fresh[i]] = array("i", ids).tobytes()
+        known.keep((distinct[i], each[i]) for i in fresh)
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), np.int32)
         first = np.cumsum(size) - size
@@ -231,7 +375,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(model(path))
         for b in batches:
-            for lo, hi, buf, offs in text_slices(b):
+            for lo, hi, buf, offs in text_slices(b, limit=SLICE):
                 null = b.column("text").slice(lo, hi - lo).is_null()
                 yield pa.record_batch([b.column("doc_id").slice(lo, hi - lo), _list(*enc(buf, offs), null)], names=["doc_id", "ids"])
 
@@ -264,7 +408,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, dec = Encoder(model(path)), Decoder(model(path))
         for b in batches:
-            for lo, hi, buf, offs in text_slices(b):
+            for lo, hi, buf, offs in text_slices(b, limit=SLICE):
                 ids, at = enc(buf, offs)
                 out, end = dec(ids, at)
                 le = ids.astype("<u4")

@@ -18,7 +18,7 @@ from amploom.llm.jaccard_join import jaccard_join
 from amploom.llm.mixing import mix
 from amploom.llm.pieces import encode
 from amploom.llm.quality_classifier import classify, train
-from amploom.llm.surrogates import rewrite
+from amploom.llm.surrogates import TEST_KEY, rewrite
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share this many hundredths of their five-word shingles.
@@ -51,7 +51,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Surrogates for personal data; n_chars follows the new text."""
-    return rewrite(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return rewrite(docs.select(*COLUMNS), TEST_KEY).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
