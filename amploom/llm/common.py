@@ -20,6 +20,10 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 4 << 20
 #: Ids that a broadcast may hold (8 bytes each); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Entries of a row of pairs that need no meeting.
+SURE_ROW = 4096
+#: A class with more than this part of the rows is hot.
+HOT = 1000
 #: Rows and bytes of an Arrow batch of texts; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
@@ -27,10 +31,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests, one machine)."""
+    """The folder that driver and executors share; a local one only where none is set and all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="amploom-"))
     return _own_dir[0]
@@ -53,6 +59,17 @@ def by_ids(df: DataFrame, ids: DataFrame, col: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, col, how)
 
 
+def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """Left join of ``rows`` to a table with one row a key and the number ``c`` of its rows, none of whose keys gathers its rows in a task.
+
+    A class with more than a HOT-th of the rows is sent to every task (there are fewer than HOT of them); the others' rows are shuffled.
+    """
+    hot = F.col("c") * HOT > n_rows
+    few = F.broadcast(classes.where(hot).drop("c"))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(classes.where(~hot).drop("c"), keys, "left")
+    return rows.join(few, keys).unionByName(rest)
+
+
 def own_names(df: DataFrame, *names: str) -> dict[str, str]:
     """For each name one for a column of the operator's own that ``df`` doesn't have."""
     taken, tag = [c.lower() for c in df.columns], "_"
@@ -248,13 +265,17 @@ def shared_pairs(docs: DataFrame, values: Callable[[np.ndarray, np.ndarray], tup
     ``values`` gives, for the texts of a slice of ``limit`` bytes, values and the number of the text of each. A task sorts the pairs
     of ``flush_bytes`` of text and deals them out as one binary row a bucket. Of a value that several documents
     have there it deals two only, which is enough for the other tasks to learn that it is shared: a very common
-    value costs a bucket two entries a task, and no row of the shuffle stands for a single value.
+    value costs its bucket two entries a flush, and no row of the shuffle stands for a single value. The other
+    entries are known to be shared; they go to all buckets alike, only to be handed on.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
+        def row(bucket: int, sure: bool, v: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+            return _record(bucket=pa.array([bucket]), sure=pa.array([sure]), v=pa.array([v.tobytes()], pa.binary()), d=pa.array([d.tobytes()], pa.binary()))
+
         def flush() -> Iterator[pa.RecordBatch]:
             value, doc = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((doc, value))
@@ -265,14 +286,16 @@ def shared_pairs(docs: DataFrame, values: Callable[[np.ndarray, np.ndarray], tup
             ends = np.zeros(len(value), bool)
             ends[edge[:-1]] = True
             ends[edge[1:] - 1] = True
-            for keep, sure in ((ends, False), (~ends, True)):
-                v, d = value[keep], doc[keep]
-                bucket = (v >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                v, d, bucket = v[order], d[order], bucket[order].astype(np.int64)
-                e = runs(bucket)
-                for lo, hi in zip(e[:-1].tolist(), e[1:].tolist()):
-                    yield _record(bucket=pa.array([int(bucket[lo])]), sure=pa.array([sure]), v=pa.array([v[lo:hi].tobytes()], pa.binary()), d=pa.array([d[lo:hi].tobytes()], pa.binary()))
+            v, d = value[~ends], doc[~ends]
+            for i in range(0, len(v), SURE_ROW):
+                yield row(int((v[i] + np.uint64(i)) % np.uint64(buckets)), True, v[i : i + SURE_ROW], d[i : i + SURE_ROW])
+            v, d = value[ends], doc[ends]
+            bucket = (v >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            v, d, bucket = v[order], d[order], bucket[order].astype(np.int64)
+            e = runs(bucket)
+            for lo, hi in zip(e[:-1].tolist(), e[1:].tolist()):
+                yield row(int(bucket[lo]), False, v[lo:hi], d[lo:hi])
             held.clear()
 
         for batch in batches:

@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, by_ids, documents, in_arrow, lowered, mix, runs, settle, shared_pairs, shingle_hashes, stream_groups, text_slices, word_hashes, word_spans
+from .common import bucket_count, by_ids, documents, in_arrow, join_classes, lowered, mix, runs, settle, shared_pairs, shingle_hashes, stream_groups, text_slices, word_hashes, word_spans
 from .components import components
 
-#: Counters of the shingle table: 1 MB whatever the input.
-COUNTERS = 1 << 18
+#: Counters of the shingle table: as many as the input has KB, between these bounds (4 bytes each on the wire).
+LEAST_COUNTERS, MOST_COUNTERS = 1 << 18, 1 << 20
 SLICES = 64
 #: Bytes of text that one step makes sets of: their arrays take about 26 times as much.
 SLICE = 1 << 20
@@ -49,15 +49,21 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def set_table(docs: DataFrame, words: int) -> DataFrame:
+def counters_for(docs: DataFrame) -> int:
+    """A power of 2 that follows the optimiser's estimate of the input's size; it decides the order of shingles, never a result."""
+    kb = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length() - 10
+    return 1 << min(max(kb, LEAST_COUNTERS.bit_length() - 1), MOST_COUNTERS.bit_length() - 1)
+
+
+def set_table(docs: DataFrame, words: int, counters: int) -> DataFrame:
     """doc_id, n (set size), h1 and h2 (128 bits that stand for the set); and, in rows with a number k, a task's counts of a slice of the counters."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(counters, np.int32)
         for batch in batches:
             for lo, hi, buf, offs in text_slices(batch, limit=SLICE):
                 h, at = _sets(buf, offs, words)
-                total += np.bincount(_counter(h), minlength=COUNTERS)
+                total += np.bincount(_counter(h, counters), minlength=counters).astype(np.int32)
                 n = np.diff(at)
                 sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix(h ^ np.uint64(salt)))]) for salt in (0x5BD1E995, 0x27D4EB2F165667C5)]
                 h1, h2 = ((s[at[1:]] - s[at[:-1]]).astype(np.int64) for s in sums)
@@ -68,23 +74,23 @@ def set_table(docs: DataFrame, words: int) -> DataFrame:
     return in_arrow(_texts(docs), go, "doc_id long, n long, h1 long, h2 long, k int, c binary")
 
 
-def _counter(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(40)).astype(np.int64) % COUNTERS
+def _counter(h: np.ndarray, counters: int) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64) % counters
 
 
-def shingle_counts(parts: DataFrame) -> np.ndarray:
+def shingle_counts(parts: DataFrame, counters: int) -> np.ndarray:
     """How many sets hold a shingle of each counter, over all documents: the tasks' counts added up, slice by slice."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, c in zip(b.column("k").to_pylist(), b.column("c").to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, np.int32).astype(np.int64)
         if sums:
             yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "c"])
 
-    table = np.zeros((SLICES, COUNTERS // SLICES), np.int64)
-    for k, c in in_arrow(parts.repartition("k"), add, "k int, c binary").collect():  # COUNTERS numbers
+    table = np.zeros((SLICES, counters // SLICES), np.int64)
+    for k, c in in_arrow(parts.repartition("k"), add, "k int, c binary").collect():  # as many numbers as counters
         table[k] = np.frombuffer(bytes(c), np.int64)
     return table.ravel()
 
@@ -93,7 +99,7 @@ def _prefixes(h: np.ndarray, at: np.ndarray, counts: np.ndarray, t: int) -> tupl
     """(keys, index of the text) of each set's prefix in the order rare to frequent."""
     n = np.diff(at)
     doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, counts[_counter(h)], doc))
+    order = np.lexsort((h, counts[_counter(h, len(counts))], doc))
     place = np.arange(len(h)) - at[:-1][doc]
     keep = place < (n - (t * n + 99) // 100 + 1)[doc]
     return h[order][keep], doc[keep]
@@ -209,13 +215,16 @@ def _tile_pairs(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.Record
 
 def _linked(docs: DataFrame, words: int, t: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Set sizes by row, sets by doc_id, classes of equal sets, and links between classes: enough for the components, or every one."""
+    if not 50 <= t <= 100:
+        raise ValueError("the similarity is 50 to 100 hundredths: a tile holds the sizes of one band and the next")
     spark = docs.sparkSession
     docs = _texts(docs)
-    made = settle(set_table(docs, words), "sets")
+    counters = counters_for(docs)
+    made = settle(set_table(docs, words, counters), "sets")
     table = made.where("k is null").select("doc_id", "n", "h1", "h2")
     one = table.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("s")).select("doc_id", "s.*")
-    classes = one.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    counts = spark.sparkContext.broadcast(shingle_counts(made.where("k is not null").select("k", "c")))
+    classes = settle(one.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")), "classes")
+    counts = spark.sparkContext.broadcast(shingle_counts(made.where("k is not null").select("k", "c"), counters))
 
     # The keys that two classes share. Documents that stand for no class are left out, so that copies are not pairs.
     def keys(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +287,10 @@ def jaccard_join(docs: DataFrame, words: int = 4, t: int = 85) -> DataFrame:
     table, one, classes, links = _linked(docs, words, t, every=False)
     joined = components(links).withColumnsRenamed({"id": "rep", "component": "top"})
 
-    own = one.join(classes, ["h1", "h2", "n"], "left").join(joined, "rep", "left")
+    # A class learns its component before its documents learn theirs: a large class is one row there.
+    placed = classes.join(joined, "rep", "left")
+    own = join_classes(one.where("n > 0"), placed, ["h1", "h2", "n"], classes.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    own = own.unionByName(one.where("n = 0"), allowMissingColumns=True)
     part = own.select("doc_id", F.coalesce("top", "rep", "doc_id").alias("component_id"), F.col("n").alias("n_shingles"))
     return table.select("doc_id", "n").join(part, "doc_id", "left").select("doc_id", F.coalesce("n_shingles", "n").alias("n_shingles"), "component_id")
 
