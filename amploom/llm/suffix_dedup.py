@@ -11,10 +11,12 @@ surrounds them. Consecutive suffixes with the same bucket hash form one run of t
    longer ties are settled by the precomputed ranks of a difference-cover sample of period 16.
 3. Neighbours in that order that agree in 50 bytes form classes; the smallest doc_id of a class keeps its bytes.
 
-Memory is bounded by the bucket, whose number follows the input. Exact copies of a text are left out beforehand:
+Memory is bounded by the bucket, whose number follows the input. A run that a smaller doc_id of the same task has is
+removed there and then and sends no bytes, so a very common passage costs its bucket a few rows a task, not one a
+document. Exact copies of a text are left out beforehand:
 all bytes of a copy go if it has 50 or more, whatever the order says.
 
-Nulls and odd rows: a null text is empty; a null doc_id sorts after all others, and documents with equal doc_id
+Nulls and odd rows: a null text is empty; a null doc_id ranks as the greatest one, 2**63 - 1, and documents with equal doc_id
 never remove each other's bytes (rows that repeat a doc_id are one document each, judged against smaller ids: byte
 ranges belong to a doc_id and a text, by ``row_key``); an empty table gives no rows; other columns are not read.
 """
@@ -29,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, by_ids, documents, mix, runs, settle, shared_pairs, stream_groups, text_slices
+from .common import bucket_count, by_ids, documents, join_classes, mix, runs, settle, shared_pairs, stream_groups, text_slices
 
 LENGTH = 50
 GRAM = 16
 PERIOD = 16
-#: Suffixes sorted at a time.
-BLOCK = 1 << 18
+#: Suffixes sorted at a time, and rows of one step that settles ties.
+BLOCK, PAIRS = 1 << 18, 1 << 20
+#: Times that a run is in a slice for the task to remember it, and the runs that it remembers.
+OFTEN, REMEMBERED = 16, 4096
 _LAST = np.int64(2**63 - 1)
 
 
@@ -117,8 +121,38 @@ class CoverSample:
         order, group = _refine(words, at, LENGTH)
         self.rank = np.zeros(len(words), np.int64)
         self.rank[at[order]] = group
-        # the distance from each residue to the next in the cover, and for two residues a distance that serves both
-        self.next = np.array([min((c - r) % PERIOD for c in cover) for r in range(PERIOD)])
+        # for two residues the least distance that leads both into the cover
+        self.delta = np.array([[min(d for d in range(PERIOD) if inside[(i + d) % PERIOD] and inside[(j + d) % PERIOD]) for j in range(PERIOD)] for i in range(PERIOD)])
+
+    def order(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """The order of positions by group and, in a group, by their first 50 bytes, where positions of a group (which are side by side) agree in PERIOD bytes.
+
+        Two positions are compared by the ranks of the sampled positions a common distance ahead of them, which
+        depends on their residues only. So for each pair of residues in a group one sort by those ranks tells each
+        position how many of the other residue are less; the sum over residues is its place.
+        """
+        phase = at % PERIOD
+        have = np.unique(group * PERIOD + phase)
+        lo, hi = np.searchsorted(have // PERIOD, group), np.searchsorted(have // PERIOD, group, "right")
+        less = np.zeros(len(at), np.int64)
+        upto = np.cumsum(hi - lo)
+        start = 0
+        while start < len(at):  # as many whole groups as make PAIRS rows, one at least
+            stop = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right"))
+            stop = int(np.searchsorted(group, group[max(stop - 1, start)], "left" if stop < len(at) and group[max(stop - 1, start)] != group[start] else "right"))
+            one, nth = _spread(hi[start:stop] - lo[start:stop])
+            one += start
+            p, q = phase[one], have[lo[one] + nth] % PERIOD
+            rank = self.rank[at[one] + self.delta[p, q]]
+            key = (group[one] * PERIOD + np.minimum(p, q)) * PERIOD + np.maximum(p, q)
+            sort = np.lexsort((rank, key))
+            one, key, rank, upper, both = one[sort], key[sort], rank[sort], (p >= q)[sort], (p != q)[sort]
+            before = np.concatenate([[0], np.cumsum(upper)])  # of the greater residue, or the only one
+            first, tie = (edge[np.searchsorted(edge, np.arange(len(key)), "right") - 1] for edge in (runs(key)[:-1], runs(key, rank)[:-1]))
+            greater = before[tie] - before[first]
+            less += np.bincount(one, np.where(upper & both, tie - first - greater, greater), minlength=len(at)).astype(np.int64)
+            start = stop
+        return np.lexsort((less, group))
 
 
 def suffix_order(words: np.ndarray, at: np.ndarray, sample: CoverSample) -> np.ndarray:
@@ -138,18 +172,8 @@ def suffix_order(words: np.ndarray, at: np.ndarray, sample: CoverSample) -> np.n
         block = at[by_lead[lo:hi]]
         order, group = _refine(words, block, PERIOD)
         block = block[order]
-        phase = block % PERIOD
-        lowest = np.full(group[-1] + 1, PERIOD)
-        highest = np.zeros(group[-1] + 1, np.int64)
-        np.minimum.at(lowest, group, phase)
-        np.maximum.at(highest, group, phase)
-        mixed = (lowest != highest)[group]
-        # One phase: the ranks at the next sampled position settle the tie. Several: the bytes that are left do.
-        block = block[np.lexsort((np.where(mixed, 0, sample.rank[block + sample.next[phase]]), group))]
-        if mixed.any():
-            at_mixed = np.flatnonzero(mixed)
-            part, _ = _refine(words, block[at_mixed], LENGTH)
-            block[at_mixed] = block[at_mixed][part]
+        tied = np.bincount(group)[group] > 1
+        block[tied] = block[tied][sample.order(block[tied], group[tied])]
         out.append(block)
     return np.concatenate(out) if out else at
 
@@ -210,11 +234,15 @@ def shared_hashes(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def shared_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, doc_id, row, start, run): the runs of text under the shared hashes; start is a byte offset in the text."""
+    """(bucket, doc_id, row, lo, hi, run): the runs of text under the shared hashes, and their byte range in the text.
+
+    Where the task knows of a smaller doc_id with the run, the range goes whatever else is found: it has no run, and its bucket is any.
+    """
     each = shared.groupBy("row").agg(F.collect_set("hash").alias("hashes"))
     rows = by_ids(docs, shared.select("row").distinct(), "row", "left_semi").join(each, "row")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}  # the smallest doc_id of runs that this task has met often
         for batch in batches:
             ids, keys = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
             hashes = batch.column("hashes")
@@ -230,23 +258,39 @@ def shared_runs(docs: DataFrame, shared: DataFrame, buckets: int) -> DataFrame:
                 upto = np.concatenate([[0], np.cumsum(size)])
                 flat = buf[np.repeat(a - upto[:-1], size) + np.arange(upto[-1])]
                 run = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat))])
-                bucket = ((value >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                yield _rows(bucket=pa.array(bucket), doc_id=pa.array(ids[lo:hi][doc]), row=pa.array(keys[lo:hi][doc]), start=pa.array(a - offs[doc]), run=run)
-
-    return rows.select("doc_id", "row", "text", "hashes").mapInArrow(cut, "bucket long, doc_id long, row long, start long, run binary")
+                at, owner, key = a - offs[doc], ids[lo:hi][doc], keys[lo:hi][doc]
+                code = run.dictionary_encode()
+                k, distinct = code.indices.to_numpy(), code.dictionary
+                low = np.full(len(distinct), _LAST)
+                np.minimum.at(low, k, owner)
+                if known:
+                    low = np.minimum(low, np.array([known.get(x, _LAST) for x in distinct.to_pylist()], np.int64))
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for i in np.flatnonzero(np.bincount(k, minlength=len(distinct)) >= OFTEN).tolist():
+                    known[distinct[i].as_py()] = int(low[i])
+                gone = owner > low[k]
+                bucket = np.where(gone, mix(key.view(np.uint64)), value) >> np.uint64(32)
+                sent = pa.compute.if_else(pa.array(gone), pa.scalar(None, pa.binary()), run)
+                yield _rows(bucket=pa.array((bucket % np.uint64(buckets)).astype(np.int64)), doc_id=pa.array(owner), row=pa.array(key), lo=pa.array(at), hi=pa.array(at + size), run=sent)
+
+    return rows.select("doc_id", "row", "text", "hashes").mapInArrow(cut, "bucket long, doc_id long, row long, lo long, hi long, run binary")
 
 
 def repeats(run_rows: DataFrame) -> DataFrame:
-    """(doc_id, row, lo, hi): byte ranges that go; ranges of one text may overlap."""
+    """(row, lo, hi): byte ranges that go; ranges of one text may overlap."""
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in stream_groups(batches, ["bucket"]):
+            told = t.filter(t["run"].is_null())
+            yield from told.select(["row", "lo", "hi"]).to_batches()
+            t = t.filter(t["run"].is_valid())
             edge = runs(t["bucket"].to_numpy())
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 part = t.slice(lo, hi - lo)
                 code = part["run"].combine_chunks().dictionary_encode()
                 code = code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code
-                doc, key, start = part["doc_id"].to_numpy(), part["row"].to_numpy(), part["start"].to_numpy()
+                doc, key, start = part["doc_id"].to_numpy(), part["row"].to_numpy(), part["lo"].to_numpy()
                 k, text = code.indices.to_numpy(), code.dictionary
                 offs = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
                 data = np.frombuffer(text.buffers()[2], np.uint8)[offs[0] : offs[-1]]
@@ -267,12 +311,12 @@ def repeats(run_rows: DataFrame) -> DataFrame:
                 upto = np.cumsum(n_of) - n_of
                 one, nth = _spread(n_of[k[first]])
                 pick = upto[k[first]][one] + nth
-                d, r = (np.concatenate([x[later], x[first][one]]) for x in (doc, key))
+                r = np.concatenate([key[later], key[first][one]])
                 a = np.concatenate([start[later], start[first][one] + span_lo[pick]])
                 b = np.concatenate([start[later] + size[k[later]], start[first][one] + span_hi[pick]])
-                yield _rows(doc_id=pa.array(d), row=pa.array(r), lo=pa.array(a), hi=pa.array(b))
+                yield _rows(row=pa.array(r), lo=pa.array(a), hi=pa.array(b))
 
-    return run_rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "doc_id long, row long, lo long, hi long")
+    return run_rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, "row long, lo long, hi long")
 
 
 def _merged(ranges: list[dict]) -> list[tuple[int, int]]:
@@ -293,29 +337,32 @@ def row_key(repeated: bool) -> Column:
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, text, spans (array of byte ranges lo, hi that go, in order) and copy (all goes as an exact copy): one row per row of ``docs``."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    docs = docs.select(F.coalesce(doc_id, F.lit(int(_LAST))).alias("doc_id"), doc_id.isNull().alias("unnamed"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = settle(docs.select("doc_id", F.octet_length("text").alias("n_bytes"), F.md5("text").alias("md5")), "texts")
-    first = ids.where(f"n_bytes >= {LENGTH}").groupBy("md5").agg(F.min("doc_id").alias("rep"))
-    copies = settle(ids.where(f"n_bytes >= {LENGTH}").join(first, "md5").where("doc_id > rep").select("doc_id", "md5").distinct(), "copies")
     total = ids.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    buckets = bucket_count(spark, total)
     repeated = not ids.groupBy("doc_id").agg(F.min("md5").alias("a"), F.max("md5").alias("b")).where("a < b").isEmpty()
-    marked = docs.withColumn("md5", F.md5("text")).withColumn("row", row_key(repeated))
-    small = copies.limit(1_000_001).count() <= 1_000_000
-    unique = marked.join(F.broadcast(copies) if small else copies, ["doc_id", "md5"], "left_anti").select("doc_id", "row", "text")
+    long = ids.where(f"n_bytes >= {LENGTH}").withColumn("row", row_key(repeated))
+    first = settle(long.groupBy("md5").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "classes")
+    held = first.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    copies = settle(join_classes(long, first, ["md5"], held).where("doc_id > rep").select("row").distinct(), "copies")
+    marked = docs.withColumn("md5", F.md5("text")).withColumn("row", row_key(repeated)).drop("md5")
+    unique = by_ids(marked.select("doc_id", "row", "text"), copies, "row", "left_anti")
+    buckets = bucket_count(spark, total)
     shared = settle(shared_hashes(unique, buckets), "shared")
     # hashes that only rows of one doc_id share are candidates too; repeats compares doc_ids
     spans = repeats(shared_runs(unique, shared, buckets))
-    return _apply(marked, copies, spans, small)
+    return _apply(marked, copies, spans)
 
 
-def _apply(marked: DataFrame, copies: DataFrame, spans: DataFrame, small: bool) -> DataFrame:
-    spans = settle(spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+def _apply(marked: DataFrame, copies: DataFrame, spans: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    kept = marked.join((F.broadcast(copies) if small else copies).withColumn("copy", F.lit(True)), ["doc_id", "md5"], "left").drop("md5").withColumn("copy", F.coalesce("copy", F.lit(False)))
-    hit = spans.select("row")
-    with_spans = by_ids(kept, hit, "row", "left_semi").join(spans, ["doc_id", "row"], "left").withColumn("spans", F.coalesce("spans", none))
-    return with_spans.select("doc_id", "text", "spans", "copy").unionByName(by_ids(kept, hit, "row", "left_anti").select("doc_id", "text", none.alias("spans"), "copy"))
+    found = spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")).withColumn("copy", F.lit(False))
+    marks = settle(found.unionByName(copies.select("row", none.alias("spans"), F.lit(True).alias("copy"))), "marks")
+    doc_id = F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id")
+    hit = marks.select("row")
+    with_marks = by_ids(marked, hit, "row", "left_semi").join(marks, "row").select(doc_id, "text", "spans", "copy")
+    return with_marks.unionByName(by_ids(marked, hit, "row", "left_anti").select(doc_id, "text", none.alias("spans"), F.lit(False).alias("copy")))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -335,7 +382,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                         keep.append(text[at:a])
                         at = b
                     keep = b"".join([*keep, text[at:]])
-                    out.append((None if ids[i] == _LAST else ids[i], len(text), len(text) - len(keep), len(gone), hashlib.sha256(keep).hexdigest(), keep))
+                    out.append((ids[i], len(text), len(text) - len(keep), len(gone), hashlib.sha256(keep).hexdigest(), keep))
                 cols = list(zip(*out))
                 yield _rows(doc_id=pa.array(cols[0], pa.int64()), n_bytes=pa.array(cols[1], pa.int64()), n_removed=pa.array(cols[2], pa.int64()), n_spans=pa.array(cols[3], pa.int64()), kept_sha256=pa.array(cols[4]), kept=pa.array(cols[5], pa.binary()))
 
