@@ -1,16 +1,19 @@
 """Quality rules combined by weak supervision, in DataFrame functions only.
 
-Each rule votes that a document is good (1), bad (-1), or abstains (0). An abstention says nothing; a vote is
-right with the rule's accuracy, independently of the other rules given the truth. Expectation-maximisation
-estimates the accuracies from how the rules agree over all documents, and a document is kept when the posterior
-probability that it is good is at least ``KEEP``. This replaces "must pass every rule".
+Each rule votes that a document is good (1), bad (-1), or abstains (0) where its measure is neither plainly usual nor
+plainly odd. The rules look at different things (symbols, capitals, repetition, function words, variety, ...), so
+they overlap and contradict each other. A vote is right with an accuracy of the rule that depends on what the
+document is, good or bad; an abstention says nothing; rules are independent given the truth. Expectation-maximisation
+estimates the accuracies and the share of good documents from how the votes agree over all documents that pass the
+base rule (the others are out whatever the votes, and would teach it that rule over again), and a document is kept when the posterior probability that it is good is at least ``KEEP``: a bad vote of a rule that is often
+wrong is outvoted, and a good vote that bad documents get as often counts for little. This replaces "must pass every rule".
 
 The model is fitted on counts of vote patterns: the shuffle carries one row per pattern and task, and the
-driver sees at most 3 ** len(RULES) patterns whatever the input's size.
+driver sees at most 3 ** 11 patterns (eleven rules) whatever the input's size.
 
 Nulls and odd rows: a null text has no words and fails the base rule; doc_id may be null or repeated, each row
-is judged alone; an empty table gives no rows; other columns pass through ``judge`` untouched unless they bear
-the name of a column made here, which replaces them.
+is judged alone; an empty table gives no rows; other columns than text pass through ``judge`` untouched unless they
+bear the name of a column made here, which replaces them; text is left out, as the measures are written once.
 """
 
 from __future__ import annotations
@@ -20,45 +23,58 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, settle
+from .common import documents, own_names, settle
 
 WS = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 KEEP = 0.5
-PRIOR = 0.5
-ROUNDS = 25
+#: Rounds of expectation-maximisation at most, and the change of any parameter under which they end.
+ROUNDS, SETTLED = 500, 1e-9
+#: Votes that a rule is taken to have cast beforehand on good and on bad documents, and their accuracy there: good
+#: documents seldom get a bad vote, while a bad one is odd in some ways and usual in the others.
+BEFOREHAND, ACCURACY = 4.0, (0.95, 0.4)
+# Function words of English, German, French and Spanish.
+FUNCTION_WORDS = "a an and are as at be by for from have he in is it not of on or that the this to was with der die das und den von zu mit des dem ein eine für auf ist im nicht sich als auch le la les et des du un une dans pour par sur que qui est au el los las y del con se por una para su al lo".split()
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and n_upper, all exact over the whole text."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what the rules read besides (n_lines, n_upper, n_digits, n_stops, n_distinct, n_function), all exact over the whole text."""
     t = F.coalesce(F.col("text"), F.lit(""))
+    mine = own_names(docs, "words", "lines", "windows", "sorted", "places", "distinct")
+    col = {k: F.col(v) for k, v in mine.items()}
     bare = lambda x: F.translate(x, WS, "")
+    count = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("long")
     with_words = docs.withColumns(
         {
-            "_words": F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""),
-            "_lines": F.filter(F.split(t, "\n"), lambda x: bare(x) != ""),
+            mine["words"]: F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != ""),
+            mine["lines"]: F.filter(F.split(t, "\n"), lambda x: bare(x) != ""),
             "word_chars": F.length(bare(t)).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-            "n_upper": (F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long"),
+            "n_symbols": count(SYMBOLS),
+            "n_upper": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+            "n_digits": count("0123456789"),
+            "n_stops": count(".,;:!?"),
         }
     )
-    n = F.size("_words")
+    n = F.size(col["words"])
     windows = with_words.withColumns(
         {
             "n_words": n.cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "_windows": F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)))).otherwise(F.array().cast("array<bigint>")),
+            "n_lines": F.size(col["lines"]).cast("long"),
+            "n_dup_lines": (F.size(col["lines"]) - F.size(F.array_distinct(col["lines"]))).cast("long"),
+            mine["distinct"]: F.array_distinct(col["words"]),
+            mine["windows"]: F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(col["words"], i), F.get(col["words"], i + 1), F.get(col["words"], i + 2)))).otherwise(F.array().cast("array<bigint>")),
         }
     )
+    windows = windows.withColumns({"n_distinct": F.size(col["distinct"]).cast("long"), "n_function": F.size(F.array_intersect(col["distinct"], F.array(*map(F.lit, FUNCTION_WORDS)))).cast("long")})
     # Only texts with a repeated window sort theirs: equal hashes then stand side by side with their places.
-    repeated = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    ordered = windows.withColumn("_sorted", F.when(repeated, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    twin = lambda x, i: (F.get("_sorted", i - 1)["h"] == x["h"]) | (F.get("_sorted", i + 1)["h"] == x["h"])
-    places = ordered.withColumn("_places", F.when(F.col("_sorted").isNotNull(), F.sort_array(F.transform(F.filter("_sorted", lambda x, i: F.coalesce(twin(x, i), F.get("_sorted", i + 1)["h"] == x["h"], F.get("_sorted", i - 1)["h"] == x["h"])), lambda x: x["i"]))))
-    covered = F.aggregate(F.transform("_places", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_places", i + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
-    return places.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_words", "_lines", "_windows", "_sorted", "_places")
+    repeated = F.size(F.array_distinct(col["windows"])) < F.size(col["windows"])
+    ordered = windows.withColumn(mine["sorted"], F.when(repeated, F.sort_array(F.transform(col["windows"], lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    twin = lambda x, i: (F.get(col["sorted"], i - 1)["h"] == x["h"]) | (F.get(col["sorted"], i + 1)["h"] == x["h"])
+    places = ordered.withColumn(mine["places"], F.when(col["sorted"].isNotNull(), F.sort_array(F.transform(F.filter(col["sorted"], lambda x, i: F.coalesce(twin(x, i), F.get(col["sorted"], i + 1)["h"] == x["h"], F.get(col["sorted"], i - 1)["h"] == x["h"])), lambda x: x["i"]))))
+    covered = F.aggregate(F.transform(col["places"], lambda p, i: F.least(F.lit(3), F.coalesce(F.get(col["places"], i + 1) - p, F.lit(3)))), F.lit(0), lambda a, b: a + b)
+    return places.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(*mine.values())
 
 
 def _vote(value: Column, good: Column, bad: Column) -> Column:
@@ -66,55 +82,80 @@ def _vote(value: Column, good: Column, bad: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """The rules over the measures: bad where a text is plainly odd, good where it is plainly usual, else silent."""
-    per = lambda c: F.try_divide(F.col(c), F.col("n_words"))
-    lines = F.try_divide(F.col("n_dup_lines"), F.col("_n_lines"))
-    symbols, upper, long, again = per("n_symbols"), F.try_divide(F.col("n_upper"), F.col("word_chars")), per("word_chars"), F.try_divide(F.col("n_repeat_words"), F.col("n_words"))
-    never = F.lit(False)
+    """The rules over the measures, each with a usual range (good), an odd one (bad) and silence between them."""
+    per = lambda c, of="n_words": F.try_divide(F.col(c), F.col(of))
+    inside = lambda x, lo, hi: (x >= lo) & (x <= hi)
+    outside = lambda x, lo, hi: (x < lo) | (x > hi)
+    symbols, upper, digits, long = per("n_symbols"), per("n_upper", "word_chars"), per("n_digits", "word_chars"), per("word_chars")
+    lines, again, stops, words = per("n_dup_lines", "n_lines"), per("n_repeat_words"), per("n_stops"), F.col("n_words")
+    letters = 1 - F.try_divide(F.col("n_symbols") + F.col("n_digits") + F.col("n_stops"), F.col("word_chars"))
+    rich = F.try_divide(F.col("n_distinct"), F.sqrt("n_words"))  # hardly depends on the length
+    function = F.when(words >= 20, F.col("n_function"))
     return {
-        "symbols": _vote(symbols, never, symbols > 0.1),
-        "capitals": _vote(upper, never, upper > 0.3),
-        "lines": _vote(lines, never, lines > 0.3),
-        "repeats": _vote(again, never, again > 0.3),
-        "word_length": _vote(long, never, (long < 2) | (long > 14)),
-        "prose": _vote(symbols, (symbols <= 0.02) & (upper <= 0.1) & (again <= 0.1), never),
+        "symbols": _vote(symbols, symbols <= 0.02, symbols > 0.1),
+        "capitals": _vote(upper, inside(upper, 0.002, 0.1), upper > 0.3),
+        "letters": _vote(letters, letters >= 0.93, letters < 0.85),
+        "digits": _vote(digits, digits <= 0.02, digits > 0.15),
+        "word_length": _vote(long, inside(long, 3.5, 8), outside(long, 2.5, 12)),
+        "lines": _vote(F.when(F.col("n_lines") >= 3, lines), lines == 0, lines > 0.3),
+        "repeats": _vote(again, again <= 0.05, again > 0.2),
+        "stops": _vote(stops, inside(stops, 0.03, 0.3), outside(stops, 0.01, 0.6)),
+        "variety": _vote(rich, rich >= 5, rich < 2.5),
+        "function_words": _vote(function, function >= 5, function == 0),
+        "length": _vote(words, words >= 100, words < 30),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, prior: float = PRIOR, rounds: int = ROUNDS) -> list[float]:
-    """Accuracies of the rules by expectation-maximisation over (votes, count) patterns."""
-    acc = [0.8] * n_rules
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> tuple[float, list[tuple[float, float]]]:
+    """The share of good documents, and each rule's accuracy on good and on bad ones, by expectation-maximisation over (votes, count) patterns.
+
+    The first round takes all rules for alike. A rule may turn out worse than chance on one side.
+    """
+    prior, acc = 0.5, [ACCURACY] * n_rules
     for _ in range(rounds):
-        right, total = [0.0] * n_rules, [0.0] * n_rules
+        right = [[0.0, 0.0] for _ in range(n_rules)]
+        cast = [[0.0, 0.0] for _ in range(n_rules)]
+        goods = total = 0.0
         for votes, n in patterns:
-            good = posterior(votes, acc, prior)
+            p = posterior(votes, prior, acc)
+            goods, total = goods + n * p, total + n
             for j, v in enumerate(votes):
                 if v:
-                    right[j] += n * (good if v > 0 else 1 - good)
-                    total[j] += n
-        # one right and a quarter wrong vote beforehand; a rule is never taken for worse than chance
-        acc = [min(0.99, max(0.55, (r + 1) / (t + 1.25))) for r, t in zip(right, total)]
-    return acc
+                    cast[j][0] += n * p
+                    cast[j][1] += n * (1 - p)
+                    right[j][v < 0] += n * (p if v > 0 else 1 - p)
+        new = [tuple((right[j][s] + BEFOREHAND * ACCURACY[s]) / (cast[j][s] + BEFOREHAND) for s in (0, 1)) for j in range(n_rules)]
+        share = (goods + 1) / (total + 2)
+        moved = max([abs(share - prior), *(abs(a - b) for x, y in zip(new, acc) for a, b in zip(x, y))])
+        prior, acc = share, new
+        if moved < SETTLED:
+            break
+    return prior, acc
+
+
+def weights(acc: tuple[float, float]) -> tuple[float, float]:
+    """What a good and a bad vote of a rule add to the log odds of good."""
+    good, bad = acc
+    return math.log(good / (1 - bad)), math.log((1 - good) / bad)
 
 
-def posterior(votes: tuple[int, ...], acc: list[float], prior: float = PRIOR) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, acc))
-    return 1 / (1 + math.exp(-odds))
+def posterior(votes: tuple[int, ...], prior: float, acc: list[tuple[float, float]]) -> float:
+    odds = math.log(prior / (1 - prior)) + sum(weights(a)[v < 0] for v, a in zip(votes, acc) if v)
+    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
 
 
 def judge(docs: DataFrame, keep: float = KEEP) -> DataFrame:
-    """``docs`` with the measures, each rule's vote, base_failed, p_good and kept. The measures are written once and read for both the fit and the verdict."""
-    t = F.coalesce(F.col("text"), F.lit(""))
+    """``docs`` without text, with the measures, each rule's vote, base_failed, p_good and kept. The measures are written once and read for both the fit and the verdict."""
     votes = rules()
-    rows = measured(docs).withColumn("_n_lines", F.size(F.filter(F.split(t, "\n"), lambda x: F.translate(x, WS, "") != "")))
-    rows = settle(rows.withColumns({f"vote_{k}": v for k, v in votes.items()}).drop("_n_lines", "text"), "votes")
+    rows = settle(measured(docs).withColumns({f"vote_{k}": v for k, v in votes.items()}).drop("text"), "votes")
     cols = [f"vote_{k}" for k in votes]
-    patterns = rows.groupBy(*cols).count().collect()  # at most 3 ** len(RULES) rows
-    acc = fit([(tuple(r[:-1]), r[-1]) for r in patterns], len(cols))
-    odds = F.lit(math.log(PRIOR / (1 - PRIOR)))
-    for c, a in zip(cols, acc):
-        odds = odds + F.col(c) * F.lit(math.log(a / (1 - a)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    patterns = rows.where(~failed).groupBy(*cols).count().collect()  # at most 3 ** 11 rows
+    prior, acc = fit(sorted((tuple(r[:-1]), r[-1]) for r in patterns), len(cols))
+    odds = F.lit(math.log(prior / (1 - prior)))
+    for c, a in zip(cols, acc):
+        good, bad = weights(a)
+        odds = odds + F.when(F.col(c) > 0, F.lit(good)).when(F.col(c) < 0, F.lit(bad)).otherwise(F.lit(0.0))
     return rows.withColumns({"base_failed": failed, "p_good": F.round(1 / (1 + F.exp(-odds)), 6)}).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= keep))
 
 
