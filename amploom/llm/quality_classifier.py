@@ -11,7 +11,7 @@ labelled documents, those with the least hash of their doc_id; a feature needs `
 differ from the sample's beyond chance, so the weights that go to executors are bounded too.
 
 Nulls and odd rows: a null text is empty and scored as such; a null doc_id is scored but never trained on; rows
-that repeat a doc_id are each scored; a document with several labels takes the lowest grade; with no labelled
+that repeat a doc_id are each scored, and one of them, that with the least features, is trained on; a document with several labels takes the lowest grade; with no labelled
 document at all every document has the top grade and is kept; an empty table gives no rows; other columns pass
 through ``classify`` unless they bear the name of one made here.
 """
@@ -119,8 +119,7 @@ class Ordinal:
             return np.zeros(len(at) - 1)
         i = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         w = np.where(self.keys[i] == h, self.weights[i], 0.0)
-        total = np.concatenate([[0.0], np.cumsum(w)])
-        return total[at[1:]] - total[at[:-1]]
+        return np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), w, len(at) - 1)  # of each text alone, whatever stands beside it
 
     def tails(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ...: a column each."""
@@ -208,7 +207,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
                 h = h[use]
                 yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo), pa.array([h[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:])], pa.binary())], names=["doc_id", "h"])
 
-    got = sorted({r[0]: bytes(r[1]) for r in in_arrow(rows, go, "doc_id long, h binary").collect()}.items())
+    least: dict[int, bytes] = {}  # of rows that repeat a doc_id the one with the least features, in whatever order they come
+    for d, b in in_arrow(rows, go, "doc_id long, h binary").collect():
+        least[d] = min(least.get(d, bytes(b)), bytes(b))
+    got = sorted(least.items())
     each = [np.frombuffer(b, np.uint64) for _, b in got]
     at = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     return fit(np.concatenate([np.zeros(0, np.uint64), *each]), at, np.array([grades[d] for d, _ in got], np.int64))
