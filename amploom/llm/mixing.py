@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, own_names
 
 SEED = 17
 PART = 32.0
@@ -48,23 +48,24 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = SEED) -> DataFrame:
     """``docs`` with each row as often as drawn, in a global random order, plus rate, copy_no (from 0) and shuffle_key."""
-    table = rates(docs, weights, temperature, epochs).withColumnRenamed("source", "_src")
     docs = docs.drop("rate", "copy_no", "shuffle_key")
+    mine = own_names(docs, "src", "parts", "cdf", "salt", "to", "key", "n")
+    col = {k: F.col(v) for k, v in mine.items()}
+    table = rates(docs, weights, temperature, epochs).withColumnsRenamed({"source": mine["src"], "parts": mine["parts"], "cdf": mine["cdf"]})
     if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
-        rated = docs.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_src")))
+        rated = docs.join(F.broadcast(table), F.col("source").eqNullSafe(col["src"]))
     else:  # the hot source's rows go to SALTS tasks
-        salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        salted = salted.withColumnRenamed("_salt", "_to")
-        rated = docs.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, F.col("source").eqNullSafe(F.col("_src")) & (F.col("_salt") == F.col("_to"))).drop("_salt", "_to")
+        salted = table.withColumn(mine["to"], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rated = docs.withColumn(mine["salt"], F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int")).join(salted, F.col("source").eqNullSafe(col["src"]) & (col["salt"] == col["to"]))
     key = F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(F.col("text"), F.lit(""))))
     # The uniform value is bound once, as the only element of an array: as a column it would be inlined into the filter and hashed for every entry.
-    draw = lambda part: F.get(F.transform(F.array(uniform(F.lit(str(seed)), F.col("_key"), part.cast("string"))), lambda u: F.size(F.filter("cdf", lambda c: c <= u))), F.lit(0))
-    count = F.when(F.col("rate") <= 0, 0).when(F.col("parts") == 1, draw(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), F.col("parts") - 1), F.lit(0), lambda a, p: a + draw(p)))
-    drawn = rated.withColumn("_key", key).withColumn("_n", count).where("_n > 0")
-    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n").cast("long") - 1))).withColumn("shuffle_key", F.md5(F.concat_ws("\x1f", F.lit(f"order{seed}"), F.col("_key"), F.col("copy_no").cast("string"))))
+    draw = lambda part: F.get(F.transform(F.array(uniform(F.lit(str(seed)), col["key"], part.cast("string"))), lambda u: F.size(F.filter(col["cdf"], lambda c: c <= u))), F.lit(0))
+    count = F.when(F.col("rate") <= 0, 0).when(col["parts"] == 1, draw(F.lit(0))).otherwise(F.aggregate(F.sequence(F.lit(0), col["parts"] - 1), F.lit(0), lambda a, p: a + draw(p)))
+    drawn = rated.withColumn(mine["key"], key).withColumn(mine["n"], count).where(col["n"] > 0)
+    copies = drawn.withColumn("copy_no", F.explode(F.sequence(F.lit(0).cast("long"), col["n"].cast("long") - 1))).withColumn("shuffle_key", F.md5(F.concat_ws("\x1f", F.lit(f"order{seed}"), col["key"], F.col("copy_no").cast("string"))))
     # The key is uniform, so hashing it deals rows out evenly without the sampling pass of a range sort.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key").drop("_src", "parts", "cdf", "_key", "_n")
+    return copies.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key").drop(*mine.values())
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
