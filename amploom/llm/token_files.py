@@ -2,14 +2,14 @@
 
 ``write_tokens`` deals documents by ranges of doc_id into shards. A shard is one Arrow file whose columns are
 ``ids`` (fixed-size list of 16-bit ids, 32-bit if the vocabulary needs it) and ``mask`` (fixed-size list of
-booleans: true for a token, false for the padding after the shard's last). Each document's ids and its end id
+bytes: 1 for a token, 0 for the padding after the shard's last). Each document's ids and its end id
 follow each other across sequences. ``TokenFile`` maps a file and hands out numpy views.
 
 A shard is written under a temporary name and renamed, so a task that runs again after a lost executor
-replaces its own file by the same bytes.
+finds its own file with the same bytes, or writes it; a task that fails removes what it began.
 
 Nulls and odd rows: a null or empty text is just the end id; a null doc_id sorts before all others; rows that
-repeat a doc_id stay, ordered by text; an empty table gives no shards and an empty index; other columns are
+repeat a doc_id stay, ordered by a hash of the text; an empty table gives no shards and an empty index; other columns are
 not read, whatever they are called.
 """
 
@@ -96,12 +96,12 @@ class _Shard:
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.sequence, self.width, self.rest, self.n = sequence, width, np.zeros(0, width), 0
         kind = pa.from_numpy_dtype(width)
-        self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+        self.schema = pa.schema([("ids", pa.list_(kind, sequence)), ("mask", pa.list_(pa.uint8(), sequence))])
         self.sink = self.fs.open_output_stream(self.tmp)
         self.out = pa.ipc.new_file(self.sink, self.schema)
 
     def _batch(self, ids: np.ndarray, real: int) -> None:
-        mask = np.arange(len(ids)) < real
+        mask = (np.arange(len(ids)) < real).view(np.uint8)  # a byte each: Arrow packs booleans, which no view could be of
         cols = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.sequence) for x in (ids, mask)]
         self.out.write_batch(pa.record_batch(cols, schema=self.schema))
 
@@ -120,8 +120,18 @@ class _Shard:
             self._batch(np.pad(self.rest, (0, -real % self.sequence)), real)
         self.out.close()
         self.sink.close()
+        # A task that runs again, as its executor was lost, writes the same bytes; some file systems don't rename over a file.
+        there, made = self.fs.get_file_info([self.path, self.tmp])
+        if there.type == pa.fs.FileType.File:
+            if there.size == made.size:
+                return self.fs.delete_file(self.tmp)
+            self.fs.delete_file(self.path)
         self.fs.move(self.tmp, self.path)
 
+    def abort(self) -> None:
+        self.sink.close()
+        self.fs.delete_file(self.tmp)
+
 
 class TokenFile:
     """Random access to a shard: ``ids(i)`` and ``mask(i)`` of sequence i, and ``span`` of the token stream, without copies where one batch holds it."""
@@ -137,7 +147,7 @@ class TokenFile:
         if b not in self._batches:
             self._batches = {b: self._file.get_batch(b)}
         values = self._batches[b].column(column).flatten()
-        return values.to_numpy(zero_copy_only=column == "ids")
+        return values.to_numpy(zero_copy_only=True)
 
     def _one(self, i: int, column: str) -> np.ndarray:
         b, k = divmod(i, BATCH_SEQUENCES)
@@ -169,20 +179,26 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = E
         width = np.uint16 if max(tok.get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else np.uint32
         part = TaskContext.get().partitionId()
         name, shard = f"{out}/part-{part:06d}.arrow", None
-        for batch in batches:
-            for lo, hi, buf, offs in text_slices(batch, limit=SLICE):
-                shard = shard or _Shard(name, width, sequence)
-                ids, at = encode_slice(tok, buf, offs)
-                size = np.diff(at)
-                ids = np.insert(ids, at[1:], end_id)
-                start = shard.n + at[:-1] + np.arange(hi - lo)
-                shard.add(ids)
-                yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(np.full(hi - lo, part, np.int64)), pa.array([name] * (hi - lo)), pa.array(start), pa.array(size + 1)], names=["doc_id", "shard", "file", "local_start", "n_tokens"])
+        try:
+            for batch in batches:
+                for lo, hi, buf, offs in text_slices(batch, limit=SLICE):
+                    shard = shard or _Shard(name, width, sequence)
+                    ids, at = encode_slice(tok, buf, offs)
+                    size = np.diff(at)
+                    ids = np.insert(ids, at[1:], end_id)
+                    start = shard.n + at[:-1] + np.arange(hi - lo)
+                    shard.add(ids)
+                    yield pa.record_batch([batch.column("doc_id").slice(lo, hi - lo).cast(pa.int64()), pa.array(np.full(hi - lo, part, np.int64)), pa.array([name] * (hi - lo)), pa.array(start), pa.array(size + 1)], names=["doc_id", "shard", "file", "local_start", "n_tokens"])
+        except BaseException:
+            if shard:
+                shard.abort()
+            raise
         if shard:
             shard.close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the hash splits the rows of one doc_id, or of none, among several ranges
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
     return settle(dealt.mapInArrow(write, "doc_id long, shard long, file string, local_start long, n_tokens long"), "token-index")
 
 
