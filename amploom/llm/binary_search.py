@@ -6,12 +6,13 @@ values one bit away, then two: a code that no segment table has given up to radi
 r + 1 bits in every segment, so the search ends when the k-th verified distance is below segments x (r + 1).
 
 Equal codes are one entry with its k smallest ids, so very common vectors cost no more than rare ones. Codes are
-dealt by hash into shards and queries into blocks; each pair of a shard and a block is searched in one task, and
-the results of the shards are merged by rank. A shard and a block have a bounded size whatever the input.
+dealt by hash into shards of a bounded size, one a task: it builds its tables once, from the entries that come first
+in its partition, and searches the queries that follow as they stream by, a block at a time. Every query goes to
+every shard, no code is sent twice, and the results of the shards are merged by rank.
 
 Nulls and odd rows: a null vector has no code and is neither found nor searched for, null elements count as 0; a
 null vec_id is left out; rows that repeat a vec_id and code are one, with other codes each counts; vectors of
-another length than the first's raise an error; ties are broken by vec_id; an empty table gives no rows; other
+several lengths, in one table or the two, raise an error; ties are broken by vec_id; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -26,17 +27,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import runs, settle, stream_groups
+from .common import runs, settle
 
 K = 10
-SHARD = 1 << 18
+SHARD = 1 << 20
+#: Queries searched at a time.
 BLOCK = 1 << 13
 #: Shards at least, so that small inputs use all cores too.
 SHARDS = 6
 
 
 def binary_codes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(id, code): the code as bytes, dimension 0 in the lowest bit, padded to whole 8 bytes."""
+    """(id, code, dim): the code as bytes, dimension 0 in the lowest bit, padded to whole 8 bytes."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -49,10 +51,10 @@ def binary_codes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 raise ValueError("vectors differ in length")
             bits = np.packbits((x > 0).reshape(n, dim), axis=1, bitorder="little")
             bits = np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))
-            yield pa.record_batch([b.column("id"), pa.array([r.tobytes() for r in bits], pa.binary())], names=["id", "code"])
+            yield pa.record_batch([b.column("id"), pa.array([r.tobytes() for r in bits], pa.binary()), pa.array(np.full(n, dim, np.int32))], names=["id", "code", "dim"])
 
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
-    return rows.mapInArrow(go, "id long, code binary")
+    return rows.mapInArrow(go, "id long, code binary, dim int")
 
 
 class MultiIndex:
@@ -124,53 +126,56 @@ class MultiIndex:
         return owner[keep], entry[keep], dist[keep]
 
 
-def _load(col: pa.ChunkedArray) -> np.ndarray:
-    rows = col.to_pylist()
+def _load(rows: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
 
 
+def _nearest(index: MultiIndex, ids: list[list[int]], asked: list[bytes], k: int) -> pa.RecordBatch:
+    """(code, vec_id, distance) of each asked code's k nearest in a shard."""
+    owner, entry, dist = index.search(_load(asked), k)
+    order = np.lexsort((dist, owner))
+    rows = ([], [], [])
+    at = runs(owner[order])
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        best = sorted((d, i) for e, d in zip(entry[order[a:b]].tolist(), dist[order[a:b]].tolist()) for i in ids[e])[:k]
+        rows[0].extend([asked[owner[order[a]]]] * len(best))
+        rows[1].extend(i for _, i in best)
+        rows[2].extend(d for d, _ in best)
+    return pa.record_batch([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["code", "vec_id", "distance"])
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, distance: for each row of ``queries`` the k rows of ``vectors`` with the least Hamming distance, ties by id."""
     first = settle(binary_codes(vectors, id_col, vec_col).distinct(), "codes")
+    asked = settle(binary_codes(queries, id_col, vec_col).distinct(), "asked")
+    least, most = first.select("dim").union(asked.select("dim")).agg(F.min("dim"), F.max("dim")).first()
+    if least != most:
+        raise ValueError(f"vectors of {least} and of {most} dimensions")
     ranked = first.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("r") <= k)
     entries = settle(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
-    asked = settle(binary_codes(queries, id_col, vec_col).distinct(), "asked")
     codes = settle(asked.select("code").distinct(), "asked")
     shards = max(SHARDS, -(-entries.count() // SHARD))
-    blocks = max(1, -(-codes.count() // BLOCK))
-    deal = lambda df, n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
     none = F.lit(None).cast("array<bigint>")
-    left = entries.select(deal(entries, shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asked"), "code", "ids")
-    right = codes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), deal(codes, blocks).alias("block"), F.lit(True).alias("asked"), "code", none.alias("ids"))
-    keys = ["shard", "block"]
+    left = entries.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asked"), "code", "ids")
+    right = codes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asked"), "code", none.alias("ids"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in stream_groups(batches, keys):
-            edge = runs(*(t[c].to_numpy() for c in keys))
-            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                part = t.slice(lo, hi - lo)
-                there = part.filter(pa.compute.invert(part["asked"]))
-                want = part.filter(part["asked"])
-                if not there.num_rows or not want.num_rows:
-                    continue
-                ids = there["ids"].to_pylist()
-                q = _load(want["code"])
-                owner, entry, dist = MultiIndex(_load(there["code"]), np.array([len(x) for x in ids])).search(q, k)
-                order = np.lexsort((dist, owner))
-                text = want["code"].to_pylist()
-                rows = ([], [], [])
-                at = runs(owner[order])
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-                    best = sorted((int(d), i) for e, d in zip(entry[order[a:b]].tolist(), dist[order[a:b]].tolist()) for i in ids[e])[:k]
-                    rows[0].extend([text[owner[order[a]]]] * len(best))
-                    rows[1].extend(i for _, i in best)
-                    rows[2].extend(d for d, _ in best)
-                yield pa.record_batch([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["code", "vec_id", "distance"])
-
-    found = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(go, "code binary, vec_id long, distance long")
+        codes, ids, index = [], [], None
+        for b in batches:
+            n = int(np.count_nonzero(~b.column("asked").to_numpy(zero_copy_only=False)))  # entries are before all queries
+            codes += b.column("code").slice(0, n).to_pylist()
+            ids += b.column("ids").slice(0, n).to_pylist()
+            if n < b.num_rows and ids:
+                index = index or MultiIndex(_load(codes), np.array([len(x) for x in ids]))
+                for lo in range(n, b.num_rows, BLOCK):
+                    yield _nearest(index, ids, b.column("code").slice(lo, BLOCK).to_pylist(), k)
+
+    # one partition a shard, which adaptive execution leaves as it is
+    dealt = left.unionByName(right).repartitionById(shards, "shard").sortWithinPartitions("asked")
+    found = dealt.select("asked", "code", "ids").mapInArrow(go, "code binary, vec_id long, distance long")
     best = settle(found.withColumn("rank", F.row_number().over(W.partitionBy("code").orderBy("distance", "vec_id")).cast("long")).where(F.col("rank") <= k), "best")
     lists = best.groupBy("code").agg(F.collect_list(F.struct("rank", "vec_id", "distance")).alias("x"))  # k rows a code
-    return asked.withColumnRenamed("id", "query_id").join(lists, "code").select("query_id", F.explode("x").alias("x")).select("query_id", "x.rank", "x.vec_id", "x.distance")
+    return asked.select(F.col("id").alias("query_id"), "code").join(lists, "code").select("query_id", F.explode("x").alias("x")).select("query_id", "x.rank", "x.vec_id", "x.distance")
 
 
 def op1_binary_search(spark: SparkSession, sf_dir: str) -> DataFrame:
