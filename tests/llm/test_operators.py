@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from amploom.llm import binary_search, jaccard_join, mixing, pieces, quality_classifier, quality_rules, secrets, suffix_dedup, surrogates, token_files
 from amploom.llm.components import components
@@ -62,6 +63,10 @@ def test_token_files(spark, odd, none, texts, tmp_path):
     name = index.orderBy("shard").first().file
     f = token_files.TokenFile(name)
     assert len(f.ids(0)) == 16 and f.mask(0).all()
+    for one in (f.ids, f.mask):
+        assert np.shares_memory(one(0), one(0)) and one(1).ctypes.data - one(0).ctypes.data == one(0).nbytes
+    again = odd.unionByName(odd.withColumn("text", F.lit("x y z"))).withColumn("h", F.lit(0))
+    assert token_files.read_tokens(token_files.write_tokens(again, path, str(tmp_path / "a"), sequence=16)).count() == 2 * len(ODD)
     assert token_files.read_tokens(token_files.write_tokens(none, path, str(tmp_path / "n"))).count() == 0
 
 
@@ -141,11 +146,43 @@ def test_quality_rules(spark, odd, none, texts):
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
-    out = {r.doc_id: r for r in quality_rules.judge(odd).collect()}
-    assert out[4].n_words == 0 and out[7].n_repeat_words == 3000 and not out[7].kept
+    out = {r.doc_id: r for r in quality_rules.judge(odd.withColumn("_words", F.lit("mine"))).collect()}
+    assert out[4].n_words == 0 and out[7].n_repeat_words == 3000 and not out[7].kept and out[1]._words == "mine"
     assert quality_rules.judge(none).count() == 0
-    acc = quality_rules.fit([((1, 1, -1), 90), ((-1, -1, -1), 10)], 3)
-    assert acc[0] > acc[2]
+
+
+def test_rule_accuracies(spark):
+    """Votes drawn with known accuracies: expectation-maximisation finds them, and the posterior is Bayes' rule."""
+    rnd = np.random.default_rng(2)
+    true = [(0.97, 0.7), (0.9, 0.6), (0.95, 0.8), (0.85, 0.75), (0.99, 0.5), (0.8, 0.1)]  # the last gives bad documents more good votes than good ones
+    good = rnd.random(40000) < 0.8
+    votes = np.zeros((len(good), len(true)), int)
+    for j, (a, b) in enumerate(true):
+        right = rnd.random(len(good)) < np.where(good, a, b)
+        votes[:, j] = np.where(right == good, 1, -1) * (rnd.random(len(good)) < 0.85)
+    prior, acc = quality_rules.fit(sorted(Counter(map(tuple, votes.tolist())).items()), len(true))
+    assert abs(prior - 0.8) < 0.02 and np.abs(np.array(acc) - np.array(true)).max() < 0.04
+    verdict = {}
+    for v in set(map(tuple, votes.tolist())):
+        like = [1.0, 1.0]
+        for x, (a, b) in zip(v, acc):
+            like = [like[0] * {1: a, -1: 1 - a, 0: 1}[x], like[1] * {1: 1 - b, -1: b, 0: 1}[x]]
+        p = like[0] * prior / (like[0] * prior + like[1] * (1 - prior))
+        assert abs(p - quality_rules.posterior(v, prior, acc)) < 1e-9
+        verdict[v] = p >= 0.5
+    assert any(k and -1 in v for v, k in verdict.items()) and quality_rules.weights(acc[5])[0] < 0
+
+
+def test_rules_differ_from_must_pass(spark):
+    rows = quality_rules.judge(spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet").select("doc_id", "text")).collect()
+    votes = [c for c in rows[0].asDict() if c.startswith("vote_")]
+    passed = [r for r in rows if not r.base_failed]
+    counts = Counter(tuple(r[c] for c in votes) for r in passed)
+    prior, acc = quality_rules.fit(sorted(counts.items()), len(votes))
+    assert all(abs(r.p_good - quality_rules.posterior([r[c] for c in votes], prior, acc)) < 2e-6 and r.kept == (r.p_good >= 0.5) for r in passed)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF[:-5]}0.01/labels.parquet").collect()}
+    assert np.mean([r.kept for r in passed if labels.get(r.doc_id) == 1]) > 0.98 and np.mean([r.kept for r in passed if labels.get(r.doc_id) == 0]) < 0.1
+    assert any(r.kept and min(r[c] for c in votes) < 0 for r in passed) and not any(r.kept for r in rows if r.base_failed)
 
 
 def test_suffix_dedup(spark, odd, none, texts):
@@ -184,6 +221,55 @@ def test_suffix_dedup_rows_that_share_a_doc_id(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(x[2] > 0 for x in want) > 5
 
 
+def test_suffix_dedup_common_passage(spark, monkeypatch):
+    """A passage in most documents, more often in a task than it remembers; and a text over one slice."""
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    common = [text(90) for _ in range(3)]
+    rows = [(d, text(rnd.randrange(60)) + rnd.choice(common) + text(rnd.randrange(40)) + (common[0] if d % 3 else "")) for d in range(300)]
+    rnd.shuffle(rows)
+    long = text(3000)
+    rows += [(1000, long), (1001, text(100) + long[500:2500] + text(50)), (1002, text(20) + common[1] + long[2000:])]
+    monkeypatch.setattr(suffix_dedup, "REMEMBERED", 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    got = {r[0]: tuple(r[1:]) for r in suffix_dedup.dedup(df).drop("kept").collect()}
+    assert got == suffix_dedup.brute(rows)
+    part = suffix_dedup._words(np.frombuffer((long * 2 + "a" * 400).encode() + bytes(200), np.uint8), True)
+    at = np.arange(6350)
+    order = suffix_dedup.suffix_order(part, at, suffix_dedup.CoverSample(part))
+    whole = (long * 2 + "a" * 400).encode()
+    assert [whole[i : i + 50] for i in order] == sorted(whole[i : i + 50] for i in at)
+
+
+def test_classifier_alone(spark):
+    """A score doesn't depend on the texts beside it, and the likelihood's slope is 0 where the fit ends."""
+    texts = [f"word{i % 7} other{i % 5} thing{i % 3} " * (1 + i % 4) for i in range(60)]
+    arr = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    h, at = quality_classifier.features(arr, offs)
+    grade = np.array([min(2, i % 7 // 2) for i in range(60)])
+    model = quality_classifier.fit(h, at, grade, rounds=3000)
+    whole = model.scores(h, at)
+    for i, t in enumerate(texts):
+        one = quality_classifier.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        assert model.scores(*one)[0] == whole[i]
+
+    def loss(w, theta):
+        z = quality_classifier.Ordinal(model.keys, w, theta).scores(h, at)
+        edge = np.concatenate([np.zeros((60, 1)), 1 / (1 + np.exp(z[:, None] - theta[None, :])), np.ones((60, 1))], axis=1)
+        p = edge[np.arange(60), grade + 1] - edge[np.arange(60), grade]
+        return -np.log(p).mean() + 1e-4 / 20 * (w**2).sum()
+
+    base, step = loss(model.weights, model.thresholds), 1e-3
+    for k in range(len(model.weights)):
+        e = np.eye(len(model.weights))[k] * step
+        assert abs(loss(model.weights + e, model.thresholds) - loss(model.weights - e, model.thresholds)) / (2 * step) < 5e-3
+    for k in range(2):
+        e = np.eye(2)[k] * step
+        assert abs(loss(model.weights, model.thresholds + e) - loss(model.weights, model.thresholds - e)) / (2 * step) < 5e-3
+    assert np.isfinite(base) and model.thresholds[0] < model.thresholds[1] and len(model.weights) > 3
+
+
 def test_classifier(spark, odd, none):
     docs, labels = spark.read.parquet(f"{SF[:-5]}0.1/documents.parquet"), spark.read.parquet(f"{SF[:-5]}0.1/labels.parquet")
     model = quality_classifier.train(docs, labels.where("doc_id % 2 = 0"))
@@ -204,6 +290,9 @@ def test_mixing(spark, odd, none):
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want.fetchall())
     rates = {r.source: r.rate for r in mixing.rates(odd).collect()}
     assert rates[None] > rates["s"] > 0 and mixing.mix(none).count() == 0
+    clash = odd.withColumns({c: F.lit(c) for c in ("parts", "cdf", "_src", "_key", "_n", "rate", "copy_no")})
+    assert sorted(r.doc_id or 0 for r in mixing.mix(clash).collect()) == sorted(r.doc_id or 0 for r in mixing.mix(odd).collect())
+    assert {(r.parts, r.cdf, r._key) for r in mixing.mix(clash, epochs=3.0).collect()} == {("parts", "cdf", "_key")}
     big = spark.range(400).selectExpr("id as doc_id", "cast(id as string) as text", "'s' as source")
     n = mixing.mix(big, epochs=50.0).count()
     assert abs(n - 20000) < 700
@@ -221,6 +310,11 @@ def test_binary_search(spark):
         best = sorted((int((code[q] != code[i]).sum()), i) for i in code)[:10]
         assert sorted(got[q]) == [(k + 1, i, d) for k, (d, i) in enumerate(best)]
     assert binary_search.top_k(df.limit(0), df).count() == 0
+    short = spark.createDataFrame([(5000, [1.0] * 60)], df.schema)
+    with pytest.raises(ValueError, match="60 and of 64"):
+        binary_search.top_k(df.where("vec_id > 0").repartition(2).unionByName(short), df)
+    twice = binary_search.top_k(df.unionByName(df).withColumn("code", F.lit(1)), df.where("vec_id = 20"))
+    assert sorted(tuple(r)[1:] for r in twice.collect()) == sorted(got[20])
 
 
 def test_pieces(spark, odd, none, texts):
