@@ -69,6 +69,41 @@ def cusum(x: np.ndarray, sigma: float = 1.0, h: float = 3.0, window: int = 12, f
     return out
 
 
+def cusum_many(signals: list[np.ndarray], sigma: float = 1.0, h: float = 3.0, window: int = 12) -> list[np.ndarray]:
+    """``cusum`` of each signal: a step takes the samples at one place of all signals that are so long."""
+    if len(signals) < 16:
+        return [cusum(x, sigma, h, window) for x in signals]
+    order = sorted(range(len(signals)), key=lambda i: -len(signals[i]))
+    size = np.array([len(signals[i]) for i in order])
+    floor = np.array([min_window_std(signals[i], window) for i in order])
+    first = np.cumsum(size) - size
+    flat = np.concatenate([np.zeros(0), *(signals[i] for i in order)])
+    out = np.zeros(len(flat), np.int32)
+    there = int(np.count_nonzero(size))
+    m1, m2, n, gp, gn, seg = flat[first[:there]].copy(), np.zeros(there), np.ones(there), np.zeros(there), np.zeros(there), np.zeros(there, np.int32)
+    alive = np.searchsorted(-size, -np.arange(int(size.max(initial=0))), "left")  # signals longer than each place
+    for t in range(1, len(alive)):
+        k = int(alive[t])
+        v, a1, a2 = flat[first[:k] + t], m1[:k], m2[:k]
+        n[:k] += 1
+        d = v - a1
+        a1 += d / n[:k]
+        a2 += d * (v - a1)
+        sd = np.maximum(floor[:k], np.sqrt(a2 / n[:k]))
+        ok = sd > 0
+        unit = np.where(ok, sd, 1.0)
+        gp[:k] = np.where(ok, np.maximum(0.0, gp[:k] + sigma / unit * (v - a1 - sigma * sd / 2)), gp[:k])
+        gn[:k] = np.where(ok, np.maximum(0.0, gn[:k] - sigma / unit * (v - a1 + sigma * sd / 2)), gn[:k])
+        alarm = np.flatnonzero((gp[:k] >= h) | (gn[:k] >= h))
+        seg[alarm] += 1
+        m1[alarm], m2[alarm], n[alarm], gp[alarm], gn[alarm] = v[alarm], 0.0, 1, 0.0, 0.0
+        out[first[:k] + t] = seg[:k]
+    parts: list[np.ndarray] = [out[:0]] * len(signals)
+    for i, a, b in zip(order, first.tolist(), size.tolist()):
+        parts[i] = out[a : a + b]
+    return parts
+
+
 def dwell_cost(length: np.ndarray, mean: float, var: float) -> np.ndarray:
     """Minus the log density of an inverse Gaussian dwell of this mean and variance."""
     lam = mean**3 / var
@@ -225,10 +260,10 @@ def bocpd(x: np.ndarray, rate: float = 0.01, most: int = 200, prior: tuple[float
     return out
 
 
-# Upper tail points of chi-square with 1 and 2 degrees of freedom at these probabilities.
-_LEVELS = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.975, 0.99, 0.995, 0.999)
-_CHI1 = (0.455, 0.708, 1.074, 1.642, 2.706, 3.841, 5.024, 6.635, 7.879, 10.828)
-_CHI2 = (1.386, 1.833, 2.408, 3.219, 4.605, 5.991, 7.378, 9.210, 10.597, 13.816)
+# Points of chi-square with 1 degree of freedom that a share p of it is below, and with 2 that it is above.
+_LEVELS = (0.005, 0.01, 0.025, 0.05, 0.10, 0.90, 0.95, 0.975, 0.99, 0.995)
+_CHI1 = (0.00004, 0.00016, 0.001, 0.004, 0.016, 2.706, 3.841, 5.024, 6.635, 7.879)
+_CHI2 = (10.597, 9.210, 7.378, 5.991, 4.605, 0.211, 0.103, 0.051, 0.02, 0.01)
 
 
 def two_window(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +282,7 @@ def two_window(x: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def two_window_segments(x: np.ndarray, p: float = 0.9, w: int = 10) -> np.ndarray:
-    """Segment ids: a change opens where Z squared passes its threshold, is placed at the largest until the second window looks normal, and w samples are skipped."""
+    """Segment ids: a change opens where Z squared passes its threshold and is placed at the largest until the second window looks normal, or the windows end; then w samples are skipped."""
     n = len(x)
     out = np.zeros(n, np.int32)
     if n <= 2 * w:
@@ -256,15 +291,20 @@ def two_window_segments(x: np.ndarray, p: float = 0.9, w: int = 10) -> np.ndarra
     th_z, th_jb = np.interp(p, _LEVELS, _CHI1), np.interp(p, _LEVELS, _CHI2)
     k, opened, top = 0, False, -1
     while k < len(z2):
-        if not opened and z2[k] >= th_z:
+        if not opened and z2[k] < th_z:
+            k += 1
+            continue
+        if not opened:
             opened, top = True, k
-        if opened:
+        if jb[k] <= th_jb:
+            out[top + w :] += 1
+            opened = False
+            k += w
+        else:
             top = k if z2[k] > z2[top] else top
-            if jb[k] <= th_jb:
-                out[top + w + 1 :] += 1
-                opened = False
-                k = max(k, top) + w
-        k += 1
+            k += 1
+    if opened:
+        out[top + w :] += 1
     return out
 
 

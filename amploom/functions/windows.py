@@ -99,17 +99,25 @@ def l1_normalise(s: DataFrame, key: str) -> DataFrame:
     return s.select(key, "pos", F.try_divide(F.col("x"), F.nullif(total, F.lit(0.0))).alias("share"), total.alias("total"))
 
 
+#: Values are summed by blocks so wide, in which exp neither overflows nor vanishes.
+_BLOCK = 500.0
+
+
 def logsumexp_by(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Group logsumexp in one shuffle and without overflow: a streaming (max, scaled sum) would need a UDAF, so the maximum is a window over the shuffled group."""
-    m = F.max(value).over(W.partitionBy(*keys)) if keys else F.max(value).over(W.partitionBy(F.lit(0)))
-    return df.withColumn("_m", m).groupBy(*keys).agg((F.max("_m") + F.ln(F.sum(F.exp(F.col(value) - F.col("_m"))))).alias(out))
+    """Group logsumexp without overflow, by two aggregates that tasks combine beforehand: sums of each block of values, and of a group's two highest blocks (lower ones are below a double's precision)."""
+    block = F.floor(F.col(value) / _BLOCK)
+    part = df.groupBy(*keys, block.alias("_b")).agg(F.sum(F.exp(F.col(value) - _BLOCK * block)).alias("_s"))
+    held = F.sort_array(F.collect_list(F.when(F.col("_b").isNotNull(), F.struct("_b", "_s"))), asc=False)
+    top, next_ = F.get("_l", F.lit(0)), F.get("_l", F.lit(1))
+    total = top["_s"] + F.coalesce(next_["_s"] * F.exp(_BLOCK * (next_["_b"] - top["_b"])), F.lit(0.0))
+    return part.groupBy(*keys).agg(held.alias("_l")).select(*keys, (_BLOCK * top["_b"] + F.ln(total)).alias(out))
 
 
 def log_normalise(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``value`` less the logsumexp of its group."""
-    w = W.partitionBy(*keys)
-    m = F.max(value).over(w)
-    return df.withColumn("_m", m).withColumn(value, F.col(value) - (F.col("_m") + F.ln(F.sum(F.exp(F.col(value) - F.col("_m"))).over(w)))).drop("_m")
+    """``value`` less the logsumexp of its group; without keys, of all rows."""
+    total = logsumexp_by(df, keys, value, "_t")
+    rows = df.join(total, keys) if keys else df.crossJoin(F.broadcast(total))  # one row
+    return rows.withColumn(value, F.col(value) - F.col("_t")).select(*df.columns)
 
 
 def logsumexp_array(a: Column) -> Column:

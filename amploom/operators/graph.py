@@ -50,8 +50,8 @@ def mat_vec(vec: DataFrame, links: DataFrame) -> DataFrame:
 def edge_posteriors(alpha: DataFrame, beta: DataFrame, links: DataFrame) -> DataFrame:
     """(source, target, xi): alpha + lp + beta, made to sum to 1 over all edges of a step."""
     rows = links.join(alpha.select(F.col("id").alias("source"), F.col("v").alias("a")), "source").join(beta.select(F.col("id").alias("target"), F.col("v").alias("b")), "target")
-    step = rows.select("source", "target", F.lit(0).alias("_step"), (F.col("a") + F.col("lp") + F.col("b")).alias("xi"))
-    return log_normalise(step, ["_step"], "xi").drop("_step")
+    step = rows.select("source", "target", (F.col("a") + F.col("lp") + F.col("b")).alias("xi"))
+    return log_normalise(step, [], "xi")
 
 
 def transition(links: DataFrame, i: int, j: int) -> DataFrame:

@@ -87,14 +87,22 @@ def _sum_by(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def emission_rows(model: Model) -> tuple[list[str], np.ndarray]:
+    """The emissions that states use, and each state's place among them."""
+    kinds = sorted(set(model.key))
+    return kinds, np.searchsorted(kinds, model.key)
+
+
 def posteriors(model: Model, x: np.ndarray, bands: list[np.ndarray], seg: np.ndarray, graph: Graph | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray] | None:
     """(log-likelihood of each step, posterior of the band's states at each frame, expected count of each edge); none if no path lies in the band.
 
     ``x``: frames by dimensions. Expected counts follow the forward values before they become posteriors, normalised at each step.
     """
     n, graph = len(x), graph or Graph(model)
-    dens = {k: m.log_density(x) for k, m in model.emissions.items() if k in set(model.key)}
-    emit = [np.array([dens[model.key[s]][t] for s in bands[seg[t]]]) for t in range(n)]
+    kinds, of = emission_rows(model)
+    dens = np.stack([model.emissions[k].log_density(x) for k in kinds], axis=1)
+    row_of = [of[b] for b in bands]
+    emit = [dens[t, row_of[j]] for t, j in enumerate(seg.tolist())]
     cache: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
 
     def edges(t: int):
@@ -147,11 +155,12 @@ def read_stats(model: Model, x: np.ndarray, chrom: str | None, mv: np.ndarray, w
     bands, seg = made
     coeff, gamma, counts = got
     out: dict[tuple, float] = {("score", "", 0, 0, 0): float(coeff.mean()), ("loglik", "", 0, 0, 0): float(coeff.sum()), ("reads", "", 0, 0, 0): 1.0}
-    weight = {k: np.zeros(len(x)) for k in model.emissions}
-    for t, g in enumerate(gamma):
-        for s, v in zip(bands[seg[t]].tolist(), g.tolist()):
-            weight[model.key[s]][t] += v
-    for k, w in weight.items():
+    kinds, of = emission_rows(model)
+    # a state stands once in a band, but several states of it may have one emission
+    frame = np.repeat(np.arange(len(x)), [len(g) for g in gamma])
+    row = np.concatenate([of[bands[j]] for j in seg.tolist()])
+    weight = np.bincount(row * len(x) + frame, np.concatenate(gamma), len(kinds) * len(x)).reshape(len(kinds), -1)
+    for k, w in zip(kinds, weight):
         if not w.any():
             continue
         c = model.emissions[k].log_components(x)
@@ -190,6 +199,11 @@ def e_step(reads: DataFrame, model: Model, width: int, dim: int = 1) -> DataFram
     return made.groupBy("kind", "key", "comp", "i", "j").agg(F.sum("val").alias("val"))
 
 
+def by_key(stats: DataFrame) -> dict[tuple, float]:
+    """STATS rows on the driver: a row a parameter."""
+    return {(r.kind, r.key, r.comp, r.i, r.j): r.val for r in stats.collect()}
+
+
 def _moments(stats: dict, k: str, n: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     g = np.array([stats.get(("g", k, c, 0, 0), 0.0) for c in range(n)])
     x = np.array([[stats.get(("x", k, c, i, 0), 0.0) for i in range(d)] for c in range(n)])
@@ -244,9 +258,12 @@ def usable(reads: DataFrame, states: int, least: int = 3000, batch: int = 1, sam
     kept = F.size("signal") > states
     if not sampling:
         return long.where(kept)
-    # Batches are numbered from counts of read_index only: the window's rows have no signal.
-    ids = long.select("read_index", kept.alias("k"))
-    numbered = ids.withColumn("b", F.floor((F.row_number().over(W.orderBy("read_index")) - 1) / batch))
+    # Batches are numbered from counts of read_index only, by blocks of indexes; the window over blocks has a row each.
+    ids = long.select("read_index", kept.alias("k"), F.floor(F.col("read_index") / 65536).alias("block"))
+    sizes = ids.groupBy("block").agg(F.count("*").alias("c"))
+    offset = sizes.select("block", (F.sum("c").over(W.orderBy("block")) - F.col("c")).alias("first"))
+    place = F.col("first") + F.row_number().over(W.partitionBy("block").orderBy("read_index")) - 1
+    numbered = ids.join(offset, "block").withColumn("b", F.floor(place / batch)).select("read_index", "k", "b")
     sums = numbered.groupBy("b").agg(F.sum(F.col("k").cast("int")).alias("n"))
     before = sums.select("b", (F.sum("n").over(W.orderBy("b")) - F.col("n")).alias("before")).where(F.col("before") < sampling)
     chosen = numbered.join(before, "b").where("k").select("read_index")
@@ -261,7 +278,7 @@ def train(reads: DataFrame, model: Model, iterations: int = 10, width: int = 50,
     kept = usable(reads, model.states, least, batch, sampling).select("chrom", "signal", "mv").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for it in range(iterations):
-            stats = {(r.kind, r.key, r.comp, r.i, r.j): r.val for r in e_step(kept, model, width, model.dim).collect()}  # a row a parameter
+            stats = by_key(e_step(kept, model, width, model.dim))
             score = stats.get(("score", "", 0, 0, 0), 0.0)
             history.append((it, score, score - before))
             before = score

@@ -48,7 +48,13 @@ def _ids(kernel) -> object:
 
 
 def cusum(signal: Column | str, sigma: float = 1.0, h: float = 3.0, window: int = 12) -> Column:
-    return _ids(lambda x: K.cusum(x, sigma, h, window))(signal)
+    @F.pandas_udf("array<int>")
+    def go(signals: pd.Series) -> pd.Series:
+        there = [np.asarray(s, float) for s in signals if s is not None]
+        found = iter(K.cusum_many(there, sigma, h, window))
+        return pd.Series([None if s is None else next(found) for s in signals])
+
+    return go(signal)
 
 
 def pelt(signal: Column | str, dwell_mean: float = 15.0, dwell_var: float = 60.0, max_run: int = 60, prune: str = "none", minvar: str = "exact") -> Column:

@@ -215,10 +215,13 @@ def gmm_responsibility(spark, d):
     return _events(spark, d).select("user_id", "pos", r6(a, "r0"), r6(b, "r1"))
 
 
-def _moments(spark, d):
-    rs = N.responsibilities(F.col("x"), PARTS)
-    cols = [c for k, r in enumerate(rs) for c in (F.sum(r).alias(f"g{k}"), F.sum(r * F.col("x")).alias(f"x{k}"), F.sum(r * F.col("x") * F.col("x")).alias(f"xx{k}"))]
-    return _events(spark, d).agg(*cols)
+ONE_STATE = json.dumps({"nodes": [{"id": 0, "seq_id": 0, "kmer": "A", "label": "*"}], "links": [{"source": 0, "target": 0, "prob": 1.0}], "emission": {"A_*": {"peak": 2, "dim": 1, "params": [v for part in PARTS for v in part]}}})
+
+
+def _steps(spark, d):
+    """The mixture as a model of one state: its expected counts, a row a parameter."""
+    model = parse_model(ONE_STATE)
+    return model, H.e_step(_reads(spark, d), model, 1)
 
 
 _SUMS = ", ".join(f"sum(r{k}) as g{k}, sum(r{k} * x) as x{k}, sum(r{k} * x * x) as xx{k}" for k in (0, 1))
@@ -227,12 +230,17 @@ _RESP = f"{S}, r as (select x, exp({_G[0]} - {_LSE}) as r0, exp({_G[1]} - {_LSE}
 
 @query("gmm_sufficient_stats", _RESP + " select " + ", ".join(f"round(g{k}, 4) as g{k}, round(x{k}, 3) as x{k}, round(xx{k}, 2) as xx{k}" for k in (0, 1)) + " from t")
 def gmm_sufficient_stats(spark, d):
-    return _moments(spark, d).select(*(c for k in (0, 1) for c in (r6(f"g{k}", f"g{k}", 4), r6(f"x{k}", f"x{k}", 3), r6(f"xx{k}", f"xx{k}", 2))))
+    of = lambda kind, k: F.max(F.when((F.col("kind") == kind) & (F.col("comp") == k), F.col("val")))
+    return _steps(spark, d)[1].agg(*(F.round(of(kind, k), digits).alias(f"{kind}{k}") for k in (0, 1) for kind, digits in (("g", 4), ("x", 3), ("xx", 2))))
 
 
 @query("gmm_m_step", _RESP + " select " + ", ".join(f"round(g{k} / (g0 + g1), 6) as w{k}, round(x{k} / g{k}, 5) as m{k}, round(xx{k} / g{k} - pow(x{k} / g{k}, 2), 4) as v{k}" for k in (0, 1)) + " from t")
 def gmm_m_step(spark, d):
-    return _moments(spark, d).select(*(c for k in (0, 1) for c in (r6(F.expr(f"g{k} / (g0 + g1)"), f"w{k}"), r6(F.expr(f"x{k} / g{k}"), f"m{k}", 5), r6(F.expr(f"xx{k} / g{k} - pow(x{k} / g{k}, 2)"), f"v{k}", 4))))
+    model, stats = _steps(spark, d)
+    new = H.m_step(model, H.by_key(stats), H.Options()).emissions["A_*"]  # a row a parameter comes to the driver
+    row = [float(v) for k in (0, 1) for v in (np.exp(new.logw[k]), new.mean[k, 0], new.cov[k, 0, 0])]
+    made = spark.createDataFrame([row], ", ".join(f"w{k} double, m{k} double, v{k} double" for k in (0, 1)))
+    return made.select(*(F.round(f"{c}{k}", n).alias(f"{c}{k}") for k in (0, 1) for c, n in (("w", 6), ("m", 5), ("v", 4))))
 
 
 @query("tied_covariance", "with x as (select label, embedding[1]::double as x from embeddings), p as (select var_pop(x) as v from x) select label, count(*) as n, round(avg(x), 6) as mean, round(any_value(p.v), 6) as var from x, p group by label")
@@ -334,7 +342,10 @@ def uniform_band(spark, d):
     return _reads(spark, d).select(F.col("read_index").alias("user_id"), F.inline(KM.uniform_band(F.size("signal"), 10, 4)))
 
 
-@query("moves_band")
+@query("moves_band", S.replace("with s", "with recursive s0") + """, s as (select user_id, pos, floor(x / 40)::int as mv from s0),
+  k as (select user_id, (10 / (max(mv) - min(mv) filter (mv >= 0) + 1)::double)::float as skip from s group by 1 having max(mv) >= 0),
+  c as (select user_id, pos, mv, skip as cur, skip from s join k using (user_id) where pos = 0 union all select c.user_id, s.pos, s.mv, case when s.mv <> c.mv then c.cur + c.skip else c.cur end, c.skip from c join s on s.user_id = c.user_id and s.pos = c.pos + 1)
+  select user_id, pos::int as t, p::int as position from (select user_id, pos, least(9, floor(cur)::int) + unnest([-2, -1, 0, 1]) as p from c) z where p between 0 and 9""")
 def moves_band(spark, d):
     r = _reads(spark, d).withColumn("mv", F.transform("signal", lambda x: (F.floor(x / 40)).cast("int")))
     return r.select(F.col("read_index").alias("user_id"), F.inline(R.moves_band("mv", 10, 4)))
@@ -428,27 +439,79 @@ def forward_loglik(spark, d):
     return _reads(spark, d).select(F.col("read_index").alias("user_id"), r6(go("signal"), "loglik", 5))
 
 
-@query("em_one_step")
+#: Forward values a0, a1 of VITERBI with backward values: posteriors of states and edges, and the sums that an iteration needs.
+EM = VITERBI + """,
+w as (select user_id, pos, 0.0::double as w0, 0.0::double as w1 from l join (select user_id, pos from v) using (user_id) where pos = l.n
+  union all select w.user_id, s.pos - 1, greatest(ln(0.9) + e0 + w0, ln(0.1) + e1 + w1) + ln(1 + exp(-abs(ln(0.9) + e0 + w0 - ln(0.1) - e1 - w1))),
+    greatest(ln(0.1) + e0 + w0, ln(0.9) + e1 + w1) + ln(1 + exp(-abs(ln(0.1) + e0 + w0 - ln(0.9) - e1 - w1)))
+  from w join s on s.user_id = w.user_id and s.pos = w.pos where w.pos > 0),
+k as (select v.user_id, l.n + 1 as n, greatest(a0, a1) + ln(1 + exp(-abs(a0 - a1))) as ll from v join l on l.user_id = v.user_id and l.n = v.pos),
+g as (select v.user_id, v.pos, s0.x, exp(a0 + w0 - ll) as g0, exp(a1 + w1 - ll) as g1 from v join w using (user_id, pos) join k using (user_id) join s0 using (user_id, pos)),
+x as (select exp(a0 + ln(0.9) + e0 + w0 - ll) as x00, exp(a0 + ln(0.1) + e1 + w1 - ll) as x01, exp(a1 + ln(0.1) + e0 + w0 - ll) as x10, exp(a1 + ln(0.9) + e1 + w1 - ll) as x11
+  from v join s on s.user_id = v.user_id and s.pos = v.pos + 1 join w on w.user_id = s.user_id and w.pos = s.pos join k on k.user_id = v.user_id),
+st as (
+  select 'score' as kind, '' as key, 0 as i, 0 as j, sum(ll / n) as val from k union all select 'loglik', '', 0, 0, sum(ll) from k union all select 'reads', '', 0, 0, count(*) from k
+  union all select 'g', 'A_*', 0, 0, sum(g0) from g union all select 'x', 'A_*', 0, 0, sum(g0 * x) from g union all select 'xx', 'A_*', 0, 0, sum(g0 * x * x) from g
+  union all select 'g', 'C_*', 0, 0, sum(g1) from g union all select 'x', 'C_*', 0, 0, sum(g1 * x) from g union all select 'xx', 'C_*', 0, 0, sum(g1 * x * x) from g
+  union all select 'pi', '', 0, 0, sum(g0) from g where pos = 0 union all select 'pi', '', 1, 0, sum(g1) from g where pos = 0
+  union all select 'xi', '', 0, 0, sum(x00) from x union all select 'xi', '', 0, 1, sum(x01) from x union all select 'xi', '', 1, 0, sum(x10) from x union all select 'xi', '', 1, 1, sum(x11) from x)
+"""
+#: Sums of squares are large, so fewer of their decimals are the same in any order of summation.
+_DIGITS = {"xx": 1, "x": 2, "loglik": 3}
+
+
+@query("em_one_step", EM + " select kind, key, 0 as comp, i, j, case kind when 'xx' then round(val, 1) when 'x' then round(val, 2) when 'loglik' then round(val, 3) else round(val, 4) end as val from st")
 def em_one_step(spark, d):
     """Expected counts of one pass over all reads, summed over the cluster."""
     stats = H.e_step(_reads(spark, d), _two(), 5)
-    return stats.select("kind", "key", "comp", "i", "j", F.round("val", 4).alias("val"))
+    val = F.round("val", 4)
+    for kind, n in _DIGITS.items():
+        val = F.when(F.col("kind") == kind, F.round("val", n)).otherwise(val)
+    return stats.select("kind", "key", "comp", "i", "j", val.alias("val"))
+
+
+def _updated(spark, d, method: str):
+    """Emissions and edges of the two states after one iteration: (what, i, j, val)."""
+    model = H.m_step(_two(), H.by_key(H.e_step(_reads(spark, d), _two(), 5)), H.Options.parse(method))
+    rows = [(f"{what}", i, 0, float(v)) for i, k in enumerate(model.key) for what, v in (("mean", model.emissions[k].mean[0, 0]), ("var", model.emissions[k].cov[0, 0, 0]))]
+    rows += [("link", int(a), int(b), float(np.exp(p))) for (a, b), p in zip(model.edges, model.logp)] + [("start", i, 0, float(np.exp(p))) for i, p in enumerate(model.logpi)]
+    return spark.createDataFrame(rows, "what string, i int, j int, val double").select("what", "i", "j", r6("val", "val", 5))
+
+
+_NEW = """, p as (select max(val) filter (kind = 'g' and key = 'A_*') as g0, max(val) filter (kind = 'g' and key = 'C_*') as g1, max(val) filter (kind = 'x' and key = 'A_*') as s0, max(val) filter (kind = 'x' and key = 'C_*') as s1,
+  max(val) filter (kind = 'xx' and key = 'A_*') as q0, max(val) filter (kind = 'xx' and key = 'C_*') as q1 from st),
+r as (select 'link' as what, i, j, val / sum(val) over (partition by i) as val from st where kind = 'xi' union all select 'start', i, 0, val / sum(val) over () from st where kind = 'pi'
+  union all select 'mean', 0, 0, s0 / g0 from p union all select 'mean', 1, 0, s1 / g1 from p"""
+
+
+@query("hmm_m_step", EM + _NEW + " union all select 'var', 0, 0, q0 / g0 - pow(s0 / g0, 2) from p union all select 'var', 1, 0, q1 / g1 - pow(s1 / g1, 2) from p) select what, i, j, round(val, 5) as val from r")
+def hmm_m_step(spark, d):
+    return _updated(spark, d, "etp")
+
+
+@query("hmm_m_step_tied", EM + _NEW + " union all select 'var', i, 0, (q0 + q1) / (g0 + g1) - pow((s0 + s1) / (g0 + g1), 2) from p, (select unnest([0, 1]) as i) t) select what, i, j, round(val, 5) as val from r")
+def hmm_m_step_tied(spark, d):
+    """One covariance for both states."""
+    return _updated(spark, d, "etps")
 
 
 #: The two states as classes 1 and 2.
 CLASSES = TWO_STATES.replace('"A", "label": "*"', '"A", "label": "1"').replace('"C", "label": "*"', '"C", "label": "2"').replace("A_*", "A_1").replace("C_*", "C_2")
 
 
-@query("classify_reads")
+@query("classify_reads", VITERBI + " select '00000000-0000-0000-0000-' || lpad(user_id::varchar, 12, '0') as uuid, (user_id % 2 + 1)::double as label_real, (st + 1)::double as label_predict from b where pos = 0")
 def classify_reads(spark, d):
     """A read's chrom ends in its user's class, 1 or 2."""
     rows = spark.read.parquet(f"{d}/events.parquet").withColumn("chrom", F.concat(F.lit("chr"), F.pmod("user_id", F.lit(2)) + 1))
     return H.classify_reads(R.as_reads(rows, "user_id", ["ts", "event_id"], "value", label="chrom"), parse_model(CLASSES))
 
 
-@query("run_means")
+_RUNS = ", ".join(f"round(avg(x) filter (seg = {i} and k <= 50), 6) as c{i}" for i in range(50))
+
+
+@query("run_means", CUSUM + f", k as (select user_id, seg, x, row_number() over (partition by user_id, seg order by pos) as k from r join s using (user_id, pos)) select '00000000-0000-0000-0000-' || lpad(user_id::varchar, 12, '0') as read_id, -48 as label, {_RUNS} from k group by user_id")
 def run_means(spark, d):
-    return H.run_means(R.segment_reads(_reads(spark, d)))
+    return H.run_means(R.segment_reads(_reads(spark, d))).select("read_id", "label", *(r6(f"c{i}", f"c{i}") for i in range(50)))
 
 
 def _positions(column):
@@ -459,10 +522,47 @@ def _positions(column):
     return go
 
 
-query("pelt_segments")(_positions(R.pelt))
+_SEGMENTS = """,
+  last as (select user_id, previous, n from t where j = n),
+  ends as (select user_id, previous, n as stop from last union all select user_id, previous, previous[stop + 1] from ends where previous[stop + 1] > 0),
+  cuts as (select user_id, list(stop) as cuts from ends group by 1)
+  select user_id, pos, len(list_filter(cuts, lambda c: c <= pos))::int as seg from s join cuts using (user_id)"""
+
+#: Dynamic programming with one row a read and end: the best costs and starts so far are lists.
+query("pelt_segments", S.replace("with s", "with recursive s") + f""",
+  q as (select user_id, pos, var_pop(x) over (partition by user_id order by pos rows between 5 preceding and current row) as v, count(*) over (partition by user_id) as n from s),
+  f as (select user_id, greatest(1e-12, min(v)) as least from q where pos >= least(5, n - 1) group by 1),
+  p as (select user_id, [0.0::double] || list(s1 order by pos) as s1, [0.0::double] || list(s2 order by pos) as s2, count(*) as n from (
+    select user_id, pos, sum(x) over (partition by user_id order by pos) as s1, sum(x * x) over (partition by user_id order by pos) as s2 from s) z group by 1),
+  t as (select user_id, 0::bigint as j, [0.0::double] as best, [0::bigint] as previous, n from p
+    union all select user_id, j, best || [list_min(c)], previous || [list_position(c, list_min(c)) - 1 + lo], n from (
+      select t.user_id, t.j + 1 as j, best, previous, p.n, greatest(0, t.j + 1 - 60) as lo, list_transform(range(greatest(0, t.j + 1 - 60), t.j + 1), lambda i: best[i + 1]
+        + 0.5 * (t.j + 1 - i) * (ln(2 * pi()) + ln(greatest(least, (s2[t.j + 2] - s2[i + 1]) / (t.j + 1 - i) - pow((s1[t.j + 2] - s1[i + 1]) / (t.j + 1 - i), 2))) + 1)
+        + 0.5 * ln(2 * pi() * pow(t.j + 1 - i, 3) / 56.25) + 56.25 * pow(t.j + 1 - i - 15, 2) / (2 * 225.0 * (t.j + 1 - i))) as c
+      from t join p on p.user_id = t.user_id join f on f.user_id = t.user_id where t.j < t.n) y){_SEGMENTS}""")(_positions(R.pelt))
 query("bocpd_segments")(_positions(R.bocpd))
-query("jb_segments")(_positions(R.jb_segments))
-query("two_window_segments")(_positions(R.two_window_segments))
+query("jb_segments", S.replace("with s", "with recursive s") + f""",
+  u as (select user_id, pos, (x - avg(x) over (partition by user_id)) / nullif(stddev_pop(x) over (partition by user_id), 0) as z from s),
+  p as (select user_id, {", ".join(f"[0.0::double] || list(s{k} order by pos) as s{k}" for k in (1, 2, 3, 4))}, count(*) as n from (
+    select user_id, pos, {", ".join(f"sum(pow(z, {k})) over (partition by user_id order by pos) as s{k}" for k in (1, 2, 3, 4))} from u) z group by 1),
+  t as (select user_id, 0::bigint as j, [-0.9::double] as best, [0::bigint] as previous, n from p
+    union all select user_id, j, best || [coalesce(list_min(c), 'inf'::double)], previous || [coalesce(list_position(c, list_min(c)) - 1, 0)], n from (
+      select user_id, j, best, previous, n, list_transform(m, lambda w: w.b + 0.9 + case when w.m2 > 1e-12 then abs(w.l / 6.0 * (pow(w.r3 - 3 * w.m1 * w.r2 + 2 * pow(w.m1, 3), 2) / pow(w.m2, 3)
+          + pow((w.r4 - 4 * w.m1 * w.r3 + 6 * w.m1 * w.m1 * w.r2 - 3 * pow(w.m1, 4)) / pow(w.m2, 2) - 3, 2) / 4)) else 0 end) as c from (
+        select t.user_id, t.j + 1 as j, best, previous, p.n, list_transform(range(0, greatest(0, t.j + 1 - 3)), lambda i: {{b: best[i + 1], l: t.j + 1 - i, m1: (s1[t.j + 2] - s1[i + 1]) / (t.j + 1 - i), r2: (s2[t.j + 2] - s2[i + 1]) / (t.j + 1 - i),
+          r3: (s3[t.j + 2] - s3[i + 1]) / (t.j + 1 - i), r4: (s4[t.j + 2] - s4[i + 1]) / (t.j + 1 - i), m2: (s2[t.j + 2] - s2[i + 1]) / (t.j + 1 - i) - pow((s1[t.j + 2] - s1[i + 1]) / (t.j + 1 - i), 2)}}) as m
+        from t join p on p.user_id = t.user_id where t.j < t.n) y) x){_SEGMENTS}""")(_positions(R.jb_segments))
+query("two_window_segments", S.replace("with s", "with recursive s") + """,
+  m as (select user_id, pos, count(*) over (partition by user_id) as n, avg(x) over a as ma, var_pop(x) over a as va, avg(x) over b as mb, var_pop(x) over b as vb, avg(pow(x, 2)) over b as r2, avg(pow(x, 3)) over b as r3, avg(pow(x, 4)) over b as r4 from s
+    window a as (partition by user_id order by pos rows between 9 preceding and current row), b as (partition by user_id order by pos rows between 1 following and 10 following)),
+  k as (select *, r2 - mb*mb as m2, r3 - 3*mb*r2 + 2*pow(mb, 3) as m3, r4 - 4*mb*r3 + 6*mb*mb*r2 - 3*pow(mb, 4) as m4 from m),
+  z as (select user_id, pos, pow(ma - mb, 2) / ((va + vb) / 9) as z, 10.0/6 * (pow(m3, 2) / pow(m2, 3) + pow(m4 / pow(m2, 2) - 3, 2) / 4) as jb from k where pos >= 10 and pos < n - 10),
+  t as (select distinct user_id, 0 as step, 10::bigint as i, false as o, 0::bigint as best, 0.0::double as top, []::bigint[] as cuts from s
+    union all select t.user_id, step + 1, case when not o and z >= 2.706 then i when o and jb <= 0.211 then i + 10 else i + 1 end, case when not o then z >= 2.706 else jb > 0.211 end,
+      case when not o or (jb > 0.211 and z > top) then i else best end, case when not o or (jb > 0.211 and z > top) then z else top end, case when o and jb <= 0.211 then cuts || [best] else cuts end
+    from t join z on z.user_id = t.user_id and z.pos = t.i),
+  e as (select user_id, case when o then cuts || [best] else cuts end as cuts from t qualify row_number() over (partition by user_id order by step desc) = 1)
+  select user_id, pos, len(list_filter(cuts, lambda c: c <= pos))::int as seg from s join e using (user_id)""")(_positions(R.two_window_segments))
 query("beam_changes")(_positions(lambda c: R.beam_changes(c, [(20.0, 400.0), (90.0, 3600.0)])))
 
 
@@ -472,7 +572,14 @@ def aggregate_segments(spark, d):
     return R.long_form(r.withColumn("mv", R.aggregate_segments("mv", 8))).select(F.col("read_index").alias("user_id"), "pos", F.col("mv").alias("seg"))
 
 
-@query("dtw_distance")
+#: One row a pair of reads and anti-diagonal: costs and path lengths of the two before, by place in the first read.
+@query("dtw_distance", S.replace("with s", "with recursive s") + """, r as (select user_id as read_index, list(x order by pos) as a, count(*)::int as n from s group by 1),
+  p as (select x.read_index, x.a, y.a as b, x.n, y.n as m from r x join r y on y.read_index = x.read_index + 1),
+  t as (select read_index, a, b, n, m, 0 as d, list_transform(range(0, n + 1), lambda i: case when i = 0 then 0.0::double else 'inf'::double end) as c1, list_transform(range(0, n + 1), lambda i: 'inf'::double) as c2, list_transform(range(0, n + 1), lambda i: 0) as k1, list_transform(range(0, n + 1), lambda i: 0) as k2 from p
+    union all select read_index, a, b, n, m, d, list_transform(w, lambda z: z[1]), c1, list_transform(w, lambda z: z[2]::int), k1 from (
+      select read_index, a, b, n, m, d + 1 as d, c1, k1, list_transform(range(0, n + 1), lambda i: case when i >= 1 and d + 1 - i between 1 and m then
+        [pow(a[i] - b[d + 1 - i], 2) + least(c2[i], c1[i], c1[i + 1]), 1 + case when c2[i] <= c1[i] and c2[i] <= c1[i + 1] then k2[i] when c1[i] <= c1[i + 1] then k1[i] else k1[i + 1] end] else ['inf'::double, 0.0] end) as w from t where d < n + m) y)
+  select read_index, round(c1[n + 1], 4) as dist, k1[n + 1]::int as steps from t where d = n + m""")
 def dtw_distance(spark, d):
     """Each read against the next by index."""
     r = _reads(spark, d).select("read_index", "signal")

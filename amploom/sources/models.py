@@ -164,7 +164,8 @@ def frames_of(spark: SparkSession, model: Model) -> dict[str, DataFrame]:
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(id, sequence) of every record: the id is what stands before the first space; line breaks go."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
+    # A record begins at a ">" that is the first character of a line, wherever else the character stands.
+    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
     head = F.regexp_replace(F.substring_index("value", "\n", 1), r"\r$", "")
     body = F.when(F.instr("value", "\n") > 0, F.substring(F.col("value"), F.instr("value", "\n") + 1, F.length("value"))).otherwise("")
     return rows.select(F.substring_index(head, " ", 1).alias("id"), F.regexp_replace(body, r"[\r\n]", "").alias("sequence"))
