@@ -198,3 +198,22 @@ def histogram(s: DataFrame, lo: float, hi: float, bins: int) -> DataFrame:
     counts = s.groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("t"))
     return counts.crossJoin(F.broadcast(total)).select("bin", "n", F.ln(F.col("n") / F.col("t")).alias("log_prob"))  # one row
+
+
+def vec_add(a: Column, b: Column | float) -> Column:
+    """Array plus array, or plus a number."""
+    return F.zip_with(a, b, lambda x, y: x + y) if isinstance(b, Column) else F.transform(a, lambda x: x + b)
+
+
+def vec_scale(a: Column, b: float) -> Column:
+    return F.transform(a, lambda x: x * b)
+
+
+def vec_multiply(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x * y)
+
+
+def segment_loglik(x: Column | str) -> Column:
+    """An aggregate: the log-likelihood of a segment under its own mean and variance; 0 without samples, NULL without variance."""
+    n, var = F.count(x), F.var_pop(x)
+    return F.when(n == 0, 0.0).when(var > 0, -0.5 * n * (math.log(2 * math.pi) + 1 + F.ln(var)))

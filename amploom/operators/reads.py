@@ -39,6 +39,11 @@ def min_length(reads: DataFrame, least: int, stop_at_first_short: bool = False)
     return long.crossJoin(F.broadcast(cut)).where(F.col("cut").isNull() | (F.col("read_index") < F.col("cut"))).drop("cut")
 
 
+def shuffled(reads: DataFrame, seed: int = 42) -> DataFrame:
+    """Reads in a random order that depends on the seed and read_index only; ``order`` is what they are sorted by."""
+    return reads.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("read_index").cast("string")))).orderBy("order")
+
+
 def _ids(kernel) -> object:
     @F.pandas_udf("array<int>")
     def go(signal: pd.Series) -> pd.Series:
@@ -118,6 +123,22 @@ def segment_means(reads: DataFrame) -> DataFrame:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """The kernels as SQL functions: cusum, pelt, bocpd, jb_segments, two_window_segments."""
+    """The kernels as SQL functions: cusum, pelt, bocpd, jb_segments, two_window_segments, aggregate_segments, and run_lengths as a table function."""
     for name, kernel in {"cusum": K.cusum, "bocpd": K.bocpd, "jb_segments": K.jb_segments, "two_window_segments": K.two_window_segments, "pelt": lambda x: K.pelt(x, 15.0, 60.0, 60)}.items():
         spark.udf.register(name, _ids(kernel))
+
+    @F.pandas_udf("array<int>")
+    def merge(m: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else K.aggregate_segments(np.asarray(x, int), int(k)) for x, k in zip(m, n)])
+
+    spark.udf.register("aggregate_segments", merge)
+
+    @F.udtf(returnType="run int, value int, start int, length int")
+    class RunLengths:
+        def eval(self, mv):
+            runs = K.run_ids(np.asarray(mv if mv is not None else [], int))
+            start = np.flatnonzero(np.append(True, runs[1:] != runs[:-1])) if len(runs) else runs
+            for k, (a, n) in enumerate(zip(start.tolist(), np.diff(np.append(start, len(runs))).tolist())):
+                yield k, int(mv[a]), a, n
+
+    spark.udtf.register("run_lengths", RunLengths)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kmers as KM
 from ..functions import windows as N
+from ..operators import families as FA
 from ..operators import graph as G
 from ..operators import hmm as H
 from ..operators import reads as R
@@ -179,6 +180,30 @@ def array_kernels(spark, d):
     return _reads(spark, d).select(F.col("read_index").alias("user_id"), r6(N.kahan_sum(a), "total", 5), N.argmin(a).cast("long").alias("lo"), N.argmax(a).cast("long").alias("hi"), r6(N.squared_distance(a, fifty), "d2", 3))
 
 
+@query("vector_ops", f"{S}, a as (select user_id, list(x order by pos) as a from s group by 1) select user_id, list_transform(a, lambda v: round(v + v, 6)) as twice, list_transform(a, lambda v: round(v + 1.5, 6)) as more, list_transform(a, lambda v: round(v * 0.25, 6)) as scaled, list_transform(a, lambda v: round(v * v, 6)) as squared from a")
+def vector_ops(spark, d):
+    a = F.col("signal")
+    made = {"twice": N.vec_add(a, a), "more": N.vec_add(a, 1.5), "scaled": N.vec_scale(a, 0.25), "squared": N.vec_multiply(a, a)}
+    return _reads(spark, d).select(F.col("read_index").alias("user_id"), *(F.transform(c, lambda x: F.round(x, 6)).alias(k) for k, c in made.items()))
+
+
+@query("segment_loglik", f"{S} select user_id, pos // 8 as seg, round(-0.5 * count(*) * ln(2 * pi() * exp(1) * var_pop(x)), 5) as loglik from s group by 1, 2 having var_pop(x) > 0")
+def segment_loglik(spark, d):
+    seg = F.floor(F.col("pos") / 8).alias("seg")
+    return _events(spark, d).groupBy("user_id", seg).agg(r6(N.segment_loglik("x"), "loglik", 5)).where("loglik is not null")
+
+
+@query("seeded_shuffle", "select distinct user_id as read_index, md5('42:' || user_id::varchar) as \"order\" from events")
+def seeded_shuffle(spark, d):
+    return R.shuffled(_reads(spark, d)).select("read_index", "order")
+
+
+@query("move_extremes", f"{S}, m as (select user_id, floor(x / 40)::int - 1 as mv from s) select user_id, max(mv) as most, min(mv) filter (mv >= 0) as least from m group by 1")
+def move_extremes(spark, d):
+    mv = F.transform("signal", lambda x: (F.floor(x / 40) - 1).cast("int"))
+    return _reads(spark, d).select(F.col("read_index").alias("user_id"), F.array_max(mv).alias("most"), F.array_min(F.filter(mv, lambda v: v >= 0)).alias("least"))
+
+
 @query("beam_top_k", f"{S}, r as (select user_id, pos, x, row_number() over (partition by user_id order by x, pos) as rank from s) select * from r where rank <= 5")
 def beam_top_k(spark, d):
     return N.top_k(_events(spark, d), ["user_id"], "x", 5, ["pos"])
@@ -250,6 +275,57 @@ def tied_covariance(spark, d):
     return x.groupBy("label").agg(F.count("*").alias("n"), F.avg("x").alias("mean")).crossJoin(F.broadcast(pooled)).select("label", "n", r6("mean", "mean"), r6("v", "var"))
 
 
+_POINTS = "with q as (select l_suppkey, l_quantity::double as a, l_discount::double as b, l_tax::double + 0.01 as w from lineitem)"
+
+
+def _points(spark, d):
+    x = spark.read.parquet(f"{d}/lineitem.parquet")
+    return x.select("l_suppkey", F.col("l_quantity").cast("double").alias("a"), F.col("l_discount").cast("double").alias("b"), (F.col("l_tax").cast("double") + 0.01).alias("w"))
+
+
+@query("weighted_gaussian", _POINTS + """, t as (select l_suppkey, sum(w) as w, sum(w * w) as w2, sum(w * a) as xa, sum(w * b) as xb, sum(w * a * a) as aa, sum(w * a * b) as ab, sum(w * b * b) as bb from q group by 1), u as (select *, w - w2 / w as n from t)
+  select l_suppkey, round(n, 6) as n_eff, round(xa / w, 5) as m0, round(xb / w, 6) as m1, round((aa - xa * xa / w) / n, 4) as c00, round((ab - xa * xb / w) / n, 6) as c10, round((bb - xb * xb / w) / n, 7) as c11 from u where n > 1e-9""")
+def weighted_gaussian(spark, d):
+    got = FA.weighted_gaussian(_points(spark, d), ["l_suppkey"], "w", "a", "b").where("n_eff > 1e-9")
+    return got.select("l_suppkey", *(r6(c, c, n) for c, n in (("n_eff", 6), ("m0", 5), ("m1", 6), ("c00", 4), ("c10", 6), ("c11", 7))))
+
+
+@query("gaussian_2d", _POINTS + """, z as (select l_suppkey, a, b, (a - 25) / 15.0 as y0, (b - 0.05 - 0.001 * (a - 25) / 15.0) / 0.03 as y1 from q)
+  select l_suppkey, a, b, round(-0.5 * (y0 * y0 + y1 * y1) - ln(2 * pi()) - ln(15.0) - ln(0.03), 6) as lp, round(5 - y0 * y0 - y1 * y1, 6) as score from z""")
+def gaussian_2d(spark, d):
+    g = FA.Gaussian(np.array([25.0, 0.05]), np.array([[15.0, 0.0], [0.001, 0.03]]))
+    a, b = F.col("a"), F.col("b")
+    return _points(spark, d).select("l_suppkey", "a", "b", r6(g.log_density(a, b), "lp"), r6(g.score(a, b), "score"))
+
+
+_GRID = FA.Histogram((0.0, 0.0), (50.0, 0.1), (10, 4))
+
+
+@query("histogram_2d", _POINTS + """, c as (select least(9, greatest(0, floor(a / 5.0)))::bigint + 10 * least(3, greatest(0, floor(b / 0.025)))::bigint as cell, w from q), h as (select cell, sum(w) as n from c group by 1),
+  g as (select unnest(range(0, 40)) as cell), v as (select g.cell, ln(exp(-50) + coalesce(n, 0)) as v from g left join h on h.cell = g.cell) select cell, round(exp(v) / (select sum(exp(v)) from v), 8) as p from v""")
+def histogram_2d(spark, d):
+    """The grid's cells after one update, empty ones too."""
+    p = _GRID.update(_points(spark, d), "w", "a", "b").pack()
+    return spark.createDataFrame(list(enumerate(p)), "cell long, p double").select("cell", r6("p", "p", 8))
+
+
+@query("histogram_lookup", _POINTS + """, k as (select l_suppkey, least(9, greatest(0, floor(a / 5.0)))::bigint + 10 * least(3, greatest(0, floor(b / 0.025)))::bigint as cell, w from q), h as (select cell, ln(sum(w)) as v from k group by 1)
+  select l_suppkey, cell, count(*) as n, round(min(v) - ln((select sum(exp(v)) from h)), 6) as lp from k join h using (cell) group by 1, 2""")
+def histogram_lookup(spark, d):
+    x = _points(spark, d)
+    g = _GRID.update(x, "w", "a", "b")
+    a, b = F.col("a"), F.col("b")
+    return x.groupBy("l_suppkey", g.cell(a, b).alias("cell")).agg(F.count("*").alias("n"), r6(F.min(g.log_density(a, b)), "lp"))
+
+
+@query("transition_update", "with e as (select n_regionkey as source, (n_regionkey + n_nationkey) % 5 as target, n_nationkey / 7.0 as xi from nation), u as (select source, target, sum(exp(xi)) as p from e group by 1, 2) select source, target, round(ln(p / sum(p) over (partition by source)), 6) as lp from u")
+def transition_update(spark, d):
+    """New log-probabilities of the edges out of one state and into another, from expected counts in logs."""
+    n = spark.read.parquet(f"{d}/nation.parquet")
+    counts = n.select(F.col("n_regionkey").alias("source"), ((F.col("n_regionkey") + F.col("n_nationkey")) % 5).alias("target"), (F.col("n_nationkey") / 7.0).alias("xi"))
+    return FA.Links(counts.limit(0)).update(counts).table.select("source", "target", r6("lp", "lp"))
+
+
 _C = [(i, j) for i in range(4) for j in range(i + 1)]
 
 
@@ -284,6 +360,13 @@ def _chain(spark, d):
     return G.log_links(links), spark.read.parquet(f"{d}/region.parquet").select(F.col("r_regionkey").alias("id"), (-F.col("r_regionkey") / 3.0).alias("v"))
 
 
+@query("edge_slices", _CHAIN + " select 'row' as what, source, target, round(lp, 6) as lp from l where source = 2 union all select 'column', source, target, round(lp, 6) from l where target = 3")
+def edge_slices(spark, d):
+    links = FA.Links(_chain(spark, d)[0])
+    both = links.row(2).withColumn("what", F.lit("row")).unionByName(links.column(3).withColumn("what", F.lit("column")))
+    return both.select("what", "source", "target", r6("lp", "lp"))
+
+
 @query("row_normalise", _CHAIN + " select source, target, round(lp, 6) as lp from l")
 def row_normalise(spark, d):
     return _chain(spark, d)[0].select("source", "target", r6("lp", "lp"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from amploom.functions import kernels as K
 from amploom.functions.kmers import moves_band
@@ -128,3 +129,40 @@ def test_training_improves_and_recovers(spark):
     one = H.e_step(df.coalesce(1), model, 2).orderBy("kind", "key", "comp", "i", "j").collect()
     many = H.e_step(df.repartition(8), model, 2).orderBy("kind", "key", "comp", "i", "j").collect()
     assert [r.val for r in one] == pytest.approx([r.val for r in many], rel=1e-9)
+
+
+def test_cusum_many_is_cusum_of_each():
+    rnd = np.random.default_rng(3)
+    signals = [rnd.normal(rnd.integers(0, 3), 1, int(n)) + np.repeat(rnd.normal(0, 4, 9), 12)[: int(n)] for n in rnd.integers(0, 100, 60)] + [np.ones(40), np.zeros(0), np.repeat([1.0, 5.0], 15)]
+    for x, got in zip(signals, K.cusum_many(signals)):
+        assert got.tolist() == K.cusum(x).tolist()
+
+
+def test_families(spark):
+    from amploom.operators import families as FA
+
+    rnd = np.random.default_rng(5)
+    x, w = rnd.normal(size=(200, 2)) @ np.array([[2.0, 0.3], [0.0, 0.5]]) + [1.0, -2.0], rnd.random(200)
+    df = spark.createDataFrame([(float(a), float(b), float(c)) for (a, b), c in zip(x, w)], "a double, b double, w double")
+    g = FA.Gaussian.standard(2).update(df, "w", "a", "b")
+    mean = (w[:, None] * x).sum(0) / w.sum()
+    cov = (w[:, None, None] * (x - mean)[:, :, None] * (x - mean)[:, None, :]).sum(0) / (w.sum() - (w**2).sum() / w.sum())
+    assert np.allclose(g.mean, mean) and np.allclose(g.factor @ g.factor.T, cov) and np.allclose(FA.Gaussian.unpack(g.pack(), 2).factor, g.factor)
+    lp = [r.lp for r in df.select(g.log_density(F.col("a"), F.col("b")).alias("lp")).collect()]
+    inv = np.linalg.inv(cov)
+    want = [-0.5 * (v - mean) @ inv @ (v - mean) - np.log(2 * np.pi) - 0.5 * np.log(np.linalg.det(cov)) for v in x]
+    assert np.allclose(lp, want)
+    nothing = FA.Gaussian.standard(2).update(df.limit(0), "w", "a", "b")
+    assert nothing.mean.tolist() == [0, 0] and nothing.factor.tolist() == [[1, 0], [0, 1]]
+    h = FA.Histogram((-1.0, -3.0), (3.0, 0.0), (4, 3))
+    counts, _, _ = np.histogram2d(np.clip(x[:, 0], -1, 2.999), np.clip(x[:, 1], -3, -1e-9), bins=[4, 3], range=[[-1, 3], [-3, 0]], weights=w)
+    assert np.allclose(h.update(df, "w", "a", "b").pack(), counts.T.ravel() / w.sum(), atol=1e-12) and np.allclose(h.pack(), 1 / 12)
+
+
+def test_functions_in_sql(spark):
+    from amploom.operators.reads import register_functions
+
+    register_functions(spark)
+    got = spark.sql("select * from run_lengths(array(3, 3, 1, 1, 1, 3))").collect()
+    assert [tuple(r) for r in got] == [(0, 3, 0, 2), (1, 1, 2, 3), (2, 3, 5, 1)]
+    assert spark.sql("select aggregate_segments(array(1, 1, 2, 3, 3, 3), 2) as s").first().s == [0, 0, 0, 1, 1, 1]

@@ -47,6 +47,9 @@ def test_fasta(spark, tmp_path):
     p = tmp_path / "x.fa"
     p.write_text(">a first\r\nAC\r\n\r\nGT\n>b\nTT\n")
     assert sorted(map(tuple, models.read_fasta(spark, str(p)).collect())) == [("a", "ACGT"), ("b", "TT")]
+    q = tmp_path / "signs.fa"
+    q.write_bytes(b">a left>right\nAC\nGT\n>b\r\nTT\r\n>\n")
+    assert sorted(map(tuple, models.read_fasta(spark, str(q)).collect())) == [("a", "ACGT"), ("b", "TT")]
     assert models.fasta_sequence(spark, str(p), "a") == "ACGT" and models.fasta_sequence(spark, str(p), "z") == ""
 
 
