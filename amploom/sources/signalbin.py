@@ -2,7 +2,11 @@
 
 A record is uuid[36], int32 length and chrom, int32 length and one Zstd frame, all little-endian. The frame holds
 int32 byte count and float32 samples, int32 byte count and int32 moves, and maybe int32 byte count and sequence
-characters. The reader scans headers only to find record offsets, and each partition reads its own byte range.
+characters.
+
+A partition is a byte range from one mark to the next, and its headers are read where its payloads are. A mark is a
+record's number and offset, one for each ``partitionBytes``. The writer leaves the marks of its files in
+``_signalbin.json``, so the driver opens none of them; for other files it walks the headers once and keeps the marks.
 
 Options: ``path`` (file or folder), ``headerOnly`` (no payload is read; signal and mv are NULL), ``partitionBytes``,
 and ``readIndex``, ``uuid`` or ``chrom`` to read those records only, without the payloads of the others.
@@ -13,6 +17,7 @@ repeated task leaves nothing behind.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid as uuidlib
@@ -21,6 +26,7 @@ from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -28,6 +34,10 @@ from pyspark.sql.types import Row, StructType
 
 SCHEMA = "read_index bigint, uuid string, chrom string, signal array<double>, mv array<int>, sequence string"
 LEVEL = 4
+MARKS = "_signalbin.json"
+#: Bytes between the marks that the writer leaves, and records and payload bytes of an Arrow batch.
+MARK_BYTES, BATCH_RECORDS, BATCH_BYTES = 4 << 20, 1024, 16 << 20
+TYPES = {"read_index": pa.int64(), "uuid": pa.string(), "chrom": pa.string(), "signal": pa.list_(pa.float64()), "mv": pa.list_(pa.int32()), "sequence": pa.string()}
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -54,15 +64,15 @@ def encode_record(uuid: str, chrom: str, signal, mv, sequence: str | None = None
     return name + struct.pack("<i", len(group)) + group + struct.pack("<i", len(frame)) + frame
 
 
-def decode_payload(frame: bytes) -> tuple[list[float], list[int], str | None]:
+def decode_arrays(frame: bytes) -> tuple[np.ndarray, np.ndarray, str | None]:
     import zstandard
 
     data = zstandard.ZstdDecompressor().decompress(frame)
     (n,) = struct.unpack_from("<i", data, 0)
-    signal = np.frombuffer(data, "<f4", n // 4, 4).astype(float).tolist()
+    signal = np.frombuffer(data, "<f4", n // 4, 4)
     at = 4 + n
     (n,) = struct.unpack_from("<i", data, at)
-    mv = np.frombuffer(data, "<i4", n // 4, at + 4).tolist()
+    mv = np.frombuffer(data, "<i4", n // 4, at + 4)
     at += 4 + n
     sequence = None
     if at + 4 <= len(data):
@@ -71,6 +81,11 @@ def decode_payload(frame: bytes) -> tuple[list[float], list[int], str | None]:
     return signal, mv, sequence
 
 
+def decode_payload(frame: bytes) -> tuple[list[float], list[int], str | None]:
+    signal, mv, sequence = decode_arrays(frame)
+    return signal.astype(float).tolist(), mv.tolist(), sequence
+
+
 def _exactly(f, n: int, at: int, path: str) -> bytes:
     b = f.read(n)
     if len(b) != n:
@@ -78,13 +93,16 @@ def _exactly(f, n: int, at: int, path: str) -> bytes:
     return b
 
 
-def headers(path: str) -> Iterator[tuple[str, str, int, int]]:
-    """(uuid, chrom, offset, length of the frame) of each record; payloads are skipped."""
+def headers(path: str, start: int = 0, stop: int | None = None, f=None) -> Iterator[tuple[str, str, int, int]]:
+    """(uuid, chrom, offset, length of the frame) of each record that begins in a byte range; payloads are skipped."""
     fs, p = filesystem(path)
     size = fs.get_file_info(p).size
-    with fs.open_input_file(p) as f:
-        at = 0
-        while at < size:
+    own = f is None
+    f = fs.open_input_file(p) if own else f
+    try:
+        at, stop = start, size if stop is None else stop
+        while at < stop:
+            f.seek(at)
             head = _exactly(f, 40, at, path)
             (n,) = struct.unpack("<i", head[36:])
             if n < 0:
@@ -95,7 +113,30 @@ def headers(path: str) -> Iterator[tuple[str, str, int, int]]:
                 raise ValueError(f"{path}: record at byte {at} is cut short")
             yield head[:36].decode(), rest[:n].decode(), at + 44 + n, z
             at += 44 + n + z
-            f.seek(at)
+    finally:
+        if own:
+            f.close()
+
+
+def marks_of(path: str, every: int) -> dict:
+    """size, count and marks (number, offset) of a file: the first record, and the next after each ``every`` bytes."""
+    fs, p = filesystem(path)
+    marks, n, at = [], 0, 0
+    for _, _, offset, length in headers(path):
+        if not marks or at - marks[-1][1] >= every:
+            marks.append((n, at))
+        n, at = n + 1, offset + length
+    return {"size": fs.get_file_info(p).size, "count": n, "marks": marks}
+
+
+def _load_marks(folder: str) -> dict[str, dict]:
+    """What the writer left, by file name; nothing if it isn't there."""
+    fs, p = filesystem(folder)
+    p = f"{p.rstrip('/')}/{MARKS}"
+    if fs.get_file_info(p).type != pafs.FileType.File:
+        return {}
+    with fs.open_input_stream(p) as f:
+        return json.loads(f.read())
 
 
 def _files(path: str) -> list[str]:
@@ -115,7 +156,8 @@ def _files(path: str) -> list[str]:
 class Range(InputPartition):
     path: str
     first: int
-    records: list[tuple[str, str, int, int]]
+    start: int
+    stop: int
 
 
 class SignalBinReader(DataSourceReader):
@@ -129,38 +171,60 @@ class SignalBinReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out, index = [], 0
+        left = _load_marks(self.path) if filesystem(self.path)[0].get_file_info(filesystem(self.path)[1]).type == pafs.FileType.Directory else {}
         for path in _files(self.path):
-            part, size = Range(path, index, []), 0
-            for record in headers(path):
-                if part.records and size + record[3] > self.most:
-                    out.append(part)
-                    part, size = Range(path, index, []), 0
-                part.records.append(record)
-                size += record[3]
-                index += 1
-            if part.records:
-                out.append(part)
-        return out or [Range(self.path, 0, [])]
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        if not partition.records:
+            fs, p = filesystem(path)
+            known = left.get(os.path.basename(path))
+            if not known or known["size"] != fs.get_file_info(p).size:
+                known = marks_of(path, self.most)
+            kept = []
+            for n, at in known["marks"]:
+                if not kept or at - kept[-1][1] >= self.most:
+                    kept.append((n, at))
+            ends = [at for _, at in kept[1:]] + [known["size"]]
+            out += [Range(path, index + n, at, end) for (n, at), end in zip(kept, ends)]
+            index += known["count"]
+        return out or [Range(self.path, 0, 0, 0)]
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if partition.stop <= partition.start:
             return
         fs, p = filesystem(partition.path)
         with fs.open_input_file(p) as f:
-            for i, (uuid, chrom, offset, length) in enumerate(partition.records):
+            rows: dict[str, list] = {k: [] for k in TYPES}
+            held = 0
+            for i, (uuid, chrom, offset, length) in enumerate(headers(partition.path, partition.start, partition.stop, f)):
                 row = {"read_index": partition.first + i, "uuid": uuid, "chrom": chrom}
                 if any(row[k] != v for k, v in self.wanted.items()):
                     continue
                 if not self.header_only:
                     f.seek(offset)
-                    row["signal"], row["mv"], row["sequence"] = decode_payload(_exactly(f, length, offset, partition.path))
-                yield tuple(row.get(n) for n in self.names)
+                    row["signal"], row["mv"], row["sequence"] = decode_arrays(_exactly(f, length, offset, partition.path))
+                    held += row["signal"].nbytes + row["mv"].nbytes
+                for k, v in rows.items():
+                    v.append(row.get(k))
+                if len(rows["uuid"]) == BATCH_RECORDS or held >= BATCH_BYTES:
+                    yield self._batch(rows)
+                    rows, held = {k: [] for k in TYPES}, 0
+            if rows["uuid"]:
+                yield self._batch(rows)
+
+    def _batch(self, rows: dict[str, list]) -> pa.RecordBatch:
+        def column(name: str) -> pa.Array:
+            values, kind = rows[name], TYPES[name]
+            if not pa.types.is_list(kind) or values[0] is None:
+                return pa.array(values, kind)
+            ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values).astype(kind.value_type.to_pandas_dtype())), kind)
+
+        return pa.record_batch([column(n) for n in self.names], names=self.names)
 
 
 @dataclass
 class Written(WriterCommitMessage):
     tmp: str
     path: str
+    marks: dict
 
 
 class SignalBinWriter(DataSourceWriter):
@@ -176,24 +240,32 @@ class SignalBinWriter(DataSourceWriter):
         fs.create_dir(folder, recursive=True)
         name = f"part-{context.partitionId():06d}-{self.job}.bin"
         tmp, n = f"{folder}/_{name}.{context.taskAttemptId()}", 0
+        at, marks = 0, []
         with fs.open_output_stream(tmp) as f:
             for r in rows:
                 d = r.asDict()
-                f.write(encode_record(d["uuid"], d.get("chrom"), d.get("signal"), d.get("mv"), d.get("sequence"), self.trailing))
-                n += 1
+                record = encode_record(d["uuid"], d.get("chrom"), d.get("signal"), d.get("mv"), d.get("sequence"), self.trailing)
+                if not marks or at - marks[-1][1] >= MARK_BYTES:
+                    marks.append((n, at))
+                f.write(record)
+                n, at = n + 1, at + len(record)
         if not n:
             fs.delete_file(tmp)
-            return Written("", "")
-        return Written(tmp, f"{folder}/{name}")
+            return Written("", "", {})
+        return Written(tmp, f"{folder}/{name}", {"size": at, "count": n, "marks": marks})
 
     def commit(self, messages: list[Written | None]) -> None:
         fs, folder = filesystem(self.folder)
         old = [x.path for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if not os.path.basename(x.path).startswith("_")] if self.overwrite else []
+        marks = {} if self.overwrite else _load_marks(self.folder)
         for m in messages:
             if m and m.tmp:
                 fs.move(m.tmp, m.path)
+                marks[os.path.basename(m.path)] = m.marks
         for path in old:
             fs.delete_file(path)
+        with fs.open_output_stream(f"{folder}/{MARKS}") as f:
+            f.write(json.dumps(marks).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, _ = filesystem(self.folder)

@@ -36,6 +36,24 @@ def test_source_and_sink(spark, tmp_path):
     assert cli.show_lines(back, 1)[5] == f"{1.0:14.3f}{0:>12}"
 
 
+def test_driver_reads_no_headers_of_its_own_files(spark, tmp_path, monkeypatch):
+    signalbin.register(spark)
+    out = str(tmp_path / "reads")
+    df = spark.createDataFrame([(i, f"00000000-0000-0000-0000-{i:012d}", "c", [float(i)] * (i % 4), [i], "A" * (i % 2) or None) for i in range(200)], signalbin.SCHEMA)
+    for part in (df.where("read_index < 90"), df.where("read_index >= 90")):
+        part.repartitionByRange(6, "read_index").sortWithinPartitions("read_index").write.format("signalbin").mode("append").save(out)
+    monkeypatch.setattr(signalbin, "headers", None)
+    ranges = signalbin.SignalBinReader({"path": out}, df.schema).partitions()
+    monkeypatch.undo()
+    assert len(ranges) == 12 and sorted(r.first for r in ranges)[0] == 0
+    back = spark.read.format("signalbin").load(out).collect()
+    assert sorted(r.read_index for r in back) == list(range(200))
+    assert sorted(tuple(r)[1:] for r in back) == sorted(tuple(r)[1:] for r in df.collect())
+    one = signalbin._files(out)[0]
+    found = signalbin.marks_of(one, 100)
+    assert len(found["marks"]) > 3 and [h for a, b in zip([m[1] for m in found["marks"]], [m[1] for m in found["marks"]][1:] + [None]) for h in signalbin.headers(one, a, b)] == list(signalbin.headers(one))
+
+
 def test_cut_record_is_an_error(tmp_path):
     p = tmp_path / "x.bin"
     p.write_bytes(signalbin.encode_record("u" * 36, "c", [1.0], [1])[:-3])
