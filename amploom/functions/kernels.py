@@ -225,28 +225,40 @@ def beam_changes(x: np.ndarray, states: np.ndarray, beam: int, table: np.ndarray
     return out
 
 
-def bocpd(x: np.ndarray, rate: float = 0.01, most: int = 200, prior: tuple[float, float, float, float] | None = None) -> np.ndarray:
-    """Segment ids by Bayesian online change-point detection: Normal-inverse-gamma model, constant hazard, run lengths up to ``most``."""
+def bocpd(x: np.ndarray, rate: float = 0.01, most: int = 200, prior: tuple[float, float, float, float] | None = None, table: np.ndarray | None = None, window: int | None = None) -> np.ndarray:
+    """Segment ids by Bayesian online change-point detection: Normal-inverse-gamma model, run lengths up to ``most``.
+
+    ``table``: a row (ln h, ln(1 - h)) for each run length from 1, the last one for all longer, as ``hazard`` makes it;
+    without it the hazard is ``rate`` throughout. ``window``: the prior of a run is the mean and variance of that many
+    samples from its start (near the end, of the last so many); without it, of the whole signal.
+    """
     n = len(x)
     if not n:
         return np.zeros(0, np.int32)
     mu0, kappa0, alpha0, beta0 = prior or (float(x.mean()), 0.1, 1.0, max(float(x.var()), 1e-6))
+    begin = np.full(n + 1, mu0), np.full(n + 1, beta0)
+    if window and not prior:
+        view = np.lib.stride_tricks.sliding_window_view(x, min(window, n))
+        at = np.minimum(np.arange(n + 1), len(view) - 1)
+        begin = view.mean(axis=1)[at], np.maximum(view.var(axis=1), 1e-6)[at]
+    steps = np.array([[np.log(rate), np.log1p(-rate)]]) if table is None else np.asarray(table, float)
     from math import lgamma
 
-    mu, kappa, alpha, beta = (np.array([v]) for v in (mu0, kappa0, alpha0, beta0))
+    mu, kappa, alpha, beta = (np.array([v]) for v in (begin[0][0], kappa0, alpha0, begin[1][0]))
     logr, arg = np.array([0.0]), []
-    for v in x:
+    for t, v in enumerate(x):
         nu = 2 * alpha
         scale = beta * (kappa + 1) / (alpha * kappa)
         lg = np.array([lgamma((a + 1) / 2) - lgamma(a / 2) for a in nu])
         pred = lg - 0.5 * np.log(nu * np.pi * scale) - (nu + 1) / 2 * np.log1p((v - mu) ** 2 / (nu * scale))
-        grown = logr + pred + np.log1p(-rate)
-        fresh = logsumexp(logr + pred + np.log(rate))
+        step = steps[np.minimum(np.arange(len(logr)), len(steps) - 1)]  # with this sample a run is one longer than before
+        grown = logr + pred + step[:, 1]
+        fresh = logsumexp(logr + pred + step[:, 0])
         logr = np.concatenate([[fresh], grown])[: most + 1]
         logr = logr - logsumexp(logr)
         mu2 = (kappa * mu + v) / (kappa + 1)
         beta2 = beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))
-        mu, kappa, alpha, beta = (np.concatenate([[p], q])[: most + 1] for p, q in ((mu0, mu2), (kappa0, kappa + 1), (alpha0, alpha + 0.5), (beta0, beta2)))
+        mu, kappa, alpha, beta = (np.concatenate([[p], q])[: most + 1] for p, q in ((begin[0][t + 1], mu2), (kappa0, kappa + 1), (alpha0, alpha + 0.5), (begin[1][t + 1], beta2)))
         arg.append(int(np.argmax(logr[1:])) + 1 if len(logr) > 1 else 1)
     starts, i = [], n - 1
     while i >= 0:

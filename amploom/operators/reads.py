@@ -70,8 +70,10 @@ def jb_segments(signal: Column | str, penalty: float = 0.9) -> Column:
     return _ids(lambda x: K.jb_segments(x, penalty))(signal)
 
 
-def bocpd(signal: Column | str, rate: float = 0.01, most: int = 200) -> Column:
-    return _ids(lambda x: K.bocpd(x, rate, most))(signal)
+def bocpd(signal: Column | str, rate: float = 0.01, most: int = 200, dwell: tuple[float, float] | None = None, window: int | None = None) -> Column:
+    """``dwell``: mean and deviation of the inverse Gaussian dwell whose hazards are used instead of ``rate``."""
+    table = K.hazard(most, *dwell) if dwell else None
+    return _ids(lambda x: K.bocpd(x, rate, most, table=table, window=window))(signal)
 
 
 def two_window_segments(signal: Column | str, p: float = 0.9, w: int = 10) -> Column:
@@ -123,7 +125,10 @@ def segment_means(reads: DataFrame) -> DataFrame:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """The kernels as SQL functions: cusum, pelt, bocpd, jb_segments, two_window_segments, aggregate_segments, and run_lengths as a table function."""
+    """The kernels as SQL functions: cusum, pelt, bocpd, jb_segments, two_window_segments, beam_changes(signal, means, vars), dtw(a, b), aggregate_segments(mv, most), moves_band(mv, length, width), and run_lengths(mv) as a table function.
+
+    A null argument gives null, of dtw null fields, and no rows of run_lengths.
+    """
     for name, kernel in {"cusum": K.cusum, "bocpd": K.bocpd, "jb_segments": K.jb_segments, "two_window_segments": K.two_window_segments, "pelt": lambda x: K.pelt(x, 15.0, 60.0, 60)}.items():
         spark.udf.register(name, _ids(kernel))
 
@@ -132,6 +137,26 @@ def register_functions(spark: SparkSession) -> None:
         return pd.Series([None if x is None else K.aggregate_segments(np.asarray(x, int), int(k)) for x, k in zip(m, n)])
 
     spark.udf.register("aggregate_segments", merge)
+    table = K.hazard(60, 15.0, 8.0)
+
+    @F.pandas_udf("array<int>")
+    def beam(signal: pd.Series, means: pd.Series, variances: pd.Series) -> pd.Series:
+        states = (None if m is None or v is None else np.column_stack([np.asarray(m, float), np.asarray(v, float)]) for m, v in zip(means, variances))
+        return pd.Series([None if x is None or s is None else K.beam_changes(np.asarray(x, float), s, 16, table) for x, s in zip(signal, states)])
+
+    @F.pandas_udf("struct<dist:double,path:array<struct<i:int,j:int>>>")
+    def warp(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        got = [(None, None) if x is None or y is None else K.dtw(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)]
+        return pd.DataFrame({"dist": [g[0] for g in got], "path": [None if g[1] is None else [{"i": i, "j": j} for i, j in g[1]] for g in got]})
+
+    @F.pandas_udf("array<struct<t:int,position:int>>")
+    def near(mv: pd.Series, length: pd.Series, width: pd.Series) -> pd.Series:
+        from ..functions.kmers import moves_band as kernel
+
+        return pd.Series([None if x is None or pd.isna(n) or pd.isna(w) else [{"t": t, "position": p} for t, p in kernel(np.asarray(x, int), int(n), int(w))] for x, n, w in zip(mv, length, width)])
+
+    for name, kernel in (("beam_changes", beam), ("dtw", warp), ("moves_band", near)):
+        spark.udf.register(name, kernel)
 
     @F.udtf(returnType="run int, value int, start int, length int")
     class RunLengths:

@@ -455,7 +455,9 @@ def kmer_graph(spark, d):
     return KM.kmer_graph(spark, 2, 0.6).select("source", "target", r6("prob", "prob", 9))
 
 
-@query("coarse_band")
+@query("coarse_band", D + """, c as (select doc_id, length(q) * 3 as n, length(q) - 2 as size, list_transform(range(1, length(q) - 1), lambda i: (position(q[i] in 'ATCG') - 1) * 16 + (position(q[i + 1] in 'ATCG') - 1) * 4 + position(q[i + 2] in 'ATCG') - 1) as codes from d where length(q) >= 3),
+  t as (select doc_id, size, codes, unnest(range(0, n)) as t, n // size as skip from c)
+  select doc_id, t, unnest(list_transform(list_distinct(list_transform([-2, -1, 0, 1], lambda o: greatest(0, least(size - 1, least(size - 1, t // skip + 1) + o)))), lambda p: codes[p + 1]))::bigint as code from t""")
 def coarse_band(spark, d):
     return _letters(spark, d).select("doc_id", F.inline(KM.coarse_band(F.col("q"), F.length("q") * 3, 3, 4)))
 
@@ -623,7 +625,45 @@ query("pelt_segments", S.replace("with s", "with recursive s") + f""",
         + 0.5 * (t.j + 1 - i) * (ln(2 * pi()) + ln(greatest(least, (s2[t.j + 2] - s2[i + 1]) / (t.j + 1 - i) - pow((s1[t.j + 2] - s1[i + 1]) / (t.j + 1 - i), 2))) + 1)
         + 0.5 * ln(2 * pi() * pow(t.j + 1 - i, 3) / 56.25) + 56.25 * pow(t.j + 1 - i - 15, 2) / (2 * 225.0 * (t.j + 1 - i))) as c
       from t join p on p.user_id = t.user_id join f on f.user_id = t.user_id where t.j < t.n) y){_SEGMENTS}""")(_positions(R.pelt))
-query("bocpd_segments")(_positions(R.bocpd))
+def _hazard(most: int) -> str:
+    """hk(r, h, k): ln h and ln(1 - h) of an inverse Gaussian dwell of mean 15 and deviation 8 by run length below ``most``: its density over what is left."""
+    return f"""
+  g as (select r, -(0.5 * ln(2 * pi() * pow(r, 3) / (3375.0 / 64)) + 3375.0 / 64 * pow(r - 15, 2) / (2 * 225.0 * r)) as logp from (select unnest(range(1, {most})) as r) q),
+  hl as (select x.r, x.logp, max(y.logp) as top from g x join g y on y.r >= x.r group by 1, 2),
+  l as (select hl.r, least(hl.logp - top - ln(sum(exp(g.logp - top))), -1e-12) as h from hl join g on g.r >= hl.r group by hl.r, hl.logp, top),
+  hk as (select r, h, case when h > -1e-8 then ln(-h) else ln(1 - exp(h)) end as k from l)"""
+
+
+def _lse(v: str) -> str:
+    return f"list_max({v}) + ln(list_sum(list_transform({v}, lambda z: exp(z - list_max({v})))))"
+
+
+def _bocpd(p: str) -> str:
+    """One row a read and sample: means, scales and log probabilities by run length; kappa and alpha follow from the run length.
+
+    ``p``: user_id, xs, n, the priors mus and betas and the logs hs and ks of hazards, of which the last holds for all later places.
+    """
+    return S.replace("with s", "with recursive s") + f""",{p},
+  t as (select user_id, 0::bigint as j, mus[:1] as mu, betas[:1] as beta, [0.0::double] as logr, [0::bigint] as previous, n from p
+    union all select user_id, j, ([mu0] || list_transform(range(1, len(mu) + 1), lambda i: (mu[i] * (i - 0.9) + x) / (i + 0.1)))[1:201],
+      ([beta0] || list_transform(range(1, len(mu) + 1), lambda i: beta[i] + (i - 0.9) * pow(x - mu[i], 2) / (2 * (i + 0.1))))[1:201],
+      list_transform(g, lambda z: z - total), previous || [greatest(0, j - list_position(g[2:], list_max(g[2:])))], n from (
+        select *, {_lse("g")} as total from (
+          select *, ([{_lse("ends")}] || list_transform(range(1, len(w) + 1), lambda i: w[i] + ks[least(i, len(ks))]))[1:201] as g from (
+            select *, list_transform(range(1, len(w) + 1), lambda i: w[i] + hs[least(i, len(hs))]) as ends from (
+              select *, list_transform(range(1, len(mu) + 1), lambda i: logr[i] + lgamma((i + 2) / 2.0) - lgamma((i + 1) / 2.0) - 0.5 * ln(pi() * (i + 1) * scale[i]) - (i + 2) / 2.0 * ln(1 + pow(x - mu[i], 2) / ((i + 1) * scale[i]))) as w from (
+                select t.user_id, t.j + 1 as j, mu, beta, logr, previous, mus[least(len(mus), t.j + 2)] as mu0, betas[least(len(betas), t.j + 2)] as beta0, hs, ks, p.n, xs[t.j + 1] as x,
+                  list_transform(range(1, len(mu) + 1), lambda i: beta[i] * (i + 0.1) / ((i + 1) / 2.0 * (i - 0.9))) as scale
+                from t join p on p.user_id = t.user_id where t.j < p.n) y) v) u) o) q){_SEGMENTS}"""
+
+
+query("bocpd_segments", _bocpd("""
+  p as (select user_id, list(x order by pos) as xs, count(*) as n, [avg(x)] as mus, [greatest(var_pop(x), 1e-6)] as betas, [ln(0.01)] as hs, [ln(0.99)] as ks from s group by 1)"""))(_positions(R.bocpd))
+query("bocpd_dwell_segments", _bocpd(_hazard(200) + """,
+  a as (select list(h order by r) as hs, list(k order by r) as ks from hk),
+  w as (select user_id, pos, x, avg(x) over ten as m, greatest(var_pop(x) over ten, 1e-6) as v, count(*) over (partition by user_id) as n from s window ten as (partition by user_id order by pos rows between current row and 9 following)),
+  f as (select user_id, list(x order by pos) as xs, count(*) as n, list(m order by pos) filter (pos <= greatest(0, n - 10)) as mus, list(v order by pos) filter (pos <= greatest(0, n - 10)) as betas from w group by 1),
+  p as (select * from f, a)"""))(_positions(lambda c: R.bocpd(c, dwell=(15.0, 8.0), window=10)))
 query("jb_segments", S.replace("with s", "with recursive s") + f""",
   u as (select user_id, pos, (x - avg(x) over (partition by user_id)) / nullif(stddev_pop(x) over (partition by user_id), 0) as z from s),
   p as (select user_id, {", ".join(f"[0.0::double] || list(s{k} order by pos) as s{k}" for k in (1, 2, 3, 4))}, count(*) as n from (
@@ -646,10 +686,29 @@ query("two_window_segments", S.replace("with s", "with recursive s") + """,
     from t join z on z.user_id = t.user_id and z.pos = t.i),
   e as (select user_id, case when o then cuts || [best] else cuts end as cuts from t qualify row_number() over (partition by user_id order by step desc) = 1)
   select user_id, pos, len(list_filter(cuts, lambda c: c <= pos))::int as seg from s join e using (user_id)""")(_positions(R.two_window_segments))
-query("beam_changes")(_positions(lambda c: R.beam_changes(c, [(20.0, 400.0), (90.0, 3600.0)])))
-
-
-@query("aggregate_segments")
+#: One row a read, sample and path of the beam.
+query("beam_changes", S.replace("with s", "with recursive s") + f""",{_hazard(60)},
+  h as (select r, -h as move, -k as stay from hk),
+  o as (select * from (values (0, 20.0::double, 400.0::double), (1, 90.0::double, 3600.0::double)) v(st, mean, var)),
+  c as (select user_id, pos, st, 1::bigint as run, pow(x - mean, 2) / var as cost, [st] as path from s, o where pos = 0
+    union all select user_id, pos, st, run, cost, path from (
+      select *, row_number() over (partition by user_id, st, run order by cost, place) as nth from (
+        select k.user_id, k.pos + 1 as pos, o.st, case when o.st = k.st then k.run + 1 else 1 end as run, k.cost + pow(s.x - o.mean, 2) / o.var + case when o.st = k.st then h.stay else h.move end as cost, k.path || [o.st] as path, k.place
+        from (select *, row_number() over (partition by user_id order by cost, st, run) as place from c) k join s on s.user_id = k.user_id and s.pos = k.pos + 1 join h on h.r = least(k.run, 59), o where k.place <= 16) y) z where nth = 1),
+  e as (select user_id, path, len(path) as n from c qualify row_number() over (partition by user_id order by pos desc, cost, st, run) = 1)
+  select user_id, unnest(range(0, n)) as pos, unnest(path)::int as seg from e""")(_positions(lambda c: R.beam_changes(c, [(20.0, 400.0), (90.0, 3600.0)])))
+
+
+#: One row a read and merge: sizes and starts of the runs that are left.
+@query("aggregate_segments", S.replace("with s", "with recursive s0") + """, s as (select user_id, pos, floor(x / 40)::int as mv from s0),
+  f as (select *, mv is distinct from lag(mv) over (partition by user_id order by pos) as fresh, count(*) over (partition by user_id) as n from s),
+  b as (select user_id, list(pos order by pos) || [any_value(n)] as cut from f where fresh group by 1),
+  m as (select user_id, 0 as step, list_transform(range(1, len(cut)), lambda i: cut[i + 1] - cut[i]) as size, cut[1:len(cut) - 1] as start from b
+    union all select user_id, step + 1, size[1:lo - 1] || [size[lo] + size[lo + 1]] || size[lo + 2:], start[1:lo] || start[lo + 2:] from (
+      select *, case when i = len(size) or (i > 1 and size[i - 1] <= size[i + 1]) then i - 1 else i end as lo from (
+        select *, list_position(size, list_min(size)) as i from m where len(size) > 8) y) z),
+  e as (select user_id, start from m qualify row_number() over (partition by user_id order by step desc) = 1)
+  select user_id, pos, len(list_filter(start, lambda c: c <= pos))::int - 1 as seg from s join e using (user_id)""")
 def aggregate_segments(spark, d):
     r = _reads(spark, d).withColumn("mv", F.transform("signal", lambda x: (F.floor(x / 40)).cast("int")))
     return R.long_form(r.withColumn("mv", R.aggregate_segments("mv", 8))).select(F.col("read_index").alias("user_id"), "pos", F.col("mv").alias("seg"))

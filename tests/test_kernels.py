@@ -166,3 +166,67 @@ def test_functions_in_sql(spark):
     got = spark.sql("select * from run_lengths(array(3, 3, 1, 1, 1, 3))").collect()
     assert [tuple(r) for r in got] == [(0, 3, 0, 2), (1, 1, 2, 3), (2, 3, 5, 1)]
     assert spark.sql("select aggregate_segments(array(1, 1, 2, 3, 3, 3), 2) as s").first().s == [0, 0, 0, 1, 1, 1]
+
+
+def _online(x, table, prior, most):
+    """ln P(run length | samples) after each sample, from every run's predictive density by its own samples."""
+    from math import lgamma
+
+    def density(t, r):  # of sample t after the r samples before it
+        m0, k0, a0, b0 = prior(t - r)
+        y = x[t - r : t]
+        mean = y.mean() if r else 0.0
+        k, a = k0 + r, a0 + r / 2
+        m = (k0 * m0 + r * mean) / k
+        b = b0 + 0.5 * ((y - mean) ** 2).sum() + k0 * r * (mean - m0) ** 2 / (2 * k)
+        nu, scale = 2 * a, b * (k + 1) / (a * k)
+        return lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * np.log(nu * np.pi * scale) - (nu + 1) / 2 * np.log1p((x[t] - m) ** 2 / (nu * scale))
+
+    joint, found = {0: 0.0}, []
+    for t in range(len(x)):
+        new = {0: K.NEG}
+        for r, p in joint.items():
+            h, stay = table[min(r, len(table) - 1)]
+            p += density(t, r)
+            new[0] = np.logaddexp(new[0], p + h)
+            if r + 1 <= most:
+                new[r + 1] = p + stay
+        total = K.logsumexp(np.array(list(new.values())))
+        joint = {r: p - total for r, p in new.items()}
+        found.append(joint)
+    return found
+
+
+@pytest.mark.parametrize("most,dwell,window", [(200, None, None), (200, (9.0, 4.0), 6), (7, (9.0, 4.0), None), (200, None, 50)])
+def test_online_change_points_by_run(most, dwell, window):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 1.0, n) for m, n in ((0, 11), (9, 14), (-4, 8), (3, 3))])
+    n = len(x)
+    table = K.hazard(40, *dwell) if dwell else np.array([[np.log(0.01), np.log(0.99)]])
+    size = min(window or n, n)
+
+    def prior(start):
+        y = x[min(start, n - size) :][:size]
+        return y.mean(), 0.1, 1.0, max(y.var(), 1e-6)
+
+    end, cuts = n, []
+    run = [max((r for r in p if r), key=p.get) for p in _online(x, table, prior, most)]
+    while end > 0:
+        end = max(0, end - run[end - 1])
+        cuts.append(end)
+    want = [sum(c <= i for c in cuts if c) for i in range(n)]
+    assert K.bocpd(x, most=most, table=table if dwell else None, window=window).tolist() == want and (most < 10 or max(want) >= 1)
+
+
+def test_kernels_in_sql_take_nulls(spark):
+    from amploom.operators.reads import register_functions
+
+    register_functions(spark)
+    r = spark.sql(
+        "select beam_changes(s, array(0D, 9D), array(1D, 1D)) as beam, dtw(s, s).dist as dist, size(dtw(s, s).path) as steps, moves_band(m, 4, 2) as near"
+        " from values (array(0D, 0D, 9D), array(0, 0, 1, 1)) v(s, m)"
+    ).first()
+    table = K.hazard(60, 15.0, 8.0)
+    assert r.beam == K.beam_changes(np.array([0.0, 0.0, 9.0]), np.array([[0.0, 1.0], [9.0, 1.0]]), 16, table).tolist()
+    assert (r.dist, r.steps) == (0.0, 3) and [tuple(p) for p in r.near] == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 2), (2, 3), (3, 2), (3, 3)]
+    assert spark.sql("select beam_changes(n, array(0D), array(1D)) as a, dtw(n, n).dist as d, moves_band(m, 4, 2) as b from values (cast(null as array<double>), cast(null as array<int>)) v(n, m)").first() == (None, None, None)
