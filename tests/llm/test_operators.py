@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from amploom.llm import binary_search, jaccard_join, mixing, pieces, quality_classifier, quality_rules, secrets, suffix_dedup, surrogates, token_files
+from amploom.llm.common import _BASE
 from amploom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -396,3 +397,65 @@ def test_token_stage_by_library(spark, odd):
     got = [(r.doc_id, r.ids and list(r.ids), r.n_ids) for r in c.tokens(spark, odd.select(*c.COLUMNS), SF).select("doc_id", "ids", "n_ids").collect() if r.ids is not None]
     want = [(d, sp.encode(t), len(sp.encode(t))) for d, t in ODD if t is not None]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def _plain_features(text):
+    """The classifier's features of one text, word by word; hashes of bytes as the operator makes them."""
+    from amploom.llm.common import mix as finish
+
+    whole = (1 << 64) - 1
+
+    def fin(x):
+        return int(finish(np.array([x & whole], np.uint64))[0])
+
+    def hashed(word):
+        return fin(sum((b + 1) * pow(_BASE, j, 1 << 64) for j, b in enumerate(word)) + len(word))
+
+    def words_of(b):
+        return [w for w in re.split(rb"[\x20\x09-\x0D]+", b) if w]
+
+    def punct(c):
+        return 33 <= c <= 47 or 58 <= c <= 64 or 91 <= c <= 96 or 123 <= c <= 126
+
+    def shape(c):
+        return 97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c
+
+    raw = (text or "").encode()
+    words = words_of(bytes(32 if punct(c) else c for c in raw).lower())
+    out = {hashed(w) for w in words}
+    stems = Counter(w[:k] for w in words for k in quality_classifier.STEMS if len(w) >= k)
+    for stem, times in stems.items():
+        one = fin(int.from_bytes(stem, "big") ^ (len(stem) << 58))
+        out |= {fin(one + t) for t in (1, 2, 3) if t <= times}
+    for w in words_of(bytes(map(shape, raw))):
+        short = bytes(c for j, c in enumerate(w) if not j or w[j - 1] != c)
+        out.add(fin(hashed(short) ^ 0x51A9E))
+    size, n = max(1, len(raw)), len(words)
+    share = lambda test: sum(map(test, raw)) / size
+    measures = [min(20 * share(punct), 12), min(20 * share(lambda c: 65 <= c <= 90), 20), min(np.log2(n + 1), 6), 10 * len(set(words)) / max(n, 1) * min(1, np.sqrt(max(n, 1) / 400))]
+    return out | {fin(int(m) + 1000 * (k + 1)) for k, m in enumerate(measures)}
+
+
+def test_classifier_by_plain_version(spark, odd):
+    """Features, training sample, scores and verdicts against a version that takes one text at a time."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for t in [t for _, t in ODD] + [texts[k] for k in sorted(texts)[:40]] + ["A-b  cc!C9 \t\x0b" * 50]:
+        arr, size = np.frombuffer((t or "").encode(), np.uint8), len((t or "").encode())
+        assert set(map(int, quality_classifier.features(arr, np.array([0, size]))[0])) == _plain_features(t)
+    grades = {}
+    for r in labels.collect():
+        if r.doc_id in texts and r.quality is not None:
+            g = 0 if r.quality == 0 else 1 if r.toxic == 1 else 2
+            grades[r.doc_id] = min(g, grades.get(r.doc_id, g))
+    plain = {d: _plain_features(t) for d, t in texts.items()}
+    ids = sorted(grades)
+    each = [np.array(sorted(plain[d]), np.uint64) for d in ids]
+    want = quality_classifier.fit(np.concatenate(each), np.cumsum([0, *map(len, each)]), np.array([grades[d] for d in ids]))
+    got = quality_classifier.train(docs, labels)
+    assert len(ids) > 30 and np.array_equal(got.keys, want.keys) and np.allclose(got.weights, want.weights) and np.allclose(got.thresholds, want.thresholds)
+    weight = dict(zip(map(int, got.keys), got.weights))
+    for r in quality_classifier.classify(docs, got).collect():
+        score = sum(weight.get(f, 0.0) for f in plain[r.doc_id])
+        tails = 1 / (1 + np.exp(got.thresholds - score))
+        assert (r.score, r.expected_grade, r.p_top) == pytest.approx((score, tails.sum(), tails[-1]), abs=1e-8) and r.kept == (r.p_top >= quality_classifier.KEEP)
