@@ -68,9 +68,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("PII", private), ("mixing sources", mixture), ("SentencePiece", tokens)]
 
-#: Trained weights and fixed-size hash tables are not SQL. Tests hold the near-duplicate stage against brute force,
-#: the token stage against the library and op4's mixing against SQL; of the classifier they test shares of held-out
-#: labels, and of surrogates only the forms.
+#: Trained weights and fixed-size hash tables are not SQL. Tests hold the classifier and surrogates against plain
+#: versions that take one text at a time, the near-duplicate stage against brute force, op4's mixing against SQL, and
+#: the token stage against the library.
 ORACLE_SQL = None
 
 
