@@ -9,6 +9,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ HOT = 1000
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 _own_dir: list[str] = []
+#: Paths that ``scratch`` gave since the innermost ``tidied`` began.
+_given: ContextVar[list[str] | None] = ContextVar("given", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,7 +47,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, what: str = "table") -> str:
-    return f"{shared_dir(spark)}/amploom-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/amploom-{what}-{uuid.uuid4().hex}"
+    if (given := _given.get()) is not None:
+        given.append(path)
+    return path
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """At its end, also after an error, the tables that operators wrote inside are deleted from the shared folder.
+
+    A result is computed from them when it is written or collected, so do that inside too.
+    """
+    given: list[str] = []
+    before = _given.set(given)
+    try:
+        yield
+    finally:
+        _given.reset(before)
+        for path in given:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def settle(df: DataFrame, what: str = "table") -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from amploom.llm import binary_search, jaccard_join, mixing, pieces, quality_classifier, quality_rules, secrets, suffix_dedup, surrogates, token_files
-from amploom.llm.common import _BASE
+from amploom.llm.common import _BASE, settle, shared_dir, tidied
 from amploom.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -459,3 +460,21 @@ def test_classifier_by_plain_version(spark, odd):
         score = sum(weight.get(f, 0.0) for f in plain[r.doc_id])
         tails = 1 / (1 + np.exp(got.thresholds - score))
         assert (r.score, r.expected_grade, r.p_top) == pytest.approx((score, tails.sum(), tails[-1]), abs=1e-8) and r.kept == (r.p_top >= quality_classifier.KEEP)
+
+
+def test_tidied_leaves_no_tables(spark, odd):
+    folder = shared_dir(spark).removeprefix("file:").replace("///", "/")
+    before = set(os.listdir(folder))
+    kept = settle(odd, "kept")
+    plain = sorted(map(tuple, jaccard_join.jaccard_join(odd).collect()), key=repr)
+    with tidied(spark):
+        started = set(os.listdir(folder))
+        assert sorted(map(tuple, jaccard_join.jaccard_join(odd).collect()), key=repr) == plain
+        with tidied(spark):
+            settle(odd, "inner")
+        assert not any("inner" in f for f in os.listdir(folder)) and set(os.listdir(folder)) > started
+    assert set(os.listdir(folder)) == started > before and kept.count() == len(ODD)
+    with pytest.raises(ZeroDivisionError), tidied(spark):
+        settle(odd, "failed")
+        1 / 0
+    assert set(os.listdir(folder)) == started
