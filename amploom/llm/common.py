@@ -158,12 +158,15 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return _LOWER[buf]
 
 
-def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of each text, and for each text the number of words before it (one more entry at the end)."""
+def word_spans(buf: np.ndarray, offs: np.ndarray, gap: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of each text, and for each text the number of words before it (one more entry at the end).
+
+    ``gap``: for each byte if it stands between words, by default ASCII white space.
+    """
     if not len(buf):
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    ink = ~_SPACE[buf]
+    ink = ~gap[buf]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     cuts = offs[1:-1]
@@ -205,11 +208,11 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(flat, at[:-1]) + lens.astype(np.uint64))
 
 
-def word_array(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+def word_array(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, gap: np.ndarray = _SPACE) -> pa.Array:
     """The words as one Arrow binary array, their bytes side by side."""
     lens = ends - starts
     at = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
-    flat = np.ascontiguousarray(buf[~_SPACE[buf]])
+    flat = np.ascontiguousarray(buf[~gap[buf]])
     return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(at), pa.py_buffer(flat)])
 
 
