@@ -188,3 +188,95 @@ class Histogram:
 
     def pack(self) -> list[float]:
         return np.exp(self._values()).tolist()
+
+
+@dataclass(frozen=True)
+class GaussianEmission:
+    """The Gaussian family as a trained state's emission: the covariance's divisor is sum w - sum w^2 / sum w over all frames."""
+
+    of: Gaussian
+
+    @property
+    def dim(self) -> int:
+        return len(self.of.mean)
+
+    @classmethod
+    def unpack(cls, params: list[float], dim: int) -> GaussianEmission:
+        if not params:
+            return cls(Gaussian.standard(dim))
+        if len(params) != dim + dim * dim:
+            raise ValueError(f"{len(params)} parameters for a Gaussian in {dim} dimensions")
+        return cls(Gaussian.of(params[:dim], np.array(params[dim:], float).reshape(dim, dim)))
+
+    def pack(self) -> list[float]:
+        return [*self.of.mean.tolist(), *(self.of.factor @ self.of.factor.T).ravel().tolist()]
+
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        y = np.linalg.solve(self.of.factor, (x - self.of.mean).T)
+        return -0.5 * (y * y).sum(axis=0) + self.of.log_norm
+
+    def sums(self, x: np.ndarray, w: np.ndarray) -> dict[tuple, float]:
+        out = {("w", 0, 0, 0): float(w.sum()), ("w2", 0, 0, 0): float(w @ w)}
+        for i in range(x.shape[1]):
+            out["wx", 0, i, 0] = float(w @ x[:, i])
+            for j in range(i + 1):
+                out["wxx", 0, i, j] = float(w @ (x[:, i] * x[:, j]))
+        return out
+
+    def updated(self, sums: dict[tuple, float]) -> GaussianEmission:
+        """Itself if no frames have weight; N(0, I) if the covariance isn't positive definite."""
+        w, d = sums.get(("w", 0, 0, 0), 0.0), range(self.dim)
+        n = w - sums.get(("w2", 0, 0, 0), 0.0) / w if w > 0 else 0.0
+        if n <= 0:
+            return self
+        x = np.array([sums["wx", 0, i, 0] for i in d])
+        xx = np.array([[sums["wxx", 0, max(i, j), min(i, j)] for j in d] for i in d])
+        return GaussianEmission(Gaussian.of(x / w, (xx - np.outer(x, x) / w) / n, n))
+
+
+@dataclass(frozen=True)
+class HistogramEmission:
+    """A histogram on a grid as a trained state's emission: its sums are the weights of cells."""
+
+    of: Histogram
+
+    @property
+    def dim(self) -> int:
+        return len(self.of.bins)
+
+    @classmethod
+    def unpack(cls, params: list[float], low, high, bins) -> HistogramEmission:
+        grid = Histogram(tuple(map(float, low)), tuple(map(float, high)), tuple(map(int, bins)))
+        if not params:
+            return cls(grid)
+        if len(params) != grid.cells:
+            raise ValueError(f"{len(params)} parameters for {grid.cells} cells")
+        with np.errstate(divide="ignore"):
+            return cls(Histogram(grid.low, grid.high, grid.bins, np.log(np.asarray(params, float))))
+
+    def pack(self) -> list[float]:
+        return self.of.pack()
+
+    def cell(self, x: np.ndarray) -> np.ndarray:
+        """The number of each point's cell; values outside count in the cells at the edge."""
+        at, stride = np.zeros(len(x), int), 1
+        for v, lo, hi, n in zip(x.T, self.of.low, self.of.high, self.of.bins):
+            at += np.clip(np.floor((v - lo) / ((hi - lo) / n)), 0, n - 1).astype(int) * stride
+            stride *= n
+        return at
+
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        return self.of._values()[self.cell(x)]
+
+    def sums(self, x: np.ndarray, w: np.ndarray) -> dict[tuple, float]:
+        n = np.bincount(self.cell(x), w, self.of.cells)
+        return {("cell", 0, c, 0): float(n[c]) for c in np.flatnonzero(n).tolist()}
+
+    def updated(self, sums: dict[tuple, float]) -> HistogramEmission:
+        """Itself if no frames have weight."""
+        logs = np.full(self.of.cells, EMPTY)
+        for (_, _, c, _), v in sums.items():
+            logs[c] = np.logaddexp(EMPTY, math.log(v)) if v > 0 else EMPTY
+        if not sums:
+            return self
+        return HistogramEmission(Histogram(self.of.low, self.of.high, self.of.bins, logs - np.logaddexp.reduce(logs)))

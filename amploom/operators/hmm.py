@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.kernels import aggregate_segments
-from ..sources.models import Mixture, Model, normalise_links
+from ..sources.models import Mixture, Model, normalise_links, pooled_covariances
+from .lattice import Lattice, best_paths, expected_counts, log_likelihoods
 
 STATS = "kind string, key string, comp int, i int, j int, val double"
 
@@ -39,159 +39,31 @@ class Options:
         return cls("e" in method, "t" in method, "p" in method, "s" in method)
 
 
-def band_of(model: Model, chrom: str | None, mv: np.ndarray, width: int) -> tuple[list[np.ndarray], np.ndarray] | None:
-    """The band of each segment and the segment of each frame; none for a label the model doesn't have."""
-    positions = model.positions(chrom)
-    if positions is None:
-        return None
-    seg = aggregate_segments(mv, len(positions))
-    n = int(seg[-1]) + 1 if len(seg) else 0
-    bands = [np.unique(np.concatenate([np.zeros(0, int), *positions[max(0, j - width) : min(len(positions), j + width + 1)]])) for j in range(n)]
-    return bands, seg
-
-
-def _lse_at(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    m = np.maximum.reduceat(values, first)
-    safe = np.where(np.isfinite(m), m, 0.0)
-    size = np.diff(np.append(first, len(values)))
-    with np.errstate(divide="ignore"):
-        return safe + np.log(np.add.reduceat(np.exp(values - np.repeat(safe, size)), first))
-
-
-class Graph:
-    """Edges between two bands, looked up once for each pair of bands that follow each other."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.start = np.searchsorted(model.edges[:, 0], np.arange(model.states + 1)) if len(model.edges) else np.zeros(model.states + 1, int)
-
-    def between(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(edge, row in a, row in b) of the edges from a to b, sorted by row in a."""
-        size = self.start[a + 1] - self.start[a]
-        row = np.repeat(np.arange(len(a)), size)
-        edge = np.repeat(self.start[a], size) + np.arange(len(row)) - (np.cumsum(size) - size)[row]
-        target = self.model.edges[edge, 1]
-        at = np.searchsorted(b, target)
-        ok = b[np.minimum(at, len(b) - 1)] == target if len(b) else np.zeros(len(edge), bool)
-        return edge[ok], row[ok], at[ok]
-
-
-def _sum_by(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Logsumexp of values by row."""
-    out = np.full(n, -np.inf)
-    if len(rows):
-        order = np.argsort(rows, kind="stable")
-        r = rows[order]
-        first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-        out[r[first]] = _lse_at(values[order], first)
-    return out
-
-
-def emission_rows(model: Model) -> tuple[list[str], np.ndarray]:
-    """The emissions that states use, and each state's place among them."""
-    kinds = sorted(set(model.key))
-    return kinds, np.searchsorted(kinds, model.key)
-
-
-def posteriors(model: Model, x: np.ndarray, bands: list[np.ndarray], seg: np.ndarray, graph: Graph | None = None) -> tuple[np.ndarray, list[np.ndarray], np.ndarray] | None:
-    """(log-likelihood of each step, posterior of the band's states at each frame, expected count of each edge); none if no path lies in the band.
-
-    ``x``: frames by dimensions. Expected counts follow the forward values before they become posteriors, normalised at each step.
-    """
-    n, graph = len(x), graph or Graph(model)
-    kinds, of = emission_rows(model)
-    dens = np.stack([model.emissions[k].log_density(x) for k in kinds], axis=1)
-    row_of = [of[b] for b in bands]
-    emit = [dens[t, row_of[j]] for t, j in enumerate(seg.tolist())]
-    cache: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
-
-    def edges(t: int):
-        pair = (int(seg[t]), int(seg[t + 1]))
-        if pair not in cache:
-            cache[pair] = graph.between(bands[pair[0]], bands[pair[1]])
-        return cache[pair]
-
-    alpha, coeff = [], np.empty(n)
-    for t in range(n):
-        if t == 0:
-            a = emit[0] + model.logpi[bands[seg[0]]]
-        else:
-            e, i, j = edges(t - 1)
-            a = emit[t] + _sum_by(alpha[-1][i] + model.logp[e], j, len(bands[seg[t]]))
-        top = a.max(initial=-np.inf)
-        if not np.isfinite(top):
-            return None
-        coeff[t] = top + np.log(np.exp(a - top).sum())
-        alpha.append(a - coeff[t])
-    counts = np.zeros(len(model.edges))
-    gamma = [np.exp(alpha[-1])]
-    beta = np.zeros(len(bands[seg[-1]]))
-    for t in range(n - 2, -1, -1):
-        e, i, j = edges(t)
-        ahead = beta + emit[t + 1] - coeff[t + 1]
-        step = alpha[t][i] + model.logp[e] + ahead[j]
-        total = step.max(initial=-np.inf)
-        if np.isfinite(total):
-            p = np.exp(step - total)
-            np.add.at(counts, e, p / p.sum())
-        beta = _sum_by(model.logp[e] + ahead[j], i, len(bands[seg[t]]))
-        g = alpha[t] + beta
-        top = g.max()
-        p = np.exp(g - top)
-        gamma.append(p / p.sum())
-    return coeff, gamma[::-1], counts
-
-
-def read_stats(model: Model, x: np.ndarray, chrom: str | None, mv: np.ndarray, width: int, graph: Graph | None = None) -> dict[tuple, float] | None:
-    """Expected counts of a read by (kind, key, comp, i, j)."""
-    if len(mv) != len(x):
-        raise ValueError(f"{len(mv)} moves for {len(x)} frames")
-    made = band_of(model, chrom, mv, width)
-    if made is None or not len(x):
-        return None
-    got = posteriors(model, x, *made, graph)
-    if got is None:
-        return None
-    bands, seg = made
-    coeff, gamma, counts = got
-    out: dict[tuple, float] = {("score", "", 0, 0, 0): float(coeff.mean()), ("loglik", "", 0, 0, 0): float(coeff.sum()), ("reads", "", 0, 0, 0): 1.0}
-    kinds, of = emission_rows(model)
-    # a state stands once in a band, but several states of it may have one emission
-    frame = np.repeat(np.arange(len(x)), [len(g) for g in gamma])
-    row = np.concatenate([of[bands[j]] for j in seg.tolist()])
-    weight = np.bincount(row * len(x) + frame, np.concatenate(gamma), len(kinds) * len(x)).reshape(len(kinds), -1)
-    for k, w in zip(kinds, weight):
-        if not w.any():
-            continue
-        c = model.emissions[k].log_components(x)
-        r = np.exp(c - model.emissions[k].log_density(x)[:, None]) * w[:, None]
-        for m in range(r.shape[1]):
-            out["g", k, m, 0, 0] = float(r[:, m].sum())
-            for i in range(x.shape[1]):
-                out["x", k, m, i, 0] = float(r[:, m] @ x[:, i])
-                for j in range(i + 1):
-                    out["xx", k, m, i, j] = float(r[:, m] @ (x[:, i] * x[:, j]))
-    for e in np.flatnonzero(counts).tolist():
-        out["xi", "", 0, int(model.edges[e, 0]), int(model.edges[e, 1])] = float(counts[e])
-    for s, v in zip(bands[seg[0]].tolist(), gamma[0].tolist()):
-        out["pi", "", 0, s, 0] = v
-    return out
-
-
 def e_step(reads: DataFrame, model: Model, width: int, dim: int = 1) -> DataFrame:
     """The reads' summed statistics: STATS rows. ``reads`` has chrom, signal and mv."""
     sent = reads.sparkSession.sparkContext.broadcast(model)
 
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[tuple, float] = {}
-        graph = Graph(sent.value)
+        lattice = Lattice(sent.value, width)
         for b in batches:
+            xs, walks, dropped = [], [], 0
             for chrom, signal, mv in zip(b["chrom"], b["signal"], b["mv"]):
                 x = np.asarray(signal, float)
                 x = x[: len(x) // dim * dim].reshape(-1, dim)
-                got = read_stats(sent.value, x, chrom, np.asarray(mv, int), width, graph)
-                for k, v in (got or {("dropped", "", 0, 0, 0): 1.0}).items():
-                    total[k] = total.get(k, 0.0) + v
+                if len(mv) != len(x):
+                    raise ValueError(f"{len(mv)} moves for {len(x)} frames")
+                walk = lattice.walk(chrom, np.asarray(mv, int), len(x))
+                if walk is None or not len(x):
+                    dropped += 1
+                else:
+                    xs.append(x)
+                    walks.append(walk)
+            found, lost = expected_counts(lattice, xs, walks)
+            if dropped + lost:
+                found["dropped", "", 0, 0, 0] = float(dropped + lost)
+            for k, v in found.items():
+                total[k] = total.get(k, 0.0) + v
         if total:
             yield pd.DataFrame([(*k, v) for k, v in total.items()], columns=["kind", "key", "comp", "i", "j", "val"])
 
@@ -204,40 +76,16 @@ def by_key(stats: DataFrame) -> dict[tuple, float]:
     return {(r.kind, r.key, r.comp, r.i, r.j): r.val for r in stats.collect()}
 
 
-def _moments(stats: dict, k: str, n: int, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    g = np.array([stats.get(("g", k, c, 0, 0), 0.0) for c in range(n)])
-    x = np.array([[stats.get(("x", k, c, i, 0), 0.0) for i in range(d)] for c in range(n)])
-    xx = np.array([[[stats.get(("xx", k, c, max(i, j), min(i, j)), 0.0) for j in range(d)] for i in range(d)] for c in range(n)])
-    return g, x, xx
-
-
 def m_step(model: Model, stats: dict[tuple, float], options: Options, keep_unseen_rows: bool = False) -> Model:
-    """New parameters from summed statistics. A component whose covariance is not positive definite keeps all of its own."""
+    """New parameters from summed statistics: each emission finishes its own sums. Tied covariances are of mixtures only."""
     emissions = dict(model.emissions)
     if options.emission:
-        d = model.dim
-        sums = {k: _moments(stats, k, len(m.logw), d) for k, m in emissions.items()}
-        pooled: dict[int, np.ndarray] = {}
-        if options.tied:
-            for c in range(max(len(m.logw) for m in emissions.values())):
-                g = sum(s[0][c] for s in sums.values() if len(s[0]) > c)
-                if g > 1e-8:
-                    mean = sum(s[1][c] for s in sums.values() if len(s[0]) > c) / g
-                    pooled[c] = sum(s[2][c] for s in sums.values() if len(s[0]) > c) / g - np.outer(mean, mean)
-        for k, old in model.emissions.items():
-            g, x, xx = sums[k]
-            if g.sum() <= 1e-8:
-                continue
-            logw, mean, cov = old.logw.copy(), old.mean.copy(), old.cov.copy()
-            for c in np.flatnonzero(g > 1e-12).tolist():
-                mu = x[c] / g[c]
-                sigma = pooled.get(c, xx[c] / g[c] - np.outer(mu, mu))
-                try:
-                    np.linalg.cholesky(sigma)
-                except np.linalg.LinAlgError:
-                    continue
-                logw[c], mean[c], cov[c] = np.log(g[c] / g.sum()), mu, sigma
-            emissions[k] = Mixture(logw, mean, cov)
+        sums: dict[str, dict[tuple, float]] = {k: {} for k in emissions}
+        for (kind, key, *at), v in stats.items():
+            if key in sums:
+                sums[key][kind, *at] = v
+        pooled = pooled_covariances([(m, sums[k]) for k, m in emissions.items() if isinstance(m, Mixture)]) if options.tied else {}
+        emissions = {k: m.updated(sums[k], pooled) if isinstance(m, Mixture) else m.updated(sums[k]) for k, m in emissions.items()}
     logp, logpi = model.logp, model.logpi
     with np.errstate(divide="ignore"):
         if options.transition:
@@ -290,44 +138,12 @@ def train(reads: DataFrame, model: Model, iterations: int = 10, width: int = 50,
 
 def viterbi(model: Model, x: np.ndarray) -> tuple[float, np.ndarray]:
     """(log-probability, states) of the best path over all states; of equal sources the lowest wins."""
-    n, s = len(x), model.states
-    if not n:
-        return 0.0, np.zeros(0, np.int32)
-    dens = {k: m.log_density(x) for k, m in model.emissions.items() if k in set(model.key)}
-    emit = np.stack([dens[k] for k in model.key], axis=1)
-    order = np.lexsort((model.edges[:, 0], model.edges[:, 1]))
-    src, dst, logp = model.edges[order, 0], model.edges[order, 1], model.logp[order]
-    first = np.flatnonzero(np.append(True, dst[1:] != dst[:-1]))
-    size = np.diff(np.append(first, len(dst)))
-    score, delta = 0.0, emit[0] + model.logpi
-    back = np.zeros((n, s), np.int32)
-    for t in range(n):
-        if t:
-            v = delta[src] + logp
-            best = np.maximum.reduceat(v, first)
-            hit = np.flatnonzero(v == np.repeat(best, size))
-            d = dst[hit]
-            lead = np.append(True, d[1:] != d[:-1])
-            delta = np.full(s, -np.inf)
-            delta[dst[first]] = best
-            back[t, d[lead]] = src[hit[lead]]
-            delta = delta + emit[t]
-        top = delta.max()
-        if not np.isfinite(top):
-            return float("-inf"), np.zeros(n, np.int32)
-        m = top + np.log(np.exp(delta - top).sum())
-        delta, score = delta - m, score + m
-    path = np.empty(n, np.int32)
-    path[-1] = int(np.argmax(delta))
-    score += float(delta.max())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return score, path
-
-
-def forward_loglik(model: Model, x: np.ndarray) -> float:
-    got = posteriors(model, x, [np.arange(model.states)], np.zeros(len(x), int)) if len(x) else None
-    return float(got[0].sum()) if got else float("-inf")
+    return best_paths(model, [x])[0]
+
+
+def forward_loglik(model: Model, *xs: np.ndarray) -> np.ndarray:
+    """ln P of each read over all states; of no frames, minus infinity."""
+    return log_likelihoods(Lattice(model, None), list(xs), [np.zeros(len(x), int) for x in xs])
 
 
 def with_paths(reads: DataFrame, model: Model, score: str = "score", path: str = "path") -> DataFrame:
@@ -336,7 +152,8 @@ def with_paths(reads: DataFrame, model: Model, score: str = "score", path: str =
 
     @F.pandas_udf("struct<score:double,path:array<int>>")
     def best(signal: pd.Series) -> pd.DataFrame:
-        got = [viterbi(sent.value, np.asarray(s, float)[: len(s) // sent.value.dim * sent.value.dim].reshape(-1, sent.value.dim)) for s in signal]
+        dim = sent.value.dim
+        got = best_paths(sent.value, [np.asarray(s, float)[: len(s) // dim * dim].reshape(-1, dim) for s in signal])
         return pd.DataFrame({"score": [g[0] for g in got], "path": [g[1] for g in got]})
 
     out = reads.withColumn("_v", best("signal"))

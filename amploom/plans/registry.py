@@ -400,18 +400,28 @@ def shared_emission_groups(spark, d):
     return G.shared_emission_groups(spark.read.parquet(f"{d}/part.parquet"), "p_brand", "p_partkey")
 
 
-_NODES = "(values (0, 0, 'AAA', '*'), (1, 1, 'AAC', '1'), (2, 1, 'AAC', '2'), (3, 2, 'ACG', '*'), (4, 2, 'ACT', '1'))"
+#: States for the 3-mers of documents by language, those whose code 4 divides for all languages; a state's place is where its k-mer first stands.
+_NODES = D.replace("select doc_id,", "select doc_id, lang,") + """, c as (select lang, unnest(range(1, len(q) - 1)) as i, translate(q, 'ATCG', '0123') as t from d where len(q) >= 3),
+  k as (select lang, i - 1 as pos, substr(t, i, 1)::bigint * 16 + substr(t, i + 1, 1)::bigint * 4 + substr(t, i + 2, 1)::bigint as code from c),
+  m as (select code, case when code % 4 = 0 then '*' else lang end as label, min(pos)::int as seq_id from k group by 1, 2),
+  n as (select code * 1000 + 2 * ascii(label) + ascii(right(label, 1)) as id, seq_id, 'ATCG'[code // 16 + 1] || 'ATCG'[code // 4 % 4 + 1] || 'ATCG'[code % 4 + 1] as kmer, label from m)"""
 
 
-@query("wildcard_label_join", f"with n as (select * from {_NODES} t(id, seq_id, kmer, label)), l as (select distinct label from n where label <> '*') select l.label, seq_id, list(id order by id) as states from n join l on n.label = l.label or n.label = '*' group by 1, 2")
+def _nodes(spark, d) -> DataFrame:
+    codes = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("q")).select("lang", F.posexplode(KM.kmer_codes(F.col("q"), 3)).alias("pos", "code"))
+    seen = codes.groupBy("code", F.when(F.col("code") % 4 == 0, "*").otherwise(F.col("lang")).alias("label")).agg(F.min("pos").alias("seq_id"))
+    return seen.select((F.col("code") * 1000 + 2 * F.ascii("label") + F.ascii(F.right("label", F.lit(1)))).alias("id"), "seq_id", KM.kmers_of_codes(F.array("code"), 3).alias("kmer"), "label")
+
+
+@query("wildcard_label_join", _NODES + ", l as (select distinct label from n where label <> '*') select l.label, seq_id, list(id order by id) as states from n join l on n.label = l.label or n.label = '*' group by 1, 2")
 def wildcard_label_join(spark, d):
-    return G.expand_labels(spark.sql(f"select * from {_NODES} as t(id, seq_id, kmer, label)"))
+    return G.expand_labels(_nodes(spark, d))
 
 
-@query("emission_join", f"with n as (select * from {_NODES} t(id, seq_id, kmer, label)), e as (select distinct kmer || '_' || label as key, 1 as peak, 1 as dim from n) select key, id, seq_id, kmer, label, peak, dim from n join e on e.key = kmer || '_' || label")
+@query("emission_join", _NODES + ", e as (select kmer || '_' || label as key, count(*)::int as peak, 1 as dim from n group by 1) select key, id, seq_id, kmer, label, peak, dim from n join e on e.key = kmer || '_' || label")
 def emission_join(spark, d):
-    n = spark.sql(f"select * from {_NODES} as t(id, seq_id, kmer, label)")
-    return G.with_emissions(n, n.select(F.concat_ws("_", "kmer", "label").alias("key"), F.lit(1).alias("peak"), F.lit(1).alias("dim")).distinct())
+    n = _nodes(spark, d)
+    return G.with_emissions(n, n.groupBy(F.concat_ws("_", "kmer", "label").alias("key")).agg(F.count("*").cast("int").alias("peak"), F.lit(1).alias("dim")))
 
 
 @query("band_candidates", f"{S}, f as (select user_id, pos, pos // 5 as seg from s) select user_id, pos, seg, unnest(range(greatest(0, seg - 2), least(9, seg + 2) + 1)) as position from f where seg - 2 <= 9")
@@ -450,9 +460,12 @@ def kmer_round_trip(spark, d):
     return _letters(spark, d).where("length(q) >= 3").select("doc_id", KM.kmers_of_codes(KM.kmer_codes(F.col("q"), 3), 3).alias("back"))
 
 
-@query("kmer_graph", "with s as (select unnest(range(0, 16)) as source), e as (select source, (source * 4 + b) % 16 as target, 0.1 as p from s, (select unnest(range(0, 4)) as b) b union all select source, source, 0.6 from s) select source, target, round(sum(p)::double, 9) as prob from e group by 1, 2")
+@query("kmer_graph", D + """, c as (select unnest(range(1, len(q) - 1)) as i, translate(q, 'ATCG', '0123') as t from d where len(q) >= 3), s as (select distinct substr(t, i, 1)::bigint * 16 + substr(t, i + 1, 1)::bigint * 4 + substr(t, i + 2, 1)::bigint as source from c),
+  e as (select source, (source * 4 + b) % 64 as target, 0.1 as p from s, (select unnest(range(0, 4)) as b) b union all select source, source, 0.6 from s) select source, target, round(sum(p)::double, 9) as prob from e group by 1, 2""")
 def kmer_graph(spark, d):
-    return KM.kmer_graph(spark, 2, 0.6).select("source", "target", r6("prob", "prob", 9))
+    """The edges that leave 3-mers of documents."""
+    seen = _letters(spark, d).select(F.explode(KM.kmer_codes(F.col("q"), 3)).alias("source")).distinct()
+    return KM.kmer_graph(spark, 3, 0.6).join(seen, "source", "left_semi").select("source", "target", r6("prob", "prob", 9))
 
 
 @query("coarse_band", D + """, c as (select doc_id, length(q) * 3 as n, length(q) - 2 as size, list_transform(range(1, length(q) - 1), lambda i: (position(q[i] in 'ATCG') - 1) * 16 + (position(q[i + 1] in 'ATCG') - 1) * 4 + position(q[i + 2] in 'ATCG') - 1) as codes from d where length(q) >= 3),
@@ -519,7 +532,7 @@ def forward_loglik(spark, d):
 
     @F.pandas_udf("double")
     def go(signal: pd.Series) -> pd.Series:
-        return pd.Series([H.forward_loglik(sent.value, np.asarray(s, float).reshape(-1, 1)) for s in signal])
+        return pd.Series(H.forward_loglik(sent.value, *(np.asarray(s, float).reshape(-1, 1) for s in signal)))
 
     return _reads(spark, d).select(F.col("read_index").alias("user_id"), r6(go("signal"), "loglik", 5))
 
@@ -580,6 +593,85 @@ def hmm_m_step_tied(spark, d):
     return _updated(spark, d, "etps")
 
 
+#: The two states with other families: shares of ten cells from 0 to 200, or a mean and a variance.
+CELLS = [[0.3, 0.25, 0.15, 0.1, 0.06, 0.05, 0.04, 0.03, 0.01, 0.01], [0.05, 0.07, 0.1, 0.14, 0.16, 0.15, 0.13, 0.1, 0.06, 0.04]]
+
+
+def _family(family: str, shape: dict, params: list) -> str:
+    doc = json.loads(TWO_STATES)
+    doc["emission"] = {k: {"family": family, "params": p} | shape for k, p in zip(("A_*", "C_*"), params)}
+    return json.dumps(doc)
+
+
+_CELL = "least(9, greatest(0, floor(x / 20)))::int"
+_HISTOGRAMS = EM.replace("-0.5 * ln(2 * pi()) - ln(20.0) - 0.5 * pow((x - 20) / 20, 2) as e0", f"ln({CELLS[0]}[{_CELL} + 1]) as e0").replace("-0.5 * ln(2 * pi()) - ln(60.0) - 0.5 * pow((x - 90) / 60, 2) as e1", f"ln({CELLS[1]}[{_CELL} + 1]) as e1")
+
+
+@query("em_histogram", _HISTOGRAMS + f""", h as (select {_CELL} as cell, sum(g0) as n0, sum(g1) as n1 from g group by 1), c as (select unnest(range(0, 10))::int as cell),
+  n as (select 0 as state, c.cell, coalesce(n0, 0) as n from c left join h on h.cell = c.cell union all select 1, c.cell, coalesce(n1, 0) from c left join h on h.cell = c.cell)
+  select state, cell, round((exp(-50) + n) / sum(exp(-50) + n) over (partition by state), 6) as p from n""")
+def em_histogram(spark, d):
+    """Shares of cells after one iteration of a model whose emissions are histograms."""
+    model = parse_model(_family("histogram", {"low": [0], "high": [200], "bins": [10]}, CELLS))
+    new = H.m_step(model, H.by_key(H.e_step(_reads(spark, d), model, 5)), H.Options())
+    rows = [(i, c, p) for i, k in enumerate(new.key) for c, p in enumerate(new.emissions[k].pack())]
+    return spark.createDataFrame(rows, "state int, cell int, p double").select("state", "cell", r6("p", "p"))
+
+
+@query("em_gaussian_family", EM + """, u as (select 0 as state, g0 as w, x from g union all select 1, g1, x from g), t as (select state, sum(w) as w, sum(w * w) as w2, sum(w * x) as x, sum(w * x * x) as xx from u group by 1)
+  select state, round(w - w2 / w, 4) as n_eff, round(x / w, 5) as mean, round((xx - x * x / w) / (w - w2 / w), 3) as var from t""")
+def em_gaussian_family(spark, d):
+    """Weighted Gaussians after one iteration; the divisor of the covariance is sum w - sum w^2 / sum w."""
+    model = parse_model(_family("gaussian", {"dim": 1}, [[20.0, 400.0], [90.0, 3600.0]]))
+    new = H.m_step(model, H.by_key(H.e_step(_reads(spark, d), model, 5)), H.Options())
+    rows = [(i, g.weight, float(g.mean[0]), float(g.factor[0, 0] ** 2)) for i, g in enumerate(new.emissions[k].of for k in new.key)]
+    return spark.createDataFrame(rows, "state int, n_eff double, mean double, var double").select("state", r6("n_eff", "n_eff", 4), r6("mean", "mean", 5), r6("var", "var", 3))
+
+
+#: Four states at three places; the first and the last share an emission. Moves cut a read into runs of 20 samples, three at most.
+BANDED = json.dumps({
+    "nodes": [{"id": i, "seq_id": p, "kmer": k, "label": "*"} for i, (p, k) in enumerate(((0, "A"), (1, "C"), (1, "G"), (2, "A")))],
+    "links": [{"source": i, "target": j, "prob": p} for i, j, p in ((0, 0, 0.7), (0, 1, 0.2), (0, 2, 0.1), (1, 1, 0.6), (1, 3, 0.4), (2, 2, 0.5), (2, 1, 0.2), (2, 3, 0.3), (3, 3, 1.0))],
+    "emission": {k: {"peak": 1, "dim": 1, "params": [1.0, m, v]} for k, m, v in (("A_*", 30.0, 900.0), ("C_*", 70.0, 1600.0), ("G_*", 120.0, 2500.0))},
+})
+
+
+def _banded_sql() -> str:
+    """Forward and backward values of BANDED as a column a state; what the band or the start forbids weighs exp(-1e6)."""
+    doc = json.loads(BANDED)
+    place, key = [n["seq_id"] for n in doc["nodes"]], [f"{n['kmer']}_*" for n in doc["nodes"]]
+    link, every = {(x["source"], x["target"]): x["prob"] for x in doc["links"]}, range(len(place))
+    density = lambda k: f"-0.5 * ln(2 * pi() * {doc['emission'][k]['params'][2]}) - 0.5 * pow(x - {doc['emission'][k]['params'][1]}, 2) / {doc['emission'][k]['params'][2]}"
+    many = lambda terms: f"greatest({', '.join(terms)}) + ln({' + '.join(f'exp({t} - greatest({chr(44).join(terms)}))' for t in terms)})"
+    emit = ", ".join(f"case when abs(least(2, pos // 20) - {place[i]}) <= 1 then {density(key[i])} else -1e6 end as e{i}" for i in every)
+    ahead = ", ".join(f"{many([f'a{i} + ln({link[i, j]})' for i in every if (i, j) in link])} + e{j}" for j in every)
+    back = ", ".join(many([f"ln({link[i, j]}) + e{j} + w{j}" for j in every if (i, j) in link]) for i in every)
+    xi = " union all ".join(f"select 'xi' as kind, '' as key, {i} as i, {j} as j, sum(exp(v.a{i} + ln({p}) + s.e{j} + w.w{j} - ll)) as val from v join s on s.user_id = v.user_id and s.pos = v.pos + 1 join w on w.user_id = s.user_id and w.pos = s.pos join k on k.user_id = v.user_id" for (i, j), p in link.items())
+    of = lambda k: " + ".join(f"g{i}" for i in every if key[i] == k)
+    sums = " union all ".join(f"select '{kind}', '{k}', 0, 0, sum(({of(k)}){by}) from g" for k in sorted(set(key)) for kind, by in (("g", ""), ("x", " * x"), ("xx", " * x * x")))
+    return S.replace("with s", "with recursive s0") + f""",
+      s as (select user_id, pos, {emit} from s0),
+      v as (select user_id, pos, {", ".join(f"e{i} + {0.0 if place[i] == 0 else -1e6} as a{i}" for i in every)} from s where pos = 0 union all select v.user_id, s.pos, {ahead} from v join s on s.user_id = v.user_id and s.pos = v.pos + 1),
+      l as (select user_id, max(pos) as n from v group by 1),
+      w as (select user_id, n as pos, {", ".join(f"0.0::double as w{i}" for i in every)} from l union all select w.user_id, s.pos - 1, {back} from w join s on s.user_id = w.user_id and s.pos = w.pos where w.pos > 0),
+      k as (select v.user_id, n + 1 as n, {many([f"a{i}" for i in every])} as ll from v join l on l.user_id = v.user_id and l.n = v.pos),
+      g as (select v.pos, s0.x, {", ".join(f"exp(a{i} + w{i} - ll) as g{i}" for i in every)} from v join w using (user_id, pos) join k using (user_id) join s0 using (user_id, pos)),
+      st as ({xi} union all {sums} union all select 'loglik', '', 0, 0, sum(ll) from k union all select 'reads', '', 0, 0, count(*) from k)
+      select kind, key, i, j, round(val, case kind when 'xx' then 1 when 'x' then 2 when 'loglik' then 3 else 4 end) + 0.0 as val from st"""
+
+
+@query("em_banded", _banded_sql())
+def em_banded(spark, d):
+    """Expected counts of a model with bands of several places, two of whose states share an emission."""
+    model = parse_model(BANDED)
+    reads = _reads(spark, d).withColumn("mv", F.transform("signal", lambda x, i: F.least(F.lit(2), F.floor(i / 20)).cast("int")))
+    stats = H.e_step(reads, model, 1).where("kind in ('xi', 'g', 'x', 'xx', 'loglik', 'reads')")
+    val = F.round("val", 4)
+    for kind, n in _DIGITS.items():
+        val = F.when(F.col("kind") == kind, F.round("val", n)).otherwise(val)
+    return stats.select("kind", "key", "i", "j", (val + 0.0).alias("val"))
+
+
 #: The two states as classes 1 and 2.
 CLASSES = TWO_STATES.replace('"A", "label": "*"', '"A", "label": "1"').replace('"C", "label": "*"', '"C", "label": "2"').replace("A_*", "A_1").replace("C_*", "C_2")
 

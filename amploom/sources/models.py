@@ -1,7 +1,7 @@
 """Model JSON and FASTA.
 
 A model has nodes (id, seq_id, kmer, label), links (source, target, prob) and an object of emissions by
-"kmer_label" (peak, dim, params). Unknown fields of the JSON survive a save, which replaces the emissions' params
+"kmer_label" (peak, dim, params, and family if it is no Gaussian mixture). Unknown fields of the JSON survive a save, which replaces the emissions' params
 and the links only.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,22 @@ LINKS = "source int, target int, prob double"
 EMISSIONS = "key string, peak int, dim int, params array<double>"
 
 
+class Emission(Protocol):
+    """What training asks of a state's emission. Parts of the frames are summed apart, in tasks, and added up."""
+
+    dim: int
+
+    def log_density(self, x: np.ndarray) -> np.ndarray: ...
+    def sums(self, x: np.ndarray, w: np.ndarray) -> dict[tuple, float]: ...
+    def updated(self, sums: dict[tuple, float]) -> Emission: ...
+    def pack(self) -> list[float]: ...
+
+
+def _total(c: np.ndarray) -> np.ndarray:
+    m = c.max(axis=1, keepdims=True)
+    return m + np.log(np.exp(c - m).sum(axis=1, keepdims=True))
+
+
 @dataclass
 class Mixture:
     """Gaussian mixture in ``dim`` dimensions: log weights (K), means (K, D), covariances (K, D, D)."""
@@ -53,12 +70,62 @@ class Mixture:
         return out
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        c = self.log_components(x)
-        m = c.max(axis=1, keepdims=True)
-        return (m + np.log(np.exp(c - m).sum(axis=1, keepdims=True)))[:, 0]
+        return _total(self.log_components(x))[:, 0]
 
     score = log_density
 
+    @property
+    def dim(self) -> int:
+        return self.mean.shape[1]
+
+    def sums(self, x: np.ndarray, w: np.ndarray) -> dict[tuple, float]:
+        """Of weighted frames, by (kind, component, i, j): weight, weighted values and products. Sums of two parts add up to those of both."""
+        c = self.log_components(x)
+        r = np.exp(c - _total(c)) * w[:, None]
+        out: dict[tuple, float] = {}
+        for m in range(r.shape[1]):
+            out["g", m, 0, 0] = float(r[:, m].sum())
+            for i in range(x.shape[1]):
+                out["x", m, i, 0] = float(r[:, m] @ x[:, i])
+                for j in range(i + 1):
+                    out["xx", m, i, j] = float(r[:, m] @ (x[:, i] * x[:, j]))
+        return out
+
+    def moments(self, sums: dict[tuple, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, d = self.mean.shape
+        g = np.array([sums.get(("g", c, 0, 0), 0.0) for c in range(n)])
+        x = np.array([[sums.get(("x", c, i, 0), 0.0) for i in range(d)] for c in range(n)])
+        xx = np.array([[[sums.get(("xx", c, max(i, j), min(i, j)), 0.0) for j in range(d)] for i in range(d)] for c in range(n)])
+        return g, x, xx
+
+    def updated(self, sums: dict[tuple, float], covariances: dict[int, np.ndarray] | None = None) -> Mixture:
+        """From summed ``sums``; ``covariances`` by component go before its own. A component whose covariance is not positive definite keeps all of its own."""
+        g, x, xx = self.moments(sums)
+        if g.sum() <= 1e-8:
+            return self
+        logw, mean, cov = self.logw.copy(), self.mean.copy(), self.cov.copy()
+        for c in np.flatnonzero(g > 1e-12).tolist():
+            mu = x[c] / g[c]
+            sigma = (covariances or {}).get(c, xx[c] / g[c] - np.outer(mu, mu))
+            try:
+                np.linalg.cholesky(sigma)
+            except np.linalg.LinAlgError:
+                continue
+            logw[c], mean[c], cov[c] = np.log(g[c] / g.sum()), mu, sigma
+        return Mixture(logw, mean, cov)
+
+
+def pooled_covariances(parts: list[tuple[Mixture, dict[tuple, float]]]) -> dict[int, np.ndarray]:
+    """The covariance of all mixtures' frames, by component."""
+    out: dict[int, np.ndarray] = {}
+    sums = [m.moments(s) for m, s in parts]
+    for c in range(max((len(s[0]) for s in sums), default=0)):
+        g = sum(s[0][c] for s in sums if len(s[0]) > c)
+        if g > 1e-8:
+            mean = sum(s[1][c] for s in sums if len(s[0]) > c) / g
+            out[c] = sum(s[2][c] for s in sums if len(s[0]) > c) / g - np.outer(mean, mean)
+    return out
+
 
 @dataclass
 class Model:
@@ -70,7 +137,7 @@ class Model:
     key: list[str]
     edges: np.ndarray  # (E, 2), sorted by source and target
     logp: np.ndarray
-    emissions: dict[str, Mixture]
+    emissions: dict[str, Emission]
     logpi: np.ndarray
     bands: dict[str, list[np.ndarray]] = field(default_factory=dict)
 
@@ -80,7 +147,7 @@ class Model:
 
     @property
     def dim(self) -> int:
-        return next(iter(self.emissions.values())).mean.shape[1]
+        return next(iter(self.emissions.values())).dim
 
     def positions(self, chrom: str | None) -> list[np.ndarray] | None:
         """The states at each position for a read's label; a model with one label uses it for all reads."""
@@ -101,16 +168,30 @@ def normalise_links(edges: np.ndarray, logp: np.ndarray, keep: np.ndarray | None
     return out
 
 
+def _emission(e: dict) -> Emission:
+    """``family``: mixture (the default), gaussian (mean and covariance by rows) or histogram (low, high and bins by dimension, probabilities of cells)."""
+    from ..operators.families import GaussianEmission, HistogramEmission
+
+    family, params = e.get("family", "mixture"), e.get("params") or []
+    if family == "mixture":
+        return Mixture.unpack(params, e["peak"], e["dim"])
+    if family == "gaussian":
+        return GaussianEmission.unpack(params, e["dim"])
+    if family == "histogram":
+        return HistogramEmission.unpack(params, e["low"], e["high"], e["bins"])
+    raise ValueError(f"no emission family {family}")
+
+
 def parse_model(text: str) -> Model:
     doc = json.loads(text)
     nodes = sorted(doc["nodes"], key=lambda n: n["id"])
     if [n["id"] for n in nodes] != list(range(len(nodes))):
         raise ValueError("node ids must be 0, 1, 2, ...")
-    emissions = {k: Mixture.unpack(e.get("params") or [], e["peak"], e["dim"]) for k, e in doc["emission"].items()}
+    emissions = {k: _emission(e) for k, e in doc["emission"].items()}
     key = [f"{n['kmer']}_{n['label']}" for n in nodes]
     if missing := sorted(set(key) - set(emissions)):
         raise ValueError(f"nodes without emission: {', '.join(missing[:5])}")
-    if len({m.mean.shape[1] for m in emissions.values()}) > 1:
+    if len({m.dim for m in emissions.values()}) > 1:
         raise ValueError("emissions differ in dimension")
     links = sorted((x["source"], x["target"], x["prob"]) for x in doc["links"])
     edges = np.array([x[:2] for x in links], int).reshape(-1, 2)
@@ -157,7 +238,7 @@ def frames_of(spark: SparkSession, model: Model) -> dict[str, DataFrame]:
     """The model as tables: nodes, links, emission, and expand_seq (label, seq_id, states)."""
     nodes = [(n["id"], n["seq_id"], n["kmer"], n["label"]) for n in model.source["nodes"]]
     links = [(int(a), int(b), float(np.exp(p))) for (a, b), p in zip(model.edges, model.logp)]
-    emission = [(k, len(m.logw), m.mean.shape[1], m.pack()) for k, m in model.emissions.items()]
+    emission = [(k, int(model.source["emission"][k].get("peak", 1)), m.dim, m.pack()) for k, m in model.emissions.items()]
     seq = [(label, i, s.tolist()) for label, band in model.bands.items() for i, s in enumerate(band)]
     return {"nodes": spark.createDataFrame(nodes, NODES), "links": spark.createDataFrame(links, LINKS), "emission": spark.createDataFrame(emission, EMISSIONS), "expand_seq": spark.createDataFrame(seq, "label string, seq_id int, states array<int>")}
 
