@@ -8,8 +8,10 @@ Documents are exploded by their count, dealt to tasks by a hash of document and
 Rates over ``PART`` are split into equal parts with draws of their own, whose sum is again Poisson.
 
 Nulls and odd rows: a null source is a source of its own; a null doc_id or text hashes as empty; rows that repeat
-a doc_id and text are drawn alike; a source without a weight gets none; an empty table gives no rows; all other
-columns pass through, those named copy_no, rate or shuffle_key are replaced.
+a doc_id and text are drawn alike; an empty table gives no rows; all other columns pass through, those named copy_no,
+rate or shuffle_key are replaced. Weights: those of a source's rows add up; a source without one, or with a null one,
+gets none; a source that the table doesn't have takes no part; a negative or NaN weight, or none above 0 among the
+table's sources, is an error.
 """
 
 from __future__ import annotations
@@ -36,8 +38,17 @@ def uniform(*of: Column) -> Column:
 def rates(docs: DataFrame, weights: DataFrame | None = None, temperature: float = 0.5, epochs: float = 1.0) -> DataFrame:
     """(source, rate, parts, cdf): a row a source. ``weights``: (source, weight), else the sources' shares to the power ``temperature``."""
     n = docs.groupBy("source").agg(F.count("*").alias("n"))
-    w = n.withColumn("weight", F.pow(F.col("n").cast("double"), temperature)) if weights is None else n.join(weights.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    if weights is None:
+        w = n.withColumn("weight", F.pow(F.col("n").cast("double"), temperature))
+    else:
+        given = weights.groupBy(F.col("source").alias("_s")).agg(F.sum(F.col("weight").cast("double")).alias("weight"))
+        if bad := weights.where("weight < 0 or isnan(cast(weight as double))").select("source").first():
+            raise ValueError(f"the weight of source {bad.source} is negative or no number")
+        w = n.join(given, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     total = w.agg(F.sum("weight").alias("tw"), F.sum("n").alias("tn"))
+    if weights is not None:
+        none = F.raise_error(F.lit("no source of the table has a weight above 0")).cast("double")
+        total = total.select(F.when(F.col("tn").isNull() | (F.col("tw") > 0), F.col("tw")).otherwise(none).alias("tw"), "tn")
     rated = w.crossJoin(F.broadcast(total)).select("source", (epochs * F.col("tn") * F.col("weight") / F.col("tw") / F.col("n")).alias("rate"))  # one row
     parts = rated.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART)).cast("int")).withColumn("each", F.col("rate") / F.col("parts"))
     most = int(PART + 12 * math.sqrt(PART) + 40)
