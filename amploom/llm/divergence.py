@@ -34,7 +34,7 @@ LEAST_DOCS, PRIOR, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Sources of a language beyond which a term is dense.
 HEAVY = 8
 #: Terms and sources of a dense tile.
-TILE, BLOCK = 512, 128
+TILE, BLOCK = 128, 128
 #: Groups that a broadcast may hold (a row of some 100 bytes each), and beyond it the tasks that share a group's rows.
 BROADCAST_GROUPS, SALTS = 100_000, 64
 #: Bytes of text whose counts a task holds before it hands them on.
@@ -150,10 +150,11 @@ def _against(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Recor
 def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP, heavy: int = HEAVY, tile: int = TILE, block: int = BLOCK) -> DataFrame:
     """(lang, source, part, item, value, rank): part ``pair`` has each other source of the language, part ``term`` the ``top`` terms that a source has more of than its language."""
     dealt = settle(term_counts(docs), "counts")
-    # Dealt by (lang, term) once: sums by source, of the language, and the number of sources follow without another shuffle.
+    # Dealt by (lang, term) once: sums by source, and over them those of the language and the number of sources, need no other shuffle.
     by_source = dealt.where("term <> ''").repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    of_term = by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("ln"), F.count("*").alias("sources")).where(F.col("docs") >= least_docs).drop("docs")
-    posts = settle(by_source.drop("docs").join(of_term, ["lang", "term"]), "postings")
+    of_term = W.partitionBy("lang", "term")
+    summed = by_source.select("lang", "term", "source", "n", F.sum("docs").over(of_term).alias("docs"), F.sum("n").over(of_term).alias("ln"), F.count("*").over(of_term).alias("sources"))
+    posts = settle(summed.where(F.col("docs") >= least_docs).drop("docs"), "postings")
     kept = posts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     terms = posts.select("lang", "term", "sources", "ln").distinct()
     langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("ln").alias("lang_total"), F.count_if(F.col("sources") <= heavy).alias("light"), F.count_if(F.col("sources") > heavy).alias("dense"))

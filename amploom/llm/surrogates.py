@@ -3,11 +3,14 @@
 Entities are e-mail addresses, card numbers, telephone numbers, social security numbers, IPv4 addresses and names
 after a title. The canonical form makes the same number in two formats, or a name with and without first name, one
 entity, so references still agree; a first name is one entity whatever the title. A name that a document gives with a
-title is replaced in the rest of that document too, where it stands alone (capitalised as there, or in capitals).
+title is replaced in the rest of that document too, where it stands alone (capitalised as there, or in capitals). Of
+the words in ``COMMON``, which are names and everyday words, only those beside another of these names or within a
+sentence and not after an article are taken for names. Names without a title anywhere in their document, or in lower case, stay.
 
 Numbers: a keyed bijection of their own space (a Feistel network P, and P^-1(P(x) + shift)), so distinct numbers get
-distinct surrogates by construction, however full the space is, and none stands for itself. A country code, a card's
-first digit and whether its check digit is right, and an address's private range stay.
+distinct surrogates by construction, however full the space is, and none stands for itself. A telephone number's country
+code after a plus or zeros at its beginning, a card's first digit and whether its check digit is right, and an address's
+private range stay; what follows the country code or zeros is one number, whichever of them it has.
 
 Names and e-mail addresses: drawn by the keyed hash of type, canonical form and an attempt number, in their letter
 case, script and the gender of the title. A first name's gender is settled over the corpus: by the titles that have
@@ -57,7 +60,14 @@ SYLLABLES = {
     "cyrillic": "ба бе бо да де до га го ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се та те то ва ве".split(),
 }
 
-NAME = r"(?:" + "|".join(TITLES.values()) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+)?"
+# Names that are also everyday words, articles, and country codes of one and two digits (all others have three).
+COMMON = "will may mark grace hope faith joy rose dawn grant bill jack art rich chase guy king young long short green brown white black gray grey wood stone hill bush love wise best day winter summer klein gross lang kurz weiß schwarz braun petit grand blanc roux rey".split()
+ARTICLES = "the a an der die das ein eine le la les un une el los las una".split()
+COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+
+#: Space within a name; a new line ends it.
+GAP = "[ \t\u00a0]{1,3}"
+NAME = r"(?:" + "|".join(TITLES.values()) + rf")\.?{GAP}\p{{Lu}}[\p{{L}}'-]+(?:{GAP}\p{{Lu}}[\p{{L}}'-]+)?"
 #: Java regexes in the order in which they are tried at a position.
 KINDS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -213,11 +223,14 @@ def gender(s: Column) -> Column:
 def parts_of(s: Column) -> Column:
     """The entities in a match: array<struct<kind, canon, gender>>. A name has a family name and maybe a first name, each an entity."""
     kind = kind_of(s)
-    words = F.split(s, " ")
+    words = F.split(s, GAP)
     low = lambda i: F.lower(F.get(words, F.lit(i)))
     one = lambda k, c, g="u": F.struct(k.alias("kind"), c.alias("canon"), (g if isinstance(g, Column) else F.lit(g)).alias("gender"))
     name = F.when(F.size(words) > 2, F.array(one(F.lit("first"), low(1), gender(s)), one(F.lit("family"), low(2)))).otherwise(F.array(one(F.lit("family"), low(1))))
-    canon = F.when(kind == "email", F.lower(s)).when(kind == "ip", s).otherwise(_digits(s))
+    # A telephone number is its country code or zeros, a colon, and the rest.
+    head = F.when(s.startswith("+"), F.regexp_extract(_digits(s), f"^(?:{COUNTRY})", 0)).otherwise(F.regexp_extract(_digits(s), "^0*(?=[0-9]{2})", 0))
+    phone = F.concat(head, F.lit(":"), F.substring(_digits(s), F.length(head) + 1, F.length(s)))
+    canon = F.when(kind == "email", F.lower(s)).when(kind == "ip", s).when(kind == "phone", phone).otherwise(_digits(s))
     return F.when(kind == "name", name).otherwise(F.array(one(kind, canon)))
 
 
@@ -241,9 +254,9 @@ def drawn(key: str, kind: Column, canon: Column, sex: Column, attempt: Column) -
 
 def surrogate(key: str, kind: Column, canon: Column, sex: Column, attempt: Column) -> Column:
     """The canonical surrogate of an entity: for numbers the digits, for names the capitalised word."""
-    head = F.when(F.length(canon) > 10, F.substring(canon, F.lit(1), F.length(canon) - 10)).otherwise(F.lit(""))  # the country code stays
-    phone = F.concat(head, other_digits(key, F.concat(kind, head), F.substring(canon, F.length(head) + 1, F.length(canon))))
-    return F.when(kind == "card", other_card(key, canon)).when(kind == "ip", other_ip(key, canon)).when(kind.isin("phone", "ssn"), phone).otherwise(drawn(key, kind, canon, sex, attempt))
+    rest = F.substring_index(canon, ":", -1)
+    digits = F.concat(F.substring(canon, F.lit(1), F.length(canon) - F.length(rest) - 1), other_digits(key, kind, rest))
+    return F.when(kind == "card", other_card(key, canon)).when(kind == "ip", other_ip(key, canon)).when(kind.isin("phone", "ssn"), digits).otherwise(drawn(key, kind, canon, sex, attempt))
 
 
 def drawn_again(entities: DataFrame, key: str) -> DataFrame:
@@ -286,15 +299,22 @@ def _cased(word: Column, new: Column) -> Column:
     return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(new)).otherwise(new)
 
 
+def _cased_as(match: Column, new: Column) -> Column:
+    """``new`` with capitals where ``match`` has them; a longer one has more letters at its beginning."""
+    more = F.length(new) - F.length(match)
+    return F.array_join(F.transform(_chars(new), lambda c, i: F.when((i >= more) & F.substring(match, i - more + 1, F.lit(1)).between("A", "Z"), F.upper(c)).otherwise(c)), "")
+
+
 def replaced(key: str, match: Column, known: Column) -> Column:
     """A match rewritten: its entities' surrogates in its own format."""
     kind = kind_of(match)
 
     def of(subs: Column) -> Column:
         one = F.get(subs, F.lit(0))
-        words = F.split(match, " ")
-        name = F.concat_ws(" ", F.get(words, F.lit(0)), F.array_join(F.transform(subs, lambda s, i: _cased(F.get(words, i + 1), s)), " "))
-        return F.when(kind == "name", name).when(kind.isin("phone", "card", "ssn"), _refill(match, one)).otherwise(one)
+        words, gaps = F.split(match, GAP), F.regexp_extract_all(match, F.lit(GAP), F.lit(0))
+        name = F.concat(F.get(words, F.lit(0)), F.array_join(F.transform(subs, lambda s, i: F.concat(F.get(gaps, i), _cased(F.get(words, i + 1), s))), ""))
+        email = F.when(match.rlike("[A-Z]"), _cased_as(match, one)).otherwise(one)
+        return F.when(kind == "name", name).when(kind.isin("phone", "card", "ssn"), _refill(match, one)).when(kind == "email", email).otherwise(one)
 
     return _let(F.transform(parts_of(match), lambda e: _settled(key, e, known)), of)
 
@@ -306,10 +326,17 @@ def _woven(pieces: Column, subs: Column) -> Column:
 def _rewritten(key: str, text: Column, matches: Column, known: Column) -> Column:
     """The text with its matches replaced, and the names among them wherever else they stand."""
     people = F.filter(matches, lambda m: m.rlike("^" + NAME + "$"))
-    words = F.array_distinct(F.flatten(F.transform(people, lambda m: F.slice(F.split(m, " "), F.lit(2), F.lit(2)))))
-    both = F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w)))))
-    # a longer name before its own beginning
-    pattern = F.concat(F.lit(r"(?<![\p{L}])(?:"), F.array_join(F.sort_array(both, asc=False), "|"), F.lit(r")(?![\p{L}])"))
+    words = F.array_distinct(F.flatten(F.transform(people, lambda m: F.slice(F.split(m, GAP), F.lit(2), F.lit(2)))))
+    both = F.sort_array(F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w))))), asc=False)  # a longer name before its own beginning
+    article = "|".join(x for a in ARTICLES for x in (a, a.capitalize()))
+    inside = F.lit(rf"(?<=[\p{{L}}\p{{N}},;:)][ \t\u00a0\n])(?<!(?<![\p{{L}}])(?:{article})[ \t\u00a0\n])")
+
+    def one_of(all_names: Column) -> Column:
+        beside = F.concat(F.lit(r"|(?<=(?<![\p{L}])(?:"), all_names, F.lit(")[ \t\u00a0])|"))
+        common = lambda w: F.concat(F.lit("(?:"), inside, beside, F.lit("(?="), w, F.lit(GAP), F.lit("(?:"), all_names, F.lit(r")(?![\p{L}])))"), w)
+        return F.array_join(F.transform(both, lambda w: F.when(F.lower(w).isin(COMMON), common(w)).otherwise(w)), "|")
+
+    pattern = F.concat(F.lit(r"(?<![\p{L}])(?:"), _let(F.array_join(both, "|"), one_of), F.lit(r")(?![\p{L}])"))
 
     def bare(p: Column, names: Column, pat: Column) -> Column:
         new = lambda w: _cased(w, F.element_at(names, F.lower(w)))

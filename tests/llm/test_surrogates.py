@@ -57,8 +57,8 @@ def number(kind, canon):
         off = (int(canon[-1]) - check(canon[:-1])) % 10
         stem = canon[0] + digits(f"card{off}", canon[1:-1])
         return stem + str((check(stem) + off) % 10)
-    head = canon[:-10] if len(canon) > 10 else ""
-    return head + digits(kind + head, canon[len(head) :])
+    head, _, rest = canon.rpartition(":")
+    return head + digits(kind, rest)
 
 
 def shaped(s, h):
@@ -93,10 +93,30 @@ def kind_of(m):
 def entities(m):
     k = kind_of(m)
     if k == "name":
-        w = m.split(" ")
+        w = regex.split(S.GAP, m)
         sex = "m" if regex.match(rf"(?:{S.TITLES['m']})\b", m) else "f" if regex.match(rf"(?:{S.TITLES['f']})\b", m) else "u"
         return [("first", w[1].lower(), sex), ("family", w[2].lower(), "u")] if len(w) > 2 else [("family", w[1].lower(), "u")]
-    return [(k, m.lower() if k == "email" else m if k == "ip" else "".join(c for c in m if "0" <= c <= "9"), "u")]
+    d = "".join(c for c in m if "0" <= c <= "9")
+    if k == "phone":
+        n = next(n for n in (1, 2, 3) if n == 3 or d[:n] in CODES) if m[0] == "+" else min(len(d) - len(d.lstrip("0")), len(d) - 2)
+        return [(k, f"{d[:n]}:{d[n:]}", "u")]
+    return [(k, m.lower() if k == "email" else m if k == "ip" else d, "u")]
+
+
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def is_name(text, a, b, words):
+    """A common word is a name beside another of the names, or within a sentence and not after an article."""
+    if text[a:b].lower() not in S.COMMON:
+        return True
+    before, after = text[:a], text[b:]
+    beside = regex.search(r"(?<!\p{L})(\p{Lu}[\p{L}'-]*)[ \t\u00a0]$", before)
+    ahead = regex.match(S.GAP + r"(\p{Lu}[\p{L}'-]*)", after)
+    if beside and beside[1] in words or ahead and ahead[1] in words:
+        return True
+    word = regex.search(r"(\p{L}*)[ \t\u00a0\n]$", before)
+    return bool(regex.search(r"[\p{L}\p{N},;:)][ \t\u00a0\n]$", before)) and not (word and word[1] in {x for y in S.ARTICLES for x in (y, y.capitalize())})
 
 
 def brute(rows):
@@ -124,12 +144,15 @@ def brute(rows):
     def whole(m):
         es = entities(m)
         if kind_of(m) == "name":
-            w = m.split(" ")
-            return " ".join([w[0], *(cased(x, new(e)) for x, e in zip(w[1:], es))])
+            w, gaps = regex.split(S.GAP, m), regex.findall(S.GAP, m)
+            return w[0] + "".join(g + cased(x, new(e)) for g, x, e in zip(gaps, w[1:], es))
         s = new(es[0])
         if kind_of(m) in ("phone", "card", "ssn"):
             it = iter(s)
             return "".join(next(it) if "0" <= c <= "9" else c for c in m)
+        if kind_of(m) == "email":
+            k = len(s) - len(m)
+            return s[:k] + "".join(c.upper() if o.isupper() else c for c, o in zip(s[k:], m))
         return s
 
     def text(t):
@@ -139,12 +162,12 @@ def brute(rows):
         names = {}
         for kind in ("first", "family"):  # a family name wins
             names |= {e[1]: new(e) for m in people for e in entities(m) if e[0] == kind}
-        words = {x for m in people for w in m.split(" ")[1:3] for x in (w, w.upper())}
+        words = {x for m in people for w in regex.split(S.GAP, m)[1:3] for x in (w, w.upper())}
         out, at = [], 0
         bare = regex.compile(r"(?<!\p{L})(?:" + "|".join(sorted(words, reverse=True)) + r")(?!\p{L})") if words else None
         for m in [*regex.finditer(S.ANY, t), None]:
             piece = t[at : m.start() if m else None]
-            out.append(bare.sub(lambda x: cased(x.group(), names[x.group().lower()]), piece) if bare else piece)
+            out.append(bare.sub(lambda x: cased(x.group(), names[x.group().lower()]) if is_name(x.string, *x.span(), words) else x.group(), piece) if bare else piece)  # noqa: B023
             if m:
                 out.append(whole(m.group()))
                 at = m.end()
@@ -171,6 +194,10 @@ ROWS = [
     (7, "Prof. Sam O'Neil-Roth saw O'Neil-Roth, Sam and Mr Sam Brown; Mrs Brown Sam"),
     (8, "Herr Li Wu und Frau Wu Li: Li Wu, Wu Li, Li"),
     (9, " ".join(f"Mr Name{chr(97 + i // 26)}{chr(97 + i % 26)} Kin{chr(97 + i % 26)}" for i in range(300)).replace("Namea", "Na")),
+    (10, "Mr Will Green came. Will you come? The Green party, Will and Will Green; die Green ist, so GREEN and Green. Green Will"),
+    (11, "Mr  Smith, Ms.\tAnna  Smith\nNext line; Dr\nThe"),
+    (12, "+1 (212) 555-0100 or (212) 555-0100, +44 (212) 555-0100, +1-212-555-0100, (030) 123-4567 or +49 30 1234567, (000) 000-0000"),
+    (13, "Anna.Smith@Example.com anna.smith@example.com ANNA.SMITH@EXAMPLE.COM"),
 ]
 
 
@@ -218,3 +245,21 @@ def test_key_and_odd_columns(spark):
     long = "Mr Long " + "word Long " * 200000 + "+1 904 555 1234"
     got = S.rewrite(spark.createDataFrame([(1, long)], "doc_id long, text string"), KEY).first()
     assert len(got.text) > 1 << 21 and "Long" not in got.text and got.n_entities == 2
+
+
+def test_references_agree(spark):
+    rows = [
+        "+1 (212) 555-0100 or (212) 555-0100 or 212-555-0100, +49 (30) 123-4567 or (030) 123-4567",
+        "Anna.Smith@Example.com or anna.smith@example.com",
+        "Mr Will Green came. Will you come? The Green party met Green and Will Green.",
+        "Mr  Jones and Jones",
+    ]
+    got = [r.text for r in S.rewrite(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), KEY).orderBy("doc_id").collect()]
+    a, b, c, d, e = regex.findall(r"(?:\+\d+ )?(?:\(\d+\) |\d{3}-)\d{3}-\d{4}", got[0])
+    tail = lambda x: regex.sub(r"\D", "", x)[-10:]
+    assert a.startswith("+1 (") and tail(a) == tail(b) == tail(c) and d.startswith("+49 (") and e.startswith("(0") and tail(d)[-9:] == tail(e)[-9:]
+    x, y = got[1].split(" or ")
+    assert x.lower() == y and [ch.isupper() for ch in x] == [ch.isupper() for ch in "Anna.Smith@Example.com"] and y != "anna.smith@example.com"
+    first, family = regex.match(r"Mr (\w+) (\w+) came\.", got[2]).groups()
+    assert {first, family}.isdisjoint({"Will", "Green"}) and got[2].endswith(f" came. Will you come? The Green party met {family} and {first} {family}.")
+    assert regex.fullmatch(r"Mr  (\w+) and \1", got[3]) and "Jones" not in got[3]
