@@ -74,6 +74,7 @@ def parser() -> argparse.ArgumentParser:
         t.add_argument("--output", required=True)
         if name != "segment":
             t.add_argument("--model", required=True)
+            t.add_argument("--min-samples", type=int, default=3000)
     return p
 
 
@@ -95,11 +96,11 @@ def main(argv: list[str] | None = None) -> int:
         R.segment_reads(reads).write.format("signalbin").mode("overwrite").save(a.output)
     elif a.command == "label":
         signalbin.register(spark)
-        labelled = H.label_reads(reads, load_model(a.model))
+        labelled = H.label_reads(R.min_length(reads, a.min_samples), load_model(a.model))
         labelled.select("read_index", "uuid", "chrom", "signal", "mv").write.format("signalbin").mode("overwrite").save(a.output)
         H.run_means(labelled).write.mode("overwrite").csv(f"{a.output.rstrip('/')}.runs", sep="\t", header=True)
     else:
-        H.classify_reads(reads, load_model(a.model)).write.mode("overwrite").csv(a.output, sep="\t", header=True)
+        H.classify_reads(R.min_length(reads, a.min_samples), load_model(a.model)).write.mode("overwrite").csv(a.output, sep="\t", header=True)
     return 0
 
 

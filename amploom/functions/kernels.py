@@ -7,6 +7,8 @@ Defaults follow the documented intent. Where the known behaviour of older files
 from __future__ import annotations
 
 import heapq
+from bisect import insort
+from math import isqrt
 
 import numpy as np
 
@@ -170,7 +172,11 @@ def power_sums(x: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def jb_segments(x: np.ndarray, penalty: float = 0.9, least: int = 4) -> np.ndarray:
-    """Segment ids of the segmentation with the smallest sum of Jarque-Bera statistics and penalties, no segment under ``least`` samples."""
+    """Segment ids of the segmentation with the smallest sum of Jarque-Bera statistics and penalties, no segment under ``least`` samples.
+
+    The statistic is never below 0, so starts are tried from the cheapest, and none whose cost and penalty alone are above the best cost so
+    far: exact, and mostly a few starts a sample.
+    """
     n = len(x)
     sd = x.std() if n else 0.0
     if n < 2 * least or sd == 0:
@@ -178,12 +184,22 @@ def jb_segments(x: np.ndarray, penalty: float = 0.9, least: int = 4) -> np.ndarr
     s = power_sums((x - x.mean()) / sd)
     best, previous = np.full(n + 1, np.inf), [0] * (n + 1)
     best[0] = -penalty
+    starts: list[tuple[float, int]] = []  # by cost
     for j in range(least, n + 1):
-        i = np.arange(0, j - least + 1)
-        i = i[np.isfinite(best[i])]
-        cost = best[i] + jarque_bera(s, i, j) + penalty
-        k = int(np.argmin(cost))
-        best[j], previous[j] = cost[k], int(i[k])
+        if np.isfinite(best[j - least]):
+            insort(starts, (float(best[j - least]), j - least))
+        low, at, k = np.inf, 0, 0
+        step = 32
+        while at < len(starts) and starts[at][0] + penalty <= low:
+            i = np.array([i for _, i in starts[at : at + step]])
+            cost = best[i] + jarque_bera(s, i, j) + penalty
+            here = float(cost.min())
+            first = int(i[cost == here].min())
+            if here < low or here == low and first < k:
+                low, k = here, first
+            at += step
+            step *= 2
+        best[j], previous[j] = low, k
     return _path(previous, n)
 
 
@@ -320,33 +336,50 @@ def two_window_segments(x: np.ndarray, p: float = 0.9, w: int = 10) -> np.ndarra
     return out
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
+def dtw(a: np.ndarray, b: np.ndarray, block: int | None = None) -> tuple[float, list[tuple[int, int]]]:
     """(distance, warping path from the start): squared local costs, ties diagonal first, then up, then left. Rows are points.
 
-    Costs are computed by anti-diagonals, which depend on the two before only.
+    Costs are computed by anti-diagonals, which depend on the two before only. Two of every ``block`` (the square root of
+    their number) are kept; the path goes back through one block after the other, whose steps are computed again as a byte a cell.
     """
     a, b = (np.asarray(v, float).reshape(len(v), -1) for v in (a, b))
     n, m = len(a), len(b)
     if not n or not m:
         return 0.0, []
-    local = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-    cost = np.full((n + 1, m + 1), np.inf)
-    cost[0, 0] = 0.0
-    for d in range(n + m - 1):
-        i = np.arange(max(0, d - m + 1), min(n, d + 1))
-        j = d - i
-        cost[i + 1, j + 1] = local[i, j] + np.minimum(np.minimum(cost[i, j], cost[i, j + 1]), cost[i + 1, j])
+    block = block or max(64, isqrt(n + m))
+
+    def run(lo: int, hi: int, before: np.ndarray, last: np.ndarray, steps: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Anti-diagonals lo .. hi - 1 from the two before; a cell (i, d - i) stands at i. ``steps`` takes 0 diagonal, 1 up, 2 left."""
+        for d in range(lo, hi):
+            i0, i1 = max(1, d - m), min(n, d - 1)
+            here = np.full(n + 1, np.inf)
+            if i0 <= i1:
+                diag, up, left = before[i0 - 1 : i1], last[i0 - 1 : i1], last[i0 : i1 + 1]
+                gap = a[i0 - 1 : i1] - b[d - i1 - 1 : d - i0][::-1]
+                local = gap[:, 0] * gap[:, 0] if gap.shape[1] == 1 else (gap * gap).sum(axis=1)
+                side = np.minimum(up, left)
+                here[i0 : i1 + 1] = local + np.minimum(diag, side)
+                if steps is not None:
+                    steps[d - lo, i0 : i1 + 1] = np.where(diag <= side, 0, np.where(up <= left, 1, 2))
+            before, last = last, here
+        return before, last
+
+    none = np.full(n + 1, np.inf)
+    start = none.copy()
+    start[0] = 0.0
+    kept, now = [], (start, none)  # anti-diagonals 0 and 1
+    for lo in range(2, n + m + 1, block):
+        kept.append((lo, *now))
+        now = run(lo, min(lo + block, n + m + 1), *now, None)
     path, i, j = [], n, m
-    while i and j:
-        path.append((i - 1, j - 1))
-        diag, up, left = cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1]
-        if diag <= up and diag <= left:
-            i, j = i - 1, j - 1
-        elif up <= left:
-            i -= 1
-        else:
-            j -= 1
-    return float(cost[n, m]), path[::-1]
+    for lo, before, last in reversed(kept):
+        steps = np.zeros((min(block, n + m + 1 - lo), n + 1), np.uint8)
+        run(lo, lo + len(steps), before, last, steps)
+        while i and j and i + j >= lo:
+            path.append((i - 1, j - 1))
+            step = steps[i + j - lo, i]
+            i, j = i - (step != 2), j - (step != 1)
+    return float(now[1][n]), path[::-1]
 
 
 def run_ids(mv: np.ndarray) -> np.ndarray:

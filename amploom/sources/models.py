@@ -8,10 +8,12 @@ and the links only.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -243,10 +245,23 @@ def frames_of(spark: SparkSession, model: Model) -> dict[str, DataFrame]:
     return {"nodes": spark.createDataFrame(nodes, NODES), "links": spark.createDataFrame(links, LINKS), "emission": spark.createDataFrame(emission, EMISSIONS), "expand_seq": spark.createDataFrame(seq, "label string, seq_id int, states array<int>")}
 
 
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of files without what stands before a file's first ">": a split's rows follow each other, and only a file's first piece can still show the sign."""
+    seen = None
+    for b in batches:
+        keep = []
+        for value, file, at in zip(b["value"], b["file"].to_pylist(), b["at"].to_pylist()):
+            first = at == 0 and seen != (file, at)
+            seen = file, at
+            keep.append(not first or value.as_py()[:1] == ">")
+        yield pa.record_batch([b["value"].filter(pa.array(keep, pa.bool_()))], names=["value"])
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(id, sequence) of every record: the id is what stands before the first space; line breaks go."""
+    """(id, sequence) of every record: the id is what stands before the first space; line breaks go, as does what stands before a file's first ">"."""
     # A record begins at a ">" that is the first character of a line, wherever else the character stands.
-    rows = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
+    pieces = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    rows = pieces.mapInArrow(_records, "value string").select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim(F.regexp_replace("value", r"[\r\n]", "")) != "")
     head = F.regexp_replace(F.substring_index("value", "\n", 1), r"\r$", "")
     body = F.when(F.instr("value", "\n") > 0, F.substring(F.col("value"), F.instr("value", "\n") + 1, F.length("value"))).otherwise("")
     return rows.select(F.substring_index(head, " ", 1).alias("id"), F.regexp_replace(body, r"[\r\n]", "").alias("sequence"))

@@ -87,6 +87,60 @@ def test_dtw_by_recursion(a, b):
     assert path[0] == (0, 0) and path[-1] == (len(a) - 1, len(b) - 1)
 
 
+def _dtw_by_table(a, b):
+    cost = np.full((len(a) + 1, len(b) + 1), np.inf)
+    cost[0, 0] = 0
+    for i in range(len(a)):
+        for j in range(len(b)):
+            cost[i + 1, j + 1] = ((a[i] - b[j]) ** 2).sum() + min(cost[i, j], cost[i, j + 1], cost[i + 1, j])
+    path, i, j = [], len(a), len(b)
+    while i and j:
+        path.append((i - 1, j - 1))
+        diag, up, left = cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1]
+        i, j = (i - 1, j - 1) if diag <= up and diag <= left else (i - 1, j) if up <= left else (i, j - 1)
+    return cost[-1, -1], path[::-1]
+
+
+@pytest.mark.parametrize("block", [None, 1, 2, 7])
+def test_dtw_path_by_blocks(block):
+    rng = np.random.default_rng(2)
+    for n, m, d in ((1, 1, 1), (1, 9, 1), (8, 1, 2), (17, 23, 1), (30, 12, 3), (25, 25, 1)):
+        a, b = rng.integers(0, 4, (n, d)).astype(float), rng.integers(0, 4, (m, d)).astype(float)
+        dist, path = K.dtw(a, b, block)
+        assert (dist, path) == (pytest.approx(_dtw_by_table(a, b)[0]), _dtw_by_table(a, b)[1])
+
+
+def test_dtw_memory():
+    """3,000 by 3,000 costs are 72 MB."""
+    import tracemalloc
+
+    x = np.cumsum(np.random.default_rng(0).normal(size=3000))
+    tracemalloc.start()
+    dist, path = K.dtw(x, x[::-1])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10e6 and path[0] == (0, 0) and path[-1] == (2999, 2999) and dist == pytest.approx(sum((x[i] - x[::-1][j]) ** 2 for i, j in path))
+
+
+def _jb_all_starts(x, penalty, least=4):
+    s = K.power_sums((x - x.mean()) / x.std())
+    best, previous = np.full(len(x) + 1, np.inf), [0] * (len(x) + 1)
+    best[0] = -penalty
+    for j in range(least, len(x) + 1):
+        i = np.flatnonzero(np.isfinite(best[: j - least + 1]))
+        cost = best[i] + K.jarque_bera(s, i, j) + penalty
+        best[j], previous[j] = cost.min(), int(i[cost.argmin()])
+    return K._path(previous, len(x)).tolist()
+
+
+@pytest.mark.parametrize("penalty", [0.0, 0.3, 0.9, 5.0])
+def test_jb_segments_are_those_of_all_starts(penalty):
+    rng = np.random.default_rng(6)
+    for n in (8, 9, 40, 300):
+        for x in (rng.normal(size=n), rng.exponential(size=n), np.repeat(rng.normal(size=n), 3)[:n], rng.integers(0, 3, n).astype(float)):
+            assert x.std() == 0 or K.jb_segments(x, penalty).tolist() == _jb_all_starts(x, penalty)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=30), st.integers(1, 6))
 def test_aggregate_segments_by_scanning(mv, most):

@@ -68,6 +68,10 @@ def test_fasta(spark, tmp_path):
     q = tmp_path / "signs.fa"
     q.write_bytes(b">a left>right\nAC\nGT\n>b\r\nTT\r\n>\n")
     assert sorted(map(tuple, models.read_fasta(spark, str(q)).collect())) == [("a", "ACGT"), ("b", "TT")]
+    for name, head in (("c.fa", "; comment\nJUNK\n"), ("d.fa", "JUNK"), ("e.fa", "\n\n")):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / name).write_text(f"{head}\n>{name} left>right\nACGT\n>\nX\n")
+    assert sorted(map(tuple, models.read_fasta(spark, str(tmp_path / "many")).collect())) == sorted([(n, "ACGT") for n in ("c.fa", "d.fa", "e.fa")] + [("", "X")] * 3)
     assert models.fasta_sequence(spark, str(p), "a") == "ACGT" and models.fasta_sequence(spark, str(p), "z") == ""
 
 
