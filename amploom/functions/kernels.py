@@ -7,7 +7,6 @@ Defaults follow the documented intent. Where the known behaviour of older files
 from __future__ import annotations
 
 import heapq
-from bisect import insort
 from math import isqrt
 
 import numpy as np
@@ -155,6 +154,59 @@ def pelt(x: np.ndarray, dwell_mean: float, dwell_var: float, max_run: int, prune
     return _path(previous, n)
 
 
+class PeltBlock:
+    """A block of a signal's cuts, ``s`` < cut <= ``s + length``, for ``pelt`` by parts: the cheapest ways through it.
+
+    ``x``: the block's samples after up to ``max_run`` - 1 or five of those before it, whichever are more. As no run is
+    longer than ``max_run``, a way through depends on what is before by its last cut alone, one of the ``max_run`` places up to s,
+    and hands on the same to the next block: the block is a matrix of costs between them.
+    """
+
+    def __init__(self, x: np.ndarray, length: int, dwell_mean: float, dwell_var: float, max_run: int, least: float):
+        self.x, self.s, self.e, self.run, self.least = x, len(x) - length, len(x), max_run, least
+        self.s1, self.s2 = np.concatenate([[0.0], np.cumsum(x)]), np.concatenate([[0.0], np.cumsum(x * x)])
+        self.dwell = np.concatenate([[np.inf], dwell_cost(np.arange(1, max_run + 1), dwell_mean, dwell_var)])
+
+    def _cost(self, i: np.ndarray, j: int) -> np.ndarray:
+        length = j - i
+        mean = (self.s1[j] - self.s1[i]) / length
+        var = np.maximum((self.s2[j] - self.s2[i]) / length - mean * mean, self.least)
+        return 0.5 * length * (_LN2PI + np.log(var) + 1) + self.dwell[length]
+
+    def ways(self) -> np.ndarray:
+        """(max_run, max_run): the least cost from the last cut k places before s to the last cut l places before the block's end; infinite where there is none."""
+        n, run = self.e - self.s, self.run
+        best = np.full((run, n + 1), np.inf)  # column j: a cut at s + j, of which j = 0 is no new one
+        for j in range(1, n + 1):
+            end = self.s + j
+            lo = max(1, j - run)
+            if lo < j:
+                best[:, j] = (best[:, lo:j] + self._cost(np.arange(self.s + lo, end), end)).min(axis=1)
+            k = np.arange(0, min(self.s, run - j) + 1) if j <= run else np.zeros(0, int)  # runs that began before s
+            if len(k):
+                best[k, j] = np.minimum(best[k, j], self._cost(self.s - k, end))
+        out = np.full((run, run), np.inf)
+        last = min(run, n)
+        out[:, :last] = best[:, n : n - last : -1]
+        return out
+
+    def trace(self, k: int, before: int) -> list[tuple[int, int]]:
+        """(start, length) of the cheapest way's runs, from a cut ``k`` places before s to one ``before`` places before the end; starts count from s."""
+        n = self.e - self.s - before
+        best, previous = {-k: 0.0}, {}
+        for j in range(1, n + 1):
+            i = np.array([c for c in (-k, *range(max(1, j - self.run), j)) if j - c <= self.run and c in best], int)
+            if len(i):
+                cost = np.array([best[c] for c in i.tolist()]) + self._cost(self.s + i, self.s + j)
+                at = int(np.argmin(cost))
+                best[j], previous[j] = float(cost[at]), int(i[at])
+        runs, j = [], n
+        while j != -k:
+            runs.append((previous[j], j - previous[j]))
+            j = previous[j]
+        return runs[::-1]
+
+
 def jarque_bera(s: tuple[np.ndarray, ...], i: np.ndarray, j: int) -> np.ndarray:
     """|n/6 (skewness^2 + excess kurtosis^2 / 4)| of x[i:j] from prefix sums of its powers."""
     n = j - i
@@ -172,11 +224,7 @@ def power_sums(x: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def jb_segments(x: np.ndarray, penalty: float = 0.9, least: int = 4) -> np.ndarray:
-    """Segment ids of the segmentation with the smallest sum of Jarque-Bera statistics and penalties, no segment under ``least`` samples.
-
-    The statistic is never below 0, so starts are tried from the cheapest, and none whose cost and penalty alone are above the best cost so
-    far: exact, and mostly a few starts a sample.
-    """
+    """Segment ids of the segmentation with the smallest sum of Jarque-Bera statistics and penalties, no segment under ``least`` samples."""
     n = len(x)
     sd = x.std() if n else 0.0
     if n < 2 * least or sd == 0:
@@ -184,22 +232,12 @@ def jb_segments(x: np.ndarray, penalty: float = 0.9, least: int = 4) -> np.ndarr
     s = power_sums((x - x.mean()) / sd)
     best, previous = np.full(n + 1, np.inf), [0] * (n + 1)
     best[0] = -penalty
-    starts: list[tuple[float, int]] = []  # by cost
     for j in range(least, n + 1):
-        if np.isfinite(best[j - least]):
-            insort(starts, (float(best[j - least]), j - least))
-        low, at, k = np.inf, 0, 0
-        step = 32
-        while at < len(starts) and starts[at][0] + penalty <= low:
-            i = np.array([i for _, i in starts[at : at + step]])
-            cost = best[i] + jarque_bera(s, i, j) + penalty
-            here = float(cost.min())
-            first = int(i[cost == here].min())
-            if here < low or here == low and first < k:
-                low, k = here, first
-            at += step
-            step *= 2
-        best[j], previous[j] = low, k
+        i = np.arange(0, j - least + 1)
+        i = i[np.isfinite(best[i])]
+        cost = best[i] + jarque_bera(s, i, j) + penalty
+        k = int(np.argmin(cost))
+        best[j], previous[j] = cost[k], int(i[k])
     return _path(previous, n)
 
 

@@ -66,6 +66,69 @@ def pelt(signal: Column | str, dwell_mean: float = 15.0, dwell_var: float = 60.0
     return _ids(lambda x: K.pelt(x, dwell_mean, dwell_var, max_run, prune, minvar))(signal)
 
 
+def pelt_by_blocks(samples: DataFrame, key: str, value: str = "x", dwell_mean: float = 15.0, dwell_var: float = 60.0, max_run: int = 60, block: int = 4096) -> DataFrame:
+    """(key, start, length) of the runs that ``pelt`` cuts, from rows (key, pos, value): a signal is cut by many tasks, in blocks.
+
+    Each task finds the costs of the ways through its blocks; the matrices of a signal, one a block, are composed in
+    order with a row of ``max_run`` costs at hand; then each block traces its own runs. No task holds a whole signal.
+    """
+    if block < max(max_run, 6):
+        raise ValueError(f"a block has {max(max_run, 6)} samples at least")
+    halo = max(max_run - 1, 5)
+    at = F.floor(F.col("pos") / block)
+    mine = F.when(F.pmod(F.col("pos"), F.lit(block)) >= block - halo, F.array(at, at + 1)).otherwise(F.array(at))
+    rows = samples.select(F.col(key).alias("k"), F.col("pos").cast("long").alias("pos"), F.col(value).cast("double").alias("x"), F.explode(mine).alias("block"))
+    parts = rows.groupBy("k", "block").agg(F.sort_array(F.collect_list(F.struct("pos", "x"))).alias("s"), F.sum((F.floor(F.col("pos") / block) == F.col("block")).cast("int")).alias("n"))
+    parts = parts.where("n > 0").select("k", "block", F.transform("s", lambda z: z["x"]).alias("x"), "n")
+
+    @F.pandas_udf("double")
+    def quietest(x: pd.Series) -> pd.Series:
+        return pd.Series([K.min_window_std(np.asarray(v, float), 6) ** 2 for v in x])
+
+    least = parts.groupBy("k").agg(F.greatest(F.min(quietest("x")), F.lit(1e-12)).alias("least"))
+    ready = parts.join(least, "k")
+    kind = samples.schema[key].dataType.simpleString()
+
+    def made(r) -> K.PeltBlock:
+        return K.PeltBlock(np.asarray(r.x, float), int(r.n), dwell_mean, dwell_var, max_run, r.least)
+
+    def costs(batches):
+        for b in batches:
+            yield pd.DataFrame({"k": b["k"], "block": b["block"], "ways": [made(r).ways().tobytes() for r in b.itertuples()]})
+
+    def compose(batches):
+        """Rows sorted by signal and block. Only the places that a cheapest way comes from are held, a row of numbers a block."""
+        now, cost, back = None, None, []
+
+        def chosen():
+            rows, place = [], 0
+            for block, source in reversed(back):
+                rows.append((now, block, int(source[place]), place))
+                place = int(source[place])
+            return pd.DataFrame(rows, columns=["k", "block", "k0", "k1"])
+
+        for b in batches:
+            for r in b.itertuples():
+                if r.k != now:
+                    if back:
+                        yield chosen()
+                    now, back, cost = r.k, [], np.append(0.0, np.full(max_run - 1, np.inf))
+                through = cost[:, None] + np.frombuffer(r.ways, float).reshape(max_run, max_run)
+                back.append((r.block, through.argmin(axis=0).astype(np.int32)))
+                cost = through.min(axis=0)
+        if back:
+            yield chosen()
+
+    def trace(batches):
+        for b in batches:
+            rows = [(r.k, r.block * block + i, n) for r in b.itertuples() for i, n in made(r).trace(int(r.k0), int(r.k1))]
+            yield pd.DataFrame(rows, columns=[key, "start", "length"])
+
+    ways = ready.mapInPandas(costs, f"k {kind}, block long, ways binary")
+    ends = ways.repartition("k").sortWithinPartitions("k", "block").mapInPandas(compose, f"k {kind}, block long, k0 int, k1 int")
+    return ready.join(ends, ["k", "block"]).mapInPandas(trace, f"{key} {kind}, start long, length long")
+
+
 def jb_segments(signal: Column | str, penalty: float = 0.9) -> Column:
     return _ids(lambda x: K.jb_segments(x, penalty))(signal)
 

@@ -717,6 +717,14 @@ query("pelt_segments", S.replace("with s", "with recursive s") + f""",
         + 0.5 * (t.j + 1 - i) * (ln(2 * pi()) + ln(greatest(least, (s2[t.j + 2] - s2[i + 1]) / (t.j + 1 - i) - pow((s1[t.j + 2] - s1[i + 1]) / (t.j + 1 - i), 2))) + 1)
         + 0.5 * ln(2 * pi() * pow(t.j + 1 - i, 3) / 56.25) + 56.25 * pow(t.j + 1 - i - 15, 2) / (2 * 225.0 * (t.j + 1 - i))) as c
       from t join p on p.user_id = t.user_id join f on f.user_id = t.user_id where t.j < t.n) y){_SEGMENTS}""")(_positions(R.pelt))
+
+
+@query("pelt_by_blocks", f"select user_id, min(pos)::bigint as start, count(*) as length from ({ORACLES['pelt_segments']}) z group by user_id, seg")
+def pelt_by_blocks(spark, d):
+    """The runs of pelt_segments, each read cut by several tasks."""
+    return R.pelt_by_blocks(_events(spark, d), "user_id", block=64)
+
+
 def _hazard(most: int) -> str:
     """hk(r, h, k): ln h and ln(1 - h) of an inverse Gaussian dwell of mean 15 and deviation 8 by run length below ``most``: its density over what is left."""
     return f"""

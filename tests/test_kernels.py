@@ -122,23 +122,19 @@ def test_dtw_memory():
     assert peak < 10e6 and path[0] == (0, 0) and path[-1] == (2999, 2999) and dist == pytest.approx(sum((x[i] - x[::-1][j]) ** 2 for i, j in path))
 
 
-def _jb_all_starts(x, penalty, least=4):
-    s = K.power_sums((x - x.mean()) / x.std())
-    best, previous = np.full(len(x) + 1, np.inf), [0] * (len(x) + 1)
-    best[0] = -penalty
-    for j in range(least, len(x) + 1):
-        i = np.flatnonzero(np.isfinite(best[: j - least + 1]))
-        cost = best[i] + K.jarque_bera(s, i, j) + penalty
-        best[j], previous[j] = cost.min(), int(i[cost.argmin()])
-    return K._path(previous, len(x)).tolist()
-
-
-@pytest.mark.parametrize("penalty", [0.0, 0.3, 0.9, 5.0])
-def test_jb_segments_are_those_of_all_starts(penalty):
-    rng = np.random.default_rng(6)
-    for n in (8, 9, 40, 300):
-        for x in (rng.normal(size=n), rng.exponential(size=n), np.repeat(rng.normal(size=n), 3)[:n], rng.integers(0, 3, n).astype(float)):
-            assert x.std() == 0 or K.jb_segments(x, penalty).tolist() == _jb_all_starts(x, penalty)
+def test_pelt_by_blocks_is_pelt(spark):
+    from amploom.operators import reads as R
+
+    rng = np.random.default_rng(4)
+    signals = {k: np.repeat(rng.normal(0, 5, n // 9 + 1), 9)[:n] + rng.normal(0, 0.5, n) for k, n in enumerate((1, 3, 19, 20, 21, 60, 157, 160))}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in signals.items() for i, v in enumerate(x)], "k long, pos long, x double").repartition(3)
+    for run, block in ((6, 20), (20, 20), (3, 7)):
+        got = {k: [] for k in signals}
+        for r in R.pelt_by_blocks(df, "k", "x", 9.0, 30.0, run, block).collect():
+            got[r.k].append((r.start, r.length))
+        for k, x in signals.items():
+            seg = K.pelt(x, 9.0, 30.0, run)
+            assert sorted(got[k]) == [(int(np.flatnonzero(seg == i)[0]), int((seg == i).sum())) for i in range(seg[-1] + 1)]
 
 
 @settings(max_examples=40, deadline=None)
