@@ -4,12 +4,14 @@ A record is uuid[36], int32 length and chrom, int32 length and one Zstd frame, a
 int32 byte count and float32 samples, int32 byte count and int32 moves, and maybe int32 byte count and sequence
 characters.
 
-A partition is a byte range from one mark to the next, and its headers are read where its payloads are. A mark is a
-record's number and offset, one for each ``partitionBytes``. The writer leaves the marks of its files in
-``_signalbin.json``, so the driver opens none of them; for other files it walks the headers once and keeps the marks.
+A partition is a byte range from one mark to another, and its headers are read where its payloads are. A mark is where
+a range of records begins: its first number and offset, the least and greatest uuid and a Bloom filter of them, and the
+labels if they are few. Each write leaves the marks of its files in a file of its own in the folder ``_signalbin``, so
+writes at the same time don't meet, and the driver opens no file of records; of other files it walks the headers once.
 
 Options: ``path`` (file or folder), ``headerOnly`` (no payload is read; signal and mv are NULL), ``partitionBytes``,
-and ``readIndex``, ``uuid`` or ``chrom`` to read those records only, without the payloads of the others.
+and ``readIndex``, ``uuid`` or ``chrom`` to read those records only: ranges that can't have them are not opened, and
+of the others no payloads but theirs are read.
 
 The writer makes one file per task, in read_index order if the rows come so, and commits by renaming; a failed or
 repeated task leaves nothing behind.
@@ -17,6 +19,7 @@ repeated task leaves nothing behind.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import struct
@@ -34,7 +37,9 @@ from pyspark.sql.types import Row, StructType
 
 SCHEMA = "read_index bigint, uuid string, chrom string, signal array<double>, mv array<int>, sequence string"
 LEVEL = 4
-MARKS = "_signalbin.json"
+MARKS = "_signalbin"
+#: Bits a record and hashes of a range's Bloom filter, and labels that a mark lists at most.
+BLOOM_BITS, BLOOM_HASHES, LABELS = 12, 6, 16
 #: Bytes between the marks that the writer leaves, and records and payload bytes of an Arrow batch.
 MARK_BYTES, BATCH_RECORDS, BATCH_BYTES = 4 << 20, 1024, 16 << 20
 TYPES = {"read_index": pa.int64(), "uuid": pa.string(), "chrom": pa.string(), "signal": pa.list_(pa.float64()), "mv": pa.list_(pa.int32()), "sequence": pa.string()}
@@ -118,38 +123,92 @@ def headers(path: str, start: int = 0, stop: int | None = None, f=None) -> Itera
             f.close()
 
 
+def _spots(uuid: str, bits: int) -> list[int]:
+    a = hashlib.blake2b(uuid.encode(), digest_size=16).digest()
+    x, y = int.from_bytes(a[:8], "little"), int.from_bytes(a[8:], "little") | 1
+    return [(x + k * y) % bits for k in range(BLOOM_HASHES)]
+
+
+class Marker:
+    """Makes the marks of a file as its records pass, each ``every`` bytes."""
+
+    def __init__(self, every: int):
+        self.every, self.marks, self.count, self.size = every, [], 0, 0
+        self._uuids: list[str] = []
+        self._labels: set[str] = set()
+
+    def _close(self) -> None:
+        if not self._uuids:
+            return
+        bits = max(64, BLOOM_BITS * len(self._uuids))
+        bloom = bytearray(bits // 8 + 1)
+        for u in self._uuids:
+            for b in _spots(u, bits):
+                bloom[b >> 3] |= 1 << (b & 7)
+        labels = sorted(self._labels) if len(self._labels) <= LABELS else None
+        self.marks[-1] |= {"uuids": [min(self._uuids), max(self._uuids)], "bits": bits, "bloom": bloom.hex(), "labels": labels}
+        self._uuids, self._labels = [], set()
+
+    def add(self, uuid: str, chrom: str, end: int) -> None:
+        """A record that ends before byte ``end``."""
+        if not self.marks or self.size - self.marks[-1]["at"] >= self.every:
+            self._close()
+            self.marks.append({"n": self.count, "at": self.size})
+        self._uuids.append(uuid)
+        self._labels.add(chrom)
+        self.count, self.size = self.count + 1, end
+
+    def done(self) -> dict:
+        self._close()
+        return {"size": self.size, "count": self.count, "marks": self.marks}
+
+
 def marks_of(path: str, every: int) -> dict:
-    """size, count and marks (number, offset) of a file: the first record, and the next after each ``every`` bytes."""
-    fs, p = filesystem(path)
-    marks, n, at = [], 0, 0
-    for _, _, offset, length in headers(path):
-        if not marks or at - marks[-1][1] >= every:
-            marks.append((n, at))
-        n, at = n + 1, offset + length
-    return {"size": fs.get_file_info(p).size, "count": n, "marks": marks}
+    """size, count and marks of a file: the first record, and the next after each ``every`` bytes."""
+    marker = Marker(every)
+    for uuid, chrom, offset, length in headers(path):
+        marker.add(uuid, chrom, offset + length)
+    return marker.done()
 
 
-def _load_marks(folder: str) -> dict[str, dict]:
-    """What the writer left, by file name; nothing if it isn't there."""
-    fs, p = filesystem(folder)
-    p = f"{p.rstrip('/')}/{MARKS}"
-    if fs.get_file_info(p).type != pafs.FileType.File:
-        return {}
-    with fs.open_input_stream(p) as f:
-        return json.loads(f.read())
+def may_have(mark: dict, uuid: str | None, chrom: str | None) -> bool:
+    """False only if no record of the mark's range is so called."""
+    if uuid is not None and "uuids" in mark:
+        bloom = bytes.fromhex(mark["bloom"])
+        if not mark["uuids"][0] <= uuid <= mark["uuids"][1] or not all(bloom[b >> 3] >> (b & 7) & 1 for b in _spots(uuid, mark["bits"])):
+            return False
+    return chrom is None or mark.get("labels") is None or chrom in mark["labels"]
 
 
-def _files(path: str) -> list[str]:
+def _listed(path: str) -> tuple[list[str], list[str]]:
+    """(files of records, files of marks) of a file or folder, those in folders below too."""
     fs, p = filesystem(path)
     info = fs.get_file_info(p)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
     if info.type == pafs.FileType.File:
-        return [path]
-    found = fs.get_file_info(pafs.FileSelector(p, recursive=True))
-    names = sorted(x.path for x in found if x.type == pafs.FileType.File and not os.path.basename(x.path).startswith(("_", ".")))
+        return [path], []
+    found = [x.path for x in fs.get_file_info(pafs.FileSelector(p, recursive=True)) if x.type == pafs.FileType.File]
+    below = lambda x: x[len(p.rstrip("/")) + 1 :].split("/")
+    names = sorted(x for x in found if not any(part.startswith(("_", ".")) for part in below(x)))
+    marks = sorted(x for x in found if below(x)[-2:-1] == [MARKS] and x.endswith(".json"))
     head = path.split("://")[0] + "://" if "://" in path and not path.startswith("file") else ""
-    return [head + n for n in names]
+    return [head + n for n in names], [head + n for n in marks]
+
+
+def _files(path: str) -> list[str]:
+    return _listed(path)[0]
+
+
+def _load_marks(files: list[str]) -> dict[str, dict]:
+    """What writers left, by the whole path of a file of records."""
+    out = {}
+    for path in files:
+        fs, p = filesystem(path)
+        with fs.open_input_stream(p) as f:
+            folder = path.rsplit("/", 2)[0]
+            out |= {f"{folder}/{name}": marks for name, marks in json.loads(f.read()).items()}
+    return out
 
 
 @dataclass
@@ -171,18 +230,23 @@ class SignalBinReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         out, index = [], 0
-        left = _load_marks(self.path) if filesystem(self.path)[0].get_file_info(filesystem(self.path)[1]).type == pafs.FileType.Directory else {}
-        for path in _files(self.path):
+        files, marks = _listed(self.path)
+        left = _load_marks(marks)
+        number, names = self.wanted.get("read_index"), (self.wanted.get("uuid"), self.wanted.get("chrom"))
+        for path in files:
             fs, p = filesystem(path)
-            known = left.get(os.path.basename(path))
+            known = left.get(path)
             if not known or known["size"] != fs.get_file_info(p).size:
                 known = marks_of(path, self.most)
-            kept = []
-            for n, at in known["marks"]:
-                if not kept or at - kept[-1][1] >= self.most:
-                    kept.append((n, at))
-            ends = [at for _, at in kept[1:]] + [known["size"]]
-            out += [Range(path, index + n, at, end) for (n, at), end in zip(kept, ends)]
+            ends = [*known["marks"][1:], {"n": known["count"], "at": known["size"]}]
+            for mark, end in zip(known["marks"], ends):
+                if number is not None and not index + mark["n"] <= number < index + end["n"] or not may_have(mark, *names):
+                    continue
+                last = out[-1] if out else None
+                if last and last.path == path and last.stop == mark["at"] and last.stop - last.start < self.most:
+                    last.stop = end["at"]
+                else:
+                    out.append(Range(path, index + mark["n"], mark["at"], end["at"]))
             index += known["count"]
         return out or [Range(self.path, 0, 0, 0)]
 
@@ -239,33 +303,42 @@ class SignalBinWriter(DataSourceWriter):
         fs, folder = filesystem(self.folder)
         fs.create_dir(folder, recursive=True)
         name = f"part-{context.partitionId():06d}-{self.job}.bin"
-        tmp, n = f"{folder}/_{name}.{context.taskAttemptId()}", 0
-        at, marks = 0, []
-        with fs.open_output_stream(tmp) as f:
-            for r in rows:
-                d = r.asDict()
-                record = encode_record(d["uuid"], d.get("chrom"), d.get("signal"), d.get("mv"), d.get("sequence"), self.trailing)
-                if not marks or at - marks[-1][1] >= MARK_BYTES:
-                    marks.append((n, at))
-                f.write(record)
-                n, at = n + 1, at + len(record)
-        if not n:
+        tmp, at, marker = f"{folder}/_{name}.{context.taskAttemptId()}", 0, Marker(MARK_BYTES)
+        try:
+            with fs.open_output_stream(tmp) as f:
+                for r in rows:
+                    d = r.asDict()
+                    record = encode_record(d["uuid"], d.get("chrom"), d.get("signal"), d.get("mv"), d.get("sequence"), self.trailing)
+                    f.write(record)
+                    at += len(record)
+                    marker.add(d["uuid"], d.get("chrom") or "", at)
+        except BaseException:
+            if fs.get_file_info(tmp).type == pafs.FileType.File:
+                fs.delete_file(tmp)
+            raise
+        if not marker.count:
             fs.delete_file(tmp)
             return Written("", "", {})
-        return Written(tmp, f"{folder}/{name}", {"size": at, "count": n, "marks": marks})
+        return Written(tmp, f"{folder}/{name}", marker.done())
 
     def commit(self, messages: list[Written | None]) -> None:
+        """Files get their names, then their marks are left; an overwrite deletes what was there before, marks last."""
         fs, folder = filesystem(self.folder)
-        old = [x.path for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if not os.path.basename(x.path).startswith("_")] if self.overwrite else []
-        marks = {} if self.overwrite else _load_marks(self.folder)
+        log = f"{folder}/{MARKS}"
+        of = lambda at: [x.path for x in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if x.type == pafs.FileType.File and not os.path.basename(x.path).startswith("_")]
+        old = [*of(folder), *of(log)] if self.overwrite else []
+        marks = {}
         for m in messages:
             if m and m.tmp:
                 fs.move(m.tmp, m.path)
                 marks[os.path.basename(m.path)] = m.marks
+        if marks:
+            fs.create_dir(log, recursive=True)
+            with fs.open_output_stream(f"{log}/_{self.job}.tmp") as f:
+                f.write(json.dumps(marks).encode())
+            fs.move(f"{log}/_{self.job}.tmp", f"{log}/{self.job}.json")
         for path in old:
             fs.delete_file(path)
-        with fs.open_output_stream(f"{folder}/{MARKS}") as f:
-            f.write(json.dumps(marks).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, _ = filesystem(self.folder)

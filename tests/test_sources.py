@@ -51,7 +51,64 @@ def test_driver_reads_no_headers_of_its_own_files(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r)[1:] for r in back) == sorted(tuple(r)[1:] for r in df.collect())
     one = signalbin._files(out)[0]
     found = signalbin.marks_of(one, 100)
-    assert len(found["marks"]) > 3 and [h for a, b in zip([m[1] for m in found["marks"]], [m[1] for m in found["marks"]][1:] + [None]) for h in signalbin.headers(one, a, b)] == list(signalbin.headers(one))
+    assert len(found["marks"]) > 3 and [h for a, b in zip([m["at"] for m in found["marks"]], [m["at"] for m in found["marks"]][1:] + [None]) for h in signalbin.headers(one, a, b)] == list(signalbin.headers(one))
+
+
+def test_one_record_opens_one_range(spark, tmp_path):
+    signalbin.register(spark)
+    out = str(tmp_path / "reads")
+    name = lambda i: f"00000000-0000-0000-0000-{i * 7919 % 400:012d}"
+    df = spark.createDataFrame([(i, name(i), f"chr{i // 100}", [float(i)] * 20, [i], None) for i in range(400)], signalbin.SCHEMA)
+    for part in (df.where("read_index < 200"), df.where("read_index >= 200")):
+        part.repartitionByRange(4, "read_index").sortWithinPartitions("read_index").write.format("signalbin").mode("append").save(f"{out}/day{part.first().read_index}")
+    ranges = lambda **o: signalbin.SignalBinReader({"path": out, "partitionbytes": 500} | {k.lower(): v for k, v in o.items()}, df.schema).partitions()
+    assert len(ranges()) == 8 and len(ranges(readIndex=301)) == 1 and len(ranges(chrom="chr3")) < 4 and len(ranges(uuid=name(33))) <= 3
+    assert ranges(readIndex=4000)[0].stop == 0
+    back = {r.read_index: r for r in spark.read.format("signalbin").load(out).collect()}
+    for i in (0, 301, 399):
+        only = signalbin.SignalBinReader({"path": out, "readindex": i}, df.schema)
+        found = [r for part in only.partitions() for b in only.read(part) for r in b.to_pylist()]
+        assert [r["uuid"] for r in found] == [back[i].uuid] and len(only.partitions()) == 1
+    got = spark.read.format("signalbin").option("uuid", name(33)).load(out).collect()
+    assert [r.signal for r in got] == [[33.0] * 20] and spark.read.format("signalbin").option("uuid", "x" * 36).load(out).count() == 0
+    foreign = signalbin.marks_of(signalbin._files(out)[0], 300)
+    assert len(foreign["marks"]) > 3 and all(signalbin.may_have(m, u, c) for m in foreign["marks"] for u, c, at, _ in signalbin.headers(signalbin._files(out)[0], m["at"], m["at"] + 1))
+
+
+def test_writes_at_the_same_time_and_failed_tasks(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    signalbin.register(spark)
+    out = tmp_path / "reads"
+    df = spark.createDataFrame(ROWS, signalbin.SCHEMA).coalesce(1)
+    # a frame made in a thread makes the session that thread's
+    save = lambda rows: spark.createDataFrame(rows, signalbin.SCHEMA).coalesce(1).write.format("signalbin").mode("append").save(str(out))
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(save, (ROWS[:3], ROWS[3:])))
+    files, marks = signalbin._listed(str(out))
+    assert len(files) == len(marks) == 2 and set(signalbin._load_marks(marks)) == set(files)
+    assert spark.read.format("signalbin").load(str(out)).count() == 7
+    bad = spark.createDataFrame([ROWS[0], (1, "short", "c", [1.0], [1], None)], signalbin.SCHEMA).coalesce(1)
+    with pytest.raises(Exception, match="36 bytes"):
+        bad.write.format("signalbin").mode("append").save(str(out))
+    assert sorted(p.name for p in out.iterdir()) == ["_signalbin", *sorted(f.rsplit("/", 1)[1] for f in files)]
+    df.where("read_index = 5").write.format("signalbin").mode("overwrite").save(str(out))
+    assert [len(x) for x in signalbin._listed(str(out))] == [1, 1] and spark.read.format("signalbin").load(str(out)).count() == 1
+
+
+def test_label_and_score_leave_out_short_reads(spark, tmp_path, monkeypatch):
+    from amploom.plans.registry import CLASSES, TWO_STATES
+
+    rows = [(0, ROWS[0][1], "chr1", [20.0, 90.0] * 3, [0] * 6, None), (1, ROWS[1][1], "chr2", [20.0] * 2, [0] * 2, None)]
+    spark.createDataFrame(rows, signalbin.SCHEMA).write.parquet(str(tmp_path / "in.parquet"))
+    monkeypatch.setattr(cli, "session", lambda name: spark)
+    for model, command, out in ((CLASSES, "score", "score.tsv"), (TWO_STATES, "label", "labelled")):
+        (tmp_path / "model.json").write_text(model)
+        args = [command, "--input", str(tmp_path / "in.parquet"), "--model", str(tmp_path / "model.json"), "--output", str(tmp_path / out)]
+        assert cli.main([*args, "--min-samples", "5"]) == 0
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "score.tsv")).count() == 1
+    assert [r.uuid for r in spark.read.format("signalbin").load(str(tmp_path / "labelled")).collect()] == [ROWS[0][1]]
+    assert cli.parser().parse_args(args).min_samples == 3000
 
 
 def test_cut_record_is_an_error(tmp_path):
