@@ -37,8 +37,9 @@ _given: ContextVar[list[str] | None] = ContextVar("given", default=None)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set and all run on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
+    if base:  # a path without a scheme is of the default file system, not of whoever opens it
+        at = spark._jvm.org.apache.hadoop.fs.Path(base)
+        return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not _own_dir:
