@@ -141,8 +141,8 @@ def chain(states):
 
 
 def test_memory_grows_with_the_square_root():
-    """6,000 frames of 400 states: all values would be 19 MB in each direction, and sources 10 MB."""
-    model, x = chain(400), np.random.default_rng(0).normal(3, 2, (6_000, 1))
+    """20,000 frames of 120 states: all values would be 19 MB in each direction, and sources 10 MB."""
+    model, x = chain(120), np.random.default_rng(0).normal(3, 2, (20_000, 1))
     for work in (lambda: L.best_paths(model, [x]), lambda: L.expected_counts(lat := L.Lattice(model, None), [x], [lat.walk(None, None, len(x))])):
         tracemalloc.start()
         work()
