@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,26 +112,24 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
 
     The first round takes all rules for alike. A rule may turn out worse than chance on one side.
     """
-    prior, acc = 0.5, [ACCURACY] * n_rules
+    votes = np.array([v for v, _ in patterns], np.int8).reshape(-1, n_rules)
+    n = np.array([c for _, c in patterns], float)
+    good, bad = (votes > 0).astype(float), (votes < 0).astype(float)
+    prior, acc = 0.5, np.tile(np.array(ACCURACY, float), (n_rules, 1))
     for _ in range(rounds):
-        right = [[0.0, 0.0] for _ in range(n_rules)]
-        cast = [[0.0, 0.0] for _ in range(n_rules)]
-        goods = total = 0.0
-        for votes, n in patterns:
-            p = posterior(votes, prior, acc)
-            goods, total = goods + n * p, total + n
-            for j, v in enumerate(votes):
-                if v:
-                    cast[j][0] += n * p
-                    cast[j][1] += n * (1 - p)
-                    right[j][v < 0] += n * (p if v > 0 else 1 - p)
-        new = [tuple((right[j][s] + BEFOREHAND * ACCURACY[s]) / (cast[j][s] + BEFOREHAND) for s in (0, 1)) for j in range(n_rules)]
-        share = (goods + 1) / (total + 2)
-        moved = max([abs(share - prior), *(abs(a - b) for x, y in zip(new, acc) for a, b in zip(x, y))])
+        up, down = np.array([weights(tuple(a)) for a in acc]).reshape(-1, 2).T
+        odds = math.log(prior / (1 - prior)) + good @ up + bad @ down
+        p = 1 / (1 + np.exp(-odds.clip(-700, 700)))
+        sure, unsure = n * p, n * (1 - p)
+        right = np.column_stack([good.T @ sure, bad.T @ unsure])
+        cast = right + np.column_stack([bad.T @ sure, good.T @ unsure])
+        new = (right + BEFOREHAND * np.array(ACCURACY)) / (cast + BEFOREHAND)
+        share = float((sure.sum() + 1) / (n.sum() + 2))
+        moved = max(abs(share - prior), float(np.abs(new - acc).max(initial=0.0)))
         prior, acc = share, new
         if moved < SETTLED:
             break
-    return prior, acc
+    return prior, [tuple(a) for a in acc.tolist()]
 
 
 def weights(acc: tuple[float, float]) -> tuple[float, float]:

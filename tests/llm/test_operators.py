@@ -175,6 +175,26 @@ def test_rule_accuracies(spark):
     assert any(k and -1 in v for v, k in verdict.items()) and quality_rules.weights(acc[5])[0] < 0
 
 
+def test_rule_fit_pattern_by_pattern():
+    """The fit over arrays is the one that takes a pattern at a time, also where a rule never votes or no pattern is there."""
+    rng = np.random.default_rng(5)
+    patterns = [(tuple(v), int(n)) for v, n in zip(np.unique(rng.integers(-1, 2, (60, 4)), axis=0).tolist(), rng.integers(1, 40, 60))]
+    patterns = [((*v, 0), n) for v, n in patterns]
+    first, (good, bad) = quality_rules.BEFOREHAND, quality_rules.ACCURACY
+    prior, acc = 0.5, [quality_rules.ACCURACY] * 5
+    for _ in range(7):
+        ps = [quality_rules.posterior(v, prior, acc) for v, _ in patterns]
+        new = []
+        for j in range(5):
+            cast = [sum(n * w for (v, n), p in zip(patterns, ps) if v[j] for w in [q(p)]) for q in (lambda p: p, lambda p: 1 - p)]
+            right = [sum(n * p for (v, n), p in zip(patterns, ps) if v[j] > 0), sum(n * (1 - p) for (v, n), p in zip(patterns, ps) if v[j] < 0)]
+            new.append(((right[0] + first * good) / (cast[0] + first), (right[1] + first * bad) / (cast[1] + first)))
+        prior, acc = (sum(n * p for (_, n), p in zip(patterns, ps)) + 1) / (sum(n for _, n in patterns) + 2), new
+    got = quality_rules.fit(patterns, 5, rounds=7)
+    assert abs(got[0] - prior) < 1e-9 and np.allclose(got[1], acc, atol=1e-9)
+    assert quality_rules.fit([], 5) == (0.5, [quality_rules.ACCURACY] * 5)
+
+
 def test_rules_differ_from_must_pass(spark):
     rows = quality_rules.judge(spark.read.parquet(f"{SF[:-5]}0.01/documents.parquet").select("doc_id", "text")).collect()
     votes = [c for c in rows[0].asDict() if c.startswith("vote_")]
