@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_ids, documents, in_arrow, lowered, mix, runs, text_slices, word_hashes, word_spans
+from .common import by_ids, documents, in_arrow, lowered, mix, runs, settle, text_slices, word_hashes, word_spans
 
 SAMPLE = 12000
 STEMS = (5, 7)
@@ -172,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     grades = dict(map(tuple, chosen.collect()))
     ids = docs.sparkSession.createDataFrame([(k,) for k in grades] or [(None,)], "doc_id long").where("doc_id is not null")
-    rows = by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id", "left_semi")
+    # Written once: at most the rows of ``sample`` documents, which are read three times, and the texts of all others once.
+    rows = settle(by_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), ids, "doc_id", "left_semi"), "sample")
 
     sent = docs.sparkSession.sparkContext.broadcast(grades)  # at most ``sample`` numbers
 
