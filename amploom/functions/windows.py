@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def samples(df: DataFrame, key: str, order: list[str], value: str | Column) -> DataFrame:
     """(key, pos, x): one row a sample, numbered from 0 in ``order`` within its key."""
@@ -85,11 +87,70 @@ def zscore(s: DataFrame, key: str) -> DataFrame:
     return s.select(key, "pos", F.try_divide(F.col("x") - F.avg("x").over(g), F.nullif(F.stddev_pop("x").over(g), F.lit(0.0))).alias("z"))
 
 
-def robust_zscore(s: DataFrame, key: str) -> DataFrame:
-    """(x - median) / (1.4826 x median absolute deviation); NULL where that is 0."""
-    med = s.groupBy(key).agg(F.median("x").alias("med"))
-    dev = s.join(med, key).withColumn("d", F.abs(F.col("x") - F.col("med")))
-    mad = dev.groupBy(key).agg(F.median("d").alias("mad"))
+#: Values of a key that one task may sort; the median of a larger one is found by counting.
+SORTED = 1_000_000
+#: Parts that a range is cut in for each count.
+_PARTS = 4096
+
+
+def _scale(x: Column) -> Column:
+    """Sign and logarithm of a finite number in one that never falls as it grows: less than 0 below 0, more than 0 above."""
+    return F.when(x == 0, 0.0).otherwise(F.signum(x) * (F.ln(F.abs(x)) + 746))
+
+
+def median_by(s: DataFrame, key: str, value: str = "x", most: int = SORTED) -> DataFrame:
+    """(key, med): the exact median of each key's values, in memory bounded by ``most`` values however many a key has.
+
+    Keys of at most ``most`` values are sorted in a task. The values of larger ones are written to the shared folder
+    and counted in 4096 parts of the range that holds the wanted rank, whose least and greatest value are the next
+    range; each count is combined before its shuffle to a row a part and key. Once a range holds at most ``most``
+    values, or one value only, its rank is read off. Ranges over several magnitudes are cut by magnitude, others
+    evenly, so at most about seven counts are needed; a range shrinks with every one, as its ends lie in different
+    parts. Values order as in Spark: NaN is the greatest. NULL values are left out, a key with no others gets NULL,
+    and rows without a key are left out.
+    """
+    x = s.select(F.col(key).alias("_k"), F.col(value).cast("double").alias("_x")).where("_k is not null")
+    finite = F.abs("_x") < float("inf")
+    sizes = x.groupBy("_k").agg(F.count("_x").alias("n"), F.min(F.when(finite, F.col("_x"))).alias("lo"), F.max(F.when(finite, F.col("_x"))).alias("hi"))
+    large = written(sizes.where(F.col("n") > most))
+    small = lambda rows: rows.groupBy("_k").agg(F.median("_x").alias("med"))
+    named = [F.col("_k").alias(key), "med"]
+    if large.isEmpty():
+        return small(x).select(*named)
+    rows = written(x.where("_x is not null").join(large.select("_k"), "_k", "left_semi"))
+    ranks = F.array_distinct(F.array(F.expr("(n - 1) div 2"), F.expr("n div 2")))
+    # "which" names the rank among all values, "rank" is its place among those of the range
+    want, found = large.select("_k", F.explode(ranks).alias("which"), "lo", "hi").withColumn("rank", F.col("which")), []
+    within = F.lit(True)
+    while True:
+        wide = _scale(F.col("hi")) - _scale(F.col("lo"))
+        share = F.when(wide > 1, (_scale(F.col("_x")) - _scale(F.col("lo"))) / wide).otherwise(F.try_divide(F.col("_x") - F.col("lo"), F.col("hi") - F.col("lo")))
+        part = F.when(finite, F.least(F.lit(_PARTS - 1), F.floor(F.coalesce(share, F.lit(0.0)) * _PARTS).cast("int"))).when(F.isnan("_x"), _PARTS + 1).when(F.col("_x") > 0, _PARTS).otherwise(-1)
+        counts = rows.join(want, "_k").where(within).groupBy("_k", "which", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
+        upto = F.sum("n").over(W.partitionBy("_k", "which").orderBy("part"))  # at most a row a part
+        held = counts.withColumn("before", upto - F.col("n")).where("before <= rank and rank < before + n")
+        next_ = written(held.select("_k", "which", (F.col("rank") - F.col("before")).alias("rank"), "n", "lo", "hi"))
+        found.append(next_.where("lo = hi").select("_k", F.col("lo").alias("v")))
+        few = next_.where(f"lo < hi and n <= {most}")
+        within = F.col("_x").between(F.col("lo"), F.col("hi"))
+        if not few.isEmpty():
+            last = rows.join(few, "_k").where(within).groupBy("_k", "which", "rank").agg(F.sort_array(F.collect_list("_x")).alias("xs"))
+            found.append(last.select("_k", F.get("xs", F.col("rank").cast("int")).alias("v")))
+        want = next_.where(f"lo < hi and n > {most}").drop("n")
+        if want.isEmpty():
+            break
+    values = found[0]
+    for f in found[1:]:
+        values = values.union(f)
+    lower, upper = F.min("v"), F.max("v")
+    by_count = values.groupBy("_k").agg(F.when(lower == upper, lower).otherwise(lower * 0.5 + upper * 0.5).alias("med"))
+    return small(x.join(large, "_k", "left_anti")).union(by_count).select(*named)
+
+
+def robust_zscore(s: DataFrame, key: str, most: int = SORTED) -> DataFrame:
+    """(x - median) / (1.4826 x median absolute deviation); NULL where that is 0. ``most``: as in ``median_by``."""
+    dev = s.join(median_by(s, key, most=most), key).withColumn("d", F.abs(F.col("x") - F.col("med")))
+    mad = median_by(dev, key, "d", most).withColumnRenamed("med", "mad")
     return dev.join(mad, key).select(key, "pos", F.try_divide(F.col("x") - F.col("med"), F.nullif(1.4826 * F.col("mad"), F.lit(0.0))).alias("z"))
 
 

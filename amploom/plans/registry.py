@@ -146,6 +146,13 @@ def robust_zscore(spark, d):
     return N.robust_zscore(_events(spark, d), "user_id").select("user_id", "pos", r6("z", "z"))
 
 
+@query("median_by_flag", "select l_returnflag, median(l_extendedprice / l_quantity) as med from lineitem group by 1")
+def median_by_flag(spark, d):
+    """A few keys that hold all rows, by counting."""
+    prices = spark.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag", (F.col("l_extendedprice") / F.col("l_quantity")).alias("x"))
+    return N.median_by(prices, "l_returnflag", most=100)
+
+
 @query("l1_normalise", f"{S} select user_id, pos, round(x / nullif(sum(x) over (partition by user_id), 0), 9) as share, round(sum(x) over (partition by user_id), 4) as total from s")
 def l1_normalise(spark, d):
     return N.l1_normalise(_events(spark, d), "user_id").select("user_id", "pos", r6("share", "share", 9), r6("total", "total", 4))

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "amploom", **conf: str) -> SparkSession:
@@ -23,6 +24,24 @@ def session(name: str = "amploom", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+_own_dir: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the folder that all machines share (``spark.checkpoint.dir``; one of its own under a local master where none is set), read again: steps after it neither recompute it nor lose it with an executor."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="amploom-"))
+        base = _own_dir[0]
+    path = f"{base.rstrip('/')}/amploom-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors of a running session, where it isn't installed."""
     root = Path(__file__).resolve().parent

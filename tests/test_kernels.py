@@ -280,3 +280,34 @@ def test_kernels_in_sql_take_nulls(spark):
     assert r.beam == K.beam_changes(np.array([0.0, 0.0, 9.0]), np.array([[0.0, 1.0], [9.0, 1.0]]), 16, table).tolist()
     assert (r.dist, r.steps) == (0.0, 3) and [tuple(p) for p in r.near] == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 2), (2, 3), (3, 2), (3, 3)]
     assert spark.sql("select beam_changes(n, array(0D), array(1D)) as a, dtw(n, n).dist as d, moves_band(m, 4, 2) as b from values (cast(null as array<double>), cast(null as array<int>)) v(n, m)").first() == (None, None, None)
+
+
+def test_median_by_counting(spark):
+    """Medians by counting and by sorting are the same, on hot keys, ties, extreme ranges, infinities, NaN and NULL."""
+    from amploom.functions.windows import median_by, robust_zscore
+
+    rng = np.random.default_rng(11)
+    inf, nan = float("inf"), float("nan")
+    keys = {
+        "plain": rng.normal(size=3001).tolist(),
+        "even": rng.normal(size=800).tolist(),
+        "ties": [1.0] * 500 + [2.0] * 500,
+        "one": [7.5] * 300,
+        "scales": (10.0 ** rng.uniform(-300, 300, 1500) * rng.choice([-1, 1], 1500)).tolist(),
+        "ends": [-1.7e308, 1.7e308] * 100 + [0.25],
+        "tiny": (np.arange(400) * 5e-324).tolist(),
+        "special": [inf] * 90 + [-inf] * 60 + [nan] * 20 + rng.normal(size=31).tolist() + [None] * 9,
+        "none": [None] * 50,
+        "infinite": [inf] * 120,
+        "few": [3.0, 1.0],
+    }
+    rows = [(k, i, x) for k, xs in keys.items() for i, x in enumerate(xs)] + [(None, 0, 1.0)]
+    s = spark.createDataFrame(rows, "key string, pos long, x double").repartition(5)
+    want = {r.key: r.m for r in s.where("key is not null").groupBy("key").agg({"x": "median"}).toDF("key", "m").collect()}
+    for most in (10, 100000):
+        got = {r.key: r.med for r in median_by(s, "key", most=most).collect()}
+        assert set(got) == set(want) and all(repr(got[k]) == repr(want[k]) for k in want if k != "ends"), {k: (got[k], want[k]) for k in want}
+        assert got["ends"] == 0.25
+    assert median_by(s.limit(0), "key").collect() == []
+    part = s.where("key in ('plain', 'even', 'few')")
+    assert sorted(map(tuple, robust_zscore(part, "key", most=50).collect())) == sorted(map(tuple, robust_zscore(part, "key").collect()))
