@@ -187,13 +187,64 @@ def segment_means(reads: DataFrame) -> DataFrame:
     return long_form(reads).groupBy("read_index", F.col("mv").cast("long").alias("seg")).agg(F.min("pos").alias("start"), F.count("*").alias("n"), F.avg("value").alias("mean"))
 
 
+def _with_parameters(kernel, defaults: tuple) -> object:
+    """A kernel as a function of the signal and any of its parameters, in order; each has the type of its default."""
+
+    @F.pandas_udf("array<int>")
+    def go(*cols: pd.Series) -> pd.Series:
+        if len(cols) > 1 + len(defaults):
+            raise ValueError(f"at most {len(defaults)} parameters after the signal")
+
+        def one(signal, *given):
+            if signal is None or any(pd.isna(g) for g in given):
+                return None
+            own = [type(d)(g) for g, d in zip(given, defaults)]
+            return kernel(np.asarray(signal, float), *own, *defaults[len(own) :])
+
+        return pd.Series([one(*row) for row in zip(*cols)], dtype=object)
+
+    return go
+
+
+# Each long value is bound once, as the one element of an array: inside the lambdas it would be made again for every entry.
+_DIGITS = "transform(filter(split(translate(regexp_replace(upper(seq), '[^ATCG]', 'A'), 'ATCG', '0123'), ''), c -> c <> ''), c -> cast(c as bigint))"
+_CODES = f"get(transform(array({_DIGITS}), d -> if(size(d) >= k, transform(sequence(1, size(d) - k + 1), i -> aggregate(slice(d, i, k), 0L, (a, x) -> a * 4 + x)), cast(array() as array<bigint>))), 0)"
+_OFFSETS = "sequence(-(width div 2), width - width div 2 - 1)"
+#: Statements that make the table functions; they say what the column expressions of ``functions.kmers`` do.
+TABLE_FUNCTIONS = [
+    f"create or replace temporary function kmers(seq string, k int) returns table(pos int, code bigint) return select posexplode({_CODES}) as (pos, code)",
+    f"""create or replace temporary function uniform_band(n bigint, length int, width int) returns table(t bigint, position bigint) return
+    select inline(filter(flatten(transform(if(n > length, sequence(0L, n - 1), cast(array() as array<bigint>)), t -> transform({_OFFSETS},
+      o -> struct(t as t, least(length - 1, t div greatest(1, n div length)) + o as position)))), z -> z.position >= 0 and z.position < length)) as (t, position)""",
+    f"""create or replace temporary function coarse_band(seq string, n bigint, k int, width int) returns table(t bigint, code bigint) return
+    select inline(get(transform(array({_CODES}), codes -> get(transform(array(transform(codes, (c, p) -> transform(array_distinct(transform({_OFFSETS},
+      o -> least(size(codes) - 1, greatest(0, p + o)))), q -> get(codes, q)))), near -> flatten(transform(
+      if(size(codes) > 0 and n > size(codes), sequence(0L, n - 1), cast(array() as array<bigint>)),
+      t -> transform(get(near, cast(least(size(codes) - 1, t div greatest(1, n div size(codes)) + 1) as int)), c -> struct(t as t, c as code))))), 0)), 0)) as (t, code)""",
+]
+
+
 def register_functions(spark: SparkSession) -> None:
-    """The kernels as SQL functions: cusum, pelt, bocpd, jb_segments, two_window_segments, beam_changes(signal, means, vars), dtw(a, b), aggregate_segments(mv, most), moves_band(mv, length, width), and run_lengths(mv) as a table function.
+    """The kernels as SQL functions, and tables of k-mers and bands as table functions.
+
+    Scalar, with trailing parameters that may be left out: cusum(signal, sigma, h, window), pelt(signal, dwell_mean,
+    dwell_var, max_run), bocpd(signal, rate, most), jb_segments(signal, penalty), two_window_segments(signal, p, w);
+    and beam_changes(signal, means, vars), dtw(a, b), aggregate_segments(mv, most), moves_band(mv, length, width).
+    Tables, for use after LATERAL: run_lengths(mv), kmers(seq, k) as (pos, code), uniform_band(n, length, width) as
+    (t, position), coarse_band(seq, n, k, width) as (t, code); the last three are expressions of Spark, no Python.
 
-    A null argument gives null, of dtw null fields, and no rows of run_lengths.
+    A null argument gives null, of dtw null fields, and no rows of a table function.
     """
-    for name, kernel in {"cusum": K.cusum, "bocpd": K.bocpd, "jb_segments": K.jb_segments, "two_window_segments": K.two_window_segments, "pelt": lambda x: K.pelt(x, 15.0, 60.0, 60)}.items():
-        spark.udf.register(name, _ids(kernel))
+    for name, (kernel, defaults) in {
+        "cusum": (K.cusum, (1.0, 3.0, 12)),
+        "pelt": (K.pelt, (15.0, 60.0, 60)),
+        "bocpd": (K.bocpd, (0.01, 200)),
+        "jb_segments": (K.jb_segments, (0.9,)),
+        "two_window_segments": (K.two_window_segments, (0.9, 10)),
+    }.items():
+        spark.udf.register(name, _with_parameters(kernel, defaults))
+    for statement in TABLE_FUNCTIONS:
+        spark.sql(statement)
 
     @F.pandas_udf("array<int>")
     def merge(m: pd.Series, n: pd.Series) -> pd.Series:

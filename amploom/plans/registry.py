@@ -835,3 +835,24 @@ def dtw_distance(spark, d):
     pairs = r.join(r.select((F.col("read_index") - 1).alias("read_index"), F.col("signal").alias("other")), "read_index")
     z = pairs.withColumn("z", R.dtw("signal", "other"))
     return z.select("read_index", F.round("z.dist", 4).alias("dist"), F.size("z.path").alias("steps"))
+
+
+def _in_sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
+    R.register_functions(spark)
+    return spark.sql(text, **tables)
+
+
+@query("kmers_in_sql", D + """, c as (select doc_id, unnest(range(1, len(q) - 2)) as i, translate(q, 'ATCG', '0123') as t from d where len(q) >= 4)
+  select doc_id, substr(t, i, 1)::bigint * 64 + substr(t, i + 1, 1)::bigint * 16 + substr(t, i + 2, 1)::bigint * 4 + substr(t, i + 3, 1)::bigint as code, min(i - 1)::int as first, count(*) as n from c group by 1, 2""")
+def kmers_in_sql(spark, d):
+    return _in_sql(spark, "select doc_id, code, min(pos) as first, count(*) as n from {docs}, lateral kmers(q, 4) group by doc_id, code", docs=_letters(spark, d))
+
+
+@query("bands_in_sql", ORACLES["uniform_band"].replace("n.n // 10", "n.n // 8").replace("n.n > 10", "n.n > 8").replace("least(9, ", "least(7, ").replace("between 0 and 9", "between 0 and 7"))
+def bands_in_sql(spark, d):
+    return _in_sql(spark, "select read_index as user_id, t, position from {reads}, lateral uniform_band(size(signal), 8, 4)", reads=_reads(spark, d))
+
+
+@query("cusum_in_sql", CUSUM.replace("gp >= 3 or gn >= 3", "gp >= 4 or gn >= 4") + " select user_id, seg, min(pos)::int as start, count(*)::int as length from r group by 1, 2")
+def cusum_in_sql(spark, d):
+    return _in_sql(spark, "select read_index as user_id, value as seg, start, length from {reads}, lateral run_lengths(cusum(signal, 1, 4))", reads=_reads(spark, d))

@@ -311,3 +311,24 @@ def test_median_by_counting(spark):
     assert median_by(s.limit(0), "key").collect() == []
     part = s.where("key in ('plain', 'even', 'few')")
     assert sorted(map(tuple, robust_zscore(part, "key", most=50).collect())) == sorted(map(tuple, robust_zscore(part, "key").collect()))
+
+
+def test_table_functions_and_parameters_in_sql(spark):
+    """SQL's k-mers and bands are those of the column expressions, with nulls, empty and short sequences; kernels take parameters."""
+    from pyspark.sql import functions as F
+
+    from amploom.functions import kmers as KM
+    from amploom.operators.reads import register_functions
+
+    register_functions(spark)
+    v = spark.createDataFrame([(1, "ACGTTGCA", 25), (2, "AC", 9), (3, "", 5), (4, None, 7), (5, "nnACGt", None), (6, "GGATTACA", 6)], "id int, q string, n long")
+    v.createOrReplaceTempView("seqs")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(spark.sql("select id, pos, code from seqs, lateral kmers(q, 3)")) == rows(v.select("id", F.posexplode(KM.kmer_codes(F.col("q"), 3))))
+    assert rows(spark.sql("select id, t, position from seqs, lateral uniform_band(n, 6, 3)")) == rows(v.select("id", F.inline(KM.uniform_band(F.col("n"), 6, 3))))
+    assert rows(spark.sql("select id, t, code from seqs, lateral coarse_band(q, n, 3, 4)")) == rows(v.select("id", F.inline(KM.coarse_band(F.col("q"), F.col("n"), 3, 4))))
+    x = np.random.default_rng(4).normal(size=80) + np.repeat([0, 5, 1, 9], 20)
+    spark.createDataFrame([(x.tolist(),), (None,)], "s array<double>").createOrReplaceTempView("signals")
+    got = spark.sql("select cusum(s) as a, cusum(s, 0.5, 2) as b, pelt(s, 20, 30.0, 40) as c, bocpd(s, 0.05) as d, jb_segments(s, 0.5) as e, two_window_segments(s, 0.95, 8) as f, cusum(s, null) as g from signals order by s is null").collect()
+    want = (K.cusum(x), K.cusum(x, 0.5, 2.0), K.pelt(x, 20.0, 30.0, 40), K.bocpd(x, 0.05), K.jb_segments(x, 0.5), K.two_window_segments(x, 0.95, 8))
+    assert tuple(got[0][:6]) == tuple(w.tolist() for w in want) and got[0].g is None and set(got[1]) == {None}
