@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +100,35 @@ def moves_band(mv: np.ndarray, length: int, width: int) -> list[tuple[int, int]]
     for t, c in enumerate(np.clip(at.astype(int), 0, length - 1).tolist()):
         out += [(t, p) for p in range(c - width // 2, c + width - width // 2) if 0 <= p < length]
     return out
+
+
+def count_kmers(texts: DataFrame, text: str, k: int, first: bool = False) -> DataFrame:
+    """(code, n): how often each k-mer of the letters a, c, g, t (in either case, others left out) stands in the texts; ``first``: at a text's start.
+
+    A batch of texts is counted by numpy before anything is shuffled. k is at most 31. A null text, or one with fewer letters, has none.
+    """
+    digit = np.full(256, 4, np.uint8)
+    for i, c in enumerate(b"ATCG"):
+        digit[[c, c | 0x20]] = i
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for raw in b.column(0):
+                d = digit[np.frombuffer(raw.as_py() or b"", np.uint8)]
+                d = d[d < 4][: k if first else None]
+                if len(d) >= k:
+                    code = np.zeros(len(d) - k + 1, np.int64)
+                    for i in range(k):
+                        code = code * 4 + d[i : len(d) - k + 1 + i]
+                    found.append(code)
+            code, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+            yield pa.record_batch([pa.array(code), pa.array(n)], names=["code", "n"])
+
+    return texts.select(F.col(text).cast("binary").alias("text")).mapInArrow(go, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def kmer_links(texts: DataFrame, text: str, k: int) -> DataFrame:
+    """(source, target, prob): k-mers that follow each other in the texts, by how often; logs and sums to 1 are ``log_links``' work."""
+    longer = count_kmers(texts, text, k + 1)
+    return longer.select(F.floor(F.col("code") / 4).alias("source"), (F.col("code") % 4**k).alias("target"), F.col("n").cast("double").alias("prob"))

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions import kmers as KM
 from ..functions import windows as N
+from ..operators import blocks as BL
 from ..operators import families as FA
 from ..operators import graph as G
 from ..operators import hmm as H
 from ..operators import reads as R
+from ..session import written
 from ..sources.models import parse_model
 
 QUERIES: dict = {}
@@ -475,6 +477,41 @@ def kmer_graph(spark, d):
     return KM.kmer_graph(spark, 3, 0.6).join(seen, "source", "left_semi").select("source", "target", r6("prob", "prob", 9))
 
 
+#: Frames are the mean values of the event types; links and start are 9-mers of all documents, a state's Gaussian follows from its code.
+_FORWARD = D.replace("select doc_id, upper(", "select doc_id, translate(upper(").replace(" as q from", ", 'ATCG', '0123') as q from") + """,
+  g as (select s, count(*) as n from (select substr(q, unnest(range(1, len(q) - 8)), 10) as s from d where len(q) >= 10) group by 1),
+  h as (select list_reduce(list_transform(string_split(s, ''), lambda c: c::bigint), lambda a, c: a * 4 + c) as code, n from g),
+  l as (select code // 4 as source, code % 262144 as target, ln(n / sum(n) over (partition by code // 4)) as lp from h),
+  b as (select list_reduce(list_transform(string_split(q[1:9], ''), lambda c: c::bigint), lambda a, c: a * 4 + c) as id from d where len(q) >= 9),
+  p as (select id, ln(count(*) / (select count(*) from b)) as v from b group by 1),
+  f as (select row_number() over (order by event_type) - 1 as t, avg(value) as x from events group by event_type),
+  a0 as (select id, v - 0.5 * ln(2 * pi() * (100 + id % 89)) - (x - (30 + id % 41)) ** 2 / (2 * (100 + id % 89)) as v from p, f where t = 0)""" + "".join(
+    f""",
+  m{t} as (select target as id, max(v + lp) as m from a{t - 1} join l on l.source = a{t - 1}.id group by 1),
+  s{t} as (select m{t}.id, any_value(m) + ln(sum(exp(v + lp - m))) as v from a{t - 1} join l on l.source = a{t - 1}.id join m{t} on m{t}.id = l.target group by 1),
+  a{t} as (select id, v - 0.5 * ln(2 * pi() * (100 + id % 89)) - (x - (30 + id % 41)) ** 2 / (2 * (100 + id % 89)) as v from s{t}, f where t = {t})"""
+    for t in range(1, 5)
+) + " select id, round(v, 4) as v from a4"
+
+
+def _bell(x: float, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
+    return -0.5 * np.log(2 * np.pi * var) - (x - mean) ** 2 / (2 * var)
+
+
+@query("forward_kmer_graph", _FORWARD)
+def forward_kmer_graph(spark, d):
+    """Forward values over the graph of the 9-mers of documents, in blocks of states."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    links = written(G.log_links(KM.kmer_links(docs, "text", 9)))
+    ends = links.select(F.explode(F.array("source", "target")).alias("id"))
+    begin = written(KM.count_kmers(docs, "text", 9, first=True)).select(F.lit(0).alias("series"), F.col("code").alias("id"), F.col("n").cast("double").alias("n"))
+    start = N.log_normalise(begin.select("series", "id", F.ln("n").alias("v")), ["series"], "v")
+    states = ends.union(begin.select("id")).distinct().select("id", (30 + F.col("id") % 41).alias("mean"), (100 + F.col("id") % 89).alias("var"))
+    kinds = spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.avg("value").alias("x"))
+    frames = kinds.select(F.lit(0).alias("series"), (F.row_number().over(W.orderBy("event_type")) - 1).alias("t"), "x")  # a row an event type
+    return BL.forward(links, start, states, frames, _bell).select("id", r6("v", "v", 4))
+
+
 @query("coarse_band", D + """, c as (select doc_id, length(q) * 3 as n, length(q) - 2 as size, list_transform(range(1, length(q) - 1), lambda i: (position(q[i] in 'ATCG') - 1) * 16 + (position(q[i + 1] in 'ATCG') - 1) * 4 + position(q[i + 2] in 'ATCG') - 1) as codes from d where length(q) >= 3),
   t as (select doc_id, size, codes, unnest(range(0, n)) as t, n // size as skip from c)
   select doc_id, t, unnest(list_transform(list_distinct(list_transform([-2, -1, 0, 1], lambda o: greatest(0, least(size - 1, least(size - 1, t // skip + 1) + o)))), lambda p: codes[p + 1]))::bigint as code from t""")
