@@ -24,6 +24,15 @@ def session(name: str = "amploom", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
+    """Lower this session's Arrow batches to so many rows and bytes: the JVM and the worker each hold a whole batch."""
+    name = "spark.sql.execution.arrow.max%sPerBatch"
+    for what, most in (("Records", rows), ("Bytes", size)):
+        now = spark.conf.get(name % what, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name % what, most)
+
+
 _own_dir: list[str] = []
 
 

@@ -332,3 +332,30 @@ def test_table_functions_and_parameters_in_sql(spark):
     got = spark.sql("select cusum(s) as a, cusum(s, 0.5, 2) as b, pelt(s, 20, 30.0, 40) as c, bocpd(s, 0.05) as d, jb_segments(s, 0.5) as e, two_window_segments(s, 0.95, 8) as f, cusum(s, null) as g from signals order by s is null").collect()
     want = (K.cusum(x), K.cusum(x, 0.5, 2.0), K.pelt(x, 20.0, 30.0, 40), K.bocpd(x, 0.05), K.jb_segments(x, 0.5), K.two_window_segments(x, 0.95, 8))
     assert tuple(got[0][:6]) == tuple(w.tolist() for w in want) and got[0].g is None and set(got[1]) == {None}
+
+
+def test_ways_through_first_and_final_blocks():
+    x = np.random.default_rng(8).normal(size=27)
+    for length in (27, 20):
+        block = K.PeltBlock(x, length, 9.0, 30.0, 8, 1e-3)
+        whole = block.ways()
+        assert block.ways(final=True).tolist() == whole[:, :1].tolist()
+        assert block.ways(first=True).tolist() == whole[:1].tolist() and block.ways(True, True).tolist() == whole[:1, :1].tolist()
+
+
+def test_pelt_by_blocks_hands_matrices_on_in_pieces(spark):
+    """Batches were of as many matrices as rows came in, 10,000 of 29 KB at most."""
+    from amploom.operators import reads as R
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    assert R.PIECE * 60 * 60 * 8 < 2 << 20
+    rng = np.random.default_rng(3)
+    signals = rng.normal(size=(40, 150)) + np.repeat(rng.normal(0, 6, (40, 10)), 15, axis=1)
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in enumerate(signals) for i, v in enumerate(x)], "k long, pos long, x double")
+    got = {k: [] for k in range(40)}
+    for r in R.pelt_by_blocks(df, "k", block=64).collect():
+        got[r.k].append((r.start, r.length))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20 and int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    for k, x in enumerate(signals):
+        seg = K.pelt(x, 15.0, 60.0, 60)
+        assert sorted(got[k]) == [(int(np.flatnonzero(seg == i)[0]), int((seg == i).sum())) for i in range(seg[-1] + 1)]
