@@ -9,33 +9,114 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import bounded_batches
 
-def _digits(seq: Column) -> Column:
-    """A, T, C, G as 0, 1, 2, 3; any other letter counts as A."""
-    return F.translate(F.regexp_replace(F.upper(seq), "[^ATCG]", "A"), "ATCG", "0123")
+
+_BASES = np.frombuffer(b"ATCG", np.uint8)
+_DIGIT = np.zeros(256, np.uint8)
+for _i, _c in enumerate(b"ATCG"):
+    _DIGIT[[_c, _c | 0x20]] = _i
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of texts and where each one begins and ends; nulls are empty."""
+    column = column.fill_null("").cast(pa.large_string())
+    edge = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if data is not None else np.zeros(0, np.uint8)
+    return data, edge - edge[0]
+
+
+def _lists(edge: np.ndarray, values: pa.Array, missing: np.ndarray | None = None) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), values, mask=None if missing is None or not missing.any() else pa.array(missing))
+
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
 
 
 def kmer_codes(seq: Column, k: int) -> Column:
-    """Codes of all k-mers, two bits a base, most significant first; none if the sequence is shorter than k."""
-    # The digits are bound once as an array: a substring of a long string would walk it from its start each time.
-    digits = F.transform(F.filter(F.split(_digits(seq), ""), lambda c: c != ""), lambda c: c.cast("long"))
-    code = lambda d, i: F.aggregate(F.slice(d, i, k), F.lit(0).cast("long"), lambda a, x: a * 4 + x)
-    codes = F.get(F.transform(F.array(digits), lambda d: F.transform(F.sequence(F.lit(1), F.size(d) - (k - 1)), lambda i: code(d, i))), F.lit(0))
-    return F.when(F.length(seq) >= k, codes).otherwise(F.array().cast("array<bigint>"))
+    """Codes of all k-mers, two bits a base, most significant first; none if the sequence is shorter than k.
+
+    A, T, C, G are 0, 1, 2, 3 in either case; any other letter counts as A. numpy does a batch of sequences at once.
+    """
+    return _kmer_codes(k)(seq)
+
+
+def _kmer_codes(k: int):
+    @F.arrow_udf("array<bigint>")
+    def go(column: pa.Array) -> pa.Array:
+        data, edge = _texts(column)
+        enough = np.diff(edge) >= k
+        if (data > 127).any():  # letters of several bytes, and those whose capitals are several letters
+            texts = [t or "" for t in column.to_pylist()]
+            enough = np.array([len(t) >= k for t in texts], bool)
+            points = [np.frombuffer(t.upper().encode("utf-32-le"), np.uint32) for t in texts]
+            edge = _edges([len(x) for x in points])
+            data = np.minimum(np.concatenate(points), 255).astype(np.uint8)
+        digits = _DIGIT[data]
+        n = max(0, len(digits) - k + 1)
+        code = np.zeros(n, np.int64)
+        for i in range(k):
+            code *= 4
+            code += digits[i : n + i]
+        whole = np.ones(len(digits), bool)
+        for i in range(1, k):  # those that would go on into the next sequence
+            at = edge[1:] - i
+            whole[at[at >= edge[:-1]]] = False
+        whole[np.repeat(~enough, np.diff(edge))] = False
+        return _lists(_edges(np.where(enough, np.diff(edge) - k + 1, 0)), pa.array(code[whole[:n]]))
+
+    return go
 
 
 def kmers_of_codes(codes: Column, k: int, compat: bool = False) -> Column:
-    """The sequence of codes: the first whole, then the last base of each later one. ``compat``: skips the codes 1 .. k - 1."""
-    base = lambda c: F.substring(F.lit("ATCG"), (c % 4).cast("int") + 1, F.lit(1))
-    first = F.transform(F.sequence(F.lit(k - 1), F.lit(0)), lambda i: base(F.floor(F.get(codes, F.lit(0)) / F.pow(F.lit(4.0), i)).cast("long")))
-    rest = F.transform(F.slice(codes, k + 1 if compat else 2, F.size(codes)), base)
-    return F.when(F.size(codes) > 0, F.array_join(F.concat(first, rest), "")).otherwise("")
+    """The sequence of codes: the first whole, then the last base of each later one. ``compat``: skips the codes 1 .. k - 1. Missing codes have no bases."""
+    skip = k if compat else 1
+
+    @F.arrow_udf("string")
+    def go(column: pa.Array) -> pa.Array:
+        column = pa.array(column.fill_null([]) if column.null_count else column)
+        edge, flat = column.offsets.to_numpy().astype(np.int64), column.values
+        known = flat.is_valid().to_numpy(zero_copy_only=False)[edge[0] : edge[-1]]
+        values, edge = flat.fill_null(0).to_numpy()[edge[0] : edge[-1]], edge - edge[0]
+        sizes = np.diff(edge)
+        some = np.flatnonzero(sizes)
+        out = _edges(np.where(sizes > 0, k + np.maximum(0, sizes - skip), 0))
+        letters, there, later = np.zeros(out[-1], np.uint8), np.ones(out[-1], bool), np.ones(out[-1], bool)
+        for i in range(k):
+            at = out[some] + i
+            letters[at], there[at], later[at] = _BASES[(values[edge[some]] >> 2 * (k - 1 - i)) & 3], known[edge[some]], False
+        rest = np.ones(len(values), bool)
+        for i in range(skip):
+            at = edge[some] + i
+            rest[at[at < edge[some + 1]]] = False
+        letters[later], there[later] = _BASES[values[rest] & 3], known[rest]
+        kept = _edges(there)
+        return pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(kept[out].astype(np.int64)), pa.py_buffer(letters[there])]).cast(pa.string())
+
+    return go(codes)
 
 
 def kmer_strings(seq: Column, k: int, pad: int, char: str = "N") -> Column:
     """One k-mer a base: ``pad`` filler on the left and k - pad - 1 on the right."""
-    full = F.concat(F.repeat(F.lit(char), F.lit(pad)), seq, F.repeat(F.lit(char), F.lit(k - pad - 1)))
-    return F.when(F.length(seq) > 0, F.transform(F.sequence(F.lit(1), F.length(seq)), lambda i: F.substring(full, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    @F.arrow_udf("array<string>")
+    def go(column: pa.Array) -> pa.Array:
+        data, edge = _texts(column)
+        if (data > 127).any() or len(char) != 1 or not char.isascii() or not 0 <= pad < k:
+            full = [(t or "", char * pad + (t or "") + char * (k - pad - 1)) for t in column.to_pylist()]
+            return pa.array([[f[i : i + k] for i in range(len(t))] for t, f in full], pa.list_(pa.string()))
+        own = np.repeat(np.arange(len(column)) * (k - 1), np.diff(edge)) + np.arange(len(data))  # each base's k-mer begins here
+        padded = np.full(len(data) + len(column) * (k - 1), ord(char), np.uint8)
+        padded[own + pad] = data
+        letters = np.empty((len(data), k), np.uint8)
+        for i in range(k):
+            letters[:, i] = padded[own + i]
+        each = pa.Array.from_buffers(pa.large_string(), len(data), [None, pa.py_buffer(np.arange(len(data) + 1) * k), pa.py_buffer(letters)])
+        return _lists(edge, each.cast(pa.string()))
+
+    return go(seq)
 
 
 def kmer_graph(spark: SparkSession, k: int, stay: float) -> DataFrame:
@@ -84,22 +165,46 @@ def coarse_band(seq: Column, n: Column, k: int, width: int) -> Column:
     return F.get(F.transform(F.array(F.struct(kmer_codes(seq, k).alias("codes"), n.cast("long").alias("n"))), pairs), F.lit(0))
 
 
-def moves_band(mv: np.ndarray, length: int, width: int) -> list[tuple[int, int]]:
-    """(t, position): a single-precision cursor goes on by length / (max - least non-negative + 1) at every change of the moves, the first sample included, and stays within the model."""
+def coarse_band_rows(df: DataFrame, keep: list[str], seq: Column, n: Column, k: int, width: int) -> DataFrame:
+    """(``keep``, t, code): a row for each entry of ``coarse_band``.
+
+    A position has its samples and its neighbours as two short arrays, which are exploded one after the other: no array
+    is as long as the rows of a sequence, and all that is done for a row is compiled.
+    """
+    bounded_batches(df.sparkSession)
+    codes = df.select(*keep, _kmer_codes(k).asNondeterministic()(seq).alias("_codes"), n.cast("long").alias("_n"))  # else filters go below it and have it done twice
+    codes = codes.where("size(_codes) > 0 and _n > size(_codes)").withColumns({"_last": F.size("_codes") - 1, "_skip": F.expr("_n div size(_codes)")})
+    places = codes.withColumn("_p", F.explode(F.expr("sequence(least(1, _last), _last)")))
+    near = F.array_distinct(F.array(*(F.least("_last", F.greatest(F.lit(0), F.col("_p") + o)) for o in range(-(width // 2), width - width // 2))))
+    spans = places.withColumns({"_ts": F.expr("sequence(greatest(0, _p - 1) * _skip, if(_p = _last, _n, _p * _skip) - 1)"), "_near": near})
+    rows = spans.withColumn("t", F.explode("_ts")).withColumn("_q", F.explode("_near"))
+    return rows.select(*keep, "t", F.get("_codes", F.col("_q")).alias("code"))
+
+
+def _moves_band(mv: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """``moves_band`` as an array of t and one of positions."""
     mv = np.asarray(mv)
     if not len(mv) or not (mv >= 0).any():
-        return []
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     skip = np.float32(length / (int(mv.max()) - int(mv[mv >= 0].min()) + 1))
     change = np.append(True, mv[1:] != mv[:-1])
-    at = np.zeros(len(mv), np.float32)
-    cursor = np.float32(0)
-    for t, c in enumerate(change):
-        cursor = np.float32(cursor + skip) if c else cursor
-        at[t] = cursor
-    out = []
-    for t, c in enumerate(np.clip(at.astype(int), 0, length - 1).tolist()):
-        out += [(t, p) for p in range(c - width // 2, c + width - width // 2) if 0 <= p < length]
-    return out
+    cursor = np.cumsum(np.where(change, skip, np.float32(0)), dtype=np.float32)  # adds one after the other, as a loop does
+    p = np.clip(cursor.astype(int), 0, length - 1)[:, None] + np.arange(-(width // 2), width - width // 2)
+    t, o = np.nonzero((p >= 0) & (p < length))
+    return t.astype(np.int32), p[t, o].astype(np.int32)
+
+
+def moves_band(mv: np.ndarray, length: int, width: int) -> list[tuple[int, int]]:
+    """(t, position): a single-precision cursor goes on by length / (max - least non-negative + 1) at every change of the moves, the first sample included, and stays within the model."""
+    return list(zip(*(x.tolist() for x in _moves_band(mv, length, width))))
+
+
+def moves_bands(moves: list[np.ndarray | None], sizes: list[int], widths: list[int]) -> pa.ListArray:
+    """array<struct<t, position>> of each ``moves``, made of numbers in a row, not of objects; null where they are."""
+    none = np.zeros(0, np.int32)
+    found = [(none, none) if m is None else _moves_band(m, n, w) for m, n, w in zip(moves, sizes, widths)]
+    t, p = (pa.array(np.concatenate([none, *(f[i] for f in found)]), pa.int32()) for i in (0, 1))
+    return _lists(_edges([len(f[0]) for f in found]), pa.StructArray.from_arrays([t, p], names=["t", "position"]), np.array([m is None for m in moves], bool))
 
 
 def count_kmers(texts: DataFrame, text: str, k: int, first: bool = False) -> DataFrame:

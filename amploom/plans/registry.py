@@ -22,7 +22,7 @@ from ..operators import families as FA
 from ..operators import graph as G
 from ..operators import hmm as H
 from ..operators import reads as R
-from ..session import written
+from ..session import bounded_batches, written
 from ..sources.models import parse_model
 
 QUERIES: dict = {}
@@ -63,7 +63,8 @@ def _reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _letters(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("q"))
+    bounded_batches(spark)
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]+", "")).alias("q"))
 
 
 def r6(c: str | Column, name: str, digits: int = 6) -> Column:
@@ -417,7 +418,7 @@ _NODES = D.replace("select doc_id,", "select doc_id, lang,") + """, c as (select
 
 
 def _nodes(spark, d) -> DataFrame:
-    codes = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("q")).select("lang", F.posexplode(KM.kmer_codes(F.col("q"), 3)).alias("pos", "code"))
+    codes = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]+", "")).alias("q")).select("lang", F.posexplode(KM.kmer_codes(F.col("q"), 3)).alias("pos", "code"))
     seen = codes.groupBy("code", F.when(F.col("code") % 4 == 0, "*").otherwise(F.col("lang")).alias("label")).agg(F.min("pos").alias("seq_id"))
     return seen.select((F.col("code") * 1000 + 2 * F.ascii("label") + F.ascii(F.right("label", F.lit(1)))).alias("id"), "seq_id", KM.kmers_of_codes(F.array("code"), 3).alias("kmer"), "label")
 
@@ -516,7 +517,7 @@ def forward_kmer_graph(spark, d):
   t as (select doc_id, size, codes, unnest(range(0, n)) as t, n // size as skip from c)
   select doc_id, t, unnest(list_transform(list_distinct(list_transform([-2, -1, 0, 1], lambda o: greatest(0, least(size - 1, least(size - 1, t // skip + 1) + o)))), lambda p: codes[p + 1]))::bigint as code from t""")
 def coarse_band(spark, d):
-    return _letters(spark, d).select("doc_id", F.inline(KM.coarse_band(F.col("q"), F.length("q") * 3, 3, 4)))
+    return KM.coarse_band_rows(_letters(spark, d), ["doc_id"], F.col("q"), F.length("q") * 3, 3, 4)
 
 
 #: The recurrence as a recursive query: one row a sample, the running state carried along.

@@ -86,3 +86,30 @@ def test_kmers_are_counted_like_the_column(spark):
     assert sorted(KM.count_kmers(docs, "text", 4).collect()) == sorted(want.collect())
     begin = codes.select(F.get("c", F.lit(0)).alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
     assert sorted(KM.count_kmers(docs, "text", 4, first=True).collect()) == sorted(begin.collect())
+
+
+def test_kmers_of_any_letters(spark):
+    """Nulls, letters of several bytes, capitals of several letters, slices of batches, and long sequences."""
+    texts = [None, "", "A", "AC", "ACG", "gattacaXn", "aÄcgt", "ßa", "\U0001d538CGT", "straße", "TGCA" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, q string").coalesce(1)
+    code = lambda z: sum("ATCG".find(c) * 4 ** (len(z) - 1 - i) if c in "ATCG" else 0 for i, c in enumerate(z))
+    got = df.select("id", KM.kmer_codes(F.col("q"), 3).alias("c"), KM.kmer_strings(F.col("q"), 3, 1).alias("s"), KM.kmer_strings(F.col("q"), 4, 0, "--").alias("w")).collect()
+    for r in got:
+        q = texts[r.id] or ""
+        up = q.upper()
+        assert r.c == ([code(up[i : i + 3]) for i in range(len(up) - 2)] if len(q) >= 3 else [])
+        full, wide = "N" + q + "N", q + "-" * 6
+        assert r.s == [full[i : i + 3] for i in range(len(q))] and r.w == [wide[i : i + 4] for i in range(len(q))]
+    lists = spark.createDataFrame([(0, [11, 45, 53, 20]), (1, []), (2, None), (3, [27]), (4, [None, 5, 2]), (5, [6, None, 3, 1, 2])], "id int, c array<bigint>").coalesce(1)
+    back = lists.orderBy("id").select(KM.kmers_of_codes(F.col("c"), 3).alias("a"), KM.kmers_of_codes(F.col("c"), 3, True).alias("b")).collect()
+    assert [tuple(r) for r in back] == [("ACGTTA", "ACGA"), ("", ""), ("", ""), ("TCG",) * 2, ("TC", ""), ("ATCGTC", "ATCTC")]
+
+
+def test_coarse_band_rows_are_the_columns(spark):
+    v = spark.createDataFrame([(1, "ACGTTGCA", 25), (2, "AC", 9), (3, "", 5), (4, None, 7), (5, "nnACGt", None), (6, "GGATTACA", 7), (7, "ACG", 5), (8, "GGATTACA", 6), (9, "GATTA" * 20, 199)], "id int, q string, n long")
+    for k, width in ((3, 4), (2, 1), (3, 7)):
+        want = v.select("id", F.inline(KM.coarse_band(F.col("q"), F.col("n"), k, width))).collect()
+        rows = KM.coarse_band_rows(v, ["id"], F.col("q"), F.col("n"), k, width)
+        assert rows.dtypes == [("id", "int"), ("t", "bigint"), ("code", "bigint")] and sorted(map(tuple, rows.collect())) == sorted(map(tuple, want)) and want
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("Generate explode") == 3
