@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..session import bounded_batches
 
 
+#: K-mers that are counted at once.
+PIECE = 1 << 19
+
 _BASES = np.frombuffer(b"ATCG", np.uint8)
 _DIGIT = np.zeros(256, np.uint8)
 for _i, _c in enumerate(b"ATCG"):
@@ -210,25 +213,34 @@ def moves_bands(moves: list[np.ndarray | None], sizes: list[int], widths: list[i
 def count_kmers(texts: DataFrame, text: str, k: int, first: bool = False) -> DataFrame:
     """(code, n): how often each k-mer of the letters a, c, g, t (in either case, others left out) stands in the texts; ``first``: at a text's start.
 
-    A batch of texts is counted by numpy before anything is shuffled. k is at most 31. A null text, or one with fewer letters, has none.
+    A batch of texts is counted by numpy, ``PIECE`` k-mers and a text's piece at a time, before anything is shuffled. k is at most 31. A null text, or one with fewer letters, has none.
     """
     digit = np.full(256, 4, np.uint8)
     for i, c in enumerate(b"ATCG"):
         digit[[c, c | 0x20]] = i
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(found):
+            code, n = np.unique(np.concatenate(found), return_counts=True)
+            return pa.record_batch([pa.array(code), pa.array(n)], names=["code", "n"])
+
         for b in batches:
-            found = []
+            found, held = [], 0
             for raw in b.column(0):
                 d = digit[np.frombuffer(raw.as_py() or b"", np.uint8)]
                 d = d[d < 4][: k if first else None]
-                if len(d) >= k:
-                    code = np.zeros(len(d) - k + 1, np.int64)
+                for lo in range(0, len(d) - k + 1, PIECE):
+                    n = min(PIECE, len(d) - k + 1 - lo)
+                    code = np.zeros(n, np.int64)
                     for i in range(k):
-                        code = code * 4 + d[i : len(d) - k + 1 + i]
+                        code = code * 4 + d[lo + i : lo + i + n]
                     found.append(code)
-            code, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
-            yield pa.record_batch([pa.array(code), pa.array(n)], names=["code", "n"])
+                    held += n
+                    if held >= PIECE:
+                        yield counted(found)
+                        found, held = [], 0
+            if found:
+                yield counted(found)
 
     return texts.select(F.col(text).cast("binary").alias("text")).mapInArrow(go, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 

@@ -419,9 +419,11 @@ _NODES = D.replace("select doc_id,", "select doc_id, lang,") + """, c as (select
 
 
 def _nodes(spark, d) -> DataFrame:
+    """Written once, as they are a model's and read several times: else each time all documents are."""
+    bounded_batches(spark)
     codes = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]+", "")).alias("q")).select("lang", F.posexplode(KM.kmer_codes(F.col("q"), 3)).alias("pos", "code"))
     seen = codes.groupBy("code", F.when(F.col("code") % 4 == 0, "*").otherwise(F.col("lang")).alias("label")).agg(F.min("pos").alias("seq_id"))
-    return seen.select((F.col("code") * 1000 + 2 * F.ascii("label") + F.ascii(F.right("label", F.lit(1)))).alias("id"), "seq_id", KM.kmers_of_codes(F.array("code"), 3).alias("kmer"), "label")
+    return written(seen.select((F.col("code") * 1000 + 2 * F.ascii("label") + F.ascii(F.right("label", F.lit(1)))).alias("id"), "seq_id", KM.kmers_of_codes(F.array("code"), 3).alias("kmer"), "label"))
 
 
 @query("wildcard_label_join", _NODES + ", l as (select distinct label from n where label <> '*') select l.label, seq_id, list(id order by id) as states from n join l on n.label = l.label or n.label = '*' group by 1, 2")
@@ -503,6 +505,7 @@ def _bell(x: float, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
 @query("forward_kmer_graph", _FORWARD)
 def forward_kmer_graph(spark, d):
     """Forward values over the graph of the 9-mers of documents, in blocks of states."""
+    bounded_batches(spark)
     docs = spark.read.parquet(f"{d}/documents.parquet")
     links = written(G.log_links(KM.kmer_links(docs, "text", 9)))
     ends = links.select(F.explode(F.array("source", "target")).alias("id"))

@@ -113,3 +113,24 @@ def test_coarse_band_rows_are_the_columns(spark):
         assert rows.dtypes == [("id", "int"), ("t", "bigint"), ("code", "bigint")] and sorted(map(tuple, rows.collect())) == sorted(map(tuple, want)) and want
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "lambda" not in plan and plan.count("Generate explode") == 3
+
+
+def test_nodes_are_found_once(spark):
+    """Labels, own and shared nodes were each found from all documents again."""
+    from amploom.plans import registry
+
+    plan = registry.QUERIES["wildcard_label_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "amploom-table" in plan
+
+
+def test_kmers_are_counted_in_pieces(spark):
+    """A long text's codes were all in memory at once."""
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choices("acgt-", k=n)) for n in (700_000, 3, 800_000)]
+    got = {r.code: r.n for r in KM.count_kmers(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), "text", 3).collect()}
+    want = {}
+    for t in texts:
+        q = t.replace("-", "").upper()
+        for i in range(len(q) - 2):
+            want[q[i : i + 3]] = want.get(q[i : i + 3], 0) + 1
+    assert KM.PIECE < 560_000 and got == {sum("ATCG".index(c) * 4 ** (2 - j) for j, c in enumerate(z)): n for z, n in want.items()}
