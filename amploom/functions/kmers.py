@@ -38,6 +38,20 @@ def _edges(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
+_CAPITALS = bytes.maketrans(b"acgt", b"ACGT")
+_OTHERS = bytes(set(range(256)) - set(b"ACGTacgt"))
+
+
+def letters(text: Column) -> Column:
+    """The letters A, C, G, T of a text, in either case, as capitals; null stays null. No other letter of Unicode has one of them as its small form."""
+
+    @F.arrow_udf("string")
+    def go(column: pa.Array) -> pa.Array:
+        return pa.array([t and t.translate(_CAPITALS, _OTHERS) for t in column.cast(pa.large_binary()).to_pylist()], pa.binary()).cast(pa.string())
+
+    return go.asNondeterministic()(text)  # else filters go below it and have it done twice
+
+
 def kmer_codes(seq: Column, k: int) -> Column:
     """Codes of all k-mers, two bits a base, most significant first; none if the sequence is shorter than k.
 

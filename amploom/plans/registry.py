@@ -65,7 +65,7 @@ def _reads(spark: SparkSession, d: str) -> DataFrame:
 
 def _letters(spark: SparkSession, d: str) -> DataFrame:
     bounded_batches(spark)
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]+", "")).alias("q"))
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", KM.letters(F.col("text")).alias("q"))
 
 
 def r6(c: str | Column, name: str, digits: int = 6) -> Column:
@@ -421,7 +421,7 @@ _NODES = D.replace("select doc_id,", "select doc_id, lang,") + """, c as (select
 def _nodes(spark, d) -> DataFrame:
     """Written once, as they are a model's and read several times: else each time all documents are."""
     bounded_batches(spark)
-    codes = spark.read.parquet(f"{d}/documents.parquet").select("lang", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]+", "")).alias("q")).select("lang", F.posexplode(KM.kmer_codes(F.col("q"), 3)).alias("pos", "code"))
+    codes = spark.read.parquet(f"{d}/documents.parquet").select("lang", KM.letters(F.col("text")).alias("q")).select("lang", F.posexplode(KM.kmer_codes(F.col("q"), 3)).alias("pos", "code"))
     seen = codes.groupBy("code", F.when(F.col("code") % 4 == 0, "*").otherwise(F.col("lang")).alias("label")).agg(F.min("pos").alias("seq_id"))
     return written(seen.select((F.col("code") * 1000 + 2 * F.ascii("label") + F.ascii(F.right("label", F.lit(1)))).alias("id"), "seq_id", KM.kmers_of_codes(F.array("code"), 3).alias("kmer"), "label"))
 

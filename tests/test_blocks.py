@@ -105,6 +105,22 @@ def test_kmers_of_any_letters(spark):
     assert [tuple(r) for r in back] == [("ACGTTA", "ACGA"), ("", ""), ("", ""), ("TCG",) * 2, ("TC", ""), ("ATCGTC", "ATCTC")]
 
 
+def test_letters_are_those_of_sql(spark, tmp_path):
+    """A text was matched by a regular expression, twice where a filter asks for the letters' number."""
+    from amploom.plans import registry
+
+    texts = [None, "", "x", "A-c\n g\x00T", "\u212aÇß\u0130 ağ", "\U0001d538CGT", "No cat\u0301", "gattaca " * 5000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = docs.select("doc_id", F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("q"))
+    got = docs.select("doc_id", KM.letters(F.col("text")).alias("q"))
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    back = registry.QUERIES["kmer_round_trip"](spark, str(tmp_path))
+    assert sorted(back.collect()) == sorted(want.where("length(q) >= 3").collect())
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("go(text") == 1
+
+
 def test_coarse_band_rows_are_the_columns(spark):
     v = spark.createDataFrame([(1, "ACGTTGCA", 25), (2, "AC", 9), (3, "", 5), (4, None, 7), (5, "nnACGt", None), (6, "GGATTACA", 7), (7, "ACG", 5), (8, "GGATTACA", 6), (9, "GATTA" * 20, 199)], "id int, q string, n long")
     for k, width in ((3, 4), (2, 1), (3, 7)):
