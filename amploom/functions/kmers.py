@@ -136,6 +136,34 @@ def kmer_strings(seq: Column, k: int, pad: int, char: str = "N") -> Column:
     return go(seq)
 
 
+def _counted(code: np.ndarray, edge: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of numbers below ``span``: where each row's different numbers begin and end, these, how often each is in its row, and where first."""
+    rows, span = len(edge) - 1, max(1, span)
+    row = np.repeat(np.arange(rows), np.diff(edge))
+    key = row * span + code
+    if rows * span <= max(PIECE, 2 * len(code)):
+        n = np.bincount(key, minlength=rows * span)
+        at = np.empty(len(n), np.int64)
+        at[key[::-1]] = np.arange(len(key))[::-1]  # the last one set is the first in the row
+        key = np.flatnonzero(n)
+        n, at = n[key], at[key]
+    else:
+        key, at, n = np.unique(key, return_index=True, return_counts=True)
+    return np.searchsorted(key, np.arange(rows + 1) * span), key % span, n, at - edge[row[at]]
+
+
+def counts(values: Column, kind: str) -> Column:
+    """array<struct<value, n, first>>: the different entries of an array of ``kind`` (an SQL type), how often each is there and where first (from 0). None if the array is missing."""
+
+    @F.arrow_udf(f"array<struct<value:{kind},n:bigint,first:bigint>>")
+    def go(column: pa.Array) -> pa.Array:
+        each = column.flatten().dictionary_encode("encode")
+        edge, code, n, at = _counted(each.indices.to_numpy(), _edges(column.value_lengths().fill_null(0).to_numpy()), len(each.dictionary))
+        return _lists(edge, pa.StructArray.from_arrays([each.dictionary.take(pa.array(code)), pa.array(n), pa.array(at)], names=["value", "n", "first"]))
+
+    return go(values)
+
+
 def kmer_graph(spark: SparkSession, k: int, stay: float) -> DataFrame:
     """(source, target, prob) of the De Bruijn graph: ``stay`` on itself and the rest over the four successors; self edges are one."""
     n = 4**k

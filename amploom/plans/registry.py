@@ -421,8 +421,8 @@ _NODES = D.replace("select doc_id,", "select doc_id, lang,") + """, c as (select
 def _nodes(spark, d) -> DataFrame:
     """Written once, as they are a model's and read several times: else each time all documents are."""
     bounded_batches(spark)
-    codes = spark.read.parquet(f"{d}/documents.parquet").select("lang", KM.letters(F.col("text")).alias("q")).select("lang", F.posexplode(KM.kmer_codes(F.col("q"), 3)).alias("pos", "code"))
-    seen = codes.groupBy("code", F.when(F.col("code") % 4 == 0, "*").otherwise(F.col("lang")).alias("label")).agg(F.min("pos").alias("seq_id"))
+    codes = spark.read.parquet(f"{d}/documents.parquet").select("lang", KM.letters(F.col("text")).alias("q")).select("lang", F.inline(KM.counts(KM.kmer_codes(F.col("q"), 3), "bigint"))).withColumnRenamed("value", "code")
+    seen = codes.groupBy("code", F.when(F.col("code") % 4 == 0, "*").otherwise(F.col("lang")).alias("label")).agg(F.min("first").cast("int").alias("seq_id"))
     return written(seen.select((F.col("code") * 1000 + 2 * F.ascii("label") + F.ascii(F.right("label", F.lit(1)))).alias("id"), "seq_id", KM.kmers_of_codes(F.array("code"), 3).alias("kmer"), "label"))
 
 
@@ -460,12 +460,12 @@ def moves_band(spark, d):
 @query("kmer_codes", D + """, c as (select doc_id, unnest(range(1, len(q) - 1)) as i, translate(q, 'ATCG', '0123') as t from d where len(q) >= 3)
   select doc_id, substr(t, i, 1)::bigint * 16 + substr(t, i + 1, 1)::bigint * 4 + substr(t, i + 2, 1)::bigint as code, count(*) as n from c group by 1, 2""")
 def kmer_codes(spark, d):
-    return _letters(spark, d).select("doc_id", F.explode(KM.kmer_codes(F.col("q"), 3)).alias("code")).groupBy("doc_id", "code").agg(F.count("*").alias("n"))
+    return _letters(spark, d).select("doc_id", F.inline(KM.counts(KM.kmer_codes(F.col("q"), 3), "bigint"))).groupBy("doc_id", F.col("value").alias("code")).agg(F.sum("n").alias("n"))
 
 
 @query("kmer_strings", D + ", c as (select doc_id, unnest(range(1, len(q) + 1)) as i, 'N' || q || 'N' as t from d where len(q) > 0) select doc_id, substr(t, i, 3) as kmer, count(*) as n from c group by 1, 2")
 def kmer_strings(spark, d):
-    return _letters(spark, d).select("doc_id", F.explode(KM.kmer_strings(F.col("q"), 3, 1)).alias("kmer")).groupBy("doc_id", "kmer").agg(F.count("*").alias("n"))
+    return _letters(spark, d).select("doc_id", F.inline(KM.counts(KM.kmer_strings(F.col("q"), 3, 1), "string"))).groupBy("doc_id", F.col("value").alias("kmer")).agg(F.sum("n").alias("n"))
 
 
 @query("kmer_round_trip", D + " select doc_id, q as back from d where len(q) >= 3")
@@ -477,7 +477,8 @@ def kmer_round_trip(spark, d):
   e as (select source, (source * 4 + b) % 64 as target, 0.1 as p from s, (select unnest(range(0, 4)) as b) b union all select source, source, 0.6 from s) select source, target, round(sum(p)::double, 9) as prob from e group by 1, 2""")
 def kmer_graph(spark, d):
     """The edges that leave 3-mers of documents."""
-    seen = _letters(spark, d).select(F.explode(KM.kmer_codes(F.col("q"), 3)).alias("source")).distinct()
+    bounded_batches(spark)
+    seen = KM.count_kmers(spark.read.parquet(f"{d}/documents.parquet"), "text", 3).select(F.col("code").alias("source"))
     return KM.kmer_graph(spark, 3, 0.6).join(seen, "source", "left_semi").select("source", "target", r6("prob", "prob", 9))
 
 

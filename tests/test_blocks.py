@@ -121,6 +121,36 @@ def test_letters_are_those_of_sql(spark, tmp_path):
     assert "regexp_replace" not in plan and plan.count("go(text") == 1
 
 
+def test_entries_are_counted_where_they_are(spark, tmp_path):
+    """Every k-mer of every text was a row before it was counted."""
+    from amploom.plans import registry
+
+    lists = [["b", "a", "b"], [], None, ["a", None, None], ["é"], ["b"] * 9 + ["a"]]
+    df = spark.createDataFrame(list(enumerate(lists)), "id int, v array<string>").coalesce(1)
+    got = {r.id: sorted(map(tuple, r.c), key=str) for r in df.select("id", KM.counts(F.col("v"), "string").alias("c")).collect()}
+    assert got == {i: sorted(((x, v.count(x), v.index(x)) for x in set(v)), key=str) for i, v in enumerate(z or [] for z in lists)}
+    rnd = np.random.default_rng(4)
+    edge = np.array([0, 0, 700, 700, 1500])
+    code = rnd.integers(0, 50, 1500)
+    for span in (50, 1 << 40):  # counted in bins, and sorted
+        ends, value, n, first = KM._counted(code, edge, span)
+        for i in range(4):
+            own, to = code[edge[i] : edge[i + 1]].tolist(), slice(ends[i], ends[i + 1])
+            assert list(zip(value[to].tolist(), n[to].tolist(), first[to].tolist())) == [(x, own.count(x), own.index(x)) for x in sorted(set(own))]
+    spark.createDataFrame([(1, "gattaca"), (1, "Gat tag"), (2, None), (3, "c"), (4, "-")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for d, q in ((1, "NGATTACAN"), (1, "NGATTAGN"), (3, "NCN")):
+        for i in range(len(q) - 2):
+            want[d, q[i : i + 3]] = want.get((d, q[i : i + 3]), 0) + 1
+    strings = registry.QUERIES["kmer_strings"](spark, str(tmp_path))
+    assert strings.dtypes == [("doc_id", "bigint"), ("kmer", "string"), ("n", "bigint")]
+    assert {(r.doc_id, r.kmer): r.n for r in strings.collect()} == want and strings.count() == len(want)
+    assert {(r.doc_id, "".join("ATCG"[r.code >> s & 3] for s in (4, 2, 0))): r.n for r in registry.QUERIES["kmer_codes"](spark, str(tmp_path)).collect()} == {k: n for k, n in want.items() if "N" not in k[1]}
+    for name in ("kmer_strings", "kmer_codes"):
+        plan = registry.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "explode" not in plan and "inline" in plan
+
+
 def test_coarse_band_rows_are_the_columns(spark):
     v = spark.createDataFrame([(1, "ACGTTGCA", 25), (2, "AC", 9), (3, "", 5), (4, None, 7), (5, "nnACGt", None), (6, "GGATTACA", 7), (7, "ACG", 5), (8, "GGATTACA", 6), (9, "GATTA" * 20, 199)], "id int, q string, n long")
     for k, width in ((3, 4), (2, 1), (3, 7)):
