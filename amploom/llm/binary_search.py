@@ -2,13 +2,15 @@
 
 A vector's code has one bit a dimension (set where the value is over 0). A code is cut into segments, and each
 segment has a table from its value to the codes that have it. A query looks up its own segment values, then all
-values one bit away, then two: a code that no segment table has given up to radius r differs by at least
-r + 1 bits in every segment, so the search ends when the k-th verified distance is below segments x (r + 1).
+values one bit away, then two: a code that the first j of m tables haven't given at radius r, nor the others at r - 1,
+differs by at least m x r + j bits, so the search ends when the k-th verified distance is below that.
 
-Equal codes are one entry with its k smallest ids, so very common vectors cost no more than rare ones. Codes are
-dealt by hash into shards of a bounded size, one a task: it builds its tables once, from the entries that come first
-in its partition, and searches the queries that follow as they stream by, a block at a time. Every query goes to
-every shard, no code is sent twice, and the results of the shards are merged by rank.
+Of equal codes the k rows with the smallest ids are kept, so very common vectors cost no more than others. Rows are
+dealt by hash of the code into shards of a bounded size; a task has a shard and a part of the queries: it builds its
+tables once, from the rows that come first in its partition, and searches the queries that follow as they stream by, a
+block at a time. Every query goes to every shard once, and the results of the shards are merged by rank. A block's
+candidates are compared in pieces, of which only rows no farther than the query's k-th so far are held: memory is that
+of the shard's tables, however many candidates there are.
 
 Nulls and odd rows: a null vector has no code and is neither found nor searched for, null elements count as 0; a
 null vec_id is left out; rows that repeat a vec_id and code are one, with other codes each counts; vectors of
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +30,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import runs, settle
+from .common import release, runs, settle
 
 K = 10
+#: Rows of a shard, where a code is one word of 64 bits; of longer codes fewer.
 SHARD = 1 << 20
 #: Queries searched at a time.
 BLOCK = 1 << 13
-#: Shards at least, so that small inputs use all cores too.
-SHARDS = 6
+#: Candidates compared at a time.
+PIECE = 1 << 17
+#: Queries of a part; there are fewer parts if shards and parts would make more than TASKS tasks.
+PART, TASKS = 1 << 12, 48
+#: Tasks at least, so that small inputs use all cores too.
+LEAST_TASKS = 6
 
 
 def binary_codes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -57,25 +65,30 @@ def binary_codes(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return rows.mapInArrow(go, "id long, code binary, dim int")
 
 
+def flips(bits: int, radius: int) -> np.ndarray:
+    """Masks of so many bits of which ``radius`` are set."""
+    return np.fromiter((sum(1 << b for b in c) for c in combinations(range(bits), radius)), np.int32, comb(bits, radius))
+
+
 class MultiIndex:
-    """Segment tables over the distinct codes of a shard; ``weight`` is how many results a code stands for."""
-
-    def __init__(self, codes: np.ndarray, weight: np.ndarray):
-        self.codes, self.weight = codes, weight
-        width = codes.shape[1] * 64
-        length = max(4, min(16, int(np.log2(max(len(codes), 2)))))
-        self.cuts = [(s, min(s + length, width)) for s in range(0, width, length)]
-        if len(self.cuts) > 1 and self.cuts[-1][1] - self.cuts[-1][0] < length // 2:
-            m = len(self.cuts)
-            edge = np.linspace(0, width, m + 1).astype(int)
-            self.cuts = list(zip(edge[:-1].tolist(), edge[1:].tolist()))
-        self.tables = []
-        for cut in self.cuts:
-            v = self.segment(codes, cut)
-            order = np.argsort(v, kind="stable")
-            start = np.zeros((1 << (cut[1] - cut[0])) + 1, np.int64)
+    """Segment tables over the rows of a shard, each a code and an id.
+
+    Beside its tables a search holds the k best rows of each query so far, and PIECE candidates or those of one segment value.
+    """
+
+    def __init__(self, codes: np.ndarray, ids: np.ndarray):
+        order = np.argsort(ids, kind="stable")  # rows are numbered by id, so ties are settled by number
+        self.ids, codes = ids[order], codes[order]
+        self.width = codes.shape[1] * 64
+        edge = np.linspace(0, self.width, -(-self.width // max(4, min(16, int(np.log2(max(len(ids), 2)))))) + 1).astype(int).tolist()
+        self.cuts = list(zip(edge[:-1], edge[1:]))
+        self.codes, self.tables = codes, []
+        for lo, hi in self.cuts:
+            v = self.segment(codes, (lo, hi))
+            order = np.argsort(v, kind="stable").astype(np.int32)
+            start = np.zeros((1 << (hi - lo)) + 1, np.int32)
             np.cumsum(np.bincount(v, minlength=len(start) - 1), out=start[1:])
-            self.tables.append((v, order, start))
+            self.tables.append((np.flatnonzero(np.diff(start)).astype(np.int32), start, order, codes[order] if codes.shape[1] == 1 else None))  # long codes are not copied for each table
 
     @staticmethod
     def segment(codes: np.ndarray, cut: tuple[int, int]) -> np.ndarray:
@@ -84,64 +97,91 @@ class MultiIndex:
         v = codes[:, w] >> np.uint64(s)
         if s + hi - lo > 64:
             v = v | (codes[:, w + 1] << np.uint64(64 - s))
-        return (v & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
+        return (v & np.uint64((1 << (hi - lo)) - 1)).astype(np.int32)
 
     def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, entry, distance) of every entry that may be among a query's k nearest, each once."""
-        n, width = len(queries), queries.shape[1] * 64
-        mine = [self.segment(queries, cut) for cut in self.cuts]
-        near = np.zeros((n, width + 1), np.int64)
-        active, out = np.arange(n), []
+        """(query, id, distance) of each query's k nearest rows, ties by id, in this order."""
+        n, m = len(queries), len(self.cuts)
+        low, high = len(self.ids).bit_length(), self.width.bit_length()  # a row found is one number: query, distance, row
+        best, active = np.zeros(0, np.int64), np.arange(n)
+        full, bound = np.zeros(n, bool), np.full(n, self.width, np.int64)  # if a query has k rows yet, and the distance of the last
+
+        def merge(found: list[np.ndarray]) -> np.ndarray:
+            keys = np.sort(np.concatenate([best, *found]))
+            keys = keys[runs(keys)[:-1]]  # several segments may give a row
+            owner = keys >> (low + high)
+            place = np.arange(len(keys)) - np.searchsorted(owner, np.arange(n))[owner]
+            last = np.flatnonzero(place == k - 1)
+            bound[owner[last]] = keys[last] >> low & (1 << high) - 1
+            full[owner[last]] = True
+            return keys[place < k]
+
         for radius in range(max(hi - lo for lo, hi in self.cuts) + 1):
-            for j, (cut, (_, order, start)) in enumerate(zip(self.cuts, self.tables)):
-                bits = cut[1] - cut[0]
-                if radius > bits:
-                    continue
-                flips = np.array([sum(1 << b for b in c) for c in combinations(range(bits), radius)], np.int64)
-                for q in np.array_split(active, max(1, len(active) * len(flips) >> 20)):
-                    value = (mine[j][q][:, None] ^ flips[None, :]).ravel()
-                    lo, size = start[value], start[value + 1] - start[value]
-                    hit = np.flatnonzero(size)
-                    lo, size = lo[hit], size[hit]
-                    owner = np.repeat(q[hit // len(flips)], size)
-                    entry = order[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-                    new = np.ones(len(owner), bool)
-                    for i, (v, _, _) in enumerate(self.tables):  # another segment gave it before, in this radius or an earlier one
-                        if i != j:
-                            apart = np.bitwise_count(v[entry] ^ mine[i][owner])
-                            new &= apart > (radius if i < j else radius - 1)
-                    owner, entry = owner[new], entry[new]
-                    dist = np.bitwise_count(self.codes[entry] ^ queries[owner]).sum(axis=1, dtype=np.int64)
-                    np.add.at(near, (owner, dist), self.weight[entry])
-                    out.append((owner, entry, dist))
-            total = np.cumsum(near[active], axis=1)
-            kth = np.where(total[:, -1] >= k, np.argmax(total >= k, axis=1), width + 1)
-            active = active[kth >= len(self.cuts) * (radius + 1)]
+            for j, cut in enumerate(self.cuts):
+                mine, found, held = self.segment(queries, cut), [], 0
+                for owner, lo, size in self.lookups(j, radius, mine, active):
+                    for who, dist, row in self.compared(j, queries, bound, owner, lo, size):
+                        found.append(who << (low + high) | dist << low | row)
+                        held += len(row)
+                        if held > PIECE:
+                            best, found, held = merge(found), [], 0
+                best = merge(found)
+                # a row not found yet differs by over radius bits in segments to j, by radius or more in the others
+                active = active[~full[active] | (bound[active] > m * radius + j)]
+                if not len(active):
+                    break
             if not len(active):
                 break
-        owner, entry, dist = (np.concatenate(x) for x in zip(*out))
-        total = np.cumsum(near, axis=1)
-        kth = np.where(total[:, -1] >= k, np.argmax(total >= k, axis=1), width)
-        keep = dist <= kth[owner]
-        return owner[keep], entry[keep], dist[keep]
-
-
-def _load(rows: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
-
-
-def _nearest(index: MultiIndex, ids: list[list[int]], asked: list[bytes], k: int) -> pa.RecordBatch:
-    """(code, vec_id, distance) of each asked code's k nearest in a shard."""
-    owner, entry, dist = index.search(_load(asked), k)
-    order = np.lexsort((dist, owner))
-    rows = ([], [], [])
-    at = runs(owner[order])
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
-        best = sorted((d, i) for e, d in zip(entry[order[a:b]].tolist(), dist[order[a:b]].tolist()) for i in ids[e])[:k]
-        rows[0].extend([asked[owner[order[a]]]] * len(best))
-        rows[1].extend(i for _, i in best)
-        rows[2].extend(d for d, _ in best)
-    return pa.record_batch([pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], names=["code", "vec_id", "distance"])
+        return best >> (low + high), self.ids[best & (1 << low) - 1], best >> low & (1 << high) - 1
+
+    def lookups(self, j: int, radius: int, mine: np.ndarray, active: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, first place, number of places) in table ``j`` for its values that are ``radius`` bits away from an active query's."""
+        values, start = self.tables[j][:2]
+        bits = self.cuts[j][1] - self.cuts[j][0]
+        if radius > bits:
+            return
+        few = comb(bits, radius) <= len(values)  # else it is less work to go through the values that there are
+        masks = flips(bits, radius) if few else values
+        step = max(1, PIECE // len(masks))
+        for a in range(0, len(active), step):
+            q = active[a : a + step]
+            v = mine[q][:, None] ^ masks
+            if few:
+                v = v.ravel()
+                lo = start[v]
+                size = start[1:][v] - lo
+                hit = np.flatnonzero(size)
+                yield q[hit // len(masks)], lo[hit], size[hit]
+            else:
+                i, at = np.nonzero(np.bitwise_count(v) == radius)
+                lo = start[values[at]]
+                yield q[i], lo, start[values[at] + 1] - lo
+
+    def compared(self, j: int, queries: np.ndarray, bound: np.ndarray, owner: np.ndarray, lo: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, distance, row) of the rows at such places that are no farther than the query's bound, a piece at a time."""
+        order, codes = self.tables[j][2:]
+        words = queries.shape[1]
+        end = np.cumsum(size, dtype=np.int64)
+        a = done = 0
+        while a < len(owner):
+            b = max(a + 1, int(np.searchsorted(end, done + PIECE // words, "right")))
+            q, s = owner[a:b], size[a:b]
+            at = np.repeat(lo[a:b] - (end[a:b] - s - done).astype(np.int32), s)
+            at += np.arange(len(at), dtype=np.int32)
+            if codes is not None:
+                dist = np.bitwise_count(codes[:, 0].take(at) ^ np.repeat(queries[q, 0], s))
+            else:
+                dist = np.bitwise_count(self.codes[order[at]] ^ np.repeat(queries[q], s, axis=0)).sum(axis=1, dtype=np.int32)
+            near = np.flatnonzero(dist <= int(bound[q].max()))
+            who = q[np.searchsorted(end[a:b], near + done, "right")]
+            far = dist[near].astype(np.int64)
+            keep = far <= bound[who]
+            yield who[keep], far[keep], order[at[near[keep]]].astype(np.int64)
+            a, done = b, int(end[b - 1])
+
+
+def _load(codes: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(codes.to_pylist()), np.uint64).reshape(len(codes), -1)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -152,27 +192,41 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     if least != most:
         raise ValueError(f"vectors of {least} and of {most} dimensions")
     ranked = first.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("r") <= k)
-    entries = settle(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
+    entries = settle(ranked.select("code", "id"), "entries")
     codes = settle(asked.select("code").distinct(), "asked")
-    shards = max(SHARDS, -(-entries.count() // SHARD))
-    none = F.lit(None).cast("array<bigint>")
-    left = entries.select(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asked"), "code", "ids")
-    right = codes.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asked"), "code", none.alias("ids"))
+    words = max(1, -(-(most or 0) // 64))
+    shards = max(1, -(-entries.count() * words // SHARD))
+    parts = max(-(-LEAST_TASKS // shards), min(-(-codes.count() // PART), TASKS // shards))
+    copy = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    deal = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
+    left = entries.select(deal(shards).alias("shard"), copy(parts).alias("part"), F.lit(False).alias("asked"), "code", "id")
+    right = codes.select(copy(shards).alias("shard"), deal(parts).alias("part"), F.lit(True).alias("asked"), "code", F.lit(None).cast("long").alias("id"))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, ids, index = [], [], None
-        for b in batches:
-            n = int(np.count_nonzero(~b.column("asked").to_numpy(zero_copy_only=False)))  # entries are before all queries
-            codes += b.column("code").slice(0, n).to_pylist()
-            ids += b.column("ids").slice(0, n).to_pylist()
-            if n < b.num_rows and ids:
-                index = index or MultiIndex(_load(codes), np.array([len(x) for x in ids]))
+        try:
+            for b in batches:
+                n = int(np.count_nonzero(~b.column("asked").to_numpy(zero_copy_only=False)))  # entries are before all queries
+                if n:
+                    codes.append(_load(b.column("code").slice(0, n)))
+                    ids.append(np.array(b.column("id").slice(0, n)))
+                if n == b.num_rows or not (codes or index):
+                    continue
+                if index is None:
+                    index = MultiIndex(np.concatenate(codes), np.concatenate(ids))
+                    codes.clear()
+                    ids.clear()
                 for lo in range(n, b.num_rows, BLOCK):
-                    yield _nearest(index, ids, b.column("code").slice(lo, BLOCK).to_pylist(), k)
-
-    # one partition a shard, which adaptive execution leaves as it is
-    dealt = left.unionByName(right).repartitionById(shards, "shard").sortWithinPartitions("asked")
-    found = dealt.select("asked", "code", "ids").mapInArrow(go, "code binary, vec_id long, distance long")
+                    block = b.column("code").slice(lo, BLOCK)
+                    owner, found, dist = index.search(_load(block), k)
+                    yield pa.record_batch([block.take(pa.array(owner)), pa.array(found), pa.array(dist)], names=["code", "vec_id", "distance"])
+        finally:
+            index = None
+            release()
+
+    # one partition a shard and part, which adaptive execution leaves as it is
+    dealt = left.unionByName(right).repartitionById(shards * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("asked")
+    found = dealt.select("asked", "code", "id").mapInArrow(go, "code binary, vec_id long, distance long")
     best = settle(found.withColumn("rank", F.row_number().over(W.partitionBy("code").orderBy("distance", "vec_id")).cast("long")).where(F.col("rank") <= k), "best")
     lists = best.groupBy("code").agg(F.collect_list(F.struct("rank", "vec_id", "distance")).alias("x"))  # k rows a code
     return asked.select(F.col("id").alias("query_id"), "code").join(lists, "code").select("query_id", F.explode("x").alias("x")).select("query_id", "x.rank", "x.vec_id", "x.distance")
