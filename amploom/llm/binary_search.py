@@ -8,7 +8,8 @@ differs by at least m x r + j bits, so the search ends when the k-th verified di
 Of equal codes the k rows with the smallest ids are kept, so very common vectors cost no more than others. Rows are
 dealt by hash of the code into shards of a bounded size; a task has a shard and a part of the queries: it builds its
 tables once, from the rows that come first in its partition, and searches the queries that follow as they stream by, a
-block at a time. Every query goes to every shard once, and the results of the shards are merged by rank. A block's
+block at a time. Every query goes to every shard, and the results of the shards are merged by rank; with several shards
+the greater radii are a second pass, in which the k-th distance over all shards is the bound in each. A block's
 candidates are compared in pieces, of which only rows no farther than the query's k-th so far are held: memory is that
 of the shard's tables, however many candidates there are.
 
@@ -35,6 +36,10 @@ from .common import release, runs, settle
 K = 10
 #: Rows of a shard, where a code is one word of 64 bits; of longer codes fewer.
 SHARD = 1 << 20
+#: Bits of a segment at most.
+SEGMENT = 16
+#: With several shards, the radii of all shards' first pass are below this.
+FIRST = 3
 #: Queries searched at a time.
 BLOCK = 1 << 13
 #: Candidates compared at a time.
@@ -80,7 +85,7 @@ class MultiIndex:
         order = np.argsort(ids, kind="stable")  # rows are numbered by id, so ties are settled by number
         self.ids, codes = ids[order], codes[order]
         self.width = codes.shape[1] * 64
-        edge = np.linspace(0, self.width, -(-self.width // max(4, min(16, int(np.log2(max(len(ids), 2)))))) + 1).astype(int).tolist()
+        edge = np.linspace(0, self.width, -(-self.width // max(4, min(SEGMENT, int(np.log2(max(len(ids), 2)))))) + 1).astype(int).tolist()
         self.cuts = list(zip(edge[:-1], edge[1:]))
         self.codes, self.tables = codes, []
         for lo, hi in self.cuts:
@@ -99,12 +104,15 @@ class MultiIndex:
             v = v | (codes[:, w + 1] << np.uint64(64 - s))
         return (v & np.uint64((1 << (hi - lo)) - 1)).astype(np.int32)
 
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, id, distance) of each query's k nearest rows, ties by id, in this order."""
+    def search(self, queries: np.ndarray, k: int, bound: np.ndarray | None = None, first: int = 0, end: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, distance) of each query's k nearest rows, ties by id, in this order.
+
+        ``bound``: greatest distance asked for, by query; ``first``, ``end``: only rows that a segment has given at radius ``first``
+        to ``end`` - 1 and none before.
+        """
         n, m = len(queries), len(self.cuts)
         low, high = len(self.ids).bit_length(), self.width.bit_length()  # a row found is one number: query, distance, row
-        best, active = np.zeros(0, np.int64), np.arange(n)
-        full, bound = np.zeros(n, bool), np.full(n, self.width, np.int64)  # if a query has k rows yet, and the distance of the last
+        best, bound = np.zeros(0, np.int64), np.full(n, self.width, np.int64) if bound is None else bound.copy()
 
         def merge(found: list[np.ndarray]) -> np.ndarray:
             keys = np.sort(np.concatenate([best, *found]))
@@ -113,27 +121,32 @@ class MultiIndex:
             place = np.arange(len(keys)) - np.searchsorted(owner, np.arange(n))[owner]
             last = np.flatnonzero(place == k - 1)
             bound[owner[last]] = keys[last] >> low & (1 << high) - 1
-            full[owner[last]] = True
             return keys[place < k]
 
-        for radius in range(max(hi - lo for lo, hi in self.cuts) + 1):
+        for radius in range(first, max(hi - lo for lo, hi in self.cuts) + 1 if end is None else end):
             for j, cut in enumerate(self.cuts):
+                # a row not found yet differs by over radius bits in the segments before j, by radius or more in the others
+                active = np.flatnonzero(bound >= m * radius + j)
+                if not len(active):
+                    break
                 mine, found, held = self.segment(queries, cut), [], 0
                 for owner, lo, size in self.lookups(j, radius, mine, active):
                     for who, dist, row in self.compared(j, queries, bound, owner, lo, size):
+                        if first:
+                            new = self.apart(queries[who], row) >= first
+                            who, dist, row = who[new], dist[new], row[new]
                         found.append(who << (low + high) | dist << low | row)
                         held += len(row)
                         if held > PIECE:
                             best, found, held = merge(found), [], 0
                 best = merge(found)
-                # a row not found yet differs by over radius bits in segments to j, by radius or more in the others
-                active = active[~full[active] | (bound[active] > m * radius + j)]
-                if not len(active):
-                    break
-            if not len(active):
-                break
         return best >> (low + high), self.ids[best & (1 << low) - 1], best >> low & (1 << high) - 1
 
+    def apart(self, queries: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The least number of bits by which a segment of a query and a row differ."""
+        x = queries ^ self.codes[row]
+        return np.min([np.bitwise_count(self.segment(x, cut)) for cut in self.cuts], axis=0)
+
     def lookups(self, j: int, radius: int, mine: np.ndarray, active: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(query, first place, number of places) in table ``j`` for its values that are ``radius`` bits away from an active query's."""
         values, start = self.tables[j][:2]
@@ -191,43 +204,55 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     least, most = first.select("dim").union(asked.select("dim")).agg(F.min("dim"), F.max("dim")).first()
     if least != most:
         raise ValueError(f"vectors of {least} and of {most} dimensions")
-    ranked = first.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("r") <= k)
-    entries = settle(ranked.select("code", "id"), "entries")
+    kept = first.withColumn("r", F.row_number().over(W.partitionBy("code").orderBy("id"))).where(F.col("r") <= k)
+    entries = settle(kept.select("code", "id"), "entries")
     codes = settle(asked.select("code").distinct(), "asked")
     words = max(1, -(-(most or 0) // 64))
     shards = max(1, -(-entries.count() * words // SHARD))
-    parts = max(-(-LEAST_TASKS // shards), min(-(-codes.count() // PART), TASKS // shards))
     copy = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
-    left = entries.select(deal(shards).alias("shard"), copy(parts).alias("part"), F.lit(False).alias("asked"), "code", "id")
-    right = codes.select(copy(shards).alias("shard"), deal(parts).alias("part"), F.lit(True).alias("asked"), "code", F.lit(None).cast("long").alias("id"))
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, ids, index = [], [], None
-        try:
-            for b in batches:
-                n = int(np.count_nonzero(~b.column("asked").to_numpy(zero_copy_only=False)))  # entries are before all queries
-                if n:
-                    codes.append(_load(b.column("code").slice(0, n)))
-                    ids.append(np.array(b.column("id").slice(0, n)))
-                if n == b.num_rows or not (codes or index):
-                    continue
-                if index is None:
-                    index = MultiIndex(np.concatenate(codes), np.concatenate(ids))
-                    codes.clear()
-                    ids.clear()
-                for lo in range(n, b.num_rows, BLOCK):
-                    block = b.column("code").slice(lo, BLOCK)
-                    owner, found, dist = index.search(_load(block), k)
-                    yield pa.record_batch([block.take(pa.array(owner)), pa.array(found), pa.array(dist)], names=["code", "vec_id", "distance"])
-        finally:
-            index = None
-            release()
-
-    # one partition a shard and part, which adaptive execution leaves as it is
-    dealt = left.unionByName(right).repartitionById(shards * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("asked")
-    found = dealt.select("asked", "code", "id").mapInArrow(go, "code binary, vec_id long, distance long")
-    best = settle(found.withColumn("rank", F.row_number().over(W.partitionBy("code").orderBy("distance", "vec_id")).cast("long")).where(F.col("rank") <= k), "best")
+    ranked = lambda found: settle(found.withColumn("rank", F.row_number().over(W.partitionBy("code").orderBy("distance", "vec_id")).cast("long")).where(F.col("rank") <= k), "best")
+
+    def search(asked: DataFrame, first: int, end: int | None) -> DataFrame:
+        """(code, vec_id, distance) of what each shard has for the codes of ``asked``, by the bounds there."""
+
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            codes, ids, index = [], [], None
+            try:
+                for b in batches:
+                    n = int(np.count_nonzero(~b.column("asked").to_numpy(zero_copy_only=False)))  # entries are before all queries
+                    if n:
+                        codes.append(_load(b.column("code").slice(0, n)))
+                        ids.append(np.array(b.column("x").slice(0, n)))
+                    if n == b.num_rows or not (codes or index):
+                        continue
+                    if index is None:
+                        index = MultiIndex(np.concatenate(codes), np.concatenate(ids))
+                        codes.clear()
+                        ids.clear()
+                    for lo in range(n, b.num_rows, BLOCK):
+                        block = b.column("code").slice(lo, BLOCK)
+                        owner, found, dist = index.search(_load(block), k, np.array(b.column("x").slice(lo, BLOCK)), first, end)
+                        yield pa.record_batch([block.take(pa.array(owner)), pa.array(found), pa.array(dist)], names=["code", "vec_id", "distance"])
+            finally:
+                index = None
+                release()
+
+        parts = max(-(-LEAST_TASKS // shards), min(-(-asked.count() // PART), TASKS // shards))
+        left = entries.select(deal(shards).alias("shard"), copy(parts).alias("part"), F.lit(False).alias("asked"), "code", F.col("id").alias("x"))
+        right = asked.select(copy(shards).alias("shard"), deal(parts).alias("part"), F.lit(True).alias("asked"), "code", F.col("bound").alias("x"))
+        # one partition a shard and part, which adaptive execution leaves as it is
+        dealt = left.unionByName(right).repartitionById(shards * parts, F.col("shard") * parts + F.col("part")).sortWithinPartitions("asked")
+        return dealt.select("asked", "code", "x").mapInArrow(go, "code binary, vec_id long, distance long")
+
+    everywhere = F.lit(64 * words).cast("long").alias("bound")
+    if shards == 1:
+        best = ranked(search(codes.select("code", everywhere), 0, None))
+    else:  # the k-th over all shards is nearer than a shard's own, so most of them needn't look at all radii
+        near = ranked(search(codes.select("code", everywhere), 0, FIRST)).drop("rank")
+        kth = near.groupBy("code").agg(F.count("*").alias("n"), F.max("distance").alias("d")).where(F.col("n") == k)
+        rest = settle(codes.join(kth, "code", "left").select("code", F.coalesce("d", everywhere).alias("bound")).where(F.col("bound") >= -(-64 * words // SEGMENT) * FIRST), "asked")
+        best = ranked(near.unionByName(search(rest, FIRST, None)))
     lists = best.groupBy("code").agg(F.collect_list(F.struct("rank", "vec_id", "distance")).alias("x"))  # k rows a code
     return asked.select(F.col("id").alias("query_id"), "code").join(lists, "code").select("query_id", F.explode("x").alias("x")).select("query_id", "x.rank", "x.vec_id", "x.distance")
 

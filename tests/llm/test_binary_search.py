@@ -14,6 +14,20 @@ def rank(codes, ids, queries, k):
     return out
 
 
+def test_second_pass_has_the_rest():
+    rnd = np.random.default_rng(6)
+    codes = np.packbits(rnd.random((3000, 64)) < np.where(rnd.random((3000, 1)) < 0.3, 0.1, 0.5), axis=1, bitorder="little").view(np.uint64)
+    ids, queries = rnd.permutation(3000), codes[:200]
+    index = B.MultiIndex(codes, ids)
+    want = rank(codes, ids, queries, 10)
+    bound = np.array([d for _, _, d in want[9::10]])
+    for first in (1, 2, 3):
+        parts = [list(zip(*(x.tolist() for x in index.search(queries, 10, *how)))) for how in ((None, 0, first), (bound, first, None))]
+        assert parts[1] and not set(parts[0]) & set(parts[1])
+        both = sorted(parts[0] + parts[1], key=lambda x: (x[0], x[2], x[1]))
+        assert [x for q in range(200) for x in [y for y in both if y[0] == q][:10]] == want
+
+
 def test_many_candidates_are_not_held():
     rnd = np.random.default_rng(3)
     codes = rnd.integers(0, 1 << 63, (20000, 1), np.uint64) >> np.uint64(14) << np.uint64(14)  # all have the first segment's value
@@ -53,7 +67,9 @@ def test_index_against_all_pairs(monkeypatch, words, rows, distinct, used, piece
         assert list(zip(*(x.tolist() for x in found))) == rank(codes, ids, queries, 10)
 
 
-def test_shards_and_parts(spark, monkeypatch):
+@pytest.mark.parametrize("first", [1, 3])
+def test_shards_and_parts(spark, monkeypatch, first):
+    monkeypatch.setattr(B, "FIRST", first)
     monkeypatch.setattr(B, "SHARD", 150)
     monkeypatch.setattr(B, "PART", 7)
     monkeypatch.setattr(B, "TASKS", 12)
